@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import text as tx
 from tesselon.functions.scalars import cosine
+from tesselon.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------------------
 WEIGHTS = {
@@ -137,53 +138,81 @@ def idf(freq: DataFrame, n_chunks: int) -> DataFrame:
     return df.select("term", F.log(1 + F.lit(float(max(1, n_chunks))) / (1 + F.col("df"))).alias("idf"))
 
 
+def against_all(queries: DataFrame, rows: DataFrame, block: int = 1000) -> DataFrame:
+    """Every row with every query: queries in blocks of about ``block``, a block (bounded) meeting all rows once."""
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    if blocks == 1:
+        return rows.withColumn("__b", F.lit(0).cast("long")).join(F.broadcast(q), "__b").drop("__b")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    return rows.withColumn("__b", each).join(q, "__b").drop("__b")
+
+
+def path_bonus() -> Column:
+    """RET-10: what a path earns by itself, from the flags of a query and the columns of a chunk."""
+    w, flag = WEIGHTS, lambda c: F.when(c, 1.0).otherwise(0.0)
+    office = tx.matches(F.col("low_path"), OFFICE_PATH, True)
+    return (
+        w["api_shape"] * flag((F.col("wants_api") | F.col("wants_shape")) & tx.matches(F.col("low_path"), API_SHAPE_PATH))
+        + w["api_shape"] * flag(F.col("wants_fleet") & F.col("low_path").contains("container-lambdas/"))
+        + w["file_head"] * flag(
+            ((F.size("named") > 0) | F.col("wants_shape") | F.col("wants_fleet")) & (F.col("kind") == "code") & (F.col("start_line") <= 8)
+        )
+        + w["behavior"] * flag(F.col("wants_behavior") & F.col("is_behavior"))
+        + w["document"] * flag(office) + w["definition"] * flag(office & F.col("wants_definition"))
+        - w["test_penalty"] * flag(F.col("is_test") & ~F.col("asks_tests"))
+        + w["authoritative"] * flag(F.col("is_authoritative") & ~F.col("asks_tests"))
+    )
+
+
 def lexical_scores(q: DataFrame, chunks: DataFrame, posts: DataFrame, n_chunks: int) -> DataFrame:
-    """RET-10: (query_id, chunk_id, path, kind, ord, score) with score > 0.
+    """RET-10: (query_id, chunk_id, path, kind, ord, score, low_floor) with score > 0.
 
-    A chunk is scored if it holds a term in any form, its path is named, or its path earns a bonus by
-    itself; paths are few and are judged once each.
+    Pairs come from shared terms, from named paths and from paths that earn a bonus by themselves. Texts
+    stay out of the ranking: only pairs that hold the phrase's inner words fetch the text to look for it.
     """
-    freq = term_frequencies(q, posts)
-    scored_terms = freq.join(idf(freq, n_chunks), "term")
+    freq = materialize(term_frequencies(q, posts), "frequencies")
     base = F.element_at(F.split(F.lower("path"), "/"), -1)
-    meta = chunks.select("chunk_id", "path", "kind", "start_line", "ord", "text").withColumns(
+    meta = chunks.select("chunk_id", "path", "kind", "start_line", "ord").withColumns(
         {"low_path": F.lower("path"), "base": base, "stem": F.regexp_replace(base, r"\.[^.]+\z", "")} | path_flags(F.lower("path"))
     )
-    per_term = scored_terms.join(meta.select("chunk_id", "kind", "base", "stem"), "chunk_id")
+    live = q.filter((F.size("terms") > 0) | (F.size("named") > 0))
+    names = freq.join(idf(freq, n_chunks), "term").join(meta.select("chunk_id", "kind", "base", "stem"), "chunk_id")
+    inner = live.select("query_id", F.posexplode("terms").alias("pos", "term"), F.size("terms").alias("n")).withColumn(
+        "inner", (F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1) & F.col("term").rlike("^[a-z0-9]+$")
+    )
     part = F.col("idf") * (
         2.4 * tx.saturate(F.col("path_f")) + 1.6 * tx.saturate(F.col("body_f"))
         + F.when(F.col("kind") == "why", 1.1 * tx.saturate(F.col("body_f"))).otherwise(0.0)
         + F.when((F.col("term") == F.col("stem")) | (F.col("term") == F.col("base")), WEIGHTS["filename"]).otherwise(0.0)
     )
-    lexical = per_term.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("terms_score"))
+    lexical = names.join(inner.select("query_id", "term", "inner"), ["query_id", "term"]).groupBy("query_id", "chunk_id").agg(
+        F.sum(part).alias("terms_score"), F.count_if(F.col("inner") & (F.col("body_f") > 0)).alias("inner_hits")
+    )
+    lexical = materialize(lexical, "lexical")
+    n_inner = inner.groupBy("query_id").agg(F.count_if("inner").alias("n_inner"))
+    maybe = lexical.join(n_inner, "query_id").filter("inner_hits = n_inner").join(
+        live.filter(F.length("phrase") > 4).select("query_id", "phrase"), "query_id"
+    )
+    phrase = maybe.join(chunks.select("chunk_id", "text"), "chunk_id").filter(F.lower("text").contains(F.col("phrase")))
+    phrase = phrase.select("query_id", "chunk_id", F.lit(WEIGHTS["phrase"]).alias("s"))
 
-    paths = meta.select("low_path", "base", "is_test", "is_authoritative", "is_behavior").distinct()
-    # queries are the small side by contract (a batch of questions); paths are deduplicated chunks' paths
-    flags = q.filter((F.size("terms") > 0) | (F.size("named") > 0))
-    named = flags.select("query_id", F.explode("named").alias("name")).join(
+    paths = meta.select("low_path").distinct()
+    named = live.select("query_id", F.explode("named").alias("name")).join(
         paths, F.col("low_path").endswith(F.col("name")) | F.col("low_path").contains(F.concat(F.lit("/"), F.col("name")))
-    ).groupBy("query_id", "low_path").agg((F.count("*") * WEIGHTS["path"]).alias("named_score"))
-    bonus_rows = meta.join(named, "low_path").select("query_id", "chunk_id", "named_score")
-    scored = lexical.join(bonus_rows, ["query_id", "chunk_id"], "full")
-    full = scored.join(meta, "chunk_id").join(flags.drop("text"), "query_id")
-    w, flag = WEIGHTS, lambda c: F.when(c, 1.0).otherwise(0.0)
-    office = tx.matches(F.col("low_path"), OFFICE_PATH, True)
-    score = (
-        F.coalesce("terms_score", F.lit(0.0)) + F.coalesce("named_score", F.lit(0.0))
-        + w["api_shape"] * flag((F.col("wants_api") | F.col("wants_shape")) & tx.matches(F.col("low_path"), API_SHAPE_PATH))
-        + w["api_shape"] * flag(F.col("wants_fleet") & F.col("low_path").contains("container-lambdas/"))
-        + w["file_head"] * flag(
-            ((F.size("named") > 0) | F.col("wants_shape") | F.col("wants_fleet")) & (F.col("kind") == "code") & (F.col("start_line") <= 8)
-        )
-        + w["behavior"] * flag(F.col("wants_behavior") & F.col("is_behavior"))
-        + w["document"] * flag(office) + w["definition"] * flag(office & F.col("wants_definition"))
-        + w["phrase"] * flag((F.length("phrase") > 4) & F.lower("text").contains(F.col("phrase")))
-        - w["test_penalty"] * flag(F.col("is_test") & ~F.col("asks_tests"))
-        + w["authoritative"] * flag(F.col("is_authoritative") & ~F.col("asks_tests"))
+    ).join(meta.select("chunk_id", "low_path"), "low_path").select("query_id", "chunk_id", F.lit(WEIGHTS["path"]).alias("s"))
+    special = meta.filter(
+        F.col("is_authoritative") | F.col("is_behavior") | tx.matches(F.col("low_path"), OFFICE_PATH, True)
+        | tx.matches(F.col("low_path"), API_SHAPE_PATH) | F.col("low_path").contains("container-lambdas/")
     )
-    return full.withColumn("score", score).filter("score > 0").select(
-        "query_id", "chunk_id", "path", "kind", "ord", "score",
-        ((F.size("named") > 0) | F.col("wants_api")).alias("low_floor"),
+    heads = live.filter((F.size("named") > 0) | F.col("wants_shape") | F.col("wants_fleet"))
+    by_path = against_all(live, special).filter(path_bonus() > 0).select("query_id", "chunk_id", F.lit(0.0).alias("s"))
+    by_head = against_all(heads, meta.filter((F.col("kind") == "code") & (F.col("start_line") <= 8))).select("query_id", "chunk_id", F.lit(0.0).alias("s"))
+    pairs = lexical.select("query_id", "chunk_id", F.col("terms_score").alias("s")).unionAll(phrase).unionAll(named)
+    pairs = pairs.unionAll(by_path).unionAll(by_head).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"))
+    full = pairs.join(meta, "chunk_id").join(live.drop("text", "terms", "phrase"), "query_id")
+    return full.withColumn("score", F.col("s") + path_bonus()).filter("score > 0").select(
+        "query_id", "chunk_id", "path", "kind", "ord", "score", ((F.size("named") > 0) | F.col("wants_api")).alias("low_floor")
     )
 
 
@@ -219,21 +248,16 @@ def diversified(scored: DataFrame, limit: int = 6, digits: int | None = None) ->
 def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = 6, digits: int | None = None) -> DataFrame:
     """RET-23: ranked chunks of every query; see the parts for their rules."""
     n = chunks.count()
-    return diversified(lexical_scores(queries_table(queries), chunks, postings(chunks), n), limit, digits)
+    posts = materialize(postings(chunks), "postings")
+    return diversified(lexical_scores(queries_table(queries), chunks, posts, n), limit, digits)
 
 
 def semantic_scores(query_vectors: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     """RET-15, JOIN-16: (query_id, chunk_id, score) with a cosine over the floor, scaled, the best ``limit`` a query.
 
-    A stated set of queries against all vectors; the queries are broadcast while they are few (checked),
-    else both sides are dealt in blocks.
+    A stated set of queries against all vectors, in blocks of queries.
     """
-    n = query_vectors.count()
-    # cross product in blocks: every vector meets every block of queries exactly once
-    blocks = max(1, -(-n // 1000))
-    q = query_vectors.select("query_id", F.col("vector").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    v = vectors.select("chunk_id", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    pairs = v.join(F.broadcast(q) if blocks == 1 else q, "block")
+    pairs = against_all(query_vectors.select("query_id", F.col("vector").alias("qv")), vectors.select("chunk_id", "vector"))
     s = pairs.withColumn("cos", cosine(F.col("qv"), F.col("vector"))).filter(F.col("cos") > WEIGHTS["semantic_floor"])
     s = s.select("query_id", "chunk_id", (F.col("cos") * WEIGHTS["semantic_scale"]).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
