@@ -42,10 +42,18 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def exceed(self, text: str | None) -> np.ndarray:
-        """P(grade > k) for k = 0, 1, 2."""
-        cols = [self.vocabulary[w] for w in words(text) if w in self.vocabulary]
-        return _sigmoid(self.weights[cols].sum() - self.thresholds)
+    def evidence(self, text: str | None) -> float | None:
+        """Sum of the weights of a text's words; None for a text without words."""
+        found = words(text)
+        return float(self.weights[[self.vocabulary[w] for w in found if w in self.vocabulary]].sum()) if found else None
+
+    def exceed(self, evidence: float | None) -> np.ndarray:
+        """P(grade > k) for k = 0, 1, 2; a text without words has severity 0."""
+        return np.zeros(GRADES - 1) if evidence is None else _sigmoid(evidence - self.thresholds)
+
+    def rejects(self, evidence: float | None) -> bool:
+        """Likelier toxic than not, on the evidence of its words and not of the sample's rate alone."""
+        return evidence is not None and evidence > 0 and evidence >= self.thresholds[0]
 
 
 def select_words(bags: list[set[str]], y: np.ndarray, size: int, least: int = 3) -> tuple[list[str], set[str]]:
@@ -107,17 +115,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, severity, p_toxic, grade, toxic) for every row of ``docs``, whole texts.
 
     severity is the expected grade (0 to 3), p_toxic = P(grade > 0), grade the likeliest grade and toxic
-    is 1 if p_toxic >= 0.5. Null and empty texts have no features and get the thresholds' own rates;
-    repeated rows, null ids and other columns need no care: rows are scored one by one.
+    is 1 if p_toxic >= 0.5 and the document's own words speak for it. Null texts and texts without a word
+    have severity 0; repeated rows, null ids and other columns need no care: rows are scored one by one.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = np.array([model.exceed(t) for t in b["text"]]).reshape(-1, GRADES - 1)
+            found = [model.evidence(t) for t in b["text"]]
+            p = np.array([model.exceed(e) for e in found]).reshape(-1, GRADES - 1)
+            bad = np.array([model.rejects(e) for e in found], np.int32)
             each = -np.diff(np.c_[np.ones(len(p)), p, np.zeros(len(p))], axis=1)
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "severity": p.sum(1), "p_toxic": p[:, 0],
-                "grade": each.argmax(1).astype(np.int32), "toxic": (p[:, 0] >= 0.5).astype(np.int32),
+                "grade": each.argmax(1).astype(np.int32), "toxic": bad,
             })
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
@@ -125,12 +135,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows the model rejects (p_toxic >= 0.5); columns stay, each row is judged by its text."""
+    """``docs`` without the rows the model rejects; columns stay, each row is judged by its text."""
     from pyspark.sql import functions as F
     from pyspark.sql.types import BooleanType
 
     @F.pandas_udf(BooleanType())
     def clean(text: pd.Series) -> pd.Series:
-        return pd.Series([bool(model.exceed(t)[0] < 0.5) for t in text], dtype=bool)
+        return pd.Series([not model.rejects(model.evidence(t)) for t in text], dtype=bool)
 
     return docs.filter(clean("text"))
