@@ -42,7 +42,7 @@ def in_scope(scope: Scope) -> Column:
     if scope.context_ids:
         rule = rule & tag("context_id", F.col("context_id").isin(scope.context_ids))
     if scope.source_ids:
-        rule = rule & F.coalesce(F.col("source_id").isin(scope.source_ids), F.lit(False))
+        rule = rule & F.col("source_id").isin(scope.source_ids)
     return rule
 
 
