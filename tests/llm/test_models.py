@@ -100,13 +100,22 @@ def test_quality_odd_rows_and_no_labels(spark, sf_dir):
 
 
 # --- toxicity --------------------------------------------------------------------------------------------
-def test_toxicity_finds_toxic_and_spares_clean(spark, sf_dir):
+def test_toxicity_finds_toxic_and_spares_clean_documents_it_has_not_seen(spark, sf_dir):
+    big = sf_dir.replace("0.01", "0.1")
+    y = {d: t for d, (_, t) in labels(spark, big).items()}
+    docs, known = table(spark, big, "documents"), table(spark, big, "labels")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.train(docs, known.filter("doc_id % 2 = 0"))).collect()}
+    pairs = [(got[d]["toxic"], t) for d, t in y.items() if d % 2]
+    assert len(pairs) > 1500 and np.mean([a for a, b in pairs if not b]) < 0.006
+    assert np.mean([a for a, b in pairs if b]) > 0.8
+    assert all(0 <= r["severity"] <= 3 for r in got.values())
+
+
+def test_toxicity_query(spark, sf_dir):
     y = labels(spark, sf_dir)
     got = {r["doc_id"]: r for r in op6_toxicity(spark, sf_dir).collect()}
     pairs = [(got[d]["toxic"], t) for d, (_, t) in y.items()]
-    assert sum(1 for a, b in pairs if b == 0 and a == 1) <= 2
-    assert np.mean([a for a, b in pairs if b]) > 0.8
-    assert all(0 <= r["severity"] <= 3 for r in got.values())
+    assert len(got) == table(spark, sf_dir, "documents").count() and sum(1 for a, b in pairs if b == 0 and a == 1) <= 2
 
 
 def test_thresholds_are_ordered_and_severity_rises():
