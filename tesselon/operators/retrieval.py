@@ -304,3 +304,44 @@ def channel(lexical: Column, semantic: Column, structural: Column) -> Column:
     """RET-21: the strongest leg; on a tie semantic, then structural."""
     top = F.greatest(lexical, semantic, structural)
     return F.when(semantic >= top, "semantic").when(structural >= top, "structural").otherwise("lexical")
+
+
+def signals(query: Column, named: Column, path: Column, symbol: Column, heading: Column, text: Column, lexical: Column, semantic: Column, structural: Column) -> Column:
+    """RET-20: what speaks for a hit, as an array in fixed order."""
+    q, p = F.lower(query), F.lower(path)
+    phrase = F.trim(F.regexp_replace(q, "[^a-z0-9 ]+", " "))
+    held = lambda c: (F.coalesce(c, F.lit("")) != "") & q.contains(F.lower(c))
+    return F.array_compact(F.array(
+        F.when(lexical > 0, "lexical"), F.when(semantic > 0, "semantic"), F.when(structural > 0, "structural"),
+        F.when(F.exists(named, lambda n: p.endswith(n) | p.contains(F.concat(F.lit("/"), n))), "path-match"),
+        F.when(held(symbol), "symbol-match"), F.when(held(heading), "heading-match"),
+        F.when((F.length(phrase) >= 8) & F.lower(text).contains(phrase), "exact-phrase"),
+    ))
+
+
+def evidence_type(kind: Column, path: Column) -> Column:
+    """RET-21: commit, doc or code."""
+    doc = path.rlike(r"(?i)\.(md|mdx|txt|docx|xlsx|csv|ppt|pptx|rst|adoc)\z")
+    return F.when(kind == "why", "commit").when((kind == "document") | doc, "doc").otherwise("code")
+
+
+def bag_embeddings(texts: DataFrame, dim: int = 384) -> DataFrame:
+    """RET-27: (chunk_id, vector): hashed words (1 each) and their letter trigrams (0.35 each), scaled to length 1.
+
+    Words are counted before they are hashed, so each distinct word of a text costs its trigrams once. A text
+    without words has a vector of zeros.
+    """
+    from tesselon.functions.scalars import fnv1a32
+
+    words = texts.select("chunk_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("w")).filter("w != ''")
+    counts = words.groupBy("chunk_id", "w").agg(F.count("*").alias("n"))
+    grams = F.when(F.length("w") >= 3, F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3))))
+    parts = F.concat(F.array(F.struct(F.col("w").alias("t"), F.lit(1.0).alias("x"))),
+                     F.transform(F.coalesce(grams, F.array().cast("array<string>")), lambda g: F.struct(g.alias("t"), F.lit(0.35).alias("x"))))
+    # distinct grams are hashed once each, in the whole corpus
+    cells = counts.select("chunk_id", "n", F.explode(parts).alias("p")).groupBy("chunk_id", "p.t").agg(F.sum(F.col("n") * F.col("p.x")).alias("x"))
+    hashed = cells.withColumn("bucket", (fnv1a32(F.col("t")) % dim).cast("int")).groupBy("chunk_id", "bucket").agg(F.sum("x").alias("x"))
+    total = hashed.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i) / F.col("norm"), F.lit(0.0)))
+    none = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.lit(0.0))
+    return texts.select("chunk_id").join(total.select("chunk_id", vector.alias("vector")), "chunk_id", "left").withColumn("vector", F.coalesce("vector", none))

@@ -146,3 +146,72 @@ def breaks_privacy(payload: Column) -> Column:
         matches(payload, r'"content"\s*:\s*"[^"]{500,}') | matches(payload, r'"evidence"\s*:\s*\[')
         | matches(payload, r"\bsk-[a-zA-Z0-9]{10,}") | matches(payload, r"\bapi[_-]?key\b", True) | matches(payload, r'"prompt"\s*:')
     )
+
+
+def recommendations(answers: DataFrame) -> DataFrame:
+    """AGG-12: (rule, value, limit, fires): a stage's p95 over its limit calls for work on that stage."""
+    limits = {"retrieve_ms": 100.0, "llm_ms": 500.0, "verify_ms": 150.0}
+    p = answers.agg(*[percentile(f"CASE WHEN {s} >= 0 THEN {s} END", 0.95).alias(s) for s in limits])
+    rows = F.array(*[F.struct(F.lit(s).alias("rule"), F.col(s).alias("value"), F.lit(x).alias("limit")) for s, x in limits.items()])
+    return p.select(F.explode(rows).alias("r")).select("r.*").withColumn("fires", F.col("value") > F.col("limit"))
+
+
+def drop_reasons(dropped: DataFrame) -> DataFrame:
+    """AGG-22: per reason the number of dropped utterances and the least, median and largest probability."""
+    return dropped.groupBy(F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(
+        F.count("*").alias("n"), F.min("prob").alias("least"), F.median("prob").alias("median"), F.max("prob").alias("largest"))
+
+
+def feedback_counts(feedback: DataFrame, labels: list[str]) -> DataFrame:
+    """AGG-23: (place, label, n) in the given order, zeros included."""
+    names = feedback.sparkSession.createDataFrame(list(enumerate(labels)), "place int, label string")
+    return names.join(feedback.groupBy(F.col("result").alias("label")).agg(F.count("*").alias("n")), "label", "left").na.fill(0, ["n"])
+
+
+def compare_runs(synthetic: DataFrame, real: DataFrame, stages: list[str] = STAGES) -> DataFrame:
+    """AGG-24: (stage, synthetic_p95, real_p95, ratio) of two sets of answers."""
+    def p95(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).cast("double").alias("v")) for s in stages])).alias("r")).select("r.*")
+        return rows.filter("v >= 0").groupBy("stage").agg(percentile("v", 0.95).alias(name))
+
+    out = p95(synthetic, "synthetic_p95").join(p95(real, "real_p95"), "stage", "full")
+    return out.withColumn("ratio", share(F.col("synthetic_p95"), F.col("real_p95")))
+
+
+def progressive_report(answers: DataFrame) -> DataFrame:
+    """AGG-09: shadow samples, supported ones, and percentiles and mean of the positive savings."""
+    saved = "CASE WHEN save_ms > 0 THEN save_ms END"
+    return answers.filter("shadow_supported is not null").agg(
+        F.count("*").alias("samples"), F.count_if("shadow_supported").alias("supported"), *[percentile(saved, p).alias(f"save_p{int(p * 100)}") for p in (0.5, 0.95, 0.99)],
+        F.coalesce(F.avg(F.expr(saved)), F.lit(0.0)).alias("avg_save_ms"))
+
+
+def transcript_summary(lines: DataFrame) -> DataFrame:
+    """AGG-38: per meeting the lines of either side and the other side's last one (160 characters)."""
+    them = F.col("role") == "them"
+    return lines.groupBy("meeting_id").agg(
+        F.count_if(them).alias("they_lines"), F.count_if(F.col("role") == "you").alias("you_lines"),
+        F.substring(F.trim(F.max_by("text", F.when(them, F.col("ord")))), 1, 160).alias("last_question"))
+
+
+def index_report(reports: DataFrame) -> DataFrame:
+    """AGG-28: counters and timings of a space, summed over its contexts."""
+    keys = [c for c in reports.columns if c not in ("space_id", "context_id")]
+    return reports.groupBy("space_id").agg(*[F.sum(c).alias(c) for c in keys])
+
+
+def usage(sources: DataFrame) -> DataFrame:
+    """AGG-29, AGG-30, AGG-37: per user the pages, bytes and files, 0 for none."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return sources.groupBy("user_id").agg(total("pages").alias("pages"), total("bytes").alias("bytes"), F.count("*").alias("files"))
+
+
+def synthetic_session(spark, rows: int, seed: int = 42) -> DataFrame:
+    """SCL-15: a reproducible session of answer records, made in parallel from hashes of their numbers."""
+    u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1_000_000)) / 1e6
+    tier = F.element_at(F.array(*[F.lit(t) for t in TIERS]), (F.floor(u(1) * 4) + 1).cast("int"))
+    return spark.range(rows).select(
+        F.col("id").alias("ord"), tier.alias("tier"), (tier != "silent").alias("supported"), F.when(tier != "silent", F.lit("line")).alias("say"),
+        (1 + 4 * u(2)).alias("retrieve_ms"), u(3).alias("document_hydrate_ms"), F.when(tier.isin("grounded", "synthesis"), 400 + 900 * u(4)).otherwise(0.0).alias("llm_ms"),
+        (2 * u(5)).alias("verify_ms"), (1 + F.floor(u(6) * 3)).cast("int").alias("source_count"), F.lit("p").alias("provider"), F.lit("m").alias("model_id"), F.lit("m").alias("model_name"),
+    ).withColumn("total_ms", F.col("retrieve_ms") + F.col("document_hydrate_ms") + F.col("llm_ms") + F.col("verify_ms"))
