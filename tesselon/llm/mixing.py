@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tesselon.llm.decontaminate import words_of
 from tesselon.session import materialize
 
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 1024
 SEED = 20240229
 
 
