@@ -108,8 +108,8 @@ def vocabulary(counts: DataFrame, hot: int = HOT_WORDS) -> Vocabulary:
         if seen > hot:
             break
         threshold = r["low"]
-    rows = counts.filter(F.col("n") >= threshold).collect()
-    rows = sorted(((bytes(r["w"]), r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
+    table = counts.filter(F.col("n") >= threshold).toArrow()
+    rows = sorted(zip(table["w"].to_pylist(), table["n"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
     index = {w: i for i, (w, _) in enumerate(rows)}
     klass = np.array([i if i < TOP else suffix_class(w) for i, (w, _) in enumerate(rows)] + [0], np.int64)
     suffix = F.crc32(F.substring("w", -3, 3)) % SUFFIXES
