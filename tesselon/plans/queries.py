@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.functions import dialogue, say
 from tesselon.functions import scalars as sc
 from tesselon.functions import text as tx
+from tesselon.operators import answers as answers_ops
 from tesselon.operators import audit, chunking, index, metrics, retrieval, scope, sessions, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -619,3 +621,98 @@ def interval_gaps(spark, sf_dir):
 def text_measures(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text is not null").select(
         "doc_id", F.length("text").cast("long").alias("chars"), tx.prompt_tokens(F.col("text")).alias("tokens"), F.octet_length("text").cast("long").alias("bytes"), sc.content_hash(F.col("text")).alias("sha"))
+
+
+# --- more of the text operators ------------------------------------------------------------------------------
+_Q = lambda p: p.replace("'", "''")
+_CAPTION = (
+    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[(\[][^)\]]{0,40}[)\]]', ' ', 'g'),"
+    r" '>>+', ' ', 'g'), '<<+', ' ', 'g'), '\bThey:\s*', '', 'gi'), '\s+', ' ', 'g'), '^[\s,.:;>\-–—]+', ''), ' ')"
+)
+_CLEANED = f"SELECT *, CASE WHEN regexp_matches(c, '{_Q(tx._HALLUCINATION)}', 'i') THEN '' ELSE c END AS cleaned FROM (SELECT *, {_CAPTION} AS c FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, sha256(cleaned) AS sha FROM ({_CLEANED})")
+def clean_captions(spark, sf_dir):
+    return _lines(spark, sf_dir).select("conv_id", "turn", sc.content_hash(tx.clean_caption(F.col("text"))).alias("sha"))
+
+
+@query(f"SELECT conv_id, turn, regexp_matches(text, '{_Q(dialogue.LOGISTICS)}', 'i') OR regexp_matches(text, '{_Q(dialogue.FILLER)}', 'i') AS chatter FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
+def chatter_lines(spark, sf_dir):
+    return _lines(spark, sf_dir).select("conv_id", "turn", dialogue.is_chatter(F.col("text")).alias("chatter"))
+
+
+_CLAIM = "|".join([audit._QUANTITY, audit._DATE, audit._DECIDED, audit._CONTRACT, audit._PERFORMANCE])
+
+
+@query(f"SELECT conv_id, turn, length(cleaned) >= 8 AND regexp_matches(cleaned, '{_Q(_CLAIM)}', 'i') AS claim FROM ({_CLEANED})")
+def claim_lines(spark, sf_dir):
+    return _lines(spark, sf_dir).select("conv_id", "turn", audit.looks_like_claim(F.col("text")).alias("claim"))
+
+
+@query(f"SELECT conv_id, turn, count(DISTINCT w) FILTER (length(w) > 2 AND w NOT IN ({_IN(answers_ops.NOT_A_SUBJECT)})) AS n FROM (SELECT conv_id, turn, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+')) AS w FROM conversations) GROUP BY conv_id, turn")
+def content_word_counts(spark, sf_dir):
+    return _lines(spark, sf_dir).select("conv_id", "turn", F.size(answers_ops.content_words(F.col("text"))).cast("long").alias("n"))
+
+
+def _predicate_sql() -> str:
+    rules = []
+    for kind, patterns in dialogue._PREDICATES:
+        tests = [f"shape = '{p[6:]}'" if p.startswith("shape=") else f"regexp_matches(low, '{_Q(p)}')" for p in patterns]
+        rules.append(f"WHEN {' AND '.join(tests)} THEN '{kind}'")
+    return f"CASE WHEN shape = 'who' THEN 'ownership' {' '.join(rules)} ELSE 'definition' END"
+
+
+@query(f"SELECT conv_id, turn, {_predicate_sql()} AS kind FROM (SELECT *, lower(coalesce(text, '')) AS low, {_shape_sql('q')} AS shape FROM (SELECT *, trim(lower(coalesce(text, '')), ' ') AS q FROM conversations))")
+def predicate_kinds(spark, sf_dir):
+    return _lines(spark, sf_dir).select("conv_id", "turn", dialogue.predicate_of(F.col("text")).alias("kind"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents), w AS (SELECT *, len(list_filter(string_split_regex(trim(x, ' '), '\s+'), lambda y: y <> '')) AS n FROM l)
+    SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(x, '^#{1,6}\s') OR regexp_matches(x, '\.{3}$') OR regexp_matches(x, '^[-*=_]{3,}$')
+        OR (NOT regexp_matches(x, '[.!?]$') AND n <= 6) OR (regexp_matches(x, '^[A-Z0-9 _/-]+$') AND n <= 8)) AS headings FROM w GROUP BY doc_id""")
+def heading_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(say.is_heading(F.col("x"))).alias("headings"))
+
+
+@query("""WITH h AS (SELECT doc_id AS rank, source AS path, doc_id % 7 AS query_id, length(text) AS n FROM documents),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY rank) AS k FROM h),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS no FROM f WHERE k <= 4)
+    SELECT query_id, rank, no::INT AS n FROM p WHERE no <= 8""")
+def prompt_selection(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rank"), F.col("source").alias("path"), (F.col("doc_id") % 7).alias("query_id"))
+    return answers_ops.prompt_hits(d).select("query_id", "rank", "n")
+
+
+@query("""WITH r AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[.!?]\\s+|\\n+'), lambda s: s <> '')) AS s FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, count(*) FILTER (regexp_matches(s, '[0-9]')) AS with_digits FROM r GROUP BY doc_id""")
+def digit_sentences(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.explode(tx.nonempty(F.split("text", r"[.!?]\s+|\n+"))).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("s").rlike("[0-9]")).alias("with_digits"))
+
+
+@query("""SELECT user_id, event_id, coalesce(string_agg(event_type, chr(10)) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW), '') AS context FROM events""")
+def trailing_seconds(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("text"), F.lit("them").alias("role"))
+    return sessions.trailing_seconds(e, "user_id", 21_600).select("user_id", "event_id", "context")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand || '/' || p_type || '/' || p_name AS path, p_size AS n FROM part) SELECT string_split(path, '/')[1] AS dir, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, dir LIMIT 4""")
+def top_directories(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type", "p_name").alias("path"))
+    return answers_ops.top_directories(p, 4)
+
+
+@query("""SELECT c_custkey AS user_id, sum(o_orderkey % 10)::BIGINT AS pages, count(*) AS files, coalesce(sum(round(o_totalprice)::BIGINT), 0)::BIGINT AS bytes FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def user_usage(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 10).alias("pages"), F.round("o_totalprice").cast("long").alias("bytes"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return telemetry.usage(o.join(c, "user_id", "left_semi"))
+
+
+@query("""SELECT o_custkey % 50 AS path_no, arg_min('sha' || o_custkey, o_orderkey) AS sha FROM orders GROUP BY 1""")
+def first_touch(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("path"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("sha"), F.col("o_custkey").cast("string")).alias("sha"))
+    commits = o.select("ord", "sha", F.array("path").alias("files"))
+    return answers_ops.provenance(o.select("path"), commits).select(F.col("path").alias("path_no"), "sha")
