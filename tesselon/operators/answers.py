@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import text as tx
 from tesselon.functions.scalars import share
+from tesselon.functions.verify import semantic_faults
 from tesselon.operators import audit
 from tesselon.operators.retrieval import TEST_PATH
 from tesselon.session import materialize
@@ -151,6 +152,11 @@ def local_claims(queries: DataFrame, hits: DataFrame, subjects: DataFrame) -> Da
     return c.withColumn("reject", reject).drop("terms", "subject")
 
 
+def verify_meaning(lines: DataFrame, corpus: str) -> DataFrame:
+    """STR-42: ``lines`` (with say) that also hold clause by clause in their evidence; for few candidates, after ranking."""
+    return lines.filter(F.size(semantic_faults(F.col("say"), audit.content_tokens(F.col("say")), F.col(corpus))) == 0)
+
+
 def local_cards(claims: DataFrame) -> DataFrame:
     """ANS-03: per query the best admitted sentence; ties by hit rank, then place."""
     w = Window.partitionBy("query_id").orderBy(F.desc("claim_score"), "rank", "place")
@@ -201,7 +207,8 @@ def verified_generation(said: DataFrame, hits: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"), F.array_join(F.collect_list("text"), "\n").alias("corpus"))
     c = cited.withColumn("say", audit.strip_citations(F.col("raw")))
     ok = (F.size(audit.content_tokens(F.col("say"))) > 0) & (F.size(audit.missing_words(F.col("say"), F.col("corpus"))) == 0)
-    return c.filter(ok & audit.numbers_supported(F.col("say"), F.col("corpus"), F.col("corpus"))).select("query_id", "say", "chunk_ids")
+    c = c.filter(ok & audit.numbers_supported(F.col("say"), F.col("corpus"), F.col("corpus")))
+    return verify_meaning(c, "corpus").select("query_id", "say", "chunk_ids")
 
 
 def route(queries: DataFrame, hits: DataFrame, files: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

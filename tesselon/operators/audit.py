@@ -14,6 +14,16 @@ _DATE = r"\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(
 _DECIDED = r"\bwe (?:decided|chose|agreed|set|shipped|committed)\b"
 _CONTRACT = r"\bthe (?:contract|spec|sla|agreement) says\b"
 _PERFORMANCE = r"\bslas?\b|\b(rps|qps|rpm|throughput|latency|p99|p95|capped|retries|attempts)\b"
+GLUE = (
+    "about above after again against along already also although always among another anything around because become becomes been before behind "
+    "being below beneath beside between beyond both cannot could different does doing done during each either enough entire even every except "
+    "further given gives hence here however immediately include included includes including inside instead into itself just keeps later least less "
+    "letting like made make makes making many meant might more most much must neither never next none normally nothing often once only onto other "
+    "others otherwise over overall particular perhaps rather really same several shall should similar simply since some someone something sometimes "
+    "still such take taken takes than that their them themselves then there therefore these they thing things this those though through throughout "
+    "thus together toward towards under until upon used uses using usually various very well were what when whenever where whether which while whole "
+    "whose will with within without would your manages plus split work service across commit one two three four five six seven eight nine"
+).split()
 # ---------------------------------------------------------------------------------------------------------
 
 
@@ -75,13 +85,13 @@ def span_failure(span_hash: Column, start: Column, end: Column, text: Column, st
     )
 
 
-def content_tokens(say: Column, glue: list[str] = ()) -> Column:
+def content_tokens(say: Column, glue: list[str] = GLUE) -> Column:
     """STR-37: distinct words of four characters or more, outer punctuation cut, without glue words."""
     trimmed = F.transform(F.split(F.lower(say), r"\s+"), lambda w: F.regexp_replace(w, "^[^a-z0-9_]+|[^a-z0-9_]+$", ""))
     return F.array_distinct(F.filter(trimmed, lambda w: (F.length(w) >= 4) & ~(w.isin(list(glue)) if glue else F.lit(False))))
 
 
-def missing_words(say: Column, corpus: Column, glue: list[str] = ()) -> Column:
+def missing_words(say: Column, corpus: Column, glue: list[str] = GLUE) -> Column:
     """STR-37: content words of a line that the evidence does not contain; empty means support."""
     low = F.lower(corpus)
     return F.filter(content_tokens(say, glue), lambda w: ~low.contains(w))
