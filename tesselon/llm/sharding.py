@@ -120,12 +120,12 @@ def shard_documents(docs: DataFrame, shards: int = 16, vnodes: int = VNODES) ->
     )
     copies = Window.partitionBy("__key").orderBy("__key")
     left = docs.withColumn("__key", key).withColumn("__copy", F.row_number().over(copies))
-    right = assign_shards(docs, shards, vnodes).select(
-        F.xxhash64("doc_id", "text_crc32", "size").alias("__k"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")
+    # one row a key, so that the join needs no other keys and finds the texts dealt out as the window left them
+    places = assign_shards(docs, shards, vnodes).groupBy(F.xxhash64("doc_id", "text_crc32", "size").alias("__key")).agg(
+        F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("__places")
     )
-    right = right.withColumn("__c", F.row_number().over(Window.partitionBy("__k").orderBy("__shard", "__slot")))
-    out = left.join(right, (F.col("__key") == F.col("__k")) & (F.col("__copy") == F.col("__c")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    out = left.join(places, "__key").withColumn("__place", F.element_at("__places", F.col("__copy")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__place.shard").alias("shard"), F.col("__place.slot").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
