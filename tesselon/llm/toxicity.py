@@ -19,8 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tesselon.llm.labelled import labelled_sample
+from tesselon.session import materialize
 
 #: Bounds of the training sample and of the vocabulary.
 SAMPLE_ROWS = 6000
@@ -67,49 +69,55 @@ class Model:
         return evidence is not None and evidence > 0 and evidence >= self.thresholds[0]
 
 
-def select_features(bags: list[set[str]], y: np.ndarray, size: int, least: int = 3) -> list[str]:
-    """Features of at least ``least`` documents, four in five of them toxic, with a likelihood ratio beyond chance; the
-    strongest ``size`` of them."""
+def strength(bad: np.ndarray, all_: np.ndarray, n_bad: int, n: int) -> np.ndarray:
+    """Likelihood ratio of features that ``bad`` toxic ones of ``all_`` documents hold; 0 unless four in five are toxic."""
+    a, c = np.asarray(bad, float), np.asarray(all_, float)
+    e = c * n_bad / max(1, n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (a * np.log(a / e) + np.where(c > a, (c - a) * np.log((c - a) / (c - e)), 0.0))
+    return np.where((a > 0.8 * c) & (a > e), g, 0.0)
+
+
+#: Hundreds of thousands of features are tried: about one in a hundred thousand passes this by chance.
+LEAST_STRENGTH, LEAST_DOCUMENTS = 20.0, 3
+
+
+def fit(rows: list[tuple[str, int]], vocabulary: int = VOCABULARY, **options) -> Model:
+    """Train on (text, toxic) pairs in memory; :func:`train` does the same for tables."""
+    bags, n_bad = [words(t) for t, _ in rows], sum(t for _, t in rows)
     bad, all_ = Counter(), Counter()
-    for b, t in zip(bags, y, strict=True):
-        if t:
-            bad.update({f for w in b for f in features(w)})
-    bad = {f: a for f, a in bad.items() if a >= least}
-    for b in bags:
-        all_.update({f for w in b for f in features(w) if f in bad})
-    n, n1 = len(y), int(y.sum())
-    scored = []
-    for f, a in bad.items():
-        c, expect = all_[f], all_[f] * n1 / n
-        if a <= 0.8 * c or a <= expect:
-            continue
-        g = 2 * sum(o * np.log(o / e) for o, e in ((a, expect), (c - a, c - expect)) if o > 0 and e > 0)
-        # hundreds of thousands of features are tried: one in ten million passes this by chance
-        if g > 20:
-            scored.append((-float(g), f))
-    return [f for _, f in sorted(scored)[:size]]
-
-
-def fit(rows: list[tuple[str, int]], vocabulary: int = VOCABULARY, rounds: int = 500, l2: float = 0.05) -> Model:
-    """Train on (text, toxic); without features no document is rejected."""
-    bags = [words(t) for t, _ in rows]
-    y = np.array([t for _, t in rows], int)
-    names = select_features(bags, y, vocabulary) if len(rows) else []
-    index = {w: i for i, w in enumerate(names)}
-    cols = [sorted({index[f] for w in b for f in features(w) if f in index}) for b in bags]
-    hits = np.array([sum(any(f in index for f in features(w)) for w in b) for b in bags], int)
+    for bag, (_, toxic) in zip(bags, rows, strict=True):
+        found = {f for w in bag for f in features(w)}
+        all_.update(found)
+        bad.update(found if toxic else ())
+    names = [f for f, a in bad.items() if a >= LEAST_DOCUMENTS]
+    g = strength([bad[f] for f in names], [all_[f] for f in names], n_bad, len(rows))
+    names = [f for _, f in sorted((-x, f) for x, f in zip(g, names, strict=True) if x > LEAST_STRENGTH)[:vocabulary]]
+    index = {f: i for i, f in enumerate(names)}
+    return learn(index, [row(bag, index) for bag in bags], np.array([t for _, t in rows], int), **options)
+
+
+def row(bag: set[str], index: dict[str, int]) -> tuple[list[int], int]:
+    """A document's sparse row: numbers of the features it holds, and how many of its words hold any."""
+    per_word = [[index[f] for f in features(w) if f in index] for w in bag]
+    return sorted({i for x in per_word for i in x}), sum(map(bool, per_word))
+
+
+def learn(index: dict[str, int], rows: list[tuple[list[int], int]], y: np.ndarray, rounds: int = 500, l2: float = 0.05) -> Model:
+    """Weights and thresholds from sparse rows; without features no document is rejected."""
+    hits = np.array([h for _, h in rows], int)
     grade = np.where(y == 1, 1 + (hits >= 2) + (hits >= 4), 0)
     over = (grade[:, None] > np.arange(GRADES - 1)).astype(float)
-    w = np.zeros(len(names))
+    w = np.zeros(len(index))
     rate = np.clip(over.mean(0), 1e-3, 1 - 1e-3) if len(rows) else np.full(GRADES - 1, 1e-3)
     b = -np.log(rate / (1 - rate))
-    r = np.repeat(np.arange(len(cols)), [len(x) for x in cols]).astype(int)
-    c = np.array([i for x in cols for i in x], int)
+    r = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows]).astype(int)
+    c = np.array([i for x, _ in rows for i in x], int)
     m, v = np.zeros(len(w) + len(b)), np.zeros(len(w) + len(b))
     for t in range(1, rounds + 1 if len(rows) else 1):
         s = np.bincount(r, w[c], minlength=len(rows))
         err = _sigmoid(s[:, None] - b) - over
-        dw = np.bincount(c, err.sum(1)[r], minlength=len(names)) / len(rows) + l2 * w / len(rows)
+        dw = np.bincount(c, err.sum(1)[r], minlength=len(w)) / len(rows) + l2 * w / len(rows)
         g = np.r_[dw, -err.mean(0)]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
@@ -118,10 +126,42 @@ def fit(rows: list[tuple[str, int]], vocabulary: int = VOCABULARY, rounds: int =
     return Model(index, w, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample of labelled documents (at most ``max_rows``, whole texts)."""
-    sample = labelled_sample(docs, labels, "toxic", max_rows).select("doc_id", "text", "y")
-    return fit([(r["text"], r["y"]) for r in sorted(sample.toLocalIterator(), key=lambda r: r["doc_id"])])
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model:
+    """Fit on a bounded sample of labelled documents (at most ``max_rows``, whole texts).
+
+    Texts stay on the executors: features are counted there, and the driver gets the chosen ones and the
+    documents' sparse rows.
+    """
+    sample = materialize(labelled_sample(docs, labels, "toxic", max_rows).selectExpr("cast(doc_id as long) doc_id", "text", "y"), "toxic-sample")
+    sizes = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")).first()
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held = Counter()
+            for t, y in zip(b["text"], b["y"], strict=True):
+                held.update((f, int(y)) for f in {f for w in words(t) for f in features(w)})
+            per = [(f, y, n) for (f, y), n in held.items()]
+            yield pd.DataFrame(per, columns=["f", "y", "n"])
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            g = strength(b["a"].to_numpy(), b["c"].to_numpy(), sizes["bad"], sizes["n"])
+            yield pd.DataFrame({"f": b["f"], "g": g})[g > LEAST_STRENGTH]
+
+    counts = sample.mapInPandas(spread, "f string, y int, n long").groupBy("f").agg(
+        F.sum("n").alias("c"), F.sum(F.col("n") * F.col("y")).alias("a")
+    )
+    chosen = counts.filter(F.col("a") >= LEAST_DOCUMENTS).mapInPandas(choose, "f string, g double")
+    names = [r["f"] for r in chosen.orderBy(F.desc("g"), "f").limit(vocabulary).collect()]
+    index = {f: i for i, f in enumerate(names)}
+
+    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [row(words(t), index) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "cols": [x for x, _ in out], "hits": [h for _, h in out]})
+
+    got = sorted(sample.mapInPandas(sparse, "doc_id long, y int, cols array<int>, hits int").collect(), key=lambda r: (r["doc_id"], r["hits"]))
+    return learn(index, [(r["cols"], r["hits"]) for r in got], np.array([r["y"] for r in got], int))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -149,7 +189,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows the model rejects; columns stay, each row is judged by its text."""
-    from pyspark.sql import functions as F
     from pyspark.sql.types import BooleanType
 
     @F.pandas_udf(BooleanType())
