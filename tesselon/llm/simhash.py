@@ -1,11 +1,13 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Fingerprints are 64-bit SimHashes of word shingles. Two documents are linked if their fingerprints
-differ in at most ``radius`` bits; the classes are the connected components.
+differ in at most ``radius`` bits; the classes are the connected components. With ``prints`` above one a
+document has several independent fingerprints and any of them may link it: each edit moves each
+fingerprint by chance, so more of them find more of the near copies.
 
 How links are found without comparing all pairs:
 
-* Equal fingerprints collapse to one representative first, so a group of exact copies of any size is
+* Documents with equal fingerprints collapse to one node first, so a group of exact copies of any size is
   one row from there on (its size only shows in map-side aggregation).
 * Each distinct fingerprint gets its pivot table row: the Hamming distances to ``PIVOTS`` reference
   fingerprints.
@@ -37,35 +39,52 @@ CHUNK = 4096
 _HASH_BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The unsigned 64-bit SimHash of a text.
+def _mixed(h: np.ndarray, j: int) -> np.ndarray:
+    """The j-th hash of shingles from their first one (itself for j = 0): a bijective mix of 64 bits."""
+    if not j:
+        return h
+    x = h ^ np.uint64(xxhash.xxh64_intdigest(str(j).encode(), 42))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints_of(text: str | None, words: int = 3, prints: int = 1) -> list[int]:
+    """Unsigned 64-bit SimHashes of a text.
 
     A-Z is lower-cased, words are runs of anything but ASCII white space, shingles are ``words``
     words joined by a space, repeats included; a text of fewer words is one shingle, a text of none
-    has fingerprint zero.
+    has fingerprints of zero.
     """
     w = (text or "").encode().lower().split()
     if not w:
-        return 0
+        return [0] * prints
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else iter([b" ".join(w)])
-    digest, n, ones = xxhash.xxh64_intdigest, 0, np.zeros(64, np.int64)
+    digest, n, ones = xxhash.xxh64_intdigest, 0, np.zeros((prints, 64), np.int64)
     while block := [digest(s, 42) for s in itertools.islice(shingles, _HASH_BLOCK)]:
-        bits = np.unpackbits(np.array(block, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(0, dtype=np.int64)
+        h = np.array(block, np.uint64)
+        for j in range(prints):
+            bits = np.unpackbits(_mixed(h, j).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[j] += bits.sum(0, dtype=np.int64)
         n += len(block)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return [int.from_bytes(np.packbits(x * 2 > n).tobytes(), "big") for x in ones]
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``; a null text counts as empty. Whole texts are read."""
+def fingerprint(text: str | None, words: int = 3) -> int:
+    return fingerprints_of(text, words)[0]
+
+
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", prints: int = 1) -> DataFrame:
+    """(doc_id, fp, more) of every row of ``docs``: the first fingerprint and an array of the others. Whole texts are
+    read; a null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            fps = np.array([fingerprints_of(t, words, prints) for t in b["text"]], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps[:, 0], "more": list(fps[:, 1:])})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    return rows.mapInPandas(run, "doc_id long, fp long, more array<long>")
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -166,38 +185,44 @@ def _link_partition(radius: int):
             rest = None if b is None else whole.iloc[cut:]
             if not cut:
                 continue
-            fps = whole["fp"].to_numpy()[:cut]
+            fps, node = whole["fp"].to_numpy()[:cut], whole["node"].to_numpy()[:cut]
             piv = whole[["p0", "p1"]].to_numpy(np.int64)[:cut].copy().view(np.uint8).astype(np.int16)
             a, b2 = link_runs(units[:cut], fps.view(np.uint64), piv, radius)
-            yield pd.DataFrame({"a": fps[a], "b": fps[b2]})
+            yield pd.DataFrame({"a": node[a], "b": node[b2]})
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between distinct fingerprints whose components are those of all links within radius.
+def links(nodes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links between nodes whose components are those of all links within radius.
 
-    ``distinct`` must be cheap to read again (materialized); it has a column fp without repeats.
+    ``nodes`` must be cheap to read again (materialized); it has long columns node and fp, and print where nodes
+    have several fingerprints, a row each: fingerprints of the same number are compared with each other.
     """
-    n = distinct.count()
+    if "node" not in nodes.columns:
+        nodes = nodes.withColumn("node", F.col("fp"))
+    if "print" not in nodes.columns:
+        nodes = nodes.withColumn("print", F.lit(0))
+    n = nodes.filter("print = 0").count()
     keys = bucket_keys(radius, blocks_for(n, radius))
-    rows = pivot_table(distinct.select("fp")).select("fp", "p0", "p1", F.explode(F.array(*keys)).alias("key"))
-    rows = rows.select("fp", "p0", "p1", "key.t", "key.k")
+    rows = pivot_table(nodes.select("node", "print", "fp")).select("*", F.explode(F.array(*keys)).alias("key"))
+    rows = rows.select("node", "fp", "p0", "p1", (F.col("print") * len(keys) + F.col("key.t")).alias("t"), "key.k")
     sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
     rows = rows.join(sizes, ["t", "k"])
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(11)), parts).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), parts).cast("int")
     # the unit (i, j), i <= j, holds chunks i and j; a row of chunk i is in the units with any j
     unit = F.when(parts == 1, F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
     )
-    rows = rows.select("fp", "p0", "p1", "t", "k", F.explode(unit).alias("c"))
+    rows = rows.select("node", "fp", "p0", "p1", "t", "k", F.explode(unit).alias("c"))
     dealt = rows.repartition("t", "k", "c").sortWithinPartitions("t", "k", "c")
     return dealt.mapInPandas(_link_partition(radius), "a long, b long").distinct()
 
 
 def simhash_components(
-    docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
+    docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK,
+    prints: int = 1,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), fingerprint (hex), component_id.
 
@@ -208,28 +233,29 @@ def simhash_components(
     non-null doc_id (null if there is none); an empty table gives an empty result; other columns,
     whatever their names, are not read.
     """
-    fps = materialize(fingerprints(docs, words, id_col, text_col), "simhash-fp")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    labels = connected_components(links(distinct, radius, chunk))
-    rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
+    node = F.col("fp") if prints == 1 else F.xxhash64("fp", "more")
+    fps = materialize(fingerprints(docs, words, id_col, text_col, prints).withColumn("node", node), "simhash-fp")
+    distinct = fps.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("more").alias("more"))
+    distinct = materialize(distinct, "simhash-distinct")
+    each = distinct.select("node", F.posexplode(F.concat(F.array("fp"), "more")).alias("print", "fp")) if prints > 1 else distinct
+    labels = connected_components(links(each, radius, chunk))
+    rooted = distinct.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    out = fps.join(classes, "fp")
+    classes = rooted.select("node", "root").join(least, "root").select("node", "component_id")
+    out = fps.join(classes, "node")
     return out.select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one_per_group(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, words: int = 3, radius: int = 3, prints: int = 1) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
 
     Columns and their order stay. Rows that repeat a doc_id are reduced to one of them (the one with
     the smallest text hash). A row with a null doc_id names no document: it takes no part and stays.
     """
     named = docs.filter(F.col("doc_id").isNotNull())
-    classes = simhash_components(named, words, radius)
+    classes = simhash_components(named, words, radius, prints=prints)
     dropped = materialize(
         classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(),
         "simhash-gone",

@@ -6,9 +6,9 @@ from tesselon.llm.queries import QUERIES, table
 
 
 def slow_groups(texts):
-    """doc_id -> smallest doc_id reachable over fingerprints of at most three differing bits."""
+    """doc_id -> smallest doc_id reachable over documents with a fingerprint of at most three differing bits."""
     ids = sorted(texts)
-    fp = {d: simhash.fingerprint(texts[d]) for d in ids}
+    fp = {d: simhash.fingerprints_of(texts[d], prints=cp.PRINTS) for d in ids}
     root = {}
     for d in ids:  # ids rise, so the first of a component to be seen is its smallest
         if d in root:
@@ -17,7 +17,7 @@ def slow_groups(texts):
         while stack:
             x = stack.pop()
             for y in ids:
-                if y not in root and (fp[x] ^ fp[y]).bit_count() <= 3:
+                if y not in root and any((a ^ b).bit_count() <= 3 for a, b in zip(fp[x], fp[y], strict=True)):
                     root[y] = d
                     stack.append(y)
     return root

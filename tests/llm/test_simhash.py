@@ -121,3 +121,24 @@ def test_components_on_hard_graphs(spark):
     got = {r["node"]: r["root"] for r in connected_components(df).collect()}
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(200)}
     assert connected_components(df.limit(0)).collect() == []
+
+
+def test_several_fingerprints_find_more_near_copies_and_no_strangers(spark):
+    rng = random.Random(7)
+    rows, family = [], {}
+    for f in range(60):
+        w = [f"w{rng.randrange(5000)}" for _ in range(250)]
+        for c in range(2):
+            rows.append((len(rows), " ".join(w)))
+            family[len(rows) - 1] = f
+            w = list(w)
+            w[rng.randrange(250)] = "edit"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for k in (1, 4):
+        got = simhash.simhash_components(df, prints=k).collect()
+        assert all(family[r["doc_id"]] == family[r["component_id"]] for r in got)
+        assert {r["doc_id"]: r["fingerprint"] for r in got} == {d: f"{slow_fingerprint(t):016x}" for d, t in rows}
+        found[k] = sum(r["component_id"] != r["doc_id"] for r in got)
+    assert found[4] > found[1] and found[4] >= 54
+    assert simhash.keep_one_per_group(df, prints=4).count() == len(rows) - found[4]
