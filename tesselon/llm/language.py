@@ -23,17 +23,20 @@ SAMPLE_ROWS = 1000
 BUCKETS = 1 << 14
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_KEEP = np.array([c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.int64)
+_OTHER = re.compile(rb"[^a-z\x80-\xff]+")
+_PIECE = 1 << 20
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of the byte trigrams that hold a letter, and their counts."""
-    b = _KEEP[np.frombuffer(b" " + text.lower().encode() + b" ", np.uint8)]
-    # runs of spaces count once
-    b = b[np.r_[True, (b[1:] != 32) | (b[:-1] != 32)]]
-    if len(b) < 3:
-        return np.zeros(0, np.int64), np.zeros(0)
-    n = np.bincount((b[:-2] * 7919 + b[1:-1] * 263 + b[2:] * 31) & (BUCKETS - 1), minlength=BUCKETS)
+    """Hash buckets of the byte trigrams of a text, runs of anything but letters being one space, and their counts.
+
+    A long text is counted piece by piece, so the memory on top of it is bounded.
+    """
+    raw = np.frombuffer(_OTHER.sub(b" ", b" " + text.lower().encode() + b" "), np.uint8)
+    n = np.zeros(BUCKETS, np.int64)
+    for s in range(0, max(0, len(raw) - 2), _PIECE):
+        b = raw[s : s + _PIECE + 2].astype(np.int64)
+        n += np.bincount((b[:-2] * 7919 + b[1:-1] * 263 + b[2:] * 31) & (BUCKETS - 1), minlength=BUCKETS)
     at = np.flatnonzero(n)
     return at, n[at].astype(float)
 

@@ -110,7 +110,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, vnodes: int = VNODES) -> Da
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, vnodes: int = VNODES) -> DataFrame:
-    """``docs`` with shard (int) and slot (long) beside its columns.
+    """``docs`` with shard (int) and slot (long) beside its columns; columns of these names are replaced.
 
     Rows are matched by (doc_id, checksum, size, copy number), so repeated rows each get a slot.
     """
@@ -125,7 +125,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, vnodes: int = VNODES) ->
         F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("__places")
     )
     out = left.join(places, "__key").withColumn("__place", F.element_at("__places", F.col("__copy")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__place.shard").alias("shard"), F.col("__place.slot").alias("slot"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return out.select(*kept, F.col("__place.shard").alias("shard"), F.col("__place.slot").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

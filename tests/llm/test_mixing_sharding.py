@@ -108,6 +108,12 @@ def test_sharding_handles_nulls_and_repeats(spark):
     assert len({(r["shard"], r["slot"]) for r in out.collect()}) == 200
 
 
+def test_columns_of_the_same_names_are_replaced(spark):
+    df = spark.createDataFrame([(1, "s", "a", "old", 7)], "doc_id long, source string, text string, shard string, slot int")
+    out = sharding.shard_documents(df, 2)
+    assert out.columns == ["doc_id", "source", "text", "shard", "slot"] and out.first()[:] == (1, "s", "a", 0, 0)
+
+
 def test_walk_is_the_bounded_ring_and_moves_little():
     rng = np.random.default_rng(2)
     points, owner = sharding.ring(16)

@@ -146,6 +146,19 @@ def test_language_held_out(spark, sf_dir):
     assert all(r["held_out"] == held(r["doc_id"], 5) and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_trigrams_of_long_texts_do_not_depend_on_pieces(monkeypatch):
+    text = "Ça va, and 12 words ÉÉ — " * 50
+    whole = language.trigrams(text)
+    for piece in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(language, "_PIECE", piece)
+        assert all((a == b).all() for a, b in zip(language.trigrams(text), whole, strict=True))
+    raw, n = language._OTHER.sub(b" ", f" {text} ".lower().encode()), Counter()
+    for i in range(len(raw) - 2):
+        n[(raw[i] * 7919 + raw[i + 1] * 263 + raw[i + 2] * 31) % language.BUCKETS] += 1
+    assert dict(zip(whole[0].tolist(), whole[1].tolist(), strict=True)) == n
+    assert len(language.trigrams("")[0]) == 0 and len(language.trigrams("12 !")[0]) == 0
+
+
 def test_mixture_proportions_and_set():
     rng = np.random.default_rng(4)
     a, b, c = (["".join(rng.choice(list(x), 5)) for _ in range(400)] for x in ("abcde", "fghij", "klmno"))
