@@ -75,16 +75,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", prints: int = 1) -> DataFrame:
-    """(doc_id, fp, more) of every row of ``docs``: the first fingerprint and an array of the others. Whole texts are
-    read; a null text counts as empty."""
+    """(doc_id, fp) of every row of ``docs``, and more, an array of the other fingerprints, if there are several. Whole
+    texts are read; a null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.array([fingerprints_of(t, words, prints) for t in b["text"]], np.uint64).reshape(-1, prints).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps[:, 0], "more": list(fps[:, 1:])})
+            out = pd.DataFrame({"doc_id": b["doc_id"], "fp": fps[:, 0]})
+            yield out.assign(more=list(fps[:, 1:])) if prints > 1 else out
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long, more array<long>")
+    return rows.mapInPandas(run, "doc_id long, fp long" + ", more array<long>" * (prints > 1))
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -235,9 +236,12 @@ def simhash_components(
     """
     node = F.col("fp") if prints == 1 else F.xxhash64("fp", "more")
     fps = materialize(fingerprints(docs, words, id_col, text_col, prints).withColumn("node", node), "simhash-fp")
-    distinct = fps.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("more").alias("more"))
-    distinct = materialize(distinct, "simhash-distinct")
-    each = distinct.select("node", F.posexplode(F.concat(F.array("fp"), "more")).alias("print", "fp")) if prints > 1 else distinct
+    # longs alone in both aggregates, so that they hash and do not sort
+    distinct = materialize(fps.groupBy("node").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    each = distinct.select("node", F.col("node").alias("fp"))
+    if prints > 1:
+        each = fps.select("node", F.posexplode(F.concat(F.array("fp"), "more")).alias("print", "fp"))
+        each = materialize(each.distinct(), "simhash-prints")
     labels = connected_components(links(each, radius, chunk))
     rooted = distinct.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
