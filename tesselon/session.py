@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tesselon") -> SparkSession:
     """A local session with the settings that the tests and the bench share."""
+    # Python workers import this package from wherever the driver was started
+    paths = [str(Path(__file__).resolve().parent.parent), *filter(None, [os.environ.get("PYTHONPATH")])]
+    os.environ["PYTHONPATH"] = os.pathsep.join(paths)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
