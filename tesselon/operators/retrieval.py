@@ -102,13 +102,13 @@ def fuzzy_vocabulary(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def term_frequencies(q: DataFrame, posts: DataFrame) -> DataFrame:
-    """RET-06: (query_id, chunk_id, term, body_f, path_f) where either is positive.
+    """RET-06: (chunk_id, term, body_f, path_f) of the distinct terms of all queries, where either is positive.
 
-    exact + half the stem's count; without either, 0.6 times the largest count of a word one edit away.
+    exact + half the stem's count; without either, 0.6 times the largest count of a word one edit away. Queries
+    share terms, so the query is not part of it.
     """
     # the ~stem entry of a term holds words that were cut to its stem; a term's own stem may be itself
-    terms = q.select("query_id", F.explode("terms").alias("term"))
-    wanted = terms.select("term").distinct()
+    wanted = q.select(F.explode("terms").alias("term")).distinct()
     keys = wanted.select("term", F.col("term").alias("key"), F.lit(1.0).alias("weight")).unionAll(
         wanted.select("term", F.concat(F.lit("~"), tx.stem(F.col("term"))), F.lit(0.5))
     )
@@ -125,16 +125,15 @@ def term_frequencies(q: DataFrame, posts: DataFrame) -> DataFrame:
     freq = direct.unionAll(fuzzy).groupBy("chunk_id", "term").agg(
         F.sum("body_f").alias("b"), F.sum("path_f").alias("p"), F.max("body_z").alias("bz"), F.max("path_z").alias("pz")
     )
-    freq = freq.select(
+    return freq.select(
         "chunk_id", "term", F.when(F.col("b") > 0, F.col("b")).otherwise(F.col("bz")).alias("body_f"),
         F.when(F.col("p") > 0, F.col("p")).otherwise(F.col("pz")).alias("path_f"),
     ).filter("body_f > 0 or path_f > 0")
-    return terms.join(freq, "term")
 
 
 def idf(freq: DataFrame, n_chunks: int) -> DataFrame:
     """RET-08: (term, idf) = ln(1 + n / (1 + df)), df the chunks whose body or path holds the term in any form."""
-    df = freq.select("term", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    df = freq.groupBy("term").agg(F.count("*").alias("df"))
     return df.select("term", F.log(1 + F.lit(float(max(1, n_chunks))) / (1 + F.col("df"))).alias("idf"))
 
 
@@ -177,7 +176,6 @@ def lexical_scores(q: DataFrame, chunks: DataFrame, posts: DataFrame, n_chunks:
         {"low_path": F.lower("path"), "base": base, "stem": F.regexp_replace(base, r"\.[^.]+\z", "")} | path_flags(F.lower("path"))
     )
     live = q.filter((F.size("terms") > 0) | (F.size("named") > 0))
-    names = freq.join(idf(freq, n_chunks), "term").join(meta.select("chunk_id", "kind", "base", "stem"), "chunk_id")
     inner = live.select("query_id", F.posexplode("terms").alias("pos", "term"), F.size("terms").alias("n")).withColumn(
         "inner", (F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1) & F.col("term").rlike("^[a-z0-9]+$")
     )
@@ -186,8 +184,12 @@ def lexical_scores(q: DataFrame, chunks: DataFrame, posts: DataFrame, n_chunks:
         + F.when(F.col("kind") == "why", 1.1 * tx.saturate(F.col("body_f"))).otherwise(0.0)
         + F.when((F.col("term") == F.col("stem")) | (F.col("term") == F.col("base")), WEIGHTS["filename"]).otherwise(0.0)
     )
-    lexical = names.join(inner.select("query_id", "term", "inner"), ["query_id", "term"]).groupBy("query_id", "chunk_id").agg(
-        F.sum(part).alias("terms_score"), F.count_if(F.col("inner") & (F.col("body_f") > 0)).alias("inner_hits")
+    # what a term gives a chunk is the same for every query that has the term
+    parts = freq.join(idf(freq, n_chunks), "term").join(meta.select("chunk_id", "kind", "base", "stem"), "chunk_id").select(
+        "chunk_id", "term", part.alias("part"), (F.col("body_f") > 0).alias("in_body")
+    )
+    lexical = inner.select("query_id", "term", "inner").join(parts, "term").groupBy("query_id", "chunk_id").agg(
+        F.sum("part").alias("terms_score"), F.count_if(F.col("inner") & F.col("in_body")).alias("inner_hits")
     )
     lexical = materialize(lexical, "lexical")
     n_inner = inner.groupBy("query_id").agg(F.count_if("inner").alias("n_inner"))
