@@ -70,3 +70,17 @@ def test_chunks_of_a_class_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CLASS_CHUNK", (7, 7))
     monkeypatch.setattr(neardup, "CHUNK", 9)
     assert set(stage(spark, rows)) == slow_kept(dict(rows))
+
+
+def test_copies_with_scattered_edits_go(spark):
+    rng = random.Random(3)
+    rows = []
+    for n, edits in ((300, 6), (1000, 20)):
+        for _ in range(40):
+            w = [f"w{rng.randrange(100_000)}" for _ in range(n)]
+            copy = list(w)
+            for i in rng.sample(range(n), edits):
+                copy[i] = f"e{rng.randrange(10**6)}"
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(copy))]
+    want = slow_kept(dict(rows))
+    assert set(stage(spark, rows)) == want and len(want) < 0.8 * len(rows)
