@@ -116,11 +116,10 @@ def contained_items(
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the documents that contain a test item; columns stay, clean rows stay.
 
-    Rows with a null doc_id are judged by their text: their key is the text's hash alone.
+    Each row is judged by its own text: rows that share a doc_id, or have none, but not the text don't
+    go with each other.
     """
-    keyed = docs.withColumn(
-        "__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.xxhash64("text").cast("string")))
-    )
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     found = contained_items(keyed.select(F.col("__key").alias("doc_id"), "text"), items, k, threshold)
     bad = materialize(found.select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
     return keyed.join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")

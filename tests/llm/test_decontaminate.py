@@ -63,6 +63,13 @@ def test_drop_keeps_clean_rows_and_columns(spark):
     assert out.columns == docs.columns and sorted(str(r["text"]) for r in out.collect()) == ["None", "clean text"]
 
 
+def test_drop_judges_rows_of_one_id_by_their_texts(spark):
+    item = " ".join(f"c{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "clean text"), (1, item), (1, "x " + item), (2, "clean text"), (None, item), (None, "clean")], "doc_id long, text string")
+    out = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == [("1", "clean text"), ("2", "clean text"), ("None", "clean")]
+
+
 def test_wide_item_tables_take_the_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 1)
     item = " ".join(f"d{i}" for i in range(20))
