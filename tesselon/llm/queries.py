@@ -20,9 +20,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document, in all and by the shard of the splitting tree."""
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    out = mixing.taken_per_document(plan)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+    out = mixing.taken_per_document(plan, shards=16)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "shard_words")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,29 @@ def test_wide_item_tables_take_the_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 1)
     item = " ".join(f"d{i}" for i in range(20))
     assert run(spark, [(1, item)], [(7, item)]) == [(1, 7, 16, 16)]
+
+
+def test_each_partition_has_its_own_bound_and_prefixes_lose_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([1, 2, 4, 5, 6, 8, 12, 20, 40, 90, 200, 400] * 3)]
+    docs = []
+    for d in range(60):
+        w = [rng.choice(words) for _ in range(400)]
+        for i in rng.sample(range(len(items)), 3):
+            w += items[i][1].split()
+        docs.append((d, " ".join(w)))
+    want = sorted(map(str, slow(docs, items)))
+    for bits in (1, 8, 16):
+        monkeypatch.setattr(decontaminate, "PREFIX_BITS", bits)
+        assert sorted(map(str, run(spark, docs, items))) == want
+    assert len(want) > 100
+
+
+def test_registered_query_against_brute_force(spark, sf_dir):
+    from tesselon.llm.queries import op1_decontaminate, table
+
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
+    got = {(r["doc_id"], r["item_id"], r["matched"], r["item_shingles"]) for r in op1_decontaminate(spark, sf_dir).collect()}
+    assert got == slow(docs, items) and got
