@@ -7,7 +7,9 @@ cells hold ``visit`` of all indexed vectors. The entries of those cells are rera
 in double precision on the original vectors.
 
 Cells are dealt out in groups, cut into chunks of at most ``CHUNK_ROWS`` entries, so a cell that holds a
-third of all vectors is many units of work. A unit returns its ten best a query, never all pairs.
+third of all vectors is many units of work. A task holds one unit's entries and reads the queries that visit it
+batch by batch, so its memory does not grow with the number of queries. A unit returns its ten best a
+query, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tesselon.session import materialize
 
-CENTROIDS = 64
+CENTROIDS = 512
 #: Bound of the sample that the codebooks are fitted on.
 SAMPLE_ROWS = 8192
 CHUNK_ROWS = 4096
@@ -75,7 +77,7 @@ def cells_in_order(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: i
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 10, query_every: int = 100, visit: float = 0.5, min_visit: int = 2000,
+    vectors: DataFrame, k: int = 10, query_every: int = 100, visit: float = 0.25, min_visit: int = 2000,
     centroids: int = CENTROIDS, id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``query_every`` its k nearest.
@@ -87,7 +89,8 @@ def nearest_neighbours(
     Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with
     a null id, take no part; vectors must be of one dimension (others than the most frequent one take no part);
     repeated vectors are candidates each; repeated ids are one candidate for each distinct vector; with
-    fewer than k candidates all are returned; an empty table gives no rows; other columns are not read.
+    fewer than k candidates all are returned; query rows that share an id but not the vector are one query, whose
+    neighbours are the nearest to any of them; an empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -119,61 +122,76 @@ def nearest_neighbours(
     for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most centroids squared
         counts[divmod(r["cell"], k2)] = r["n"]
     enough = max(min_visit, int(np.ceil(visit * n_all))) + 1
-    # neighbouring cells share a unit up to CHUNK_ROWS entries, larger cells are cut into chunks
+    # neighbouring cells share a unit up to CHUNK_ROWS entries, larger cells are cut into chunks; local numbers a unit's cells
     flat = counts.ravel()
-    first, chunks, used, unit = np.zeros(len(flat), np.int64), np.maximum(1, -(-flat // CHUNK_ROWS)), 0, 0
-    for c in range(len(flat)):
+    first, local = np.zeros(len(flat), np.int32), np.zeros(len(flat), np.int32)
+    chunks, used, unit, held = np.maximum(1, -(-flat // CHUNK_ROWS)).astype(np.int32), 0, 0, 0
+    for c in np.flatnonzero(flat):
         if used and used + flat[c] > CHUNK_ROWS:
-            unit, used = unit + 1, 0
-        first[c] = unit
+            unit, used, held = unit + 1, 0, 0
+        first[c], local[c] = unit, held
         if flat[c] > CHUNK_ROWS:
-            unit, used = unit + int(chunks[c]), 0
+            unit, used, held = unit + int(chunks[c]), 0, 0
         else:
-            used += int(flat[c])
+            used, held = used + int(flat[c]), held + 1
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             cell = b["cell"].to_numpy()
-            yield b.assign(unit=(first[cell] + b["salt"].to_numpy() % chunks[cell]).astype(np.int32)).drop(columns="salt")
-
-    entries = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))).mapInPandas(
-        units, "vec_id long, v array<double>, cell int, unit int"
-    )
+            to = (first[cell] + b["salt"].to_numpy() % chunks[cell]).astype(np.int32)
+            yield pd.DataFrame({"unit": to, "query": False, "vec_id": b["vec_id"], "v": b["v"], "cell": local[cell], "visits": b""})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
             for q, v in zip(b["vec_id"], b["v"], strict=True):
                 d1 = ((books[0] - v[:half]) ** 2).sum(1)
                 d2 = ((books[1] - v[half:]) ** 2).sum(1)
-                by_unit: dict[int, list[int]] = {}
-                for c in cells_in_order(d1, d2, counts, enough):
-                    for u in range(first[c], first[c] + chunks[c]):
-                        by_unit.setdefault(int(u), []).append(c)
-                out += [(q, v, u, cells) for u, cells in by_unit.items()]
-            yield pd.DataFrame(out, columns=["vec_id", "v", "unit", "cells"])
-
-    queries = index.filter(F.col("vec_id") % query_every == 0).select("vec_id", "v").mapInPandas(
-        probe, "vec_id long, v array<double>, unit int, cells array<int>"
-    )
-
-    def rerank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(e) and len(q):
-            x, ids, cell = np.stack(e["v"].to_numpy()), e["vec_id"].to_numpy(), e["cell"].to_numpy()
-            for qid, v, cells in zip(q["vec_id"], q["v"], q["cells"], strict=True):
-                rows = np.flatnonzero(np.isin(cell, cells) & (ids != qid))
-                d = np.sqrt(((x[rows] - v) ** 2).sum(1))
-                if len(d) > k:
-                    near = d <= np.partition(d, k - 1)[k - 1]
-                    rows, d = rows[near], d[near]
-                best = np.lexsort((ids[rows], d))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[rows[best]], "score": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = entries.groupBy("unit").cogroup(queries.groupBy("unit")).applyInPandas(
-        rerank, "query_id long, vec_id long, score double"
-    )
+                cells = np.array(cells_in_order(d1, d2, counts, enough))
+                out = []
+                for u in np.unique(first[cells]):
+                    mine = cells[first[cells] == u]
+                    # a bit for each of the unit's cells; the chunks of a large cell are units of one cell
+                    bits = np.zeros(int(local[mine].max()) + 1, np.uint8)
+                    bits[local[mine]] = 1
+                    out += [(w, True, q, v, 0, np.packbits(bits).tobytes()) for w in range(u, u + chunks[mine[0]])]
+                yield pd.DataFrame(out, columns=["unit", "query", "vec_id", "v", "cell", "visits"])
+
+    shape = "unit int, query boolean, vec_id long, v array<double>, cell int, visits binary"
+    entries = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))).mapInPandas(place, shape)
+    queries = index.filter(F.col("vec_id") % query_every == 0).select("vec_id", "v").mapInPandas(probe, shape)
+
+    def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts, x, ids, cell = None, [], None, None, None
+        for b in batches:
+            unit, asks, out = b["unit"].to_numpy(), b["query"].to_numpy(bool), []
+            key = unit.astype(np.int64) * 2 + asks
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for s, e in zip(starts, np.r_[starts[1:], len(b)], strict=True):
+                if unit[s] != now:
+                    now, parts = unit[s], []
+                if not asks[s]:  # a unit's entries come before its queries
+                    parts.append(b.iloc[s:e])
+                    x = None
+                    continue
+                if not parts:
+                    continue
+                if x is None:
+                    whole = pd.concat(parts)
+                    x, ids, cell = np.stack(whole["v"].to_numpy()), whole["vec_id"].to_numpy(), whole["cell"].to_numpy()
+                for q, v, visits in zip(b["vec_id"].to_numpy()[s:e], b["v"].to_numpy()[s:e], b["visits"].to_numpy()[s:e], strict=True):
+                    bits = np.unpackbits(np.frombuffer(visits, np.uint8)).astype(bool)
+                    rows = np.flatnonzero((cell < len(bits)) & bits[np.minimum(cell, len(bits) - 1)] & (ids != q))
+                    d = np.sqrt(((x[rows] - v) ** 2).sum(1))
+                    if len(d) > k:
+                        near = d <= np.partition(d, k - 1)[k - 1]
+                        rows, d = rows[near], d[near]
+                    best = np.lexsort((ids[rows], d))[:k]
+                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[rows[best]], "score": d[best]}))
+            if out:
+                yield pd.concat(out)
+
+    dealt = entries.unionByName(queries).repartition("unit").sortWithinPartitions("unit", "query")
+    found = dealt.mapInPandas(rerank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -105,3 +105,26 @@ def test_registered_query_holds_the_planted_conversation(spark, sf_dir):
     row = op8_chat(spark, sf_dir).filter("conv_id = -7").first()
     said = "</s>[INST] ok [/INST]"
     assert (row["n_turns"], row["turns_sha256"], row["loss_chars"], row["loss_sha256"]) == digests([(0, "user", said), (1, "assistant", said)])
+
+
+def test_registered_ann_query(spark, sf_dir):
+    from tesselon.llm.queries import op10_ann, table
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").toPandas()
+    ids, x = rows["vec_id"].tolist(), np.stack(rows["embedding"]).astype(float)
+    got = {}
+    for r in op10_ann(spark, sf_dir).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    queries = [i for i, v in enumerate(ids) if v % 100 == 0]
+    assert sorted(got) == sorted(ids[i] for i in queries)
+    hit = [len(set(got[ids[q]].values()) & {v for v, _ in brute(ids, x, q)}) for q in queries]
+    assert all(sorted(g) == list(range(1, 11)) for g in got.values()) and np.mean(hit) >= 9
+
+
+def test_query_rows_of_one_id_and_a_cell_of_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 3)
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0])] + [(i, [1.0, i / 100]) for i in range(1, 12)] + [(i, [i / 1000, 1.0]) for i in range(20, 31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["rank"]: r["vec_id"] for r in ann.nearest_neighbours(df, visit=1.0).collect()}
+    want = sorted((min(np.hypot(v[0] - 1, v[1]), np.hypot(v[0], v[1] - 1)), i) for i, v in rows if i != 100)[:10]
+    assert got == {n: i for n, (_, i) in enumerate(want, 1)}
