@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -31,13 +32,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tes
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, single machine) is a local one made and set.
+    Only where none is named and the master is this machine alone (tests) is a local one made and set.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         found = tempfile.mkdtemp(prefix="tesselon-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/tesselon-{spark.sparkContext.applicationId}"
