@@ -104,10 +104,12 @@ def _contained(texts: DataFrame, items: DataFrame, k: int, threshold: float) ->
     pairs = materialize(pairs, "candidates")
 
     n_items = i.count()
-    suspects = pairs.select(F.col("text_id").alias("__suspect")).distinct()
+    suspects = materialize(pairs.select(F.col("text_id").alias("__suspect")).distinct(), "suspects")
     same_item = lambda a, b: F.col(f"{a}.item_id").eqNullSafe(F.col(f"{b}.item_id")) & (F.col(f"{a}.__of") == F.col(f"{b}.__of"))
+    # texts meet the suspects as they are; only those of suspects are cut into words
+    few = texts.join(_sized(suspects, suspects.count()), F.col("text_id") == F.col("__suspect"), "left_semi")
     held = (
-        d.join(suspects, F.col("text_id") == F.col("__suspect"), "left_semi")
+        few.select("text_id", words_of("text").alias("words"))
         .select("text_id", F.explode(shingles(words, k)).alias("shingle"))
         .join(_sized(i.select("shingle", "__of", "item_id"), n_items), "shingle")
         .distinct()
