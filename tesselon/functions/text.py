@@ -75,11 +75,20 @@ def query_terms(q: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(kept, spread)))
 
 
+def camel_split(c: Column) -> Column:
+    """Lower case, with a space between a small letter or digit and the capital after it."""
+    return F.lower(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"))
+
+
+def split_words(low: Column) -> Column:
+    """Runs of a-z0-9, then whole snake_case words, of a text that :func:`camel_split` gave."""
+    snake = F.when(low.contains("_"), F.filter(F.regexp_extract_all(low, F.lit("([a-z0-9]+(?:_[a-z0-9]+)+)"), F.lit(1)), lambda w: F.length(w) > 2))
+    return F.concat(nonempty(F.split(low, "[^a-z0-9]+")), F.coalesce(snake, F.array().cast("array<string>")))
+
+
 def body_words(c: Column) -> Column:
     """RET-02: camel case split, lower-cased runs of a-z0-9, then whole snake_case words; repeats kept."""
-    low = F.lower(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"))
-    snake = F.filter(F.regexp_extract_all(low, F.lit("([a-z0-9]+(?:_[a-z0-9]+)+)"), F.lit(1)), lambda w: F.length(w) > 2)
-    return F.concat(nonempty(F.split(low, "[^a-z0-9]+")), snake)
+    return split_words(camel_split(c))
 
 
 def stem(w: Column) -> Column:
@@ -164,16 +173,16 @@ def is_architecture_query(q: Column) -> Column:
     return matches(q, _ARCHITECTURE, True)
 
 
-def question_class(q: Column) -> Column:
-    """STR-35: the first of nine classes that holds."""
-    low, shape = F.lower(F.trim(q)), question_shape(q)
+def question_class(q: Column, shape: Column | None = None) -> Column:
+    """STR-35: the first of nine classes that holds. ``shape`` is :func:`question_shape` as a column of its own, if there is one."""
+    low, shape = F.lower(F.trim(q)), question_shape(q) if shape is None else shape
     out = None
     for name, p in _CLASS_RULES:
         out = F.when(matches(low, p), name) if out is None else out.when(matches(low, p), name)
-    out = out.when(
-        shape.isin("where", "how") | matches(low, r"\b(implement|function|class|module|file)\b"), "implementation"
-    )
-    return out.when(shape.isin("why", "failure"), "general_technical_reasoning").otherwise("other")
+    # the shape counts only where no class before holds, and is looked at once
+    by_shape = F.create_map(*[F.lit(x) for kv in (("where", "implementation"), ("how", "implementation"), ("why", "general_technical_reasoning"), ("failure", "general_technical_reasoning")) for x in kv])
+    out = out.when(matches(low, r"\b(implement|function|class|module|file)\b"), "implementation")
+    return out.otherwise(F.coalesce(F.try_element_at(by_shape, shape), F.lit("other")))
 
 
 # --- claims (STR-33) ---------------------------------------------------------------------------------

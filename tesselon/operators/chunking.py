@@ -19,15 +19,19 @@ def line_windows(files: DataFrame, path: str = "path", content: str = "content",
     n = F.size("__lines")
     # a window is needed if it is the first or the one before it ended short of the last line
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
+    # characters of every step's lines, so that an offset is a sum of numbers
+    step_chars = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(
+        F.slice("__lines", i * step + 1, F.lit(step)), F.lit(0), lambda a, x: a + F.length(x) + 1))
+    rows = rows.select("*", F.when(last > 0, step_chars).alias("__chars"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
     start = F.col("chunk_no") * step
     part = F.slice("__lines", start + 1, F.lit(size))
-    ahead = F.slice("__lines", F.lit(1), start)
+    ahead = F.aggregate(F.slice("__chars", F.lit(1), F.col("chunk_no")), F.lit(0), lambda a, x: a + x)
     rows = rows.withColumns({
         "kind": F.lit("code"), "start_line": start + 1, "end_line": start + F.size(part),
-        "start_offset": F.when(start == 0, F.lit(0)).otherwise(F.length(F.array_join(ahead, "\n")) + 1),
+        "start_offset": F.when(start == 0, F.lit(0)).otherwise(ahead),
         "text": F.array_join(part, "\n"),
-    }).drop("__lines")
+    }).drop("__lines", "__chars")
     return rows.withColumn("chunk_id", F.concat_ws(":", F.col(path).cast("string"), F.concat_ws("-", "start_line", "end_line")))
 
 

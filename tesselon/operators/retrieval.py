@@ -38,6 +38,8 @@ WANTS_FLEET = r"\b(?:\d+|two|three|four|five|six|seven|eight|nine|ten) lambdas?\
 WANTS_BEHAVIOR = r"\bwhat does\b|\bwhat's\b|\bhow does\b|\bhow do\b|\bhow is\b|\bwhat happens\b|\bwhat is .* (?:for|doing)\b|\bhow are\b|\bwhat\b(?: this| that| the| our)?(?: product| app| application| platform| tool| system)?\s+does\b"
 WANTS_DEFINITION = r"\b(?:what is|what's|define|explain|describe)\b"
 # ---------------------------------------------------------------------------------------------------------
+#: Rows of a small side (of short strings and numbers) that may be broadcast: at most about 100 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def is_evidence_path(p: Column) -> Column:
@@ -72,15 +74,25 @@ def queries_table(queries: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """RET-04: (chunk_id, term, body, path_tf): counts of words, and of ~stem where it differs from the word."""
-    body = chunks.select("chunk_id", F.explode(tx.body_words(F.col("text"))).alias("w"), F.lit(1).alias("b"), F.lit(0).alias("p"))
-    path = chunks.select("chunk_id", F.explode(tx.body_words(F.col("path"))).alias("w"), F.lit(0).alias("b"), F.lit(1).alias("p"))
-    words = body.unionAll(path).groupBy("chunk_id", "w").agg(F.sum("b").alias("b"), F.sum("p").alias("p"))
-    both = F.when(tx.stem(F.col("w")) != F.col("w"), F.array("w", F.concat(F.lit("~"), tx.stem(F.col("w"))))).otherwise(F.array("w"))
-    terms = words.select("chunk_id", F.explode(both).alias("term"), "b", "p")
+    """RET-04: (chunk_id, term, body, path_tf): counts of words, and of ~stem where it differs from the word.
+
+    Chunks are dealt out once, as texts; both counts are then local to a partition.
+    """
+    low = chunks.select("chunk_id", tx.camel_split(F.col("text")).alias("t"), tx.camel_split(F.col("path")).alias("p")).repartition("chunk_id")
+    word = lambda c, b, p: low.select("chunk_id", F.explode(tx.split_words(F.col(c))).alias("w"), F.lit(b).alias("b"), F.lit(p).alias("p"))
+    words = word("t", 1, 0).unionAll(word("p", 0, 1)).groupBy("chunk_id", "w").agg(F.sum("b").alias("b"), F.sum("p").alias("p"))
+    stemmed = words.withColumn("s", tx.stem(F.col("w")))
+    both = F.when(F.col("s") != F.col("w"), F.array("w", F.concat(F.lit("~"), "s"))).otherwise(F.array("w"))
+    terms = stemmed.select("chunk_id", F.explode(both).alias("term"), "b", "p")
     return terms.groupBy("chunk_id", "term").agg(F.sum("b").alias("body"), F.sum("p").alias("path_tf"))
 
 
+def _sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written once, and broadcast if it has at most ``most`` rows."""
+    df = materialize(df, "small-side")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fuzzy_vocabulary(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """RET-06, RET-07: (term, word) of words of at least five characters one edit away.
 
@@ -109,21 +121,14 @@ def term_frequencies(q: DataFrame, posts: DataFrame) -> DataFrame:
     """
     # the ~stem entry of a term holds words that were cut to its stem; a term's own stem may be itself
     wanted = q.select(F.explode("terms").alias("term")).distinct()
-    keys = wanted.select("term", F.col("term").alias("key"), F.lit(1.0).alias("weight")).unionAll(
-        wanted.select("term", F.concat(F.lit("~"), tx.stem(F.col("term"))), F.lit(0.5))
-    )
-    direct = keys.join(posts, keys["key"] == posts["term"]).select(
-        keys["term"], "chunk_id", (F.col("weight") * F.col("body")).alias("body_f"), (F.col("weight") * F.col("path_tf")).alias("path_f"),
-        F.lit(0.0).alias("body_z"), F.lit(0.0).alias("path_z"),
-    )
-    vocabulary = posts.select(F.col("term").alias("word")).distinct()
-    near = fuzzy_vocabulary(wanted, vocabulary).filter("term != word")
-    fuzzy = near.join(posts.withColumnRenamed("term", "word"), "word").select(
-        "term", "chunk_id", F.lit(0.0).alias("body_f"), F.lit(0.0).alias("path_f"),
-        (0.6 * F.col("body")).alias("body_z"), (0.6 * F.col("path_tf")).alias("path_z"),
-    )
-    freq = direct.unionAll(fuzzy).groupBy("chunk_id", "term").agg(
-        F.sum("body_f").alias("b"), F.sum("path_f").alias("p"), F.max("body_z").alias("bz"), F.max("path_z").alias("pz")
+    near = fuzzy_vocabulary(wanted, posts.select(F.col("term").alias("word")).distinct()).filter("term != word")
+    keys = wanted.select("term", F.col("term").alias("key"), F.lit(1.0).alias("exact"), F.lit(0.0).alias("fuzzy")).unionAll(
+        wanted.select("term", F.concat(F.lit("~"), tx.stem(F.col("term"))), F.lit(0.5), F.lit(0.0))
+    ).unionAll(near.select("term", "word", F.lit(0.0), F.lit(0.6)))
+    met = posts.withColumnRenamed("term", "key").join(_sized(keys), "key")
+    freq = met.groupBy("chunk_id", "term").agg(
+        F.sum(F.col("exact") * F.col("body")).alias("b"), F.sum(F.col("exact") * F.col("path_tf")).alias("p"),
+        F.max(F.col("fuzzy") * F.col("body")).alias("bz"), F.max(F.col("fuzzy") * F.col("path_tf")).alias("pz"),
     )
     return freq.select(
         "chunk_id", "term", F.when(F.col("b") > 0, F.col("b")).otherwise(F.col("bz")).alias("body_f"),
@@ -137,31 +142,89 @@ def idf(freq: DataFrame, n_chunks: int) -> DataFrame:
     return df.select("term", F.log(1 + F.lit(float(max(1, n_chunks))) / (1 + F.col("df"))).alias("idf"))
 
 
-def against_all(queries: DataFrame, rows: DataFrame, block: int = 1000) -> DataFrame:
-    """Every row with every query: queries in blocks of about ``block``, a block (bounded) meeting all rows once."""
+def against_all(queries: DataFrame, rows: DataFrame, block: int = 1000, salts: int = 64) -> DataFrame:
+    """Every row with every query: queries in blocks of about ``block``, a block (bounded) meeting all rows once.
+
+    A single block is broadcast. Of several each is dealt to ``salts`` parts of the rows, so no task holds them all.
+    """
     blocks = max(1, -(-queries.count() // block))
-    q = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     if blocks == 1:
-        return rows.withColumn("__b", F.lit(0).cast("long")).join(F.broadcast(q), "__b").drop("__b")
+        return rows.withColumn("__b", F.lit(0)).join(F.broadcast(queries.withColumn("__b", F.lit(0))), "__b").drop("__b")
+    salts = max(salts, blocks)
+    q = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    return rows.withColumn("__b", each).join(q, "__b").drop("__b")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    return rows.withColumn("__s", part).withColumn("__b", each).join(q, ["__b", "__s"]).drop("__b", "__s")
+
+
+#: Flags of a query and of a chunk that decide what a path earns; a class is a set of flags, as bits in this order.
+QUERY_BITS = ("wants_api", "wants_shape", "wants_fleet", "wants_behavior", "wants_definition", "asks_tests", "names_files")
+CHUNK_BITS = ("is_test", "is_authoritative", "is_behavior", "is_office", "is_api_shape", "is_fleet", "is_head")
+
+
+def _class_of(bits: tuple[str, ...]) -> Column:
+    return sum((F.when(F.col(c), 1 << i).otherwise(0) for i, c in enumerate(bits)), F.lit(0))
 
 
-def path_bonus() -> Column:
-    """RET-10: what a path earns by itself, from the flags of a query and the columns of a chunk."""
+def chunk_class() -> Column:
+    """The class of a chunk with columns low_path, kind, start_line and those of :func:`path_flags`."""
+    p = F.col("low_path")
+    extra = {
+        "is_office": tx.matches(p, OFFICE_PATH, True), "is_api_shape": tx.matches(p, API_SHAPE_PATH), "is_fleet": p.contains("container-lambdas/"),
+        "is_head": (F.col("kind") == "code") & (F.col("start_line") <= 8),
+    }
+    return sum((F.when(extra.get(c, F.col(c)), 1 << i).otherwise(0) for i, c in enumerate(CHUNK_BITS)), F.lit(0))
+
+
+def query_class() -> Column:
+    flags = {"names_files": F.size("named") > 0}
+    return sum((F.when(flags.get(c, F.col(c)), 1 << i).otherwise(0) for i, c in enumerate(QUERY_BITS)), F.lit(0))
+
+
+def bonus_table(spark) -> DataFrame:
+    """RET-10: (q_class, c_class, bonus, candidate): what a path earns by itself, for every pair of classes.
+
+    candidate: the pair counts even without a shared term, because its path earns something or it is a file's head
+    that the query asks for. A fixed number of rows.
+    """
     w, flag = WEIGHTS, lambda c: F.when(c, 1.0).otherwise(0.0)
-    office = tx.matches(F.col("low_path"), OFFICE_PATH, True)
-    return (
-        w["api_shape"] * flag((F.col("wants_api") | F.col("wants_shape")) & tx.matches(F.col("low_path"), API_SHAPE_PATH))
-        + w["api_shape"] * flag(F.col("wants_fleet") & F.col("low_path").contains("container-lambdas/"))
-        + w["file_head"] * flag(
-            ((F.size("named") > 0) | F.col("wants_shape") | F.col("wants_fleet")) & (F.col("kind") == "code") & (F.col("start_line") <= 8)
-        )
-        + w["behavior"] * flag(F.col("wants_behavior") & F.col("is_behavior"))
-        + w["document"] * flag(office) + w["definition"] * flag(office & F.col("wants_definition"))
-        - w["test_penalty"] * flag(F.col("is_test") & ~F.col("asks_tests"))
-        + w["authoritative"] * flag(F.col("is_authoritative") & ~F.col("asks_tests"))
+    n = len(QUERY_BITS) + len(CHUNK_BITS)
+    bits = spark.range(1 << n).select(*[(F.shiftright("id", i).bitwiseAND(F.lit(1)) == 1).alias(c) for i, c in enumerate(QUERY_BITS + CHUNK_BITS)])
+    c = F.col
+    head = (c("names_files") | c("wants_shape") | c("wants_fleet")) & c("is_head")
+    bonus = (
+        w["api_shape"] * flag((c("wants_api") | c("wants_shape")) & c("is_api_shape")) + w["api_shape"] * flag(c("wants_fleet") & c("is_fleet"))
+        + w["file_head"] * flag(head) + w["behavior"] * flag(c("wants_behavior") & c("is_behavior"))
+        + w["document"] * flag(c("is_office")) + w["definition"] * flag(c("is_office") & c("wants_definition"))
+        - w["test_penalty"] * flag(c("is_test") & ~c("asks_tests")) + w["authoritative"] * flag(c("is_authoritative") & ~c("asks_tests"))
     )
+    rows = bits.select(_class_of(QUERY_BITS).alias("q_class"), _class_of(CHUNK_BITS).alias("c_class"), bonus.alias("bonus"), head.alias("head"))
+    return rows.select("q_class", "c_class", "bonus", ((F.col("bonus") > 0) | F.col("head")).alias("candidate"))
+
+
+def named_in_paths(names: DataFrame, paths: DataFrame) -> DataFrame:
+    """(name, low_path): paths that end in a name or hold it after a slash.
+
+    Both are equalities: the ends of a path, and what follows its slashes, cut to the lengths that names have.
+    """
+    names = materialize(names.select("name").distinct(), "names")
+    lengths = [r["n"] for r in names.select(F.length("name").alias("n")).distinct().collect()]  # bounded by the longest name
+    p, n = F.col("low_path"), F.array(*[F.lit(x) for x in sorted(lengths)]).cast("array<int>")
+    long_enough = F.filter(n, lambda x: x <= F.length(p))
+    ends = F.transform(long_enough, lambda x: F.substring(p, F.length(p) - x + 1, x))
+    slashes = F.filter(F.sequence(F.lit(1), F.length(p)), lambda i: F.substring(p, i, F.lit(1)) == "/")
+    after = F.flatten(F.transform(slashes, lambda i: F.transform(long_enough, lambda x: F.substring(p, i + 1, x))))
+    held = paths.filter(F.length("low_path") > 0).select("low_path", F.explode(F.array_distinct(F.concat(ends, after))).alias("name"))
+    return held.join(_sized(names), "name").select("name", "low_path")
+
+
+def held_in(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text): short texts that contain a needle of two characters or more, found by its first three (two)."""
+    gram = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    some = lambda n: F.when(F.length("text") >= n, gram(n)).otherwise(F.array().cast("array<string>"))
+    grams = texts.select("text").distinct().select("text", F.explode(F.array_distinct(F.concat(some(2), some(3)))).alias("g"))
+    keys = needles.select("needle").distinct().filter(F.length("needle") >= 2).withColumn("g", F.substring("needle", 1, 3))
+    return grams.join(_sized(keys), "g").filter(F.col("text").contains(F.col("needle"))).select("needle", "text")
 
 
 def lexical_scores(q: DataFrame, chunks: DataFrame, posts: DataFrame, n_chunks: int) -> DataFrame:
@@ -175,7 +238,9 @@ def lexical_scores(q: DataFrame, chunks: DataFrame, posts: DataFrame, n_chunks:
     meta = chunks.select("chunk_id", "path", "kind", "start_line", "ord").withColumns(
         {"low_path": F.lower("path"), "base": base, "stem": F.regexp_replace(base, r"\.[^.]+\z", "")} | path_flags(F.lower("path"))
     )
-    live = q.filter((F.size("terms") > 0) | (F.size("named") > 0))
+    meta = materialize(meta.withColumn("c_class", chunk_class()).drop("start_line", "is_test", "is_authoritative", "is_behavior", "is_route"), "chunk-meta")
+    live = q.filter((F.size("terms") > 0) | (F.size("named") > 0)).withColumn("q_class", query_class())
+    live = materialize(live.drop("text"), "queries")
     inner = live.select("query_id", F.posexplode("terms").alias("pos", "term"), F.size("terms").alias("n")).withColumn(
         "inner", (F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1) & F.col("term").rlike("^[a-z0-9]+$")
     )
@@ -185,10 +250,10 @@ def lexical_scores(q: DataFrame, chunks: DataFrame, posts: DataFrame, n_chunks:
         + F.when((F.col("term") == F.col("stem")) | (F.col("term") == F.col("base")), WEIGHTS["filename"]).otherwise(0.0)
     )
     # what a term gives a chunk is the same for every query that has the term
-    parts = freq.join(idf(freq, n_chunks), "term").join(meta.select("chunk_id", "kind", "base", "stem"), "chunk_id").select(
+    parts = freq.join(_sized(idf(freq, n_chunks)), "term").join(meta.select("chunk_id", "kind", "base", "stem"), "chunk_id").select(
         "chunk_id", "term", part.alias("part"), (F.col("body_f") > 0).alias("in_body")
     )
-    lexical = inner.select("query_id", "term", "inner").join(parts, "term").groupBy("query_id", "chunk_id").agg(
+    lexical = parts.join(_sized(inner.select("query_id", "term", "inner")), "term").groupBy("query_id", "chunk_id").agg(
         F.sum("part").alias("terms_score"), F.count_if(F.col("inner") & F.col("in_body")).alias("inner_hits")
     )
     lexical = materialize(lexical, "lexical")
@@ -199,22 +264,28 @@ def lexical_scores(q: DataFrame, chunks: DataFrame, posts: DataFrame, n_chunks:
     phrase = maybe.join(chunks.select("chunk_id", "text"), "chunk_id").filter(F.lower("text").contains(F.col("phrase")))
     phrase = phrase.select("query_id", "chunk_id", F.lit(WEIGHTS["phrase"]).alias("s"))
 
-    paths = meta.select("low_path").distinct()
-    named = live.select("query_id", F.explode("named").alias("name")).join(
-        paths, F.col("low_path").endswith(F.col("name")) | F.col("low_path").contains(F.concat(F.lit("/"), F.col("name")))
-    ).join(meta.select("chunk_id", "low_path"), "low_path").select("query_id", "chunk_id", F.lit(WEIGHTS["path"]).alias("s"))
-    special = meta.filter(
-        F.col("is_authoritative") | F.col("is_behavior") | tx.matches(F.col("low_path"), OFFICE_PATH, True)
-        | tx.matches(F.col("low_path"), API_SHAPE_PATH) | F.col("low_path").contains("container-lambdas/")
-    )
-    heads = live.filter((F.size("named") > 0) | F.col("wants_shape") | F.col("wants_fleet"))
-    by_path = against_all(live, special).filter(path_bonus() > 0).select("query_id", "chunk_id", F.lit(0.0).alias("s"))
-    by_head = against_all(heads, meta.filter((F.col("kind") == "code") & (F.col("start_line") <= 8))).select("query_id", "chunk_id", F.lit(0.0).alias("s"))
-    pairs = lexical.select("query_id", "chunk_id", F.col("terms_score").alias("s")).unionAll(phrase).unionAll(named)
-    pairs = pairs.unionAll(by_path).unionAll(by_head).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"))
-    full = pairs.join(meta, "chunk_id").join(live.drop("text", "terms", "phrase"), "query_id")
-    return full.withColumn("score", F.col("s") + path_bonus()).filter("score > 0").select(
-        "query_id", "chunk_id", "path", "kind", "ord", "score", ((F.size("named") > 0) | F.col("wants_api")).alias("low_floor")
+    asked = live.select("query_id", F.explode("named").alias("name"))
+    at = named_in_paths(asked, meta.select("low_path").distinct())
+    named = asked.join(at, "name").join(meta.select("chunk_id", "low_path"), "low_path").select("query_id", "chunk_id", F.lit(WEIGHTS["path"]).alias("s"))
+    # queries meet the chunks of a class through the table of classes; the query set is broadcast while it is small
+    bonus = materialize(bonus_table(q.sparkSession), "bonus")
+    classes = meta.select("c_class").distinct()
+    wants = live.select("query_id", "q_class").join(F.broadcast(bonus.filter("candidate").join(classes, "c_class").select("q_class", "c_class")), "q_class")
+    wants = materialize(wants.select("query_id", "c_class"), "wanted-classes")
+    if wants.count() <= BROADCAST_ROWS:
+        by_path = meta.select("chunk_id", "c_class").join(F.broadcast(wants), "c_class")
+    else:
+        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(64)).cast("int")
+        spread = wants.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        by_path = meta.select("chunk_id", "c_class", salt.alias("salt")).join(spread, ["c_class", "salt"])
+    by_path = by_path.select("query_id", "chunk_id", F.lit(0.0).alias("s"))
+    pairs = lexical.select("query_id", "chunk_id", F.col("terms_score").alias("s")).unionAll(phrase).unionAll(named).unionAll(by_path)
+    pairs = pairs.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"))
+    full = pairs.join(meta.select("chunk_id", "path", "kind", "ord", "c_class"), "chunk_id").join(
+        live.select("query_id", "q_class", ((F.size("named") > 0) | F.col("wants_api")).alias("low_floor")), "query_id"
+    ).join(F.broadcast(bonus.select("q_class", "c_class", "bonus")), ["q_class", "c_class"])
+    return full.withColumn("score", F.col("s") + F.col("bonus")).filter("score > 0").select(
+        "query_id", "chunk_id", "path", "kind", "ord", "score", "low_floor"
     )
 
 
@@ -275,13 +346,13 @@ def structural_scores(q: DataFrame, chunks: DataFrame, limit: int = 8) -> DataFr
     by_name = terms.join(c.select("chunk_id", F.explode(F.array_distinct(F.array("base", "stem"))).alias("t")), "t").select(
         "query_id", "chunk_id", F.lit(WEIGHTS["filename"]).alias("s")
     )
-    by_symbol = terms.join(c.filter("sym != ''").select("chunk_id", "sym"), F.col("sym").contains(F.col("t"))).select(
+    symbols = c.filter("sym != ''").select("chunk_id", F.col("sym").alias("text"))
+    by_symbol = terms.join(held_in(terms.select(F.col("t").alias("needle")), symbols).withColumnRenamed("needle", "t"), "t").join(symbols, "text").select(
         "query_id", "chunk_id", F.lit(WEIGHTS["symbol"]).alias("s")
     )
-    paths = c.select("low").distinct()
-    by_path = q.select("query_id", F.explode("named").alias("n")).join(
-        paths, F.col("low").endswith(F.col("n")) | F.col("low").contains(F.concat(F.lit("/"), F.col("n")))
-    ).join(c.select("chunk_id", "low"), "low").select("query_id", "chunk_id", F.lit(WEIGHTS["path"]).alias("s"))
+    asked = q.select("query_id", F.explode("named").alias("name"))
+    at = named_in_paths(asked, c.select(F.col("low").alias("low_path")).distinct())
+    by_path = asked.join(at, "name").join(c.select("chunk_id", F.col("low").alias("low_path")), "low_path").select("query_id", "chunk_id", F.lit(WEIGHTS["path"]).alias("s"))
     s = by_name.unionAll(by_symbol).unionAll(by_path).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return s.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).drop("rn")

@@ -16,6 +16,7 @@ from tesselon.functions import scalars as sc
 from tesselon.functions import text as tx
 from tesselon.operators import answers as answers_ops
 from tesselon.operators import audit, chunking, index, metrics, retrieval, scope, sessions, telemetry
+from tesselon.session import materialize, spread_small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread_small(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.concat_ws("/", "source", "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
 
 
@@ -349,7 +350,8 @@ def _words_sql(c: str) -> str:
 
 @query(f"WITH w AS (SELECT unnest({_words_sql('text')}) AS w FROM documents) SELECT w AS word, count(*) AS n, {_stem_sql('w')} AS stem FROM w GROUP BY w")
 def stem_terms(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.explode(tx.body_words(F.col("text"))).alias("word"))
+    low = spread_small(table(spark, sf_dir, "documents")).select(tx.camel_split(F.col("text")).alias("low"))
+    w = low.select(F.explode(tx.split_words(F.col("low"))).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("n")).withColumn("stem", tx.stem(F.col("word")))
 
 
@@ -372,7 +374,7 @@ _FREQ = f"""{_POSTINGS}, want AS (SELECT DISTINCT term FROM terms),
 
 @query(f"WITH {_FREQ} SELECT term, word FROM near")
 def fuzzy_vocab(spark, sf_dir):
-    posts = retrieval.postings(chunks(spark, sf_dir))
+    posts = materialize(retrieval.postings(chunks(spark, sf_dir)), "postings")
     terms = retrieval.queries_table(questions(spark, sf_dir)).select(F.explode("terms").alias("term"))
     return retrieval.fuzzy_vocabulary(terms, posts.select(F.col("term").alias("word")).distinct()).filter("term != word")
 
@@ -380,7 +382,8 @@ def fuzzy_vocab(spark, sf_dir):
 @query(f"WITH {_FREQ} SELECT term, round(idf, 9) AS idf FROM idf")
 def term_idf(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    freq = retrieval.term_frequencies(retrieval.queries_table(questions(spark, sf_dir)), retrieval.postings(c))
+    posts = materialize(retrieval.postings(c), "postings")
+    freq = materialize(retrieval.term_frequencies(retrieval.queries_table(questions(spark, sf_dir)), posts), "frequencies")
     return retrieval.idf(freq, c.count()).select("term", F.round("idf", 9).alias("idf"))
 
 
@@ -460,17 +463,17 @@ def bag_hash_buckets(spark, sf_dir):
     SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS jaccard
     FROM b a JOIN b ON a.item_id < b.item_id AND len(list_intersect(a.w, b.w)) > 0""")
 def jaccard_pairs(spark, sf_dir):
-    """SET-06 over pairs that share a word; sizes and overlaps come from grouped counts."""
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    n = w.groupBy("item_id").agg(F.count("*").alias("n"))
-    both = w.select(F.col("item_id").alias("a"), "w").join(w.select(F.col("item_id").alias("b"), "w"), "w").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("m"))
-    out = both.join(n.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
-    return out.select("a", "b", F.round(F.col("m") / (F.col("na") + F.col("nb") - F.col("m")), 9).alias("jaccard"))
+    """SET-06 over pairs that share a word, found by an equi-join on words; the sets themselves meet once a pair."""
+    sets = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
+    each = sets.select("item_id", F.explode("w").alias("x"))
+    pairs = each.withColumnRenamed("item_id", "a").join(each.withColumnRenamed("item_id", "b"), "x").filter("a < b").select("a", "b").distinct()
+    sides = [sets.select(F.col("item_id").alias(c), F.col("w").alias(f"w{c}")) for c in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", F.round(sc.jaccard(F.col("wa"), F.col("wb")), 9).alias("jaccard"))
 
 
 # --- questions, claims, transcripts ------------------------------------------------------------------------
 def _lines(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
+    c = spread_small(table(spark, sf_dir, "conversations"))
     return c.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
 
 
@@ -492,7 +495,8 @@ _CLASS = " ".join("WHEN regexp_matches(q, '{}') THEN '{}'".format(p.replace("'",
     WHEN {_shape_sql('q')} IN ('why', 'failure') THEN 'general_technical_reasoning' ELSE 'other' END AS class
     FROM (SELECT *, lower(trim(coalesce(text, ''), ' ')) AS q FROM conversations)""")
 def question_class(spark, sf_dir):
-    return _lines(spark, sf_dir).select("conv_id", "turn", tx.question_class(F.col("text")).alias("class"))
+    rows = _lines(spark, sf_dir).withColumn("shape", tx.question_shape(F.col("text")))
+    return rows.select("conv_id", "turn", tx.question_class(F.col("text"), F.col("shape")).alias("class"))
 
 
 @query("""SELECT conv_id, turn, coalesce(array_to_string(list(CASE WHEN role = 'user' THEN text END) FILTER (role = 'user') OVER w, chr(10)), '') AS context FROM conversations
@@ -608,18 +612,18 @@ def upload_batches(spark, sf_dir):
     return index.upload_batches(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"])
 
 
-@query("""WITH s AS (SELECT doc_id, 0 AS a, coalesce(n_chars, 0) AS b FROM documents), c AS (SELECT doc_id, 10 * g AS c0, 10 * g + 4 AS c1 FROM documents, range(0, 40) r(g) WHERE 10 * g < coalesce(n_chars, 0))
-    SELECT doc_id, c1 AS start, least(c0 + 10, (SELECT b FROM s WHERE s.doc_id = c.doc_id)) AS "end" FROM c WHERE c1 < least(c0 + 10, (SELECT b FROM s WHERE s.doc_id = c.doc_id)) AND c0 < 390
-    UNION ALL SELECT doc_id, 394, b FROM s WHERE b > 394""")
+@query("""WITH s AS (SELECT doc_id, 0 AS a, coalesce(n_chars, 0) AS b FROM documents), c AS (SELECT doc_id, b, unnest(range(0, b, 10)) AS c0 FROM s)
+    SELECT doc_id, c0 + 4 AS start, least(c0 + 10, b) AS "end" FROM c WHERE c0 + 4 < b""")
 def interval_gaps(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("start"), F.coalesce("n_chars", F.lit(0)).alias("end"))
-    cuts = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("g")).select("doc_id", (F.col("g") * 10).cast("long").alias("start"), (F.col("g") * 10 + 4).cast("long").alias("end"))
+    cuts = d.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 10))).alias("g")).select("doc_id", (F.col("g") * 10).cast("long").alias("start"), (F.col("g") * 10 + 4).cast("long").alias("end"))
     return chunking.subtract_ranges(d, cuts, "doc_id")
 
 
-@query("""SELECT doc_id, length(text) AS chars, ceil(length(text) / 4.0)::BIGINT AS tokens, octet_length(encode(text)) AS bytes, sha256(text) AS sha FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, length(t) AS chars, ceil(length(t) / 4.0)::BIGINT AS tokens, octet_length(encode(t)) AS bytes, sha256(t) AS sha FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def text_measures(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("text is not null").select(
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select(
         "doc_id", F.length("text").cast("long").alias("chars"), tx.prompt_tokens(F.col("text")).alias("tokens"), F.octet_length("text").cast("long").alias("bytes"), sc.content_hash(F.col("text")).alias("sha"))
 
 
@@ -685,10 +689,11 @@ def prompt_selection(spark, sf_dir):
     return answers_ops.prompt_hits(d).select("query_id", "rank", "n")
 
 
-@query("""WITH r AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[.!?]\\s+|\\n+'), lambda s: s <> '')) AS s FROM documents WHERE text IS NOT NULL)
+@query("""WITH r AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[.!?]\\s+|\\n+')) AS s FROM documents)
     SELECT doc_id, count(*) FILTER (regexp_matches(s, '[0-9]')) AS with_digits FROM r GROUP BY doc_id""")
 def digit_sentences(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.explode(tx.nonempty(F.split("text", r"[.!?]\s+|\n+"))).alias("s"))
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(text, r"[.!?]\s+|\n+")).alias("s"))
     return rows.groupBy("doc_id").agg(F.count_if(F.col("s").rlike("[0-9]")).alias("with_digits"))
 
 

@@ -59,6 +59,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its input is so small that it comes in fewer pieces than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder; call it when its results are saved."""
     jvm = spark.sparkContext._jvm
