@@ -138,3 +138,103 @@ def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
     """SET-10: (n, digest) of a table, whatever the order of its rows."""
     h = F.xxhash64(*keys)
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("digest"))
+
+
+def sources_by_path(files: DataFrame, sources: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """JOIN-02, JOIN-09: ``files`` with the source_id that holds each path, of the same ``scope`` columns if given; files without one go."""
+    keys = [*(scope or []), "path"]
+    return files.join(sources.select(*keys, "source_id").dropDuplicates(keys), keys)
+
+
+def ready_chunks(chunks: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+    """JOIN-01: chunks whose source, by all of ``keys`` (tenant, space, source, version), is ready."""
+    ready = sources.filter(F.col("status") == "ready").select(*keys).distinct()
+    return chunks.join(ready, keys, "left_semi")
+
+
+def hit_pages(pages: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+    """JOIN-12, SRC-37: the pages that any hit needs, each once; only these are read in full."""
+    return pages.join(hits.select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys)
+
+
+def point_read(table: DataFrame, **key) -> DataFrame:
+    """SRC-36: the rows of one key, as filters that reach the scan (null is a key of its own)."""
+    out = table
+    for c, v in key.items():
+        out = out.filter(F.col(c).isNull() if v is None else F.col(c) == v)
+    return out
+
+
+def lookup(ids: DataFrame, history: DataFrame, key: str = "id") -> DataFrame:
+    """JOIN-08: the newest row (by ord) of ``history`` for each wanted id."""
+    return latest(history.join(ids.select(key).distinct(), key, "left_semi"), [key], [F.desc("ord")])
+
+
+def current_evidence(evidence: DataFrame, texts: DataFrame, documents: DataFrame, commits: DataFrame) -> DataFrame:
+    """JOIN-10: ``evidence`` with ``current``: whether what it cites is still there as it was.
+
+    Text evidence needs a source of its id and hash, document evidence also one of the same normalised hash,
+    commit evidence a commit of its sha; evidence of any other kind is never current.
+    """
+    on = lambda df, *cols: df.select(*[F.col(c).alias(f"__{c}") for c in cols]).distinct()
+    t, d, c = on(texts, "source_id", "content_hash"), on(documents, "source_id", "content_hash", "normalized_hash"), on(commits, "sha")
+    same = lambda *cols: [F.col(x) == F.col(f"__{x}") for x in cols]
+    kinds = {"text": (t, ["source_id", "content_hash"]), "document": (d, ["source_id", "content_hash", "normalized_hash"]), "commit": (c, ["sha"])}
+    out = None
+    for kind, (df, cols) in kinds.items():
+        rows = evidence.filter(F.col("kind") == kind).join(df, same(*cols), "left")
+        rows = rows.withColumn("current", F.col(f"__{cols[0]}").isNotNull()).select(*evidence.columns, "current")
+        out = rows if out is None else out.unionByName(rows)
+    other = evidence.filter(F.col("kind").isNull() | ~F.col("kind").isin(list(kinds))).withColumn("current", F.lit(False))
+    return out.unionByName(other)
+
+
+def apply_parses(sources: DataFrame, parses: DataFrame, fields: list[str]) -> DataFrame:
+    """DML-04: ``sources`` with what a finished parse of the same id and content hash says; nulls of a parse change nothing.
+
+    A parse of an older content, or of a source that is gone, is dropped.
+    """
+    new = latest(parses, ["source_id", "content_hash"], [F.desc("ord")]).select(
+        F.col("source_id").alias("__s"), F.col("content_hash").alias("__h"), *[F.col(f).alias(f"__{f}") for f in fields])
+    out = sources.join(new, (F.col("source_id") == F.col("__s")) & (F.col("content_hash") == F.col("__h")), "left")
+    return out.withColumns({f: F.coalesce(f"__{f}", f) for f in fields}).select(*sources.columns)
+
+
+def ordered(rows: DataFrame, by: list, of: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """SRT-02..07: ``rows`` with their place in an order, within ``of`` if given, the first ``limit`` if given.
+
+    An order is a column, so it outlives a shuffle and a write; ``by`` ends in a key, so it is total.
+    """
+    w = Window.partitionBy(*(of or [])).orderBy(*by)
+    out = rows.withColumn("place", F.row_number().over(w))
+    return out if limit is None else out.filter(F.col("place") <= limit)
+
+
+def smallest_support(spans: DataFrame, claim: str = "claim_id") -> DataFrame:
+    """SRT-11: of each claim's supporting spans the shortest, ties to the first by source and start."""
+    size = F.col("end") - F.col("start")
+    return latest(spans.filter("supports"), [claim], [size, "source_id", "start"])
+
+
+def usable_chunks(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """FLT-10: document chunks that can be cited: with text, on a known page, inside its text, and equal to what stands there."""
+    p = pages.select(F.col("source_id").alias("__s"), F.col("page").alias("__p"), F.col("text").alias("__t"))
+    shaped = chunks.filter((F.trim("text") != "") & (F.col("page") >= 1) & (F.col("start") >= 0) & (F.col("end") > F.col("start")))
+    found = shaped.join(p, (F.col("source_id") == F.col("__s")) & (F.col("page") == F.col("__p")))
+    here = F.substring(F.col("__t"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")
+    return found.filter((F.col("end") <= F.length("__t")) & here).select(*chunks.columns)
+
+
+def exclusive_ranges(ranges: DataFrame, items: DataFrame) -> DataFrame:
+    """LAY-19: ranges of a page that no item of another owner meets.
+
+    Ranges and items meet on (page, tile), tiles of the mean length of a range, so nearby ones only are compared.
+    """
+    mean = ranges.agg(F.avg(F.col("end") - F.col("start")).alias("m")).first()["m"]
+    tile = max(1, int(mean or 1))
+    tiles = lambda: F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))).alias("tile")
+    r = ranges.filter("end > start").select("page", F.col("owner").alias("r_owner"), F.col("start").alias("r0"), F.col("end").alias("r1"), "start", "end").select("*", tiles()).drop("start", "end")
+    i = items.filter("end > start").select("page", "owner", "start", "end", tiles())
+    met = r.join(i, ["page", "tile"]).filter((F.col("owner") != F.col("r_owner")) & (F.col("start") < F.col("r1")) & (F.col("end") > F.col("r0")))
+    met = met.select("page", F.col("r_owner").alias("owner"), F.col("r0").alias("start"), F.col("r1").alias("end")).distinct()
+    return ranges.join(met, ["page", "owner", "start", "end"], "left_anti")

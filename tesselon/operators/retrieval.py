@@ -374,9 +374,9 @@ def fuse(lexical: DataFrame, semantic: DataFrame, structural: DataFrame, limit:
 
 
 def channel(lexical: Column, semantic: Column, structural: Column) -> Column:
-    """RET-21: the strongest leg; on a tie semantic, then structural."""
-    top = F.greatest(lexical, semantic, structural)
-    return F.when(semantic >= top, "semantic").when(structural >= top, "structural").otherwise("lexical")
+    """RET-21: the strongest weighted leg: semantic from a tie on, structural only above lexical, lexical without any."""
+    lex, sem, struct = (F.coalesce(c, F.lit(0.0)) * WEIGHTS[n] for c, n in ((lexical, "lexical"), (semantic, "semantic"), (structural, "structural")))
+    return F.when((sem >= lex) & (sem >= struct) & (sem > 0), "semantic").when((struct > lex) & (struct > 0), "structural").otherwise("lexical")
 
 
 def signals(query: Column, named: Column, path: Column, symbol: Column, heading: Column, text: Column, lexical: Column, semantic: Column, structural: Column) -> Column:
@@ -398,6 +398,84 @@ def evidence_type(kind: Column, path: Column) -> Column:
     return F.when(kind == "why", "commit").when((kind == "document") | doc, "doc").otherwise("code")
 
 
+def trace(hits: DataFrame) -> DataFrame:
+    """RET-22: (query_id, rank, kind, path, score, channel, evidence_type) of ranked hits, in order of rank."""
+    zero = lambda c: F.col(c) if c in hits.columns else F.lit(0.0)
+    return hits.select(
+        "query_id", "rank", "kind", "path", "score", channel(zero("lexical"), zero("semantic"), zero("structural")).alias("channel"),
+        evidence_type(F.col("kind"), F.col("path")).alias("evidence_type"))
+
+
+def scoped_retrieve(queries: DataFrame, chunks: DataFrame, scope, exclude: list[str] | None = None, limit: int = 6, digits: int | None = None) -> DataFrame:
+    """RET-24: retrieval inside a tenant's scope: filtered, checked, without excluded paths, and then ranked.
+
+    ``queries`` may have previous, the question before; a short follow-up is searched together with it.
+    """
+    from tesselon.operators.answers import expand_query
+    from tesselon.operators.scope import assert_scope, excluded, in_scope
+
+    inside = assert_scope(chunks.filter(in_scope(scope)), scope).filter(~excluded(F.col("path"), exclude or []))
+    asked = queries
+    if "previous" in queries.columns:
+        asked = queries.select("query_id", expand_query(F.col("text"), F.col("previous")).alias("text"))
+    return retrieve(asked, inside, limit, digits)
+
+
+def full_text_search(queries: DataFrame, chunks: DataFrame, limit: int = 12, digits: int = 9) -> DataFrame:
+    """RET-25, SRT-06: (query_id, chunk_id, rank, score) of an OR of up to twelve terms over an inverted index.
+
+    A term and a word meet by their stems. The relational original ranks by cover density, which has no fixed
+    definition across versions; here the rank is defined: the sum over a query's stems of ln(1 + n / df) * tf /
+    (tf + 1.2), ties by chunk_id. Postings of the queries' stems alone are aggregated.
+    """
+    n = chunks.count()
+    parts = F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: F.length(t) > 2)), 1, 12)
+    asked = queries.select("query_id", F.explode(parts).alias("t")).select("query_id", tx.stem(F.col("t")).alias("stem")).distinct()
+    wanted = asked.select("stem").distinct()
+    words = chunks.select("chunk_id", F.explode(tx.nonempty(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("w")).groupBy("chunk_id", "w").agg(F.count("*").alias("n"))
+    posts = words.withColumn("stem", tx.stem(F.col("w"))).join(_sized(wanted), "stem").groupBy("stem", "chunk_id").agg(F.sum("n").alias("tf"))
+    posts = materialize(posts, "fts")
+    weight = posts.groupBy("stem").agg(F.log(1 + F.lit(float(n)) / F.count("*")).alias("idf"))
+    part = F.col("idf") * F.col("tf") / (F.col("tf") + 1.2)
+    scored = posts.join(_sized(weight), "stem").join(_sized(asked), "stem").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), digits).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def baseline_retrieve(queries: DataFrame, chunks: DataFrame, limit: int = 6, digits: int = 6) -> DataFrame:
+    """RET-32: (query_id, rank, chunk_id, path, score) of the plain substring scorer, kept to compare with.
+
+    A term that stands in a text k times gives 1 + 0.35 k, 2.4-fold in the path and 1.6-fold in the body (1.1 more in a
+    commit's), file names 4, named paths 12, API paths 3.4 for API questions, the first lines of code 1.6 for
+    questions that explain, the whole phrase 2; at least 1.5 (0.8 for named files and API questions). Of a code
+    file one chunk is kept once two hits are there. Substrings have no index: every chunk meets every query, in blocks.
+    """
+    q = queries_table(queries).withColumn("explains", tx.matches(F.lower("text"), r"what does|what is|explain"))
+    q = q.filter((F.size("terms") > 0) | (F.size("named") > 0)).select("query_id", "terms", "named", "phrase", "wants_api", "explains")
+    base = F.element_at(F.split(F.lower("path"), "/"), -1)
+    c = chunks.select("chunk_id", "path", "kind", "ord", "start_line", F.lower("text").alias("body"), F.lower("path").alias("p"), base.alias("base"), F.regexp_replace(base, r"\.[^.]+\z", "").alias("stem"))
+    met = against_all(q, c)
+    hits = lambda hay, t: F.when(hay.contains(t), 1 + 0.35 * (F.length(hay) - F.length(F.replace(hay, t, F.lit("")))) / F.length(t)).otherwise(0.0)
+    per_term = lambda t: (
+        2.4 * hits(F.col("p"), t) + 1.6 * hits(F.col("body"), t) + F.when((t == F.col("stem")) | (t == F.col("base")), 4.0).otherwise(0.0)
+        + F.when(F.col("kind") == "why", 1.1 * hits(F.col("body"), t)).otherwise(0.0))
+    score = F.aggregate("terms", F.lit(0.0), lambda a, t: a + per_term(t))
+    named = lambda n: F.when(F.col("p").endswith(n) | F.col("p").contains(F.concat(F.lit("/"), n)), 12.0).otherwise(0.0)
+    score = score + F.aggregate("named", F.lit(0.0), lambda a, n: a + named(n))
+    flag = lambda cond, w: F.when(cond, w).otherwise(0.0)
+    score = score + flag(F.col("wants_api") & tx.matches(F.col("p"), r"(?:^|/)(api|main|app|server|router|client)(?:/|\.[a-z]+$)"), 3.4)
+    score = score + flag((F.col("explains") | (F.size("named") > 0)) & (F.col("start_line") <= 8) & (F.col("kind") == "code"), 1.6)
+    score = score + flag((F.col("phrase") != "") & F.col("body").contains(F.col("phrase")), 2.0)
+    floor = F.when((F.size("named") > 0) | F.col("wants_api"), 0.8).otherwise(1.5)
+    s = met.withColumn("score", F.round(score, digits)).filter(F.col("score") >= floor).select("query_id", "chunk_id", "path", "kind", "ord", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
+    first = F.row_number().over(Window.partitionBy("query_id", "path").orderBy(F.desc("score"), "ord"))
+    # of a file's later chunks only one that comes second in all is kept
+    s = s.withColumns({"place": F.row_number().over(order), "of_file": first})
+    kept = s.filter((F.col("kind") != "code") | (F.col("of_file") == 1) | (F.col("place") <= 2))
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "rank", "chunk_id", "path", "score")
+
+
 def bag_embeddings(texts: DataFrame, dim: int = 384) -> DataFrame:
     """RET-27: (chunk_id, vector): hashed words (1 each) and their letter trigrams (0.35 each), scaled to length 1.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,12 @@ def excluded_counts(paths: DataFrame, patterns: list[str]) -> DataFrame:
     return out.withColumn("all_excluded", (F.col("total") > 0) & (F.col("total") == F.col("excluded")))
 
 
+def distinct_patterns(patterns: Column) -> Column:
+    """SET-04: patterns without outer white space and slashes, empty ones and repeats left out, first places kept."""
+    bare = F.transform(patterns, lambda p: F.regexp_replace(F.trim(p), "^/+|/+$", ""))
+    return F.array_distinct(F.filter(bare, lambda p: p != ""))
+
+
 def toggle(patterns: Column, path: Column) -> Column:
     """SET-09: the path taken out if it is there, else put at the end."""
     return F.when(F.array_contains(patterns, path), F.array_except(patterns, F.array(path))).otherwise(F.array_append(patterns, path))
@@ -135,22 +143,26 @@ def prune(files: DataFrame, least: int = 2) -> DataFrame:
 def select_files(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """SRC-05, SRC-06: per pack, files by score (then path) while they fit; one too large is skipped, later ones go on.
 
-    The running total skips what does not fit, which no window sum can say; a pack's (path, size) list
-    alone is folded in order, and packs are independent.
+    The running total skips what does not fit, which no window sum can say: a pack's files pass in order, and what
+    is carried from one to the next are two numbers, so a pack of any size is read as a stream.
     """
-    order = F.sort_array(F.collect_list(F.struct((-path_score(F.col("path"))).alias("s"), "path", "size")))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<string>").alias("kept"))
-
-    def step(a: Column, f: Column) -> Column:
-        fits = (a["n"] < max_files) & (a["bytes"] + f["size"] <= max_bytes)
-        return F.struct(
-            F.when(fits, a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(fits, a["bytes"] + f["size"]).otherwise(a["bytes"]).alias("bytes"),
-            F.when(fits, F.array_append(a["kept"], f["path"])).otherwise(a["kept"]).alias("kept"),
-        )
-
-    packs = files.groupBy("pack_id").agg(order.alias("files"))
-    kept = packs.select("pack_id", F.posexplode(F.aggregate("files", zero, step)["kept"]).alias("place", "path"))
-    return kept
+    kind = files.schema["pack_id"].dataType.simpleString()
+    rows = files.select("pack_id", "path", F.col("size").cast("long").alias("size"), path_score(F.col("path")).alias("score"))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack, n, total, first = None, 0, 0, True
+        for b in batches:
+            out = []
+            for p, path, size in zip(b["pack_id"], b["path"], b["size"], strict=True):
+                if first or p != pack:
+                    pack, n, total, first = p, 0, 0, False
+                if n < max_files and total + size <= max_bytes:
+                    out.append((p, n, path))
+                    n, total = n + 1, total + size
+            yield pd.DataFrame(out, columns=["pack_id", "place", "path"])
+
+    dealt = rows.repartition("pack_id").sortWithinPartitions("pack_id", F.desc("score"), "path")
+    return dealt.mapInPandas(keep, f"pack_id {kind}, place int, path string")
 
 
 def preferred_file(files: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,18 +93,25 @@ def daily_quota(events: DataFrame, limit: int = 20) -> DataFrame:
 def fixed_window_limit(events: DataFrame, limit: int = 120, seconds: int = 3600) -> DataFrame:
     """STM-10: every event with its window's start and whether it is allowed.
 
-    A user's window opens at the first event after the one before has ended, so windows depend on each
-    other: a user's times alone (not rows) are folded in order; users are independent.
+    A user's window opens at the first event after the one before has ended, so windows depend on each other: a
+    user's events pass in order of time, and only the window's start and count are carried on, so a user of any
+    number of events is read as a stream.
     """
-    span = seconds * 1_000_000
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"),
-                    F.array().cast("array<struct<id:bigint,start:bigint,n:int>>").alias("out"))
-
-    def step(a: Column, e: Column) -> Column:
-        fresh = a["start"].isNull() | (e["t"] - a["start"] >= span)
-        start, n = F.when(fresh, e["t"]).otherwise(a["start"]), F.when(fresh, 1).otherwise(a["n"] + 1)
-        return F.struct(start.alias("start"), n.alias("n"), F.array_append(a["out"], F.struct(e["id"].alias("id"), start.alias("start"), n.alias("n"))).alias("out"))
-
-    rows = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(micros("ts").alias("t"), F.col("event_id").alias("id")))).alias("es"))
-    out = rows.select("user_id", F.explode(F.aggregate("es", zero, step)["out"]).alias("o"))
-    return out.select("user_id", F.col("o.id").alias("event_id"), F.timestamp_micros("o.start").cast(events.schema["ts"].dataType).alias("window_start"), (F.col("o.n") <= limit).alias("allowed"))
+    span, kinds = seconds * 1_000_000, events.schema
+    rows = events.select("user_id", "event_id", micros("ts").alias("t"))
+
+    def limit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, start, n, first = None, 0, 0, True
+        for b in batches:
+            starts, counts = [], []
+            for u, t in zip(b["user_id"].tolist(), b["t"].tolist(), strict=True):
+                if first or u != user or t - start >= span:
+                    user, start, n, first = u, t, 0, False
+                n += 1
+                starts.append(start)
+                counts.append(n)
+            yield pd.DataFrame({"user_id": b["user_id"], "event_id": b["event_id"], "start": starts, "n": counts})
+
+    dealt = rows.filter("t is not null").repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
+    out = dealt.mapInPandas(limit_rows, f"user_id {kinds['user_id'].dataType.simpleString()}, event_id {kinds['event_id'].dataType.simpleString()}, start long, n long")
+    return out.select("user_id", "event_id", F.timestamp_micros("start").cast(kinds["ts"].dataType).alias("window_start"), (F.col("n") <= limit).alias("allowed"))

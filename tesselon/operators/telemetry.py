@@ -206,6 +206,56 @@ def usage(sources: DataFrame) -> DataFrame:
     return sources.groupBy("user_id").agg(total("pages").alias("pages"), total("bytes").alias("bytes"), F.count("*").alias("files"))
 
 
+def agreement_class(tier: Column, early: Column, final: Column) -> Column:
+    """STR-31: how an early line agrees with the final one: consistent, partial, conflicting, or n/a where they can't be compared."""
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    words = lambda c: F.array_distinct(F.filter(F.split(norm(c), "[^a-z0-9]+"), lambda w: F.length(w) > 2))
+    e, f = norm(early), norm(final)
+    a, b = words(early), words(final)
+    overlap = share(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+    return (
+        F.when((tier == "silent") | (f == ""), "n/a").when(tier == "localCard", "consistent").when(e == "", "n/a").when(e == f, "consistent")
+        .when(e.contains(f) | f.contains(e) | (overlap >= 0.25), "partial").otherwise("conflicting")
+    )
+
+
+def progressive_timing(answers: DataFrame) -> DataFrame:
+    """SCL-16: ``answers`` with final_ms, earliest_ms (of a supported early line) and save_ms (of a model's answer that came later)."""
+    early = F.when(F.col("shadow_supported"), F.col("early_ms"))
+    later = F.col("tier").isin("grounded", "synthesis") & (F.col("total_ms") > early)
+    return answers.withColumns({"final_ms": F.col("total_ms"), "earliest_ms": early, "save_ms": F.when(later, F.col("total_ms") - early)})
+
+
+def multi_source_report(answers: DataFrame) -> DataFrame:
+    """AGG-08: the rollup of AGG-06 over answers from several sources, one row; none without such answers."""
+    aggs = [c for s in STAGES for c in latency_triple(s, s)]
+    rows = answers.filter(F.coalesce("source_count", F.lit(0)) > 1).agg(
+        F.count("*").alias("samples"), F.count_if(F.coalesce("say", F.lit("")) != "").alias("supported_n"), *aggs)
+    return rows.filter("samples > 0")
+
+
+def multi_source_scenarios(answers: DataFrame) -> DataFrame:
+    """AGG-44: supported answers with a line in scenarios of several sources."""
+    ok = F.col("supported") & (F.coalesce("say", F.lit("")) != "") & F.col("scenario").isin("multi-repo", "repo-pdf", "synthesis-heavy")
+    return answers.agg(F.count_if(ok).alias("n"))
+
+
+def judge_report(rows: DataFrame, thresholds: list[float]) -> DataFrame:
+    """AGG-41: per judge the safety metrics, latency percentiles and the threshold with the most correct decisions.
+
+    ``rows`` has judge, expected, predicted, latency_ms and confidence; a tie of thresholds goes to the lower one.
+    """
+    a = "APPLICABLE"
+    n, go = F.count("*"), F.col("predicted") == a
+    base = rows.groupBy("judge").agg(
+        n.alias("total"), share(F.count_if(F.col("expected") == F.col("predicted")), n).alias("accuracy"),
+        share(F.count_if(go & (F.col("expected") != a)), n).alias("unsafe_rate"), *latency_triple("latency_ms", "latency"))
+    at = rows.select("judge", "confidence", (F.col("expected") == a).alias("yes"), F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("t"))
+    right = at.groupBy("judge", "t").agg(F.count_if((F.col("confidence") >= F.col("t")) == F.col("yes")).alias("right"))
+    best = right.groupBy("judge").agg(F.max_by("t", F.struct("right", -F.col("t"))).alias("threshold"))
+    return base.join(best, "judge")
+
+
 def synthetic_session(spark, rows: int, seed: int = 42) -> DataFrame:
     """SCL-15: a reproducible session of answer records, made in parallel from hashes of their numbers."""
     u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1_000_000)) / 1e6

@@ -6,8 +6,6 @@ telemetry, ``conversations`` for transcripts and claims. Every query runs over w
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,26 +14,9 @@ from tesselon.functions import scalars as sc
 from tesselon.functions import text as tx
 from tesselon.operators import answers as answers_ops
 from tesselon.operators import audit, chunking, index, metrics, retrieval, scope, sessions, telemetry
+from tesselon.plans.registry import ORACLE_SQL, QUERIES, query, table
 from tesselon.session import materialize, spread_small
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread_small(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.concat_ws("/", "source", "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
@@ -721,3 +702,9 @@ def first_touch(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("path"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("sha"), F.col("o_custkey").cast("string")).alias("sha"))
     commits = o.select("ord", "sha", F.array("path").alias("files"))
     return answers_ops.provenance(o.select("path"), commits).select(F.col("path").alias("path_no"), "sha")
+
+
+# the other query modules register themselves; what is registered is QUERIES and ORACLE_SQL
+from tesselon.plans import file_queries, report_queries, table_queries, talk_queries  # noqa: E402, F401
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
