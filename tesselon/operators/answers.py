@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.functions import text as tx
+from tesselon.functions.dialogue import evidence_fits_shape
 from tesselon.functions.scalars import share
 from tesselon.functions.verify import semantic_faults
 from tesselon.operators import audit
@@ -87,10 +88,11 @@ def term_file_frequency(terms: DataFrame, files: DataFrame) -> DataFrame:
     key = wanted.filter(F.length("term") >= 5).withColumn("g", F.substring("term", 1, 5))
     pairs = key.join(long_, "g").filter(mentions(F.col("w"), F.col("term"))).select("term", "w")
     short = wanted.filter(F.length("term") < 5)
-    parts = vocabulary.select("w", F.explode(F.array_distinct(F.flatten(F.array(*[
-        F.when(F.length("w") >= k, F.transform(F.sequence(F.lit(1), F.length("w") - (k - 1)), lambda i, k=k: F.substring(F.col("w"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-        for k in (3, 4)
-    ])))).alias("term"))
+    def runs(k: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length("w") - (k - 1)), lambda i: F.substring(F.col("w"), i, F.lit(k)))
+        return F.when(F.length("w") >= k, cut).otherwise(F.array().cast("array<string>"))
+
+    parts = vocabulary.select("w", F.explode(F.array_distinct(F.concat(runs(3), runs(4)))).alias("term"))
     pairs = pairs.union(short.join(parts, "term").select("term", "w")).distinct()
     found = pairs.join(words, "w").groupBy("term").agg(F.count_distinct("path").alias("df"))
     return wanted.join(found, "term", "left").na.fill(0, ["df"])
@@ -120,7 +122,17 @@ def covers_question(queries: DataFrame, files: DataFrame) -> DataFrame:
 def sentence_candidates(hits: DataFrame) -> DataFrame:
     """Sentences and lines of over twelve characters of every hit, with their place."""
     parts = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.length(s) > 12)
-    return hits.select("query_id", "rank", "chunk_id", "path", "source_id", "score", F.col("text").alias("body"), F.posexplode(parts).alias("place", "say"))
+    gates = [c for c in ("span_failure", "current") if c in hits.columns]
+    return hits.select("query_id", "rank", "chunk_id", "path", "source_id", "score", *gates, F.col("text").alias("body"), F.posexplode(parts).alias("place", "say"))
+
+
+def with_integrity(hits: DataFrame, sources: DataFrame) -> DataFrame:
+    """SCL-09, SCL-10, JOIN-10: ``hits`` (source_id, span_hash, start, start_line, text) as evidence: ``span_failure`` says how a span differs
+    from the source as it is now (source_id, content, content_hash), ``current`` whether the source is there at all."""
+    s = sources.select(F.col("source_id").alias("__s"), F.col("content").alias("__c"), F.col("content_hash").alias("__h"))
+    j = hits.join(s, F.col("source_id") == F.col("__s"), "left")
+    failure = audit.span_failure(F.col("span_hash"), F.col("start"), F.col("start") + F.length("text"), F.col("text"), F.col("start_line"), F.col("__c"), F.col("__h"))
+    return j.withColumns({"current": F.col("__s").isNotNull(), "span_failure": F.when(F.col("__s").isNotNull(), failure)}).drop("__s", "__c", "__h")
 
 
 def best_sentences(queries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -135,21 +147,27 @@ def local_claims(queries: DataFrame, hits: DataFrame, subjects: DataFrame) -> Da
     """ANS-04, SRT-10, ANS-11, ANS-12: every candidate sentence with its score and, where it fails, its reject code.
 
     Score: three times the question's words in the path plus those in the sentence, one more in the first
-    chunk of a file, six less in a test file. A candidate must name a subject of its question and be
-    supported by its passage word by word and number by number.
+    chunk of a file, six less in a test file. A candidate must name a subject of its question, come from a passage
+    that fits the question's shape (ANS-06), and be supported by it word by word and number by number. Where
+    hits went through :func:`with_integrity`, a span that is not what its source holds now is rejected (ANS-05).
     """
-    q = queries.select("query_id", content_words(F.col("text")).alias("terms"))
+    q = queries.select("query_id", content_words(F.col("text")).alias("terms"), tx.question_shape(F.col("text")).alias("shape"))
     subject = subjects.groupBy("query_id").agg(F.collect_set("term").alias("subject"))
     c = sentence_candidates(hits).join(q, "query_id").join(subject, "query_id", "left")
     count = lambda hay, ts: F.size(F.filter(F.coalesce(F.col(ts), F.array().cast("array<string>")), lambda t: mentions(hay, t)))
     low, path = F.lower("say"), F.lower("path")
     c = c.withColumn("claim_score", count(path, "terms") * 3 + count(low, "terms") + F.when(F.col("place") == 0, 1).otherwise(0) - F.when(tx.matches(path, TEST_PATH), 6).otherwise(0))
+    sound = F.lit(None).cast("string")
+    if "current" in hits.columns:
+        sound = F.when(~F.col("current"), "STALE_SOURCE")
+    if "span_failure" in hits.columns:
+        sound = F.coalesce(sound, F.col("span_failure"))
     reject = (
-        F.when(F.size(tx.nonempty(F.split("say", r"\s+"))) < 4, "TOO_SHORT").when(count(low, "subject") + count(path, "subject") == 0, "NO_SUBJECT_COVERAGE")
-        .when(F.col("claim_score") <= 0, "LOW_OVERLAP").when(F.size(audit.missing_words(F.col("say"), F.col("body"))) > 0, "UNSUPPORTED_WORD")
+        F.when(sound.isNotNull(), sound).when(F.size(tx.nonempty(F.split("say", r"\s+"))) < 4, "TOO_SHORT").when(count(low, "subject") + count(path, "subject") == 0, "NO_SUBJECT_COVERAGE")
+        .when(F.col("claim_score") <= 0, "LOW_OVERLAP").when(~evidence_fits_shape(F.col("body"), F.col("shape"), F.lit(False)), "SHAPE_MISMATCH").when(F.size(audit.missing_words(F.col("say"), F.col("body"))) > 0, "UNSUPPORTED_WORD")
         .when(~audit.numbers_supported(F.col("say"), F.col("body"), F.col("body")), "UNSUPPORTED_NUMBER")
     )
-    return c.withColumn("reject", reject).drop("terms", "subject")
+    return c.withColumn("reject", reject).drop("terms", "subject", "shape")
 
 
 def verify_meaning(lines: DataFrame, corpus: str) -> DataFrame:
@@ -176,13 +194,20 @@ def multi_source_cards(claims: DataFrame) -> DataFrame:
 
 def fail_fast(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """FLT-11: (query_id, fail): no hits, off topic, or a top score of at most 2 and no content word in any hit."""
-    per = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.lower(F.array_join(F.collect_list("text"), " ")).alias("corpus"))
-    q = queries.withColumn("terms", content_words(F.col("text"))).join(per, "query_id", "left")
-    overlap = F.exists("terms", lambda t: F.col("corpus").contains(t))
-    weak = (F.col("top") <= FAIL_FAST_SCORE) & ((F.size("terms") == 0) | ~overlap)
+    q = queries.withColumn("terms", content_words(F.col("text")))
+    per = hits_in_brief(q, hits)
+    q = q.join(per, "query_id", "left")
+    weak = (F.col("top") <= FAIL_FAST_SCORE) & ((F.size("terms") == 0) | ~F.col("common"))
     return q.select("query_id", (F.col("n").isNull() | tx.matches(F.col("text"), OFF_TOPIC, True) | F.coalesce(weak, F.lit(False))).alias("fail"))
 
 
+def hits_in_brief(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, n, top, common) of queries with hits: their number, best score, and whether any holds one of the query's ``terms``."""
+    found = F.exists("terms", lambda t: F.lower(F.col("body")).contains(t))
+    each = hits.select("query_id", "score", F.col("text").alias("body")).join(queries.select("query_id", "terms"), "query_id")
+    return each.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.max(F.coalesce(found, F.lit(False))).alias("common"))
+
+
 def prompt_hits(hits: DataFrame, cap: int = PROMPT_CHUNKS, per_file: int = PROMPT_PER_FILE) -> DataFrame:
     """RET-31: up to eight hits a query in order of rank, at most four a file, numbered as ``n``."""
     file = Window.partitionBy("query_id", "path").orderBy("rank")

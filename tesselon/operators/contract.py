@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tesselon.functions import dialogue, say
 from tesselon.functions import text as tx
 from tesselon.operators import audit
-from tesselon.operators.answers import content_words, fail_fast, mentions
+from tesselon.operators.answers import content_words, fail_fast, hits_in_brief, mentions
+from tesselon.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------------------
 EXTERNAL = r"\b(weather|stock price|capital of|who won|score of|temperature today|exchange rate)\b"
@@ -103,9 +104,9 @@ def applicability(pairs: DataFrame) -> DataFrame:
 
 def escalation(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """STR-36: (query_id, decision): SILENT on a failed retrieval, an answer at a score of four with a word in common, ESCALATE from two on."""
-    per = hits.groupBy("query_id").agg(F.max("score").alias("top"), F.lower(F.array_join(F.collect_list("text"), " ")).alias("corpus"))
-    s = fail_fast(queries, hits).join(queries.select("query_id", content_words(F.col("text")).alias("terms")), "query_id").join(per, "query_id", "left")
-    common = F.exists("terms", lambda t: F.col("corpus").contains(t))
+    per = hits_in_brief(queries.select("query_id", content_words(F.col("text")).alias("terms")), hits)
+    s = fail_fast(queries, hits).join(per, "query_id", "left")
+    common = F.col("common")
     return s.select("query_id", F.when(F.col("fail") | F.col("top").isNull(), "SILENT").when((F.col("top") >= 4) & common, "ANSWER_WITH_CURRENT_PIPELINE")
                     .when(F.col("top") >= 2, "ESCALATE").otherwise("SILENT").alias("decision"))
 
@@ -166,12 +167,18 @@ def document_cards(contracts_: DataFrame, claims: DataFrame, sources: DataFrame
 
 def isolation_leaks(hits: DataFrame, markers: DataFrame) -> DataFrame:
     """ANS-13: (query_id, tenant, leaked) for hits whose text holds the marker of another tenant; empty if tenants are apart."""
+    # a hit meets the markers that share a run of eight characters (all, if shorter) with it, not all markers
+    m = markers.select(F.col("tenant").alias("owner"), "marker").filter(F.length("marker") > 0).withColumn("g", F.substring("marker", 1, 8))
+    m = materialize(m, "markers")
+    sizes = [r["n"] for r in m.select(F.length("g").alias("n")).distinct().collect()]  # eight at most
+    runs = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     h = hits.select("query_id", "tenant", "text")
-    m = markers.select(F.col("tenant").alias("owner"), "marker")
-    # markers are one short row a tenant; a hit meets them as an array, not as a join of rows
-    all_ = m.agg(F.collect_list(F.struct("owner", "marker")).alias("ms"))
-    found = h.join(F.broadcast(all_), F.lit(True)).select("query_id", "tenant", F.explode(F.filter("ms", lambda x: (x["owner"] != F.col("tenant")) & F.col("text").contains(x["marker"]))).alias("x"))
-    return found.select("query_id", "tenant", F.col("x.owner").alias("leaked")).distinct()
+    if not sizes:
+        return h.select("query_id", "tenant", F.lit(None).cast(markers.schema["tenant"].dataType).alias("leaked")).limit(0)
+    grams = h.select("*", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in sizes])))).alias("g"))
+    few = F.broadcast(m) if m.count() <= 1_000_000 else m
+    found = grams.join(few, "g").filter((F.col("owner") != F.col("tenant")) & F.col("text").contains(F.col("marker")))
+    return found.select("query_id", "tenant", F.col("owner").alias("leaked")).distinct()
 
 
 def nearest_samples(samples: Column, rate: int, target: int = 16_000) -> Column:

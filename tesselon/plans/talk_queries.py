@@ -295,7 +295,8 @@ def span_failures(spark, sf_dir):
     return f.select("doc_id", audit.span_failure(F.when(k == 0, "old").otherwise("h"), F.lit(2), end, text, line, c, F.lit("h")).alias("failure"))
 
 
-@query(r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(list_filter(string_split_regex(lower(replace(p_brand, '#', '-')), '[^a-z0-9]+'), lambda t: length(t) > 1), [lower(replace(p_brand, '#', '-')), replace(lower(replace(p_brand, '#', '-')), '-', '')]))) AS tokens FROM part""")
+@query(r"""WITH b AS (SELECT p_partkey, lower(replace(p_brand, '#', '-')) AS stem FROM part)
+    SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(list_filter(string_split_regex(stem, '[^a-z0-9]+'), lambda t: length(t) > 1), [stem, replace(stem, '-', '')]))), ' ') AS tokens FROM b""")
 def identity_tokens(spark, sf_dir):
     """STR-45."""
     path = F.concat(F.lit("docs/"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit(".pdf"))
