@@ -1,20 +1,26 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Words fall into classes: each of the most frequent words is one of its own, the others share classes
-by the hash of their last three bytes. The log-bilinear model predicts a token's class from those of
-the two before it: the context vector is the sum of the two classes' vectors, each scaled by a
-position vector, and a class's logit its product with the context plus a bias. Training is
-noise-contrastive (noise: the classes' corpus frequencies, samples shared by a batch, so all is batched
-matrix products): a start on a bounded sample, then one round of parameter mixing in which every
-partition trains on all its training documents and the results are averaged by tokens. Afterwards the
-logits of all pairs of contexts are normalised exactly, in batched matrix products.
-
-A word's probability is that of its class times its add-0.1 frequency within the class (one slot held
-for words never seen), so the model, like the base it is compared with, spreads one unit of mass.
+Two levels, both neural. Words fall into classes: each of the ``TOP`` most frequent words is one of its own, the
+others share classes by the hash of their last three bytes. The log-bilinear model predicts a token's class from
+those of the two before it: the context vector is the sum of the two classes' vectors, each scaled by a
+position vector, and a class's logit its product with the context plus a bias. Inside a class the
+``NEURAL`` next frequent words have vectors of their own: a word's logit is the log of its count plus the product
+of its vector with the same context, so words that share a class are told apart by what stands before them.
+
+Training is noise-contrastive at both levels (noise: the classes' corpus frequencies, samples shared by a batch;
+inside a class its words' frequencies), so all is batched array work: a start on a bounded sample, then one
+round of parameter mixing in which every partition trains on all its training documents and the results are
+averaged, classes by tokens, words by their occurrences. The sums travel as one binary row a block of parameters
+and partition, added up in a tree. Afterwards both levels are normalised exactly, in batched matrix products: all
+pairs of context classes once, the words of a class for each token.
+
+Rarer words have the share of their class that their add-0.1 frequency gives (one slot held for words never
+seen), words with vectors divide the share that all of them have, so the model, like the base it is compared with,
+spreads one unit of mass. No word is left out at any size of the vocabulary.
 
 Word counts are exact counts over all training documents. The words above a frequency threshold (at
 most ``HOT_WORDS``) go to the workers as a table of bounded size; the counts of all others are joined by
-shuffle, which is the exact way for the rest.
+shuffle, which is the exact way for the rest. The averaged parameters depend on how rows are dealt to partitions.
 """
 
 from __future__ import annotations
@@ -39,8 +45,10 @@ CLASSES = TOP + SUFFIXES
 DIM = 24
 NOISE = 32
 BATCH = 4096
-#: Bound of the sample that the model starts from, in documents.
-START_DOCS = 400
+#: Words with vectors of their own beside the ``TOP`` ones.
+NEURAL = 16_384
+#: Bound of the sample that the model starts from, in documents of at most so many characters; all documents follow.
+START_DOCS, START_CHARS = 400, 100_000
 END = b""
 ADD = 0.1
 _FLUSH = 200_000
@@ -86,6 +94,10 @@ class Vocabulary:
     class_count: np.ndarray
     class_words: np.ndarray
     threshold: int
+    #: Words with vectors, in order of their class: slot by word number (-1: none), first slot by class, counts
+    slot: np.ndarray
+    first: np.ndarray
+    members: np.ndarray
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: not in the table) and class of each word."""
@@ -121,8 +133,13 @@ def vocabulary(counts: DataFrame, hot: int = HOT_WORDS) -> Vocabulary:
         class_words[suffix_class(w)] -= 1
         class_count[i], class_words[i] = n, 1
     count = np.array([n for _, n in rows] + [0], float)
+    own = np.arange(min(TOP, len(rows)), min(TOP + NEURAL, len(rows)))
+    own = own[np.argsort(klass[own], kind="stable")]
+    slot = np.full(len(rows) + 1, -1, np.int64)
+    slot[own] = np.arange(len(own))
     return Vocabulary(
-        index, count, klass, sum(r["n"] for r in levels), sum(r["v"] for r in levels), class_count, class_words, threshold
+        index, count, klass, sum(r["n"] for r in levels), sum(r["v"] for r in levels), class_count, class_words, threshold,
+        slot, np.searchsorted(klass[own], np.arange(CLASSES + 1)), count[own],
     )
 
 
@@ -179,17 +196,66 @@ class LogBilinear:
         return s1, s2, log_z
 
 
+def context_vectors(model: LogBilinear, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    vec, _, pos, _ = model.parts(model.flat)
+    return vec[k1] * pos[0] + vec[k2] * pos[1]
+
+
+class ClassWords:
+    """Vectors of the words inside the classes."""
+
+    def __init__(self, vocab: Vocabulary, vectors: np.ndarray | None = None):
+        self.first, self.n = vocab.first, vocab.members
+        self.vectors = np.zeros((len(self.n), DIM), np.float32) if vectors is None else vectors.astype(np.float32)
+        self.upto = np.r_[0.0, np.cumsum(self.n)]
+        self.log_n = np.log(np.maximum(self.n, 1e-9)).astype(np.float32)
+        self.state = np.ones_like(self.vectors)
+
+    def train(self, q: np.ndarray, slot: np.ndarray, k: np.ndarray, rng, rate: float = 0.1) -> np.ndarray:
+        """One Adagrad step: each word against one noise word of its class; gives the words' occurrences."""
+        at = np.flatnonzero(slot >= 0)
+        w, c, q = slot[at], k[at], q[at]
+        lo, hi = self.upto[self.first[c]], self.upto[self.first[c + 1]]
+        v = np.searchsorted(self.upto, lo + rng.random(len(at)) * (hi - lo), side="right") - 1
+        v = np.minimum(v, self.first[c + 1] - 1)
+        dot = lambda x: np.einsum("ij,ij->i", q, self.vectors[x])
+        # the noise is the frequency that a logit starts from, so it cancels and the product alone decides
+        gd, gn = -1 / (1 + np.exp(dot(w))), 1 / (1 + np.exp(-dot(v)))
+        dims = np.arange(DIM)
+        add = lambda i, g: np.bincount((i[:, None] * DIM + dims).ravel(), (g[:, None] * q).ravel(), minlength=self.vectors.size)
+        grad = (add(w, gd) + add(v, gn)).reshape(self.vectors.shape).astype(np.float32)
+        self.state += grad**2
+        self.vectors -= rate * grad / np.sqrt(self.state)
+        return np.bincount(w, minlength=len(self.n))
+
+    def log_share(self, q: np.ndarray, slot: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Log of each word's part of what the words with vectors of its class have; all slots must be valid."""
+        out = self.log_n[slot] + np.einsum("ij,ij->i", q, self.vectors[slot])
+        order = np.argsort(k, kind="stable")
+        ends = np.flatnonzero(np.r_[k[order][1:] != k[order][:-1], len(k) > 0])
+        for s, e in zip(np.r_[0, ends[:-1] + 1], ends + 1, strict=True):
+            rows = order[s:e]
+            c = k[rows[0]]
+            a, b = self.first[c], self.first[c + 1]
+            x = q[rows] @ self.vectors[a:b].T
+            x += self.log_n[a:b]
+            top = x.max(1, keepdims=True)
+            np.exp(x - top, out=x)
+            out[rows] -= np.log(x.sum(1)) + top[:, 0]
+        return out
+
+
 def contexts(k: np.ndarray, ends: int) -> tuple[np.ndarray, np.ndarray]:
     """The two classes before each token of a document; the end's class stands before its start."""
     return np.r_[ends, k[:-1]], np.r_[ends, ends, k[:-2]][: len(k)]
 
 
 def _sequences(texts, vocab: Vocabulary, ends: int):
-    """Contexts and classes of whole texts, gathered to about 16 batches a turn."""
+    """Contexts, classes and slots of whole texts, gathered to about 16 batches a turn."""
     held, n = [], 0
     for t in texts:
-        k = vocab.ids(tokens(t))[1]
-        held.append((*contexts(k, ends), k))
+        i, k = vocab.ids(tokens(t))
+        held.append((*contexts(k, ends), k, vocab.slot[i]))
         n += len(k)
         if n >= 16 * BATCH:
             yield [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -198,45 +264,74 @@ def _sequences(texts, vocab: Vocabulary, ends: int):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def train(docs: DataFrame, vocab_ref, start_docs: int = START_DOCS) -> LogBilinear:
+def _learn(model: LogBilinear, words: ClassWords, state: np.ndarray, turn, rng) -> np.ndarray:
+    k1, k2, k, slot = turn
+    mixed = rng.permutation(len(k))
+    model.train(k1[mixed], k2[mixed], k[mixed], state, rng)
+    return words.train(context_vectors(model, k1, k2), slot, k, rng)
+
+
+#: Parameters of a block in the sums that partitions send, and how many blocks are added up at a time.
+_BLOCK, _FAN_IN = 1 << 16, 64
+
+
+def _summed(parts: DataFrame, partitions: int) -> np.ndarray:
+    """Element-wise sum of the partitions' vectors, in (part, block, x: float32 bytes) rows, added up in a tree."""
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, np.float32) for x in g["x"]], axis=0, dtype=np.float64).astype(np.float32)
+        return pd.DataFrame({"part": [g["part"].iloc[0]], "block": [g["block"].iloc[0]], "x": [total.tobytes()]})
+
+    while True:
+        parts = parts.withColumn("part", F.floor(F.col("part") / _FAN_IN)).groupBy("block", "part").applyInPandas(add, "part long, block int, x binary")
+        partitions = -(-partitions // _FAN_IN)
+        if partitions <= 1:
+            break
+    rows = sorted(parts.select("block", "x").collect(), key=lambda r: r["block"])  # one row a block of parameters
+    return np.concatenate([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros(0, np.float32)
+
+
+def train(docs: DataFrame, vocab_ref, start_docs: int = START_DOCS) -> tuple[LogBilinear, ClassWords]:
     """Train on all of ``docs`` (the training documents); ``vocab_ref`` is a broadcast Vocabulary."""
     vocab = vocab_ref.value
     noise = np.maximum(vocab.class_count, 0.5)
     noise = noise / noise.sum()
     ends = int(vocab.klass[vocab.index[END]]) if END in vocab.index else suffix_class(END)
-    model = LogBilinear(noise)
+    model, words = LogBilinear(noise), ClassWords(vocab)
     n = docs.count()
     if not n:
-        return model
-    few = docs.filter(
-        F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < min(1 << 30, int(1.3 * start_docs / n * (1 << 30)) + 1)
-    )
-    first = sorted(r["text"] or "" for r in few.select("text").limit(start_docs).collect())
+        return model, words
+    at = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30))
+    few = docs.filter((at < min(1 << 30, int(1.3 * start_docs / n * (1 << 30)) + 1)) & (F.length(F.coalesce("text", F.lit(""))) <= START_CHARS))
+    few = few.select("text", at.alias("at")).orderBy("at", F.xxhash64("text")).limit(start_docs)
+    first = sorted(r["text"] or "" for r in few.collect())
     rng, state = np.random.default_rng(2), np.full(len(model.flat), 1e-6, np.float32)
     for _ in range(3):
-        for k1, k2, k in _sequences(first, vocab, ends):
-            mixed = rng.permutation(len(k))
-            model.train(k1[mixed], k2[mixed], k[mixed], state, rng)
-    start = model.flat.copy()
+        for turn in _sequences(first, vocab, ends):
+            _learn(model, words, state, turn, rng)
+    start, start_words = model.flat.copy(), words.vectors.copy()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, r, seen = LogBilinear(noise, start), np.random.default_rng(4), 0
-        acc = state.copy()
+        v, r, seen, part = vocab_ref.value, np.random.default_rng(4), 0, 0
+        mine, own, acc = LogBilinear(noise, start), ClassWords(v, start_words), state.copy()
+        times = np.zeros(len(own.n))
         for b in batches:
-            for k1, k2, k in _sequences(b["text"], vocab_ref.value, ends):
-                mixed = r.permutation(len(k))
-                mine.train(k1[mixed], k2[mixed], k[mixed], acc, r)
-                seen += len(k)
+            part = b["part"].iloc[0] if len(b) else part
+            for turn in _sequences(b["text"], v, ends):
+                times += _learn(mine, own, acc, turn, r)
+                seen += len(turn[0])
         if seen:
-            yield pd.DataFrame({"i": np.arange(len(mine.flat), dtype=np.int32), "x": mine.flat.astype(float), "n": float(seen)})
+            sums = np.concatenate([[seen], mine.flat * float(seen), times, (own.vectors * times[:, None]).ravel()]).astype(np.float32)
+            blocks = [sums[i : i + _BLOCK].tobytes() for i in range(0, len(sums), _BLOCK)]
+            yield pd.DataFrame({"part": part, "block": np.arange(len(blocks), dtype=np.int32), "x": blocks})
 
-    mixed = docs.select("text").mapInPandas(run, "i int, x double, n double").groupBy("i").agg(
-        (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")
-    )
-    flat = np.zeros(len(start))
-    for r in mixed.collect():  # one row a parameter
-        flat[r["i"]] = r["x"]
-    return LogBilinear(noise, flat)
+    rows = docs.select("text", F.spark_partition_id().cast("long").alias("part"))
+    sums = _summed(rows.mapInPandas(run, "part long, block int, x binary"), docs.rdd.getNumPartitions()).astype(np.float64)
+    if not len(sums):
+        return model, words
+    seen, flat, rest = sums[0], sums[1 : 1 + len(start)], sums[1 + len(start) :]
+    times, vectors = rest[: len(words.n)], rest[len(words.n) :].reshape(-1, DIM)
+    met = np.where(times[:, None] > 0, vectors / np.maximum(times, 1)[:, None], start_words)
+    return LogBilinear(noise, flat / seen), ClassWords(vocab, met)
 
 
 def lm_scores(docs: DataFrame, folds: int = 10, hot: int = HOT_WORDS) -> DataFrame:
@@ -255,30 +350,57 @@ def lm_scores(docs: DataFrame, folds: int = 10, hot: int = HOT_WORDS) -> DataFra
     counts = materialize(word_counts(training), "lm-counts")
     vocab = vocabulary(counts, hot)
     ref = spark.sparkContext.broadcast(vocab)
-    model = train(training, ref)
+    model, words = train(training, ref)
     ends = int(vocab.klass[vocab.index[END]]) if END in vocab.index else suffix_class(END)
-    tables = spark.sparkContext.broadcast(tuple(x.astype(np.float32) for x in model.tables()))
+    tables = spark.sparkContext.broadcast((tuple(x.astype(np.float32) for x in model.tables()), model.flat, words.vectors))
+    noise = model.noise
     class_norm = np.log10(vocab.class_count + ADD * (vocab.class_words + 1))
     class_norm[:TOP] = 0.0
     log_count = np.log10(vocab.count + ADD)
+    upto = np.r_[0.0, np.cumsum(vocab.members + ADD)]
+    log_mass = np.log10(np.maximum(upto[vocab.first[1:]] - upto[vocab.first[:-1]], ADD))
+
+    def scores(held: list, v: Vocabulary, own: ClassWords, at: LogBilinear, logits) -> list[tuple]:
+        """(known, log10 count of the known words, log10 probability without rare words' counts) of each of some texts."""
+        s1, s2, log_z = logits
+        i, k = (np.concatenate(x) for x in zip(*held, strict=True))
+        starts = np.r_[0, np.cumsum([len(x) for x, _ in held])[:-1]]
+        k1, k2 = contexts(k, ends)
+        second = starts[np.r_[starts[1:], len(k)] > starts + 1] + 1
+        k1[starts], k2[starts], k2[second] = ends, ends, ends
+        log_p = (s1[k1, k] + s2[k2, k] - log_z[k1, k2]).astype(np.float64) / np.log(10) - class_norm[k]
+        slot = v.slot[i]
+        inside, plain = np.flatnonzero(slot >= 0), (slot < 0) & (i >= 0) & (k >= TOP)
+        log_p[plain] += log_count[i[plain]]
+        if len(inside):
+            q = context_vectors(at, k1[inside], k2[inside])
+            log_p[inside] += log_mass[k[inside]] + own.log_share(q, slot[inside], k[inside]) / np.log(10)
+        known = i >= 0
+        sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), np.where(known, log_count[i], 0.0), log_p)]
+        return list(zip(*(x.tolist() for x in sums), strict=True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, (s1, s2, log_z) = ref.value, tables.value
+        v, (logits, flat, vectors) = ref.value, tables.value
+        own, at = ClassWords(v, vectors), LogBilinear(noise, flat)
         for b in batches:
-            out = []
-            for doc, held, text in zip(b["doc_id"], b["held_out"], b["text"], strict=True):
+            got, held, size, rest = [], [], 0, []
+            for text in b["text"]:
                 w = tokens(text)
-                i, k = v.ids(w)
-                k1, k2 = contexts(k, ends)
-                neural = float((s1[k1, k] + s2[k2, k] - log_z[k1, k2]).sum(dtype=np.float64) / np.log(10))
-                known = i >= 0
-                hot_sum = float(log_count[i[known]].sum())
-                shared = float(log_count[i[known & (k >= TOP)]].sum() - class_norm[k].sum())
-                rare = Counter([w[j] for j in np.flatnonzero(~known)])
-                out.append((doc, held, len(w), int(known.sum()), hot_sum, neural + shared, list(rare), list(rare.values())))
-            yield pd.DataFrame(
-                out, columns=["doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "partial", "rare", "tf"]
-            ).astype({"doc_id": "Int64"})
+                held.append(v.ids(w))
+                unknown = Counter([w[j] for j in np.flatnonzero(held[-1][0] < 0)])
+                rest.append((len(w), list(unknown), list(unknown.values())))
+                size += len(w)
+                if size >= 16 * BATCH:
+                    got += scores(held, v, own, at, logits)
+                    held, size = [], 0
+            if held:
+                got += scores(held, v, own, at, logits)
+            known, hot_sum, partial = zip(*got, strict=True) if got else ((), (), ())
+            n, rare, tf = zip(*rest, strict=True) if rest else ((), (), ())
+            yield pd.DataFrame({
+                "doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "n_tokens": n, "n_hot": known, "hot_sum": hot_sum,
+                "partial": partial, "rare": rare, "tf": tf,
+            })
 
     scored = rows.mapInPandas(
         run, "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, partial double, "
