@@ -30,10 +30,13 @@ VOCABULARY = 4000
 GRADES = 4
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
+_LONG = 1 << 16
 
 
 def words(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    """Distinct words; a long text is read match by match, so that only its vocabulary is held."""
+    low = (text or "").lower()
+    return set(_WORD.findall(low)) if len(low) < _LONG else {m.group() for m in _WORD.finditer(low)}
 
 
 def features(word: str) -> list[str]:
