@@ -14,6 +14,7 @@ DESCRIBES = r"\b(this (?:api|service|app|application|module|package|library|syst
 # ---------------------------------------------------------------------------------------------------------
 
 
+# --- fixed values (patterns of the four functions below) ---------------------------------------------------
 def plain(c: Column) -> Column:
     """STR-21: links, code marks and emphasis taken off, names with underscores left whole."""
     x = F.regexp_replace(c, r"\[([^\]]+)\]\([^)]*\)", "$1")
@@ -45,6 +46,7 @@ def is_field_line(c: Column) -> Column:
     return (t != "") & (F.length(t) <= 120) & ~t.rlike("[=;{}<>]") & (short | other)
 
 
+# ---------------------------------------------------------------------------------------------------------
 def sayable(c: Column, allow_field: bool = False) -> Column:
     """STR-24: prefaces and hedges cut in up to three passes; null unless three words and twelve characters stay."""
     x = F.trim(F.regexp_replace(c, r"\s+", " "))

@@ -18,6 +18,42 @@ def fnv1a32(c: Column) -> Column:
     return F.aggregate(points, F.lit(2166136261).cast("long"), step)
 
 
+# --- fixed values: seeds and multipliers of the 53-bit mixing hash ------------------------------------------
+MIX_SEEDS, MIX_STEPS, MIX_ENDS = (0xDEADBEEF, 0x41C6CE57), (2654435761, 1597334677), (2246822507, 3266489909)
+# ---------------------------------------------------------------------------------------------------------
+_LOW32 = 0xFFFFFFFF
+
+
+def _times32(a: Column, k: int) -> Column:
+    """a * k modulo 2 ** 32, in two halves so that no product leaves a long."""
+    long = lambda x: F.lit(x).cast("long")
+    high = (a * long(k >> 16)).bitwiseAND(long(0xFFFF))
+    return (a * long(k & 0xFFFF) + F.shiftleft(high, 16)).bitwiseAND(long(_LOW32))
+
+
+def mixing_hash(c: Column) -> Column:
+    """SCL-02: 53-bit mixing hash of a text's UTF-16 units, in base 36."""
+    point = lambda x: F.ascii(x).cast("long")
+    pair = lambda p: F.when(p < 0x10000, F.array(p)).otherwise(
+        F.array(F.lit(0xD800).cast("long") + F.shiftright(p - 0x10000, 10), F.lit(0xDC00).cast("long") + (p - 0x10000).bitwiseAND(F.lit(0x3FF).cast("long"))))
+    units = F.flatten(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: pair(point(x))))
+    mix = lambda seed, k: F.aggregate(units, F.lit(seed).cast("long"), lambda h, u: _times32(h.bitwiseXOR(u), k))
+    a, b = (mix(seed, k) for seed, k in zip(MIX_SEEDS, MIX_STEPS, strict=True))
+
+    def end(x: Column, y: Column) -> Column:
+        fold = lambda h, n, k: _times32(h.bitwiseXOR(F.shiftrightunsigned(h, n)), k)
+        return fold(x, 16, MIX_ENDS[0]).bitwiseXOR(fold(y, 13, MIX_ENDS[1]))
+
+    a = end(a, b)
+    b = end(b, a)
+    return F.lower(F.conv((F.shiftleft(b.bitwiseAND(F.lit(0x1FFFFF).cast("long")), 32) + a).cast("string"), 10, 36))
+
+
+def json_text(c: Column, path: str) -> Column:
+    """SCL-18: the text at a path of a JSON record, null where there is none."""
+    return F.get_json_object(c, path)
+
+
 def dot(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     return F.aggregate(

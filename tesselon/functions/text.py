@@ -121,12 +121,12 @@ def fts_or_query(q: Column) -> Column:
 
 
 # --- question shape (STR-13) -------------------------------------------------------------------------
-_OWN = r"(wrote|touched|owns?|added|changed|maintains?|maintained|created|authored|reviewed|approved"
+# --- fixed values ---------------------------------------------------------------------------------------
 _SHAPE_RULES = [
-    ("who", [rf"\bwho\s+{_OWN})\b"]),
+    ("who", [r"\bwho\s+(wrote|touched|owns?|added|changed|maintains?|maintained|created|authored|reviewed|approved)\b"]),
     ("who", [r"\bwho\b", r"\bown(?:s|er|ership)\b"]),
     ("what", [r"\b(who|whom|whose)\s+(is|are|was|were)\b"]),
-    ("who", [r"\b(who|whom|whose)\b", rf"\b{_OWN}|owner|ownership)\b"]),
+    ("who", [r"\b(who|whom|whose)\b", r"\b(wrote|touched|owns?|added|changed|maintains?|maintained|created|authored|reviewed|approved|owner|ownership)\b"]),
     ("what", [r"\b(who|whom|whose)\b"]),
     ("absence", [
         r"\b(not|never|none|nothing|nowhere)\b|\bno\b|n['’]t\b",
@@ -142,6 +142,7 @@ _SHAPE_RULES = [
     ("where", [r"^where\b|\bwhere (is|are|does|do|did|in the)\b"]),
     ("how", [r"^how\b|\bhow (is|are|does|do|did|would|can)\b"]),
 ]
+# ---------------------------------------------------------------------------------------------------------
 
 
 def question_shape(q: Column) -> Column:
@@ -157,6 +158,7 @@ def question_shape(q: Column) -> Column:
 
 
 # --- question class (STR-35) -------------------------------------------------------------------------
+# --- fixed values ---------------------------------------------------------------------------------------
 _ARCHITECTURE = r"architect|high[- ]level|system design|whole (app|application|system)|how (is|does) (this|the) (app|system|code|repo|application)|how is (this|it) (structured|built|organized)|overview of (the )?(app|system|codebase|application)"
 _CLASS_RULES = [
     ("current_external_fact", r"\b(weather|stock price|capital of|who won|score of|temperature today|exchange rate)\b"),
@@ -166,6 +168,7 @@ _CLASS_RULES = [
     ("architecture", _ARCHITECTURE + r"|\b(architecture|system design|components|layout)\b"),
     ("product_capability", r"\b(what does|what is the purpose|what can|capabilities|responsible for)\b"),
 ]
+# ---------------------------------------------------------------------------------------------------------
 
 
 def is_architecture_query(q: Column) -> Column:
@@ -228,7 +231,9 @@ def says_opposite(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 # --- captions and chatter (STR-01, STR-02) -------------------------------------------------------------
+# --- fixed values ---------------------------------------------------------------------------------------
 _HALLUCINATION = r"^(thank you\.?|thanks for watching\.?|thanks\.?|you\.?|bye\.?|the end\.?|okay\.?|ok\.?|hmm\.?|uh\.?|um\.?|see\.?|hello\.?|hi\.?|hey\.?|we'll be right back\.?|please subscribe\.?)$"
+# ---------------------------------------------------------------------------------------------------------
 
 
 def clean_caption(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import text as tx
 from tesselon.functions.scalars import line_of
+from tesselon.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------------------
 _QUANTITY = r"\b(\d+(?:[.,]\d+)?\s*(?:k|m|ms|s|%|rps|rpm|qps)?|q[1-4]|20\d{2})\b"
@@ -24,6 +25,7 @@ GLUE = (
     "thus together toward towards under until upon used uses using usually various very well were what when whenever where whether which while whole "
     "whose will with within without would your manages plus split work service across commit one two three four five six seven eight nine"
 ).split()
+NEGATED = r"\bnever\b|\bnot\b|\bwithout\b|\b(cannot|can't|won't|doesn't|don't|isn't|aren't|wasn't|weren't|nor|none|nothing)\b"
 # ---------------------------------------------------------------------------------------------------------
 
 
@@ -36,7 +38,7 @@ def looks_like_claim(c: Column) -> Column:
 def _features(claims: DataFrame, suffix: str, within: str | None) -> DataFrame:
     n = F.col(f"norm_{suffix}")
     group = F.col(within) if within else F.lit(0)
-    out = claims.select(*[F.col(c).alias(f"{c}_{suffix}") for c in ("id", "speaker", "text")], group.alias("g"), tx.claim_normalize(F.col("text")).alias(f"norm_{suffix}"))
+    out = claims.select(*[F.col(c).alias(f"{c}_{suffix}") for c in ("id", "speaker")], group.alias("g"), tx.claim_normalize(F.col("text")).alias(f"norm_{suffix}"))
     out = out.withColumns({f"kw_{suffix}": tx.claim_keywords(n), f"neg_{suffix}": tx.claim_negated(n), f"qty_{suffix}": tx.claim_quantities(n)})
     return out.withColumns({
         f"time_{suffix}": tx.schedule_words(F.col(f"kw_{suffix}")),
@@ -48,29 +50,34 @@ def _features(claims: DataFrame, suffix: str, within: str | None) -> DataFrame:
 def contradiction_pairs(current: DataFrame, history: DataFrame, within: str | None = None) -> DataFrame:
     """JOIN-07: (id, related_id) of claims and supported past claims that cannot both stand, of one ``within`` group if given.
 
-    Candidates come from equi-joins only, on the speaker, on keywords (two shared ones) and on talk of
-    schedules, each narrowed by the keyword that an opposition needs (or both sides' schedule words), so no
-    cross join is made; the opposition itself is a residual check.
+    An opposition needs a shared keyword, or schedule words on both sides; both are keys of an equi-join inside
+    the group. Only ids take part in that search, each pair once; the texts' features meet the pairs afterwards, and
+    whether two lines are related and opposed is checked on these.
     """
     a, b = _features(current, "a", within), _features(history.filter(F.col("status") == "supported"), "b", within)
-    # saysOpposite needs a shared keyword, or two lines with schedule words; both are join keys
+    a, b = materialize(a, "claims"), materialize(b, "past-claims")
+
     def keyed(df: DataFrame, s: str) -> DataFrame:
         plan = F.when(F.col(f"sched_{s}"), F.array(F.lit("#schedule"))).otherwise(F.array().cast("array<string>"))
-        return df.select("*", F.explode(F.array_union(F.col(f"kw_{s}"), plan)).alias("k"))
+        return df.select("g", f"id_{s}", F.explode(F.array_union(F.col(f"kw_{s}"), plan)).alias("k"))
 
-    left, right = keyed(a, "a"), keyed(b, "b")
-    pairs = left.join(right, ["g", "k"]).filter("id_a != id_b").drop("k").dropDuplicates(["id_a", "id_b"])
+    found = keyed(a, "a").join(keyed(b, "b"), ["g", "k"]).filter("id_a != id_b").select("g", "id_a", "id_b").distinct()
+    pairs = found.join(a, ["g", "id_a"]).join(b, ["g", "id_b"])
     related = (
         (F.col("speaker_a") == F.col("speaker_b")) | (F.size(F.array_intersect("kw_a", "kw_b")) >= 2)
         | (F.col("sched_a") & F.col("sched_b"))
     )
     side = lambda s: {k: F.col(f"{k}_{s}") for k in ("kw", "neg", "qty", "time")}
-    return pairs.filter(related & tx.says_opposite(side("a"), side("b"))).select(F.col("id_a").alias("id"), F.col("id_b").alias("related_id"))
+    opposed = pairs.filter(related & tx.says_opposite(side("a"), side("b")))
+    return opposed.select(F.col("id_a").alias("id"), F.col("id_b").alias("related_id")).distinct()
+
 
+def mark_contradicted(current: DataFrame, history: DataFrame, within: str | None = None) -> DataFrame:
+    """JOIN-07, STM-16: ``current`` with status ``contradicted`` and the sorted related ids where there are any.
 
-def mark_contradicted(current: DataFrame, history: DataFrame) -> DataFrame:
-    """JOIN-07, STM-16: ``current`` with status ``contradicted`` and the sorted related ids where there are any."""
-    found = contradiction_pairs(current, history).groupBy("id").agg(F.sort_array(F.collect_set("related_id")).alias("related_ids"))
+    ``within`` (a meeting, a tenant) bounds what a line is held against; without it every line meets all that share a word.
+    """
+    found = contradiction_pairs(current, history, within).groupBy("id").agg(F.sort_array(F.collect_set("related_id")).alias("related_ids"))
     out = current.join(found, "id", "left")
     return out.withColumn("status", F.when(F.col("related_ids").isNotNull(), "contradicted").otherwise(F.col("status")))
 
@@ -122,8 +129,7 @@ def ordered_tokens(tokens: Column, corpus: Column) -> Column:
 def negation_flags(c: Column) -> dict[str, Column]:
     """STR-38: never, not, without and any negation at all."""
     low = F.lower(c)
-    any_ = r"\bnever\b|\bnot\b|\bwithout\b|\b(cannot|can't|won't|doesn't|don't|isn't|aren't|wasn't|weren't|nor|none|nothing)\b"
-    return {k: tx.matches(low, rf"\b{k}\b") for k in ("never", "not", "without")} | {"any": tx.matches(low, any_)}
+    return {k: tx.matches(low, rf"\b{k}\b") for k in ("never", "not", "without")} | {"any": tx.matches(low, NEGATED)}
 
 
 def citation_numbers(c: Column) -> Column:

@@ -318,10 +318,10 @@ def diversified(scored: DataFrame, limit: int = 6, digits: int | None = None) ->
     )
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = 6, digits: int | None = None) -> DataFrame:
-    """RET-23: ranked chunks of every query; see the parts for their rules."""
+def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = 6, digits: int | None = None, posts: DataFrame | None = None) -> DataFrame:
+    """RET-23: ranked chunks of every query; see the parts for their rules. ``posts`` are the chunks' postings where they are kept."""
     n = chunks.count()
-    posts = materialize(postings(chunks), "postings")
+    posts = materialize(postings(chunks), "postings") if posts is None else posts
     return diversified(lexical_scores(queries_table(queries), chunks, posts, n), limit, digits)
 
 

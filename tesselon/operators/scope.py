@@ -146,23 +146,25 @@ def select_files(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int =
     The running total skips what does not fit, which no window sum can say: a pack's files pass in order, and what
     is carried from one to the next are two numbers, so a pack of any size is read as a stream.
     """
-    kind = files.schema["pack_id"].dataType.simpleString()
+    kind = files.schema["pack_id"].dataType
     rows = files.select("pack_id", "path", F.col("size").cast("long").alias("size"), path_score(F.col("path")).alias("score"))
+    rows = rows.repartition("pack_id").sortWithinPartitions("pack_id", F.desc("score"), "path")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack, n, total, first = None, 0, 0, True
         for b in batches:
             out = []
-            for p, path, size in zip(b["pack_id"], b["path"], b["size"], strict=True):
+            for p, path, size in zip(b["pack"].tolist(), b["path"], b["size"].tolist(), strict=True):
                 if first or p != pack:
                     pack, n, total, first = p, 0, 0, False
                 if n < max_files and total + size <= max_bytes:
                     out.append((p, n, path))
                     n, total = n + 1, total + size
-            yield pd.DataFrame(out, columns=["pack_id", "place", "path"])
+            yield pd.DataFrame(out, columns=["pack", "place", "path"])
 
-    dealt = rows.repartition("pack_id").sortWithinPartitions("pack_id", F.desc("score"), "path")
-    return dealt.mapInPandas(keep, f"pack_id {kind}, place int, path string")
+    # keys travel as text: a null among numbers would make floats of them
+    named = rows.filter("size is not null").select(F.col("pack_id").cast("string").alias("pack"), "path", "size")
+    return named.mapInPandas(keep, "pack string, place int, path string").select(F.col("pack").cast(kind).alias("pack_id"), "place", "path")
 
 
 def preferred_file(files: DataFrame) -> DataFrame:

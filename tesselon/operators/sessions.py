@@ -98,20 +98,24 @@ def fixed_window_limit(events: DataFrame, limit: int = 120, seconds: int = 3600)
     number of events is read as a stream.
     """
     span, kinds = seconds * 1_000_000, events.schema
-    rows = events.select("user_id", "event_id", micros("ts").alias("t"))
+    rows = events.select("user_id", "event_id", micros("ts").alias("t")).filter("t is not null")
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
 
     def limit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, start, n, first = None, 0, 0, True
         for b in batches:
             starts, counts = [], []
-            for u, t in zip(b["user_id"].tolist(), b["t"].tolist(), strict=True):
+            for u, t in zip(b["u"].tolist(), b["t"].tolist(), strict=True):
                 if first or u != user or t - start >= span:
                     user, start, n, first = u, t, 0, False
                 n += 1
                 starts.append(start)
                 counts.append(n)
-            yield pd.DataFrame({"user_id": b["user_id"], "event_id": b["event_id"], "start": starts, "n": counts})
-
-    dealt = rows.filter("t is not null").repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
-    out = dealt.mapInPandas(limit_rows, f"user_id {kinds['user_id'].dataType.simpleString()}, event_id {kinds['event_id'].dataType.simpleString()}, start long, n long")
-    return out.select("user_id", "event_id", F.timestamp_micros("start").cast(kinds["ts"].dataType).alias("window_start"), (F.col("n") <= limit).alias("allowed"))
+            yield pd.DataFrame({"u": b["u"], "e": b["e"], "start": starts, "n": counts})
+
+    # keys travel as text: a null among numbers would make floats of them
+    named = rows.select(F.col("user_id").cast("string").alias("u"), F.col("event_id").cast("string").alias("e"), "t")
+    out = named.mapInPandas(limit_rows, "u string, e string, start long, n long")
+    return out.select(
+        F.col("u").cast(kinds["user_id"].dataType).alias("user_id"), F.col("e").cast(kinds["event_id"].dataType).alias("event_id"),
+        F.timestamp_micros("start").cast(kinds["ts"].dataType).alias("window_start"), (F.col("n") <= limit).alias("allowed"))

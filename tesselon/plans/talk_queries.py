@@ -309,3 +309,24 @@ def body_word_letters(spark, sf_dir):
     d = spread_small(table(spark, sf_dir, "documents")).select("doc_id", tx.camel_split(F.coalesce("text", F.lit(""))).alias("low"))
     w = d.select("doc_id", F.explode(F.filter(tx.split_words(F.col("low")), lambda x: ~x.contains("_"))).alias("w"))
     return w.groupBy("doc_id").agg(F.sum(F.length("w")).alias("letters"))
+
+
+_UNITS = "list_transform(string_split(w, ''), lambda c: unicode(c)::BIGINT)"
+_MIX = lambda seed, k: f"list_reduce(list_prepend({seed}::BIGINT, {_UNITS}), lambda h, c: ((xor(h, c)::HUGEINT * {k}) % 4294967296)::BIGINT)"
+_FOLD = lambda h, n, k: f"((xor({h}, {h} >> {n})::HUGEINT * {k}) % 4294967296)::BIGINT"
+_BASE36 = "ltrim(" + " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', ((v // {36**k}) % 36 + 1)::INT, 1)" for k in range(10, -1, -1)) + ", '0')"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(coalesce(text, ''), ' ')) AS w FROM benchmark), m AS (SELECT w, {_MIX(3735928559, 2654435761)} AS a, {_MIX(1103547991, 1597334677)} AS b FROM w WHERE w <> ''),
+    x AS (SELECT w, xor({_FOLD('a', 16, 2246822507)}, {_FOLD('b', 13, 3266489909)}) AS a, b FROM m), y AS (SELECT w, a, xor({_FOLD('b', 16, 2246822507)}, {_FOLD('a', 13, 3266489909)}) AS b FROM x),
+    z AS (SELECT w, (b & 2097151) * 4294967296 + a AS v FROM y) SELECT w AS word, {_BASE36} AS h FROM z""")
+def mixing_hashes(spark, sf_dir):
+    """SCL-02."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("word")).distinct().filter("word != ''")
+    return w.select("word", sc.mixing_hash(F.col("word")).alias("h"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.none') AS nothing FROM events""")
+def json_texts(spark, sf_dir):
+    """SCL-17, SCL-18."""
+    return table(spark, sf_dir, "events").select("event_id", sc.json_text(F.col("props"), "$.k").alias("k"), sc.json_text(F.col("props"), "$.none").alias("nothing"))

@@ -223,6 +223,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame
     return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
 
 
+def write_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", partitions: int = 8, **options) -> None:
+    """SRC-27: rows to a table of a relational store, over at most ``partitions`` connections at a time."""
+    rows.coalesce(partitions).write.format("jdbc").mode(mode).option("url", url).option("dbtable", table).options(**options).save()
+
+
 def write_partitioned(rows: DataFrame, path: str, keys: list[str]) -> None:
     """SRC-25, SRC-26: a keyed store: one folder a key, replaced where the rows have it, others untouched."""
     rows.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)

@@ -120,12 +120,14 @@ def segment_batch(frames: DataFrame, vad: float = 0.01) -> DataFrame:
     batch by batch, so memory holds one lane's open segment and not the lane."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, lane = None, Lane(vad)
+        name, lane, first = None, Lane(vad), True
         for b in batches:
             out = []
-            for key, part in b.groupby("lane", sort=False):
-                if key != name:
-                    name, lane = key, Lane(vad)
+            # frames without a lane are a lane of their own
+            for key, part in b.groupby("lane", sort=False, dropna=False):
+                key = None if pd.isna(key) else key
+                if first or key != name:
+                    name, lane, first = key, Lane(vad), False
                 out += _feed(lane, name, part)
             yield pd.DataFrame(out, columns=_COLUMNS)
 
