@@ -59,6 +59,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows at a time go to a Python worker from here on; a smaller setting stays.
+
+    For jobs whose rows carry whole texts: the default of 10,000 rows holds tens of megabytes in each
+    worker and in the executor's buffers, several times over.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """``df`` dealt out to all cores if its input is so small that it comes in fewer pieces than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
