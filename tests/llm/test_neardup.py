@@ -84,3 +84,14 @@ def test_copies_with_scattered_edits_go(spark):
             rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(copy))]
     want = slow_kept(dict(rows))
     assert set(stage(spark, rows)) == want and len(want) < 0.8 * len(rows)
+
+
+def test_texts_that_share_a_node_by_chance_are_told_apart(spark):
+    rows = [(1, 11, 5, 50), (2, 12, 5, 50), (3, 13, 5, 51), (4, 14, 6, 60)]
+    signed = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, rk long, node long, more long, size int")
+    apart, nodes = neardup.told_apart(signed)
+    node = {r["doc_id"]: r["node"] for r in apart.collect()}
+    assert node[1] == node[2] != node[3] and node[4] == 6 and len(set(node.values())) == 3
+    assert {(r["node"], r["rk"], r["size"]) for r in nodes.collect()} == {(node[1], 11, 9), (node[3], 13, 9), (6, 14, 9)}
+    same, nodes = neardup.told_apart(signed.filter("doc_id != 3"))
+    assert {r["node"] for r in same.collect()} == {r["node"] for r in nodes.collect()} == {5, 6}
