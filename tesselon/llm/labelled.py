@@ -15,7 +15,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     """(doc_id, text, y) of at most ``max_rows`` labelled documents, whole texts, the same ones each time.
 
     With ``folds`` the rows of remainder 0 are left out. Labels that repeat a doc_id count by majority
-    (a tie as 1); null ids and labels are left out.
+    (a tie as 1); null ids and labels are left out. Of documents that repeat a doc_id one text is taken (the
+    one with the smallest hash), so that the bound holds for any input.
     """
     y = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if folds:
@@ -24,4 +25,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     # the bound lets this side be broadcast
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumnRenamed("doc_id", "__y")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(y), F.col("doc_id") == F.col("__y")).select("doc_id", "text", "y")
+    met = rows.join(F.broadcast(y), F.col("doc_id") == F.col("__y")).select("doc_id", "text", "y")
+    one = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("one"))
+    return one.select("doc_id", "one.text", "one.y")

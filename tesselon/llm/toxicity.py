@@ -170,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS, vocab
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, severity, p_toxic, grade, toxic) for every row of ``docs``, whole texts.
 
-    severity is the expected grade (0 to 3), p_toxic = P(grade > 0), grade the likeliest grade and toxic
-    is 1 if p_toxic >= 0.5 and the document's own words speak for it. Null texts and texts without a word
+    severity is the expected grade (0 to 3), p_toxic = P(grade > 0), toxic is 1 if p_toxic >= 0.5 and the
+    document's own words speak for it, and grade is 0 where it is 0, the likeliest of 1 to 3 elsewhere. Null texts and texts without a word
     have severity 0; repeated rows, null ids and other columns need no care: rows are scored one by one.
     """
 
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             each = -np.diff(np.c_[np.ones(len(p)), p, np.zeros(len(p))], axis=1)
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "severity": p.sum(1), "p_toxic": p[:, 0],
-                "grade": each.argmax(1).astype(np.int32), "toxic": bad,
+                "grade": np.where(bad, 1 + each[:, 1:].argmax(1), 0).astype(np.int32), "toxic": bad,
             })
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")

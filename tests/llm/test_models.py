@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tesselon.llm import language, lm, quality, toxicity
+from tesselon.llm.labelled import labelled_sample
 from tesselon.llm.queries import op3_quality, op4_lm_score, op5_language, op6_toxicity, table
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "¡!! 123"), (None, "the of and"), (5, "same text"), (5, "same text"), (6, "word " * 200_000)]
@@ -127,6 +128,30 @@ def test_thresholds_are_ordered_and_severity_rises():
     assert s == sorted(s) and m.exceed(m.evidence("plain words"))[0] < 0.5 < m.exceed(m.evidence("plain idiot"))[0]
 
 
+def test_toxicity_grade_follows_the_decision(spark):
+    bad = ["idiot", "idiot moron", "idiot moron scum filth"]
+    m = toxicity.fit([(b + f" word{i}", 1) for i in range(30) for b in bad] + [(f"fine day word{i}", 0) for i in range(90)])
+    docs = spark.createDataFrame(list(enumerate([*bad, "fine day", "", None])), "doc_id long, text string")
+    got = [r for r in toxicity.score(docs, m).orderBy("doc_id").collect()]
+    assert [r["toxic"] for r in got] == [1, 1, 1, 0, 0, 0]
+    assert [r["grade"] for r in got] == [1, 2, 3, 0, 0, 0]
+
+
+def test_labelled_sample_is_bounded_whatever_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(50)] + [(2, "a"), (2, "a"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: (r["text"], r["y"]) for r in labelled_sample(docs, labels, "toxic", 10).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == ("a", 1) and got[3] == ("", 0) and got[1][1] == 1
+    assert labelled_sample(docs, labels, "toxic", 10).count() == 3 and labelled_sample(docs, labels, "toxic", 2).count() == 2
+
+
+def test_toxicity_trains_on_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    m = toxicity.train(none, labels)
+    assert [r["toxic"] for r in toxicity.score(odd(spark), m).collect()] == [0] * len(ODD)
+
+
 def test_toxicity_odd_rows(spark):
     for rows in ([], [("a", 0)], [("a", 1)]):
         m = toxicity.fit(rows)
