@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 # --- fixed values ---------------------------------------------------------------------------------------
 LINE_TOLERANCE, EDGE_BUCKET, GRID_BUCKET = 0.45, 36, 8
 GRID_MIN, GRID_REPEAT, GRID_SHORT, GRID_SHARE = 12, 3, 12, 0.7
+GRID_MATH = "[=+∑∫√≤≥±×÷^]"
 BAND = 72.0
 LIST_MARKER = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+")
 CAPTION = re.compile(r"^\s*(?:figure|fig\.|table|chart)\s*\d", re.I)
@@ -114,7 +115,7 @@ def grid_kind(items: list[Item]) -> str:
     if not is_grid(items):
         return "none"
     texts = [i.text.strip() for i in items if i.text.strip()]
-    math = sum(bool(re.search(r"[=+∑∫√≤≥±×÷^]", t)) or len(t) <= 2 and t.isalpha() for t in texts) / len(texts)
+    math = sum(bool(re.search(GRID_MATH, t)) or len(t) <= 2 and t.isalpha() for t in texts) / len(texts)
     return "math" if math >= 0.5 else "table"
 
 
@@ -275,19 +276,42 @@ def blocks(lines: list[Line], width: float, furniture: set[str] = frozenset(), g
     return sorted(groups, key=lambda g: g[1][0])
 
 
-def line_features(text: str) -> dict[str, float]:
-    """LAY-10: shares of letters, digits, punctuation and short words, and the prose score in [0, 1]."""
-    tokens, chars = text.split(), max(1, len(re.sub(r"\s", "", text)))
-    n = len(tokens) or 1
-    alpha = len(re.findall("[A-Za-z]", text)) / chars
-    words = sum(bool(re.search("[A-Za-z]{2,}", t)) for t in tokens)
-    short = sum(len(t) <= 2 for t in tokens) / n if tokens else 0.0
-    length = sum(map(len, tokens)) / n if tokens else 0.0
-    prose = 0.35 * min(1, words / 8) + 0.25 * alpha + 0.2 * (1 - short) + 0.2 * min(1, length / 5)
-    return {
-        "words": words, "alpha": alpha, "numeric": len(re.findall(r"\d", text)) / chars, "punctuation": len(re.findall(r"[^\w\s]", text)) / chars,
-        "short": short, "length": length, "capitalised": sum(t[:1].isupper() and t[:1].isascii() for t in tokens) / n if tokens else 0.0, "prose": max(0.0, min(1.0, prose)),
-    }
+def line_features(text: Column) -> Column:
+    """LAY-10: words, shares of letters, digits, punctuation and short words, mean length, and the prose score in [0, 1]; a null text counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    count = lambda keep: F.length(F.regexp_replace(text, keep, ""))
+    tokens = F.filter(F.split(text, r"[ \x09-\x0D]+"), lambda w: w != "")
+    n, chars = F.greatest(F.size(tokens), F.lit(1)), F.greatest(count(r"[ \x09-\x0D]"), F.lit(1))
+    of_tokens = lambda test: F.size(F.filter(tokens, test))
+    words, alpha = of_tokens(lambda w: w.rlike("[A-Za-z]{2}")).cast("long"), count("[^A-Za-z]") / chars
+    short, length = of_tokens(lambda w: F.length(w) <= 2) / n, F.length(F.array_join(tokens, "")) / n
+    one = F.lit(1.0)
+    prose = 0.35 * F.least(one, words / 8) + 0.25 * alpha + (0.2 * (1 - short) + 0.2 * F.least(one, length / 5))
+    return F.struct(
+        words.alias("words"), alpha.alias("alpha"), (count("[^0-9]") / chars).alias("numeric"),
+        (count(r"[\p{L}\p{M}\p{N}_ \x09-\x0D]") / chars).alias("punctuation"), short.alias("short"), length.alias("length"),
+        (of_tokens(lambda w: w.rlike("^[A-Z]")) / n).alias("capitalised"), F.greatest(F.lit(0.0), F.least(one, prose)).alias("prose"),
+    )
+
+
+def grid_kinds(items: DataFrame) -> DataFrame:
+    """LAY-03, LAY-20 for any number of pages: (source_id, page_number, kind) of items (source_id, page_number, text, x, y).
+
+    Counts alone are grouped, so a page of any number of items is no array; a page whose items are all blank has no row.
+    """
+    page, text = ["source_id", "page_number"], F.trim("text")
+    bin_of = lambda c: F.floor(F.col(c) / GRID_BUCKET + 0.5)
+    math = text.rlike(GRID_MATH) | text.rlike(r"^\p{L}{1,2}$")
+    real = items.filter(text != "").select(
+        *page, F.explode(F.array(F.struct(F.lit("x").alias("axis"), bin_of("x").alias("bin")), F.struct(F.lit("y").alias("axis"), bin_of("y").alias("bin")))).alias("at"),
+        (F.length(text) <= GRID_SHORT).cast("long").alias("short"), math.cast("long").alias("math"))
+    bins = real.groupBy(*page, "at").agg(F.count("*").alias("n"), F.sum("short").alias("short"), F.sum("math").alias("math"))
+    on = lambda axis: F.col("at.axis") == axis
+    total = lambda c: F.sum(F.when(on("x"), F.col(c)))
+    repeats = lambda axis: F.count_if(on(axis) & (F.col("n") >= GRID_REPEAT))
+    per = bins.groupBy(*page).agg(total("n").alias("n"), total("short").alias("short"), total("math").alias("math"), repeats("x").alias("xs"), repeats("y").alias("ys"))
+    grid = (F.col("n") >= GRID_MIN) & (F.col("xs") >= 3) & (F.col("ys") >= 3) & (F.col("short") / F.col("n") >= GRID_SHARE)
+    return per.select(*page, F.when(~grid, "none").when(F.col("math") / F.col("n") >= 0.5, "math").otherwise("table").alias("kind"))
 
 
 LAYOUT_SCHEMA = (

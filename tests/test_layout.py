@@ -30,6 +30,27 @@ def test_grid_is_uncertain():
     assert layout.is_grid(items) and layout.columns(items, 600)[0] == "uncertain" and layout.grid_kind(items) == "table"
 
 
+def test_grid_kinds_of_tables_and_of_single_pages_agree(spark):
+    rng, rows = random.Random(4), []
+    for page in range(60):
+        words = [["7", "12.5", "long words of a line"], ["x", "a=b", "y"], ["12", " ", "x", "n/a"]][page % 3]
+        for i in range(rng.randrange(6, 30)):
+            rows.append(("d", page, i, rng.choice(words), 40.0 * rng.randrange(4) + rng.random(), 20.0 * rng.randrange(4)))
+    want = {}
+    for page in range(60):
+        items = [layout.Item(i, t, x, y, 10.0, 10.0) for _, p, i, t, x, y in rows if p == page]
+        want[page] = layout.grid_kind(items)
+    got = layout.grid_kinds(spark.createDataFrame(rows, "source_id string, page_number int, no int, text string, x double, y double"))
+    assert {r["page_number"]: r["kind"] for r in got.collect()} == want and set(want.values()) == {"none", "table", "math"}
+
+
+def test_line_features_of_odd_texts(spark):
+    df = spark.createDataFrame([("",), ("  \n ",), ("a",), ("Two Words, 12!",), (None,)], "t string")
+    got = [r[0] for r in df.select(layout.line_features(df.t)).collect()]
+    assert [r["words"] for r in got[:4]] == [0, 0, 0, 2] and got[0]["prose"] == got[1]["prose"] == 0.2 and got[4] == got[0]
+    assert abs(got[3]["punctuation"] - 2 / 12) < 1e-9 and got[3]["capitalised"] == 2 / 3 and got[3]["numeric"] == 2 / 12
+
+
 def test_page_text_joins_hyphens_and_maps_back():
     lines = layout.visual_lines([item(0, "The mea-", 10, 700), item(1, "sured value", 10, 686), item(2, "ends.", 80, 686), item(3, "Next-", 10, 672), item(4, "Line", 10, 658)])
     text, segments = layout.page_text(lines)
