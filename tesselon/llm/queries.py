@@ -1,4 +1,4 @@
-"""The ten registered queries: each applies its operator to its whole table with production parameters."""
+"""The registered queries: each applies its operator to its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm import ann, chat, decontaminate, language, lm, mixing, quality, sharding, simhash, toxicity
+from tesselon.llm import ann, chat, decontaminate, fim, language, lm, mixing, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,11 +66,20 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's fill-in-middle form and of the text rebuilt from it."""
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_mix, op3_quality, op4_lm_score, op5_language, op6_toxicity, op7_simhash, op8_chat,
-        op9_shard, op10_ann,
+        op9_shard, op10_ann, op13_fim,
     )
 }
 
@@ -102,4 +111,23 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(upto) FILTER (role = 'assistant' OR no = n)::BIGINT AS formatted_chars
         FROM r GROUP BY conv_id""",
+    # lines as a list, cut at two of its ranks; the text comes back from the parts themselves
+    "op13_fim": r"""
+        WITH l AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        c AS (SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a,
+                ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                        OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+                    WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+        p AS (SELECT *, array_to_string(list_slice(u, 1, least(a, b)), '') AS pre,
+                array_to_string(list_slice(u, least(a, b) + 1, greatest(a, b)), '') AS mid,
+                array_to_string(list_slice(u, greatest(a, b) + 1, n), '') AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+            sha256(pre || mid || suf) AS restored_sha256
+        FROM p""",
 }
