@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm import ann, chat, decontaminate, fim, language, lm, mixing, quality, sharding, simhash, toxicity
+from tesselon.llm import ann, chat, decontaminate, fim, language, lm, mining, mixing, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,13 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; one row in seven takes the next label first."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(rows.withColumn("label", moved.cast("long")))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's fill-in-middle form and of the text rebuilt from it."""
     out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
@@ -79,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_mix, op3_quality, op4_lm_score, op5_language, op6_toxicity, op7_simhash, op8_chat,
-        op9_shard, op10_ann, op13_fim,
+        op9_shard, op10_ann, op12_hard_negatives, op13_fim,
     )
 }
 
@@ -111,6 +118,22 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(upto) FILTER (role = 'assistant' OR no = n)::BIGINT AS formatted_chars
         FROM r GROUP BY conv_id""",
+    "op12_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+            row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+        FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same
+            AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+        QUALIFY rank <= 5""",
     # lines as a list, cut at two of its ranks; the text comes back from the parts themselves
     "op13_fim": r"""
         WITH l AS (
