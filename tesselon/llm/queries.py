@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm import ann, chat, decontaminate, fim, language, lm, mining, mixing, quality, sharding, simhash, toxicity
+from tesselon.llm import ann, chat, decontaminate, fim, language, lm, mining, mixing, quality, repeats, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,15 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every document because it repeats 50 bytes of an earlier one."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector; one row in seven takes the next label first."""
     rows = table(spark, sf_dir, "embeddings")
@@ -86,7 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_mix, op3_quality, op4_lm_score, op5_language, op6_toxicity, op7_simhash, op8_chat,
-        op9_shard, op10_ann, op12_hard_negatives, op13_fim,
+        op9_shard, op10_ann, op11_suffix_dedup, op12_hard_negatives, op13_fim,
     )
 }
 
