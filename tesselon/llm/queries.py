@@ -127,6 +127,24 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(upto) FILTER (role = 'assistant' OR no = n)::BIGINT AS formatted_chars
         FROM r GROUP BY conv_id""",
+    # bytes as pairs of hexadecimal digits; windows of 50 bytes out of pieces of 249, so that long texts are not walked for each
+    "op11_suffix_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        c AS (SELECT r, doc_id, o, substr(x, 2 * o + 1, 498) AS y FROM (SELECT *, unnest(range(0, length(x) // 2 - 49, 200)) AS o FROM d)),
+        w AS (SELECT r, doc_id, o + p AS p, substr(y, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(length(y) // 2 - 49)) AS p FROM c)),
+        f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        h AS (SELECT r, p FROM w JOIN f USING (s) WHERE least < doc_id),
+        b AS (SELECT r, p, coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -100) AS before FROM h),
+        g AS (SELECT r, p, count(*) FILTER (p > before + 50) OVER (PARTITION BY r ORDER BY p) AS island FROM b),
+        i AS (SELECT r, min(p) AS a, max(p) + 50 AS z FROM g GROUP BY r, island),
+        k AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS la, list(z ORDER BY a) AS lz FROM i GROUP BY r),
+        -- what is left stands before the first run, between two, and behind the last
+        e AS (SELECT doc_id, x, n_spans, n_removed, list_append(coalesce(la, []), length(x) // 2) AS ends,
+                list_prepend(0, coalesce(lz, [])) AS starts FROM d LEFT JOIN k USING (r))
+        SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+            sha256(unhex(array_to_string(list_transform(range(1, len(ends) + 1),
+                lambda j: substr(x, 2 * starts[j] + 1, 2 * (ends[j] - starts[j]))), ''))) AS kept_sha256
+        FROM e""",
     "op12_hard_negatives": """
         WITH e AS (
             SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
