@@ -20,8 +20,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.01"
-
-
-def pytest_collection_modifyitems(items):
-    """A test known to fail (see the README) comes last, so that a run with -x reports all the others."""
-    items.sort(key=lambda i: i.name == "test_each_stage_against_brute_force")
