@@ -26,20 +26,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.llm.suffixes import deep_shallow_sort
-from tesselon.session import materialize, shared_dir
+from tesselon.session import shared_dir
 
 GRAM = 24
 BLOCK_BYTES = 4 << 20
 #: Text of the corpus for each bucket: anchors are 5 % of it, strings more.
 ANCHOR_BUCKET_BYTES, STRING_BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 4 << 20, 64
+#: Text of the corpus for each bucket of the table of blocks.
+TABLE_BUCKET_BYTES = 16 << 20
 #: Windows in a string at most; documents from which on an anchor is very frequent.
 STRING_WINDOWS, FREQUENT = 128, 2000
-#: Answers to all blocks that may be broadcast; beyond it blocks are shuffled to their answers.
-BROADCAST_BYTES = 64 << 20
 _LAST = np.iinfo(np.int64).max
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -142,8 +142,30 @@ def _blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of documents, in order of id within a block, written to the shared folder."""
+def _deltas(values: np.ndarray) -> bytes:
+    """Differences of whole numbers, compressed; their size stands in front."""
+    raw = np.diff(values.astype(np.int64), prepend=0).tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _undelta(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(_expand(blob), np.int64))
+
+
+def _compress(data: np.ndarray) -> bytes:
+    return data.nbytes.to_bytes(4, "little") + pa.compress(data.tobytes(), codec="zstd", asbytes=True)
+
+
+def _expand(blob: bytes) -> bytes:
+    n = int.from_bytes(blob[:4], "little")
+    return pa.decompress(blob[4:], decompressed_size=n, codec="zstd", asbytes=True) if n else b""
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """Blocks of documents, in order of id within a block, as a table in the shared folder.
+
+    The table is bucketed by block, so a join on it moves the answers to the blocks and not the texts.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
@@ -153,7 +175,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def block():
             held.sort(key=lambda x: _LAST if x[0] is None else x[0])
             return pa.RecordBatch.from_pydict({
-                "block": pa.array([(part << 32) + count], pa.int64()), "size": pa.array([size], pa.int64()),
+                "block": pa.array([(part << 32) + count], pa.int64()),
                 "ids": [np.array([_LAST if i is None else i for i, _ in held], np.int64).tobytes()],
                 "nulls": [np.array([i is None for i, _ in held]).tobytes()],
                 "lens": [np.array([len(t) for _, t in held], np.int64).tobytes()], "data": [b"".join(t for _, t in held)],
@@ -170,20 +192,20 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield block()
 
-    schema = "block long, size long, ids binary, nulls binary, lens binary, data binary"
-    path = f"{shared_dir(spark)}/repeats-blocks-{uuid.uuid4().hex[:12]}"
+    schema = "block long, ids binary, nulls binary, lens binary, data binary"
+    name = f"tesselon_blocks_{uuid.uuid4().hex[:12]}"
     # rows of some megabytes: small row groups, looked at from the first row on
     small = {"compression": "zstd", "parquet.block.size": str(8 * BLOCK_BYTES), "parquet.page.size.row.check.min": "1"}
-    rows.mapInArrow(run, schema).write.options(**small).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    written = rows.mapInArrow(run, schema).write.options(**small, path=f"{shared_dir(spark)}/{name}")
+    written.bucketBy(buckets, "block").saveAsTable(name, format="parquet")
+    return spark.table(name)
 
 
-def _answered(blocks: DataFrame, answers: DataFrame, *columns: str) -> DataFrame:
-    """Blocks beside the array of what ``answers`` (a written table) holds for each, null if nothing."""
-    size = answers.agg(F.sum(sum((F.octet_length(c) for c in columns), F.lit(32)))).first()[0] or 0
+def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Blocks beside the array of what ``answers`` holds for each, null if nothing; the blocks stay where they are."""
     fields = [c for c in answers.columns if c != "block"]
     grouped = answers.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("answers"))
-    return blocks.join(F.broadcast(grouped) if size <= BROADCAST_BYTES else grouped, "block", "left")
+    return blocks.join(grouped.hint("merge"), "block", "left")
 
 
 def _shared_anchors(blocks: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -214,11 +236,11 @@ def _shared_anchors(blocks: DataFrame, window: int, buckets: int) -> DataFrame:
 
     asked = blocks.select("block", "ids", "lens", "data").mapInArrow(ask, "bucket int, block long, piece int, low binary, docs binary")
     answers = asked.groupBy("bucket").applyInPandas(answer, "block long, piece int, bucket int, shared binary, frequent binary")
-    return materialize(answers.filter(F.octet_length("shared") > 0), "repeats-anchors")
+    return answers.filter(F.octet_length("shared") > 0)
 
 
 def _repeated_windows(answered: DataFrame, window: int, anchor_buckets: int, buckets: int) -> DataFrame:
-    """(block, starts, ends): ranges of first bytes of repeated windows, as places in the block."""
+    """(block, starts, lens): ranges of first bytes of repeated windows, as places in the block, packed by ``_deltas``."""
 
     def strings(block: Block, piece: int, run: tuple, answers: list[dict]) -> pa.RecordBatch | None:
         begin, length, anchor, doc = run
@@ -274,18 +296,18 @@ def _repeated_windows(answered: DataFrame, window: int, anchor_buckets: int, buc
         at_s = np.r_[at_s, len(by)]
         to = rank[o_string]
         o_by = np.argsort(to, kind="stable")
-        at_o = np.searchsorted(to[o_by], at_s)
-        nth = to[o_by] - np.repeat(at_s[:-1], np.diff(at_o))
+        places, counts = o_start[o_by], np.bincount(to, minlength=len(by))
+        at_o = np.r_[0, np.cumsum(counts)][at_s]
         lens = s_len[by] + extra
         at_b = np.r_[0, np.cumsum(lens)][at_s]
-        m, none = len(some) + 1, lambda x: np.r_[x, x[-1]]
+        raw, ids = data[_ranges(s_start[by], lens)], block.ids[s_doc[by]]
+        cut = lambda values, at, how: [how(values[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        ups, downs = turns[sure[turns] > 0], turns[sure[turns] < 0]
+        # the last row is what is sure already: ranges, no strings
         return pa.RecordBatch.from_pydict({
-            # the last row is what is sure already: ranges, no strings
-            "bucket": np.r_[some, block.id % buckets].astype(np.int32), "block": np.full(m, block.id),
-            "data": _blobs(data[_ranges(s_start[by], lens)], none(at_b)), "lens": _blobs(lens.astype(np.uint32), none(at_s)),
-            "ids": _blobs(block.ids[s_doc[by]], none(at_s)),
-            "places": _blobs(np.r_[o_start[o_by], turns[sure[turns] > 0]].astype(np.uint32), np.r_[at_o, at_o[-1] + len(turns) // 2]),
-            "strings": _blobs(np.r_[nth, turns[sure[turns] < 0]].astype(np.uint32), np.r_[at_o, at_o[-1] + len(turns) // 2]),
+            "bucket": np.r_[some, block.id % buckets].astype(np.int32), "block": np.full(len(some) + 1, block.id),
+            "data": [*cut(raw, at_b, _compress), None], "lens": [*cut(lens, at_s, _deltas), None], "ids": [*cut(ids, at_s, _deltas), None],
+            "places": [*cut(places, at_o, _deltas), _deltas(ups)], "counts": [*cut(counts, at_s, _deltas), _deltas(downs - ups)],
         })
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,15 +321,14 @@ def _repeated_windows(answered: DataFrame, window: int, anchor_buckets: int, buc
                             yield out
 
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
-        asks = rows[rows["data"].map(len) > 0]
-        sure = rows[rows["data"].map(len) == 0]
-        out = list(zip(sure["block"], sure["places"], sure["strings"], strict=True))
+        asks, sure = rows[rows["data"].notna()], rows[rows["data"].isna()]
+        out = list(zip(sure["block"], sure["places"], sure["counts"], strict=True))
         if not len(asks):
-            return pd.DataFrame(out, columns=["block", "starts", "ends"])
-        lens = np.frombuffer(b"".join(asks["lens"]), np.uint32).astype(np.int64)
-        ids = np.frombuffer(b"".join(asks["ids"]), np.int64)
+            return pd.DataFrame(out, columns=["block", "starts", "lens"])
+        each = [_undelta(x) for x in asks["lens"]]
+        lens, ids = np.concatenate(each), np.concatenate([_undelta(x) for x in asks["ids"]])
         # equal strings of several blocks are sorted once, for the smallest id
-        raw, found = b"".join(asks["data"]), {}
+        raw, found = b"".join(map(_expand, asks["data"])), {}
         ends = np.cumsum(lens)
         own = np.array([found.setdefault(raw[e - n : e], len(found)) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)], np.int64)
         least = np.full(len(found), _LAST)
@@ -333,20 +354,21 @@ def _repeated_windows(answered: DataFrame, window: int, anchor_buckets: int, buc
         lo, hi = lo - begins[string], hi - begins[string]
         first = np.searchsorted(string, np.arange(len(lens) + 1))
         base = 0
-        for block, places, strings_, m in zip(asks["block"], asks["places"], asks["strings"], asks["lens"], strict=True):
-            place = np.frombuffer(places, np.uint32).astype(np.int64)
-            which = np.frombuffer(strings_, np.uint32) + base
-            base += len(m) // 4
+        for block, places, counts, m in zip(asks["block"], asks["places"], asks["counts"], each, strict=True):
+            which = np.repeat(np.arange(base, base + len(m)), _undelta(counts))
+            base += len(m)
             times = first[which + 1] - first[which]
-            pick, place = _ranges(first[which], times), np.repeat(place, times)
+            pick, place = _ranges(first[which], times), np.repeat(_undelta(places), times)
             if len(pick):
-                out.append((block, (place + lo[pick]).astype(np.uint32).tobytes(), (place + hi[pick]).astype(np.uint32).tobytes()))
-        return pd.DataFrame(out, columns=["block", "starts", "ends"])
+                start = place + lo[pick]
+                by = np.argsort(start)
+                out.append((block, _deltas(start[by]), _deltas((hi - lo)[pick][by])))
+        return pd.DataFrame(out, columns=["block", "starts", "lens"])
 
-    shape = "bucket int, block long, data binary, lens binary, ids binary, places binary, strings binary"
+    shape = "bucket int, block long, data binary, lens binary, ids binary, places binary, counts binary"
     sent = answered.select("block", "ids", "lens", "data", "answers").mapInArrow(send, shape)
-    found = sent.groupBy("bucket").applyInPandas(sort, "block long, starts binary, ends binary")
-    return materialize(found.filter(F.octet_length("starts") > 0), "repeats-found")
+    found = sent.groupBy("bucket").applyInPandas(sort, "block long, starts binary, lens binary")
+    return found.filter(F.octet_length("starts") > 4)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,11 +383,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     empty table gives no rows; a document of any length is handled in pieces of ``BLOCK_BYTES`` windows; other columns
     are not read.
     """
-    blocks = pack(docs, id_col, text_col)
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    few, many = (max(LEAST_BUCKETS, total // n) for n in (ANCHOR_BUCKET_BYTES, STRING_BUCKET_BYTES))
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    few, many, tables = (max(LEAST_BUCKETS, total // n) for n in (ANCHOR_BUCKET_BYTES, STRING_BUCKET_BYTES, TABLE_BUCKET_BYTES))
+    blocks = pack(docs, id_col, text_col, tables)
     anchors = _shared_anchors(blocks, window, few)
-    windows = _repeated_windows(_answered(blocks, anchors, "shared", "frequent"), window, few, many)
+    windows = _repeated_windows(_answered(blocks, anchors), window, few, many)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,8 +396,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 n, starts, ends = len(block.data), block.starts, block.starts + block.lens
                 edge = np.zeros(n + 1, np.int32)
                 for a in row["answers"] or []:
-                    np.add.at(edge, np.frombuffer(a["starts"], np.uint32), 1)
-                    np.add.at(edge, np.frombuffer(a["ends"], np.uint32).astype(np.int64) + window - 1, -1)
+                    at = _undelta(a["starts"])
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + _undelta(a["lens"]) + window - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 new, last = gone.copy(), gone.copy()
                 new[1:] &= ~gone[:-1]
@@ -394,5 +417,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                     "kept": _blobs(block.data[~gone], np.r_[left[starts], left[n]]),
                 })
 
-    out = _answered(blocks, windows, "starts", "ends").select("block", "ids", "nulls", "lens", "data", "answers")
+    out = _answered(blocks, windows).select("block", "ids", "nulls", "lens", "data", "answers")
     return out.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")

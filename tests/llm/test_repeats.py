@@ -72,7 +72,6 @@ def test_edges(spark, monkeypatch):
             (7, "x" * 50), (8, "x" * 51), (9, "x" * 49), (-5, a[10:]), (10, "ab" * 500 + a), (11, "ab" * 400)]
     want = slow(rows)
     assert met(spark, rows) == want
-    monkeypatch.setattr(repeats, "BROADCAST_BYTES", -1)  # blocks are shuffled to their answers
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 64)
     assert met(spark, rows) == want
     assert met(spark, rows, window=10) == slow(rows, 10) and met(spark, rows, window=3) == slow(rows, 3)
