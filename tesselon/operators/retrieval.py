@@ -421,24 +421,72 @@ def scoped_retrieve(queries: DataFrame, chunks: DataFrame, scope, exclude: list[
     return retrieve(asked, inside, limit, digits)
 
 
-def full_text_search(queries: DataFrame, chunks: DataFrame, limit: int = 12, digits: int = 9) -> DataFrame:
-    """RET-25, SRT-06: (query_id, chunk_id, rank, score) of an OR of up to twelve terms over an inverted index.
+#: What one occurrence counts in a cover, and the terms of a question that are searched.
+COVER_WEIGHT, FULL_TEXT_TERMS = 0.1, 12
 
-    A term and a word meet by their stems. The relational original ranks by cover density, which has no fixed
-    definition across versions; here the rank is defined: the sum over a query's stems of ln(1 + n / df) * tf /
-    (tf + 1.2), ties by chunk_id. Postings of the queries' stems alone are aggregated.
+
+def positional_postings(chunks: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """(stem, chunk_id, positions): where the words of each stem stand in a chunk, from 1 over all its words, ascending.
+
+    ``stems`` (a column stem) keeps these alone, before anything is shuffled. A null text has no words.
     """
-    n = chunks.count()
-    parts = F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: F.length(t) > 2)), 1, 12)
+    words = chunks.select("chunk_id", F.posexplode(tx.nonempty(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("at", "w"))
+    words = words.select("chunk_id", (F.col("at") + 1).alias("at"), tx.stem(F.col("w")).alias("stem"))
+    if stems is not None:
+        words = words.join(_sized(stems.select("stem").distinct()), "stem")
+    return words.groupBy("stem", "chunk_id").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+
+
+def covers(met: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, end, inside): the minimal covers of each group of rows (keys, term, terms, at).
+
+    A cover is a stretch of positions that holds each of the group's ``terms`` (a count), and no shorter one. Sweep over the
+    merged positions: at each end it starts at the earliest of the terms' last places; where that moves on, a
+    cover ends. inside counts the occurrences in it. Groups that lack a term have none.
+    """
+    upto = Window.partitionBy(*keys).orderBy("at")
+    seen = met.withColumn("no", F.row_number().over(upto))
+    # each occurrence is its term's last place from itself up to the one before the next
+    after = F.lead("no").over(Window.partitionBy(*keys, "term").orderBy("at"))
+    total = F.count("*").over(Window.partitionBy(*keys))
+    life = seen.withColumns({"until": F.coalesce(after - 1, total)}).select(*keys, "term", "terms", "at", "no", "until")
+    # the earliest last place is an occurrence that is live: of those live at an end the one with the smallest number
+    live = life.select(*keys, "terms", F.col("at").alias("start"), F.col("no").alias("first"), F.explode(F.sequence("no", "until")).alias("end_no"))
+    per = live.groupBy(*keys, "end_no").agg(F.count("*").alias("n"), F.first("terms").alias("terms"), F.min("start").alias("start"), F.min("first").alias("first"))
+    per = per.filter(F.col("n") == F.col("terms"))
+    moved = F.coalesce(F.col("start") > F.lag("start").over(Window.partitionBy(*keys).orderBy("end_no")), F.lit(True))
+    ends = seen.select(*keys, F.col("no").alias("end_no"), F.col("at").alias("end"))
+    return per.withColumn("moved", moved).filter("moved").join(ends, [*keys, "end_no"]).select(
+        *keys, "start", "end", (F.col("end_no") - F.col("first") + 1).alias("inside")
+    )
+
+
+def full_text_search(
+    queries: DataFrame, chunks: DataFrame, limit: int = 12, digits: int = 9, match: str = "any", terms: int = FULL_TEXT_TERMS, posts: DataFrame | None = None
+) -> DataFrame:
+    """RET-25, SRT-06: (query_id, chunk_id, score, rank) by cover density over positional postings, ties by chunk_id.
+
+    A question's first ``terms`` distinct words of more than two characters count; a term and a word meet by their stems.
+    Each minimal cover of the query adds 0.1 / (1 + words in it that are no occurrence). With ``match`` any (terms joined by
+    OR) each occurrence is a cover of its own; with all (joined by AND) a cover holds every stem of the question, and
+    chunks that lack one are left out. ``posts`` are postings that are kept; else those of the questions' stems are made.
+    """
+    parts = F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: F.length(t) > 2)), 1, terms)
     asked = queries.select("query_id", F.explode(parts).alias("t")).select("query_id", tx.stem(F.col("t")).alias("stem")).distinct()
-    wanted = asked.select("stem").distinct()
-    words = chunks.select("chunk_id", F.explode(tx.nonempty(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("w")).groupBy("chunk_id", "w").agg(F.count("*").alias("n"))
-    posts = words.withColumn("stem", tx.stem(F.col("w"))).join(_sized(wanted), "stem").groupBy("stem", "chunk_id").agg(F.sum("n").alias("tf"))
-    posts = materialize(posts, "fts")
-    weight = posts.groupBy("stem").agg(F.log(1 + F.lit(float(n)) / F.count("*")).alias("idf"))
-    part = F.col("idf") * F.col("tf") / (F.col("tf") + 1.2)
-    scored = posts.join(_sized(weight), "stem").join(_sized(asked), "stem").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), digits).alias("score"))
+    posts = positional_postings(chunks, asked) if posts is None else posts
+    if match == "any":
+        counts = posts.select("stem", "chunk_id", F.size("positions").alias("n"))
+        scored = counts.join(_sized(asked), "stem").groupBy("query_id", "chunk_id").agg((F.sum("n") * COVER_WEIGHT).alias("score"))
+    else:
+        asked = asked.join(asked.groupBy("query_id").agg(F.count("*").alias("terms")), "query_id")
+        met = posts.join(_sized(asked), "stem")
+        # only pairs that hold all stems fetch their positions
+        whole = met.groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.first("terms").alias("terms")).filter("n = terms").select("query_id", "chunk_id")
+        met = met.join(whole, ["query_id", "chunk_id"]).select("query_id", "chunk_id", F.col("stem").alias("term"), "terms", F.explode("positions").alias("at"))
+        noise = F.col("end") - F.col("start") + 1 - F.col("inside")
+        scored = covers(met, ["query_id", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum(COVER_WEIGHT / (1 + noise)).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    scored = scored.withColumn("score", F.round("score", digits))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 

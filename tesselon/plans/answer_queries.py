@@ -134,15 +134,33 @@ def structural_topk(spark, sf_dir):
     fp AS (SELECT query_id, t, min(i) AS i FROM pl WHERE length(t) > 2 GROUP BY 1, 2), tw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS rn FROM fp),
     asked AS (SELECT DISTINCT query_id, {base._stem_sql('t')} AS stem FROM tw WHERE rn <= 12),
     w AS (SELECT doc_id AS chunk_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents), p AS (SELECT chunk_id, {base._stem_sql('w')} AS stem, count(*) AS tf FROM w GROUP BY 1, 2),
-    d AS (SELECT stem, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS idf FROM p GROUP BY 1),
-    s AS (SELECT query_id, chunk_id, round(sum(idf * tf / (tf + 1.2::DOUBLE)), 9) AS score FROM asked JOIN p USING (stem) JOIN d USING (stem) GROUP BY 1, 2)
+    s AS (SELECT query_id, chunk_id, round(sum(tf) * 0.1::DOUBLE, 9) AS score FROM asked JOIN p USING (stem) GROUP BY 1, 2)
     SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 12""")
 def full_text_topk(spark, sf_dir):
-    """RET-25, SRT-06."""
+    """RET-25, SRT-06: terms joined by OR, each occurrence a cover."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
     return retrieval.full_text_search(base.questions(spark, sf_dir), base.spread_small(d)).select("query_id", "chunk_id", "score", "rank")
 
 
+# the last place of each stem up to each occurrence, by a self-join of the places of one question in one document
+@query(f"""WITH ws AS (SELECT item_id AS query_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: length(x) > 2) AS ws FROM benchmark),
+    tw AS (SELECT query_id, w, min(i) AS i FROM (SELECT query_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM ws) GROUP BY 1, 2),
+    asked AS (SELECT DISTINCT query_id, {base._stem_sql('w')} AS stem FROM (SELECT * FROM tw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 3)),
+    dw AS (SELECT doc_id AS chunk_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents),
+    pos AS (SELECT chunk_id, {base._stem_sql('w')} AS stem, i FROM (SELECT chunk_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM dw)),
+    o AS (SELECT query_id, chunk_id, stem, i FROM asked JOIN pos USING (stem)),
+    l AS (SELECT a.query_id, a.chunk_id, a.i AS e, b.stem, max(b.i) AS last FROM o a JOIN o b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.i <= a.i GROUP BY ALL),
+    c AS (SELECT query_id, chunk_id, e, min(last) AS s, count(*) AS n FROM l GROUP BY ALL),
+    k AS (SELECT *, lag(s) OVER (PARTITION BY query_id, chunk_id ORDER BY e) AS before FROM c JOIN (SELECT query_id, count(*) AS n FROM asked GROUP BY 1) USING (query_id, n)),
+    v AS (SELECT k.query_id, k.chunk_id, k.s, k.e, count(*) AS inside FROM k JOIN o ON o.query_id = k.query_id AND o.chunk_id = k.chunk_id AND o.i BETWEEN k.s AND k.e WHERE before IS NULL OR s > before GROUP BY ALL),
+    r AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (1 + e - s + 1 - inside)), 9) AS score FROM v GROUP BY ALL)
+    SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM r QUALIFY rank <= 12""")
+def cover_density_topk(spark, sf_dir):
+    """RET-25: the first three terms of each question joined by AND, ranked by the density of their minimal covers."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return retrieval.full_text_search(base.questions(spark, sf_dir), base.spread_small(d), match="all", terms=3).select("query_id", "chunk_id", "score", "rank")
+
+
 _HITS_OF = lambda h: f"CASE WHEN contains({h}, term) THEN 1 + 0.35::DOUBLE * (length({h}) - length(replace({h}, term, ''))) / length(term) ELSE 0 END"
 
 
