@@ -1,65 +1,9 @@
-"""Keyed event streams: id-keyed upsert, rate limits, quotas, topic threads, once-only events.
-
-Each has a batch twin in ``tesselon.operators.sessions``; tests hold the one against the other.
-"""
+"""Event streams that Spark's own watermarked aggregates express, and the merge of a stream into a table; see ``timers`` for keyed state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-THREAD_TTL_MS = 45_000
-
-
-def heard_stream(events: DataFrame) -> DataFrame:
-    """STM-05: (id, seq, at, text, outcome) of every event; state per id: first time and latest text."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, said = state.get if state.exists else (None, None)
-        out = []
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            text = e.text if isinstance(e.text, str) else ""
-            if not text:
-                outcome = "empty"
-            elif said is None:
-                outcome, at, said = "appended", e.at, text
-            elif said == text:
-                outcome = "ignored"
-            else:
-                outcome, said = "rewritten", text
-            out.append((key[0], e.seq, at, text, outcome))
-        if said is not None:
-            state.update((at, said))
-        yield pd.DataFrame(out, columns=["id", "seq", "at", "text", "outcome"]).astype({"at": "datetime64[ns]"})
-
-    return events.groupBy("id").applyInPandasWithState(
-        run, "id long, seq long, at timestamp, text string, outcome string", "at timestamp, text string", "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
-def rate_limit_stream(events: DataFrame, limit: int = 120, seconds: int = 3600) -> DataFrame:
-    """STM-10: (user_id, event_id, window_start_ms, allowed); a window opens at the first event after the last one ended."""
-    span = seconds * 1000
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (None, 0)
-        out = []
-        for e in pd.concat(list(batches)).sort_values(["ms", "event_id"]).itertuples(index=False):
-            if start is None or e.ms - start >= span:
-                start, n = int(e.ms), 0
-            n += 1
-            out.append((key[0], e.event_id, start, n <= limit))
-        state.update((start, n))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "window_start_ms", "allowed"])
-
-    return events.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, event_id long, window_start_ms long, allowed boolean", "start long, n int", "append", GroupStateTimeout.NoTimeout
-    )
 
 
 def daily_quota_stream(events: DataFrame, limit: int = 20, late: str = "1 day") -> DataFrame:
@@ -74,60 +18,6 @@ def once_stream(events: DataFrame, keys: list[str], late: str = "1 hour") -> Dat
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def newest_gate_stream(events: DataFrame) -> DataFrame:
-    """STM-06: (meeting_id, id, seq, opens): an event of the other side opens the gate if no later line has been seen;
-    a rewrite of an older line never does. State: the largest ordinal."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top = state.get[0] if state.exists else -1
-        out = []
-        for e in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            opens = e.role == "them" and e.ordinal >= top
-            if e.role == "them":
-                top = max(top, int(e.ordinal))
-            out.append((key[0], e.id, e.seq, opens))
-        state.update((top,))
-        yield pd.DataFrame(out, columns=["meeting_id", "id", "seq", "opens"])
-
-    return events.groupBy("meeting_id").applyInPandasWithState(
-        run, "meeting_id long, id long, seq long, opens boolean", "top long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def thread_rows(rows: pd.DataFrame, thread: tuple | None, ttl_ms: int = THREAD_TTL_MS) -> tuple[list[tuple], tuple | None]:
-    """STM-08 over rows in order of time: what each answer can refer to, and the thread it leaves.
-
-    An answer that speaks becomes the thread, a self-contained question without an answer clears it, an
-    unanswered follow-up leaves it; a thread older than ``ttl_ms`` cannot be reached.
-    """
-    out = []
-    for e in rows.sort_values(["ms", "seq"]).itertuples(index=False):
-        alive = thread is not None and e.ms - thread[1] < ttl_ms
-        out.append((e.seq, thread[0] if alive else None))
-        if isinstance(e.say, str) and e.say:
-            thread = (e.topic, int(e.ms))
-        elif not e.follow_up:
-            thread = None
-    return out, thread
-
-
-def thread_stream(answers: DataFrame, ttl_ms: int = THREAD_TTL_MS) -> DataFrame:
-    """STM-08, SCL-14: (meeting_id, seq, reaches) of a stream (meeting_id, seq, ms, topic, say, follow_up)."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, thread = thread_rows(pd.concat(list(batches)), tuple(state.get) if state.exists else None, ttl_ms)
-        if thread is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(thread)
-        yield pd.DataFrame([(key[0], s, t) for s, t in out], columns=["meeting_id", "seq", "reaches"])
-
-    return answers.groupBy("meeting_id").applyInPandasWithState(
-        run, "meeting_id long, seq long, reaches string", "topic string, at long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def merge_latest(path: str, keys: list[str], order: str):
     """STM-09: a foreachBatch function that keeps the latest row of each key in the Parquet table at ``path``.
 

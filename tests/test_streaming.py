@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from tesselon.operators import sessions
 from tesselon.streaming import events as ev
 from tesselon.streaming import lanes
 
@@ -82,38 +81,6 @@ def test_lane_stream_equals_batch(spark, tmp_path):
     assert batch and key(run(spark, df, lanes.segment_stream, tmp_path, "lanes")) == batch
 
 
-def test_heard_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(1)
-    rows = [(i, rng.randrange(12), rng.choice(["", "a", "b", "c"]), "them") for i in range(120)]
-    df = spark.createDataFrame(rows, "seq long, id long, text string, role string").selectExpr("*", "timestamp_seconds(seq) at")
-    got = sorted((r["seq"], r["outcome"]) for r in run(spark, df, ev.heard_stream, tmp_path, "heard"))
-    assert got == sorted((r["seq"], r["outcome"]) for r in sessions.heard_outcomes(df).collect())
-
-
-def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(2)
-    t, rows = 0, []
-    for i in range(150):
-        t += rng.randrange(30)
-        rows.append((i, i, rng.randrange(4), t * 1000))
-    df = spark.createDataFrame(rows, "seq long, event_id long, user_id long, ms long").selectExpr("*", "timestamp_millis(ms) ts")
-    got = sorted((r["event_id"], r["allowed"]) for r in run(spark, df, lambda s: ev.rate_limit_stream(s, 3, 120), tmp_path, "limits"))
-    want = sorted((r["event_id"], r["allowed"]) for r in sessions.fixed_window_limit(df, 3, 120).collect())
-    assert got == want and not all(a for _, a in got)
-
-
-def test_newest_gate_and_threads(spark, tmp_path):
-    rows = [(0, 1, 10, 0, "them"), (1, 1, 11, 1, "them"), (2, 1, 10, 0, "them"), (3, 1, 12, 2, "you"), (4, 1, 11, 1, "them")]
-    df = spark.createDataFrame(rows, "seq long, meeting_id long, id long, ordinal long, role string")
-    got = {r["seq"]: r["opens"] for r in run(spark, df, ev.newest_gate_stream, tmp_path, "gate")}
-    assert got == {0: True, 1: True, 2: False, 3: False, 4: True}
-    rows = [(0, 1, 0, "a", "yes", False), (1, 1, 10_000, "x", None, True), (2, 1, 20_000, "y", None, False), (3, 1, 21_000, "z", "ok", True), (4, 1, 66_000, "w", None, True)]
-    df = spark.createDataFrame(rows, "seq long, meeting_id long, ms long, topic string, say string, follow_up boolean")
-    got = {r["seq"]: r["reaches"] for r in run(spark, df, ev.thread_stream, tmp_path, "threads")}
-    # the answer at 21 s becomes the thread and is 45 s old at 66 s
-    assert got == {0: None, 1: "a", 2: "a", 3: None, 4: None}
-
-
 def test_quota_and_once_and_merge(spark, tmp_path):
     rows = [(i, i % 3, i % 5, i) for i in range(60)]
     df = spark.createDataFrame(rows, "seq long, user_id long, k long, s long").selectExpr("*", "timestamp_seconds(s * 3600) ts")
