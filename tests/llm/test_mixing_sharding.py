@@ -136,3 +136,21 @@ def test_walk_is_the_bounded_ring_and_moves_little():
     arc = np.searchsorted(points, at) % len(points)
     assert (owner[arc] == a).mean() > 0.75
     assert (a != b).mean() < 0.4
+
+
+def test_a_million_equal_rows_and_many_texts_under_one_id(spark, monkeypatch):
+    """Neither is counted, collected or ranked in one task."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 200)
+    n = 1_000_000
+    same = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("s").alias("source"))
+    texts = spark.range(3000).select(F.lit(8).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    docs = same.unionByName(texts)
+    for out in (sharding.assign_shards(docs, 16), sharding.shard_documents(docs, 16)):
+        per = out.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("top")).collect()
+        assert len(per) == 16 and all(r["n"] == r["slots"] == r["top"] + 1 for r in per) and sum(r["n"] for r in per) == n + 3000
+        assert max(r["n"] for r in per) - min(r["n"] for r in per) <= 1
+    assert out.filter("doc_id = 8").select("text").distinct().count() == 3000
+    plan = sharding.shard_documents(docs, 16)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
