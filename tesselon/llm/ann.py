@@ -2,7 +2,7 @@
 
 Vectors are cut into two halves, each quantised by its own codebook of K centroids (k-means on a
 bounded sample); a vector's cell is its pair of centroids. A query sorts the centroids of each half by
-distance and walks the K x K pairs in order of summed distance with a heap, cell by cell, until the
+distance and walks the occupied ones of the K x K pairs in order of summed distance with a heap, cell by cell, until the
 cells hold ``visit`` of all indexed vectors. The entries of those cells are reranked by exact distance
 in double precision on the original vectors.
 
@@ -28,6 +28,8 @@ CENTROIDS = 512
 #: Bound of the sample that the codebooks are fitted on.
 SAMPLE_ROWS = 8192
 CHUNK_ROWS = 4096
+#: Queries that walk their cells in one task.
+PROBES_A_TASK = 32
 SEED = 5
 
 
@@ -59,32 +61,39 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def cells_in_order(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
-    """Non-empty cells (i * K2 + j) by rising d1[i] + d2[j] until they hold ``enough`` entries."""
-    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, out, held, k2 = [(d1[o1[0]] + d2[o2[0]], 0, 0)], [], 0, len(d2)
-    while heap and held < enough:
-        _, a, b = heapq.heappop(heap)
-        i, j = int(o1[a]), int(o2[b])
-        if counts[i, j]:
-            out.append(i * k2 + j)
-            held += int(counts[i, j])
-        # each pair is reached from the one before it in its row, rows from the one before in column 0
-        if b + 1 < len(o2):
-            heapq.heappush(heap, (d1[i] + d2[o2[b + 1]], a, b + 1))
-        if b == 0 and a + 1 < len(o1):
-            heapq.heappush(heap, (d1[o1[a + 1]] + d2[j], a + 1, 0))
+    """Occupied cells (i * K2 + j) by rising d1[i] + d2[j] until they hold ``enough`` entries.
+
+    The heap holds, for each centroid of the first half, the nearest of its occupied partners that is not visited yet, so empty
+    pairs are never walked.
+    """
+    rows, cols = np.nonzero(counts)
+    by = np.lexsort((d2[cols], rows))
+    rows, cols = rows[by], cols[by]
+    sums, held = (d1[rows] + d2[cols]).tolist(), counts[rows, cols].tolist()
+    cells, ends = (rows * len(d2) + cols).tolist(), np.searchsorted(rows, rows, side="right").tolist()
+    heap = [(sums[p], p) for p in np.unique(np.searchsorted(rows, rows)).tolist()]
+    heapq.heapify(heap)
+    out, have = [], 0
+    while heap and have < enough:
+        p = heap[0][1]
+        out.append(cells[p])
+        have += held[p]
+        if p + 1 < ends[p]:
+            heapq.heapreplace(heap, (sums[p + 1], p + 1))
+        else:
+            heapq.heappop(heap)
     return out
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 10, query_every: int = 100, visit: float = 0.25, min_visit: int = 2000,
+    vectors: DataFrame, k: int = 10, query_every: int = 100, visit: float = 0.25,
     centroids: int = CENTROIDS, id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``query_every`` its k nearest.
 
     score is the Euclidean distance in double precision on the original vectors; nearest first, ties
-    to the smaller vec_id. The query's own row is no candidate. ``visit`` is the share of all vectors
-    (and ``min_visit`` the least number) whose cells a query walks.
+    to the smaller vec_id. The query's own row is no candidate. A query walks cells until
+    they hold the share ``visit`` of all vectors, and ten vectors for each neighbour asked for.
 
     Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with
     a null id, take no part; vectors must be of one dimension (others than the most frequent one take no part);
@@ -105,7 +114,8 @@ def nearest_neighbours(
     # below the bound, so that the limit hardly ever cuts and the same rows are drawn each time
     share = min(1.0, 0.95 * SAMPLE_ROWS / n_all)
     picked = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    sample = np.array([r["v"] for r in picked.select("v").limit(SAMPLE_ROWS).collect()] or [[0.0] * dim])
+    drawn = picked.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id", "v").select("v").limit(SAMPLE_ROWS).collect()
+    sample = np.array([r["v"] for r in drawn] or [[0.0] * dim])
     books = [kmeans(sample[:, :half], centroids), kmeans(sample[:, half:], centroids)]
     if not half < dim:
         books[1] = np.zeros((1, 0))
@@ -121,7 +131,7 @@ def nearest_neighbours(
     counts = np.zeros((len(books[0]), k2), np.int64)
     for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most centroids squared
         counts[divmod(r["cell"], k2)] = r["n"]
-    enough = max(min_visit, int(np.ceil(visit * n_all))) + 1
+    enough = max(10 * k, int(np.ceil(visit * n_all))) + 1
     # neighbouring cells share a unit up to CHUNK_ROWS entries, larger cells are cut into chunks; local numbers a unit's cells
     flat = counts.ravel()
     first, local = np.zeros(len(flat), np.int32), np.zeros(len(flat), np.int32)
@@ -158,7 +168,8 @@ def nearest_neighbours(
 
     shape = "unit int, query boolean, vec_id long, v array<double>, cell int, visits binary"
     entries = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))).mapInPandas(place, shape)
-    queries = index.filter(F.col("vec_id") % query_every == 0).select("vec_id", "v").mapInPandas(probe, shape)
+    asked = index.filter(F.col("vec_id") % query_every == 0).select("vec_id", "v")
+    queries = asked.repartition(max(1, n_all // (query_every * PROBES_A_TASK)), "vec_id").mapInPandas(probe, shape)
 
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, parts, x, ids, cell = None, [], None, None, None

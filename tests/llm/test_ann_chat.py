@@ -30,7 +30,7 @@ def test_recall_and_scores(spark, sf_dir):
     rows = vectors.select("vec_id", "embedding").toPandas()
     ids, x = rows["vec_id"].tolist(), np.stack(rows["embedding"]).astype(float)
     got = {}
-    for r in ann.nearest_neighbours(vectors, min_visit=1).collect():
+    for r in ann.nearest_neighbours(vectors).collect():  # as registered: a quarter of 2,000 vectors
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hit = total = 0
     for q in [i for i, v in enumerate(ids) if v % 100 == 0]:
