@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import text as tx
 from tesselon.functions.scalars import line_of
+from tesselon.operators.joins import chunked_join, rank_in_bits, rarest_but_one
 from tesselon.session import materialize
 
 # --- fixed values ---------------------------------------------------------------------------------------
@@ -47,21 +48,41 @@ def _features(claims: DataFrame, suffix: str, within: str | None) -> DataFrame:
     })
 
 
-def contradiction_pairs(current: DataFrame, history: DataFrame, within: str | None = None) -> DataFrame:
+def contradiction_pairs(current: DataFrame, history: DataFrame, within: str | None = None, rows: int | None = None) -> DataFrame:
     """JOIN-07: (id, related_id) of claims and supported past claims that cannot both stand, of one ``within`` group if given.
 
-    An opposition needs a shared keyword, or schedule words on both sides; both are keys of an equi-join inside
-    the group. Only ids take part in that search, each pair once; the texts' features meet the pairs afterwards, and
-    whether two lines are related and opposed is checked on these.
+    Two lines are related by their speaker and a shared keyword, by two shared keywords, or by schedule words in both. Each way is a key
+    of its own: speaker and word; a word that is not a line's most frequent one (of two shared words one always is
+    not); the schedule. Keys carry what opposes lines (negation, quantities, antonyms, times) as a few numbers, so pairs that cannot be
+    opposed never leave the join, and hot keys are cut into pairs of chunks of ``rows``. The texts' features meet the
+    pairs that are left, and the rule is checked on these.
     """
     a, b = _features(current, "a", within), _features(history.filter(F.col("status") == "supported"), "b", within)
     a, b = materialize(a, "claims"), materialize(b, "past-claims")
 
-    def keyed(df: DataFrame, s: str) -> DataFrame:
-        plan = F.when(F.col(f"sched_{s}"), F.array(F.lit("#schedule"))).otherwise(F.array().cast("array<string>"))
-        return df.select("g", f"id_{s}", F.explode(F.array_union(F.col(f"kw_{s}"), plan)).alias("k"))
+    both = a.select(F.explode("kw_a").alias("w")).unionByName(b.select(F.explode("kw_b").alias("w")))
+    counts = materialize(both.groupBy("w").agg(F.count("*").alias("n")), "claim-words")
 
-    found = keyed(a, "a").join(keyed(b, "b"), ["g", "k"]).filter("id_a != id_b").select("g", "id_a", "id_b").distinct()
+    def keyed(df: DataFrame, s: str) -> DataFrame:
+        c = lambda k: F.col(f"{k}_{s}")
+        has = lambda w: F.array_contains(c("kw"), w)
+        marks = df.select(
+            "g", c("id"), c("speaker"), c("kw"), c("sched"), c("neg").alias(f"not_{s}"),
+            F.when(F.size(c("qty")) > 0, F.xxhash64(F.sort_array(c("qty")))).alias(f"qh_{s}"), F.xxhash64(F.sort_array(c("time"))).alias(f"th_{s}"),
+            rank_in_bits([has(x) for x, _ in tx.ANTONYMS]).alias(f"x_{s}"), rank_in_bits([has(y) for _, y in tx.ANTONYMS]).alias(f"y_{s}"))
+        mark = ["g", f"id_{s}", f"not_{s}", f"qh_{s}", f"th_{s}", f"x_{s}", f"y_{s}"]
+        words = marks.select(*mark, f"speaker_{s}", F.explode(f"kw_{s}").alias("w"))
+        spoken = words.filter(f"speaker_{s} is not null").select(*mark, F.concat(F.lit("s:"), "w", F.lit(":"), f"speaker_{s}").alias("k"))
+        shared = rarest_but_one(words.drop(f"speaker_{s}"), ["g", f"id_{s}"], counts).select(*mark, F.concat(F.lit("w:"), "w").alias("k"))
+        planned = marks.filter(f"sched_{s}").select(*mark, F.lit("#schedule").alias("k"))
+        return materialize(spoken.unionByName(shared).unionByName(planned), "claim-keys")
+
+    l, r = (lambda c: F.col(f"l.{c}_a")), (lambda c: F.col(f"r.{c}_b"))  # noqa: E741
+    differ = (
+        (l("not") != r("not")) | F.coalesce(l("qh") != r("qh"), F.lit(False))
+        | (l("x").bitwiseAND(r("y")) != 0) | (l("y").bitwiseAND(r("x")) != 0) | ((F.col("l.k") == "#schedule") & (l("th") != r("th")))
+    )
+    found = chunked_join(keyed(a, "a"), keyed(b, "b"), ["g", "k"], (l("id") != r("id")) & differ, rows).select("g", "id_a", "id_b").distinct()
     pairs = found.join(a, ["g", "id_a"]).join(b, ["g", "id_b"])
     related = (
         (F.col("speaker_a") == F.col("speaker_b")) | (F.size(F.array_intersect("kw_a", "kw_b")) >= 2)

@@ -13,7 +13,7 @@ from tesselon.functions import dialogue, say
 from tesselon.functions import scalars as sc
 from tesselon.functions import text as tx
 from tesselon.operators import answers as answers_ops
-from tesselon.operators import audit, chunking, index, metrics, retrieval, scope, sessions, telemetry
+from tesselon.operators import audit, chunking, index, joins, metrics, retrieval, scope, sessions, telemetry
 from tesselon.plans.registry import ORACLE_SQL, QUERIES, query, table
 from tesselon.session import materialize, spread_small
 
@@ -452,6 +452,25 @@ def jaccard_pairs(spark, sf_dir):
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", F.round(sc.jaccard(F.col("wa"), F.col("wb")), 9).alias("jaccard"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \x09-\x0D]+'), lambda x: x <> '')) AS w FROM documents),
+    c AS (SELECT min(doc_id) AS doc_id, list_sort(w) AS w FROM d GROUP BY list_sort(w)), e AS (SELECT doc_id, len(w) AS n, unnest(w) AS x FROM c),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT a, b, round(k / (na + nb - k), 9) AS jaccard FROM p WHERE k / (na + nb - k) >= 0.7""")
+def similar_documents(spark, sf_dir):
+    """SET-06 as a join at a threshold: documents whose sets of words have a Jaccard similarity of 0.7, by class of equal sets."""
+    d = spread_small(table(spark, sf_dir, "documents"))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \x09-\x0D]+"), lambda w: w != ""))
+    return joins.similar_sets(d.select(F.col("doc_id").alias("id"), words.alias("words")), 0.7).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \x09-\x0D]+'), lambda x: x <> ''))) AS w FROM documents)
+    SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY w) AS class_id FROM d""")
+def equal_word_sets(spark, sf_dir):
+    """SET-06, SET-08: the class of equal sets of words that each document is in."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \x09-\x0D]+"), lambda w: w != "")
+    return joins.set_classes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words.alias("words")))
+
+
 # --- questions, claims, transcripts ------------------------------------------------------------------------
 def _lines(spark, sf_dir):
     c = spread_small(table(spark, sf_dir, "conversations"))
