@@ -67,6 +67,15 @@ def percentiles_by_type(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), *metrics.latency_triple("value", "v"), F.median("value").alias("v_median"))
 
 
+@query("""SELECT l_suppkey, l_returnflag, count(*) AS n, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_extendedprice, 0.99) AS p99, median(l_extendedprice) AS median
+    FROM lineitem GROUP BY ALL""")
+def exact_percentiles(spark, sf_dir):
+    """AGG-01, AGG-02, AGG-04 for groups of any number of distinct values: by passes of counts, no group is held."""
+    ranks = {f"p{int(p * 100)}": metrics.nearest_rank(p) for p in (0.5, 0.95, 0.99)} | metrics.MEDIAN_RANKS
+    out = metrics.exact_ranks(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], "l_extendedprice", ranks)
+    return out.select("l_suppkey", "l_returnflag", "n", "p50", "p95", "p99", ((F.col("lower") + F.col("upper")) / 2).alias("median"))
+
+
 @query(_ANSWERS + f"""SELECT t.tier, count(a.tier) AS samples, count(a.tier) FILTER (supported) AS supported_n,
     {', '.join(_triple(s, s) for s in telemetry.STAGES)}
     FROM (VALUES ('localCard'), ('grounded'), ('synthesis'), ('silent')) t(tier) LEFT JOIN answers a USING (tier) GROUP BY t.tier""")
