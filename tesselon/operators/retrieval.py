@@ -325,14 +325,22 @@ def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = 6, digits: int
     return diversified(lexical_scores(queries_table(queries), chunks, posts, n), limit, digits)
 
 
-def semantic_scores(query_vectors: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
+def semantic_scores(query_vectors: DataFrame, vectors: DataFrame, limit: int, digits: int = 12) -> DataFrame:
     """RET-15, JOIN-16: (query_id, chunk_id, score) with a cosine over the floor, scaled, the best ``limit`` a query.
 
-    A stated set of queries against all vectors, in blocks of queries.
+    Of vectors of one length by blocks and bounds (``nearest``); where lengths differ cosines are over the shorter one, and each query
+    meets each vector. Scores are rounded to ``digits`` before they are ranked, so that rows that are alike tie; ties by chunk_id.
     """
-    pairs = against_all(query_vectors.select("query_id", F.col("vector").alias("qv")), vectors.select("chunk_id", "vector"))
-    s = pairs.withColumn("cos", cosine(F.col("qv"), F.col("vector"))).filter(F.col("cos") > WEIGHTS["semantic_floor"])
-    s = s.select("query_id", "chunk_id", (F.col("cos") * WEIGHTS["semantic_scale"]).alias("score"))
+    from tesselon.operators.nearest import top_cosines
+
+    q, v = query_vectors.select("query_id", F.col("vector").cast("array<double>").alias("v")), vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("v"))
+    lengths = q.select(F.size("v").alias("n")).union(v.select(F.size("v").alias("n"))).filter("n >= 0").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    floor = WEIGHTS["semantic_floor"]
+    if lengths["lo"] is not None and lengths["lo"] == lengths["hi"]:
+        s = top_cosines(q, v, limit, floor)
+    else:
+        s = against_all(q.withColumnRenamed("v", "qv"), v).withColumn("cos", cosine(F.col("qv"), F.col("v"))).filter(F.col("cos") > floor)
+    s = s.select("query_id", "chunk_id", F.round(F.col("cos") * WEIGHTS["semantic_scale"], digits).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return s.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).drop("rn")
 
