@@ -13,20 +13,29 @@ from tesselon.operators import audit, contract
 from tesselon.plans.registry import query, table
 from tesselon.session import spread_small
 
-#: Spoken lines that the tables lack; a line of the conversations is set between two of them.
+#: Spoken lines that the tables lack: beside each turn of the conversations as it is stands a further row with one of them.
 SAYINGS = [
     "Thanks for that. How does the retry queue handle a timeout?", "okay so why not?", "Can you hear me?", "What is the owner of the billing service.", "So, um, tell me more",
     "Good morning everyone - what about the cache, hi there", "How do we deploy main.ts today", "the contract says 3 retries and we decided on Friday", "why", "Based on the docs, it seems that the worker writes two rows.",
-    "Does the API return a token? Thanks!", "Is there any fallback when the database fails?",
+    "Does the API return a token? Thanks!", "Is there any fallback when the database fails?", "do you mind if I share my screen?", "can you share the plan of the migration?",
 ]
+#: What is added to the turn of such a row.
+SAID_AT = 100_000
 _S = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in SAYINGS) + "]"
-_LINES = f"l AS (SELECT conv_id, turn, {_S}[(conv_id * 5 + turn) % {len(SAYINGS)} + 1] AS t, coalesce(text, '') AS raw FROM conversations)"
+_LINES = (
+    f"l AS (SELECT conv_id, turn, coalesce(text, '') AS t, coalesce(text, '') AS raw FROM conversations"
+    f" UNION ALL SELECT conv_id, turn + {SAID_AT}, {_S}[(conv_id * 5 + turn) % {len(SAYINGS)} + 1], coalesce(text, '') FROM conversations)"
+)
 
 
 def _lines(spark, sf_dir):
     said = F.array(*[F.lit(x) for x in SAYINGS])
     at = ((F.col("conv_id") * 5 + F.col("turn")) % len(SAYINGS) + 1).cast("int")
-    return spread_small(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.element_at(said, at).alias("t"), F.coalesce("text", F.lit("")).alias("raw"))
+    text = F.coalesce("text", F.lit(""))
+    rows = spread_small(table(spark, sf_dir, "conversations"))
+    own = F.struct(F.col("turn").alias("turn"), text.alias("t"))
+    extra = F.struct((F.col("turn") + SAID_AT).alias("turn"), F.element_at(said, at).alias("t"))
+    return rows.select("conv_id", text.alias("raw"), F.explode(F.array(own, extra)).alias("r")).select("conv_id", "r.turn", "r.t", "raw")
 
 
 # fixed values, as in the engine but written down for the SQL side on their own
@@ -34,7 +43,7 @@ _LOGISTICS = (
     r"can you hear me|can you all hear|(?:can|are) you (?:able to )?see (?:my|the|this) (?:screen|slide|deck|tab|window)|can everyone (?:see|hear)|(?:is|are) (?:everyone|everybody) (?:here|on|with us)|are you there|you still there|next slide|"
     r"(?:should|shall|can|could) we (?:move on|move along|continue|proceed|jump ahead|skip ahead|get started|start|begin|wrap up|take a break)|let''?s (?:move on|get started|start|begin|wrap up|take that offline)|any (?:other )?questions|"
     r"(?:take|taking) (?:that|this|it) offline|you''?re (?:on mute|muted)|(?:i think )?you''?re muted|(?:can you|could you) (?:repeat|say that again|say it again)|who else (?:are we|is) (?:waiting|joining)|(?:can|could) you speak up|"
-    r"is my (?:audio|mic|video) (?:ok|okay|working|coming through)|(?:can|could) (?:you|i) share|(?:are|is) (?:we|this) recording"
+    r"is my (?:audio|mic|video) (?:ok|okay|working|coming through)|do you (?:mind if|want to) (?:i )?share|(?:are|is) (?:we|this) recording"
 )
 _FILLER = (
     r"^(?:how are you(?: doing| today)?|how''?s it going|what''?s up|what''?s new|sorry|sorry,? (?:what|say that)(?: again)?|thanks|thank you|thanks for\b[^?]{0,20}|thank you for\b[^?]{0,20}|good (?:morning|afternoon|evening)(?: (?:everyone|all|team|folks))?|"
