@@ -238,6 +238,8 @@ def lexical_scores(q: DataFrame, chunks: DataFrame, posts: DataFrame, n_chunks:
     meta = chunks.select("chunk_id", "path", "kind", "start_line", "ord").withColumns(
         {"low_path": F.lower("path"), "base": base, "stem": F.regexp_replace(base, r"\.[^.]+\z", "")} | path_flags(F.lower("path"))
     )
+    # pairs are grouped and joined by a number of the chunk and not by its name
+    meta = meta.withColumn("no", F.monotonically_increasing_id())
     meta = materialize(meta.withColumn("c_class", chunk_class()).drop("start_line", "is_test", "is_authoritative", "is_behavior", "is_route"), "chunk-meta")
     live = q.filter((F.size("terms") > 0) | (F.size("named") > 0)).withColumn("q_class", query_class())
     live = materialize(live.drop("text"), "queries")
@@ -250,10 +252,10 @@ def lexical_scores(q: DataFrame, chunks: DataFrame, posts: DataFrame, n_chunks:
         + F.when((F.col("term") == F.col("stem")) | (F.col("term") == F.col("base")), WEIGHTS["filename"]).otherwise(0.0)
     )
     # what a term gives a chunk is the same for every query that has the term
-    parts = freq.join(_sized(idf(freq, n_chunks)), "term").join(meta.select("chunk_id", "kind", "base", "stem"), "chunk_id").select(
-        "chunk_id", "term", part.alias("part"), (F.col("body_f") > 0).alias("in_body")
+    parts = freq.join(_sized(idf(freq, n_chunks)), "term").join(meta.select("chunk_id", "no", "kind", "base", "stem"), "chunk_id").select(
+        "no", "term", part.alias("part"), (F.col("body_f") > 0).alias("in_body")
     )
-    lexical = parts.join(_sized(inner.select("query_id", "term", "inner")), "term").groupBy("query_id", "chunk_id").agg(
+    lexical = parts.join(_sized(inner.select("query_id", "term", "inner")), "term").groupBy("query_id", "no").agg(
         F.sum("part").alias("terms_score"), F.count_if(F.col("inner") & F.col("in_body")).alias("inner_hits")
     )
     lexical = materialize(lexical, "lexical")
@@ -261,27 +263,27 @@ def lexical_scores(q: DataFrame, chunks: DataFrame, posts: DataFrame, n_chunks:
     maybe = lexical.join(n_inner, "query_id").filter("inner_hits = n_inner").join(
         live.filter(F.length("phrase") > 4).select("query_id", "phrase"), "query_id"
     )
-    phrase = maybe.join(chunks.select("chunk_id", "text"), "chunk_id").filter(F.lower("text").contains(F.col("phrase")))
-    phrase = phrase.select("query_id", "chunk_id", F.lit(WEIGHTS["phrase"]).alias("s"))
+    phrase = maybe.join(meta.select("no", "chunk_id"), "no").join(chunks.select("chunk_id", "text"), "chunk_id").filter(F.lower("text").contains(F.col("phrase")))
+    phrase = phrase.select("query_id", "no", F.lit(WEIGHTS["phrase"]).alias("s"))
 
     asked = live.select("query_id", F.explode("named").alias("name"))
     at = named_in_paths(asked, meta.select("low_path").distinct())
-    named = asked.join(at, "name").join(meta.select("chunk_id", "low_path"), "low_path").select("query_id", "chunk_id", F.lit(WEIGHTS["path"]).alias("s"))
+    named = asked.join(at, "name").join(meta.select("no", "low_path"), "low_path").select("query_id", "no", F.lit(WEIGHTS["path"]).alias("s"))
     # queries meet the chunks of a class through the table of classes; the query set is broadcast while it is small
     bonus = materialize(bonus_table(q.sparkSession), "bonus")
     classes = meta.select("c_class").distinct()
     wants = live.select("query_id", "q_class").join(F.broadcast(bonus.filter("candidate").join(classes, "c_class").select("q_class", "c_class")), "q_class")
     wants = materialize(wants.select("query_id", "c_class"), "wanted-classes")
     if wants.count() <= BROADCAST_ROWS:
-        by_path = meta.select("chunk_id", "c_class").join(F.broadcast(wants), "c_class")
+        by_path = meta.select("no", "c_class").join(F.broadcast(wants), "c_class")
     else:
-        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(64)).cast("int")
+        salt = F.pmod(F.xxhash64("no"), F.lit(64)).cast("int")
         spread = wants.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        by_path = meta.select("chunk_id", "c_class", salt.alias("salt")).join(spread, ["c_class", "salt"])
-    by_path = by_path.select("query_id", "chunk_id", F.lit(0.0).alias("s"))
-    pairs = lexical.select("query_id", "chunk_id", F.col("terms_score").alias("s")).unionAll(phrase).unionAll(named).unionAll(by_path)
-    pairs = pairs.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"))
-    full = pairs.join(meta.select("chunk_id", "path", "kind", "ord", "c_class"), "chunk_id").join(
+        by_path = meta.select("no", "c_class", salt.alias("salt")).join(spread, ["c_class", "salt"])
+    by_path = by_path.select("query_id", "no", F.lit(0.0).alias("s"))
+    pairs = lexical.select("query_id", "no", F.col("terms_score").alias("s")).unionAll(phrase).unionAll(named).unionAll(by_path)
+    pairs = pairs.groupBy("query_id", "no").agg(F.sum("s").alias("s"))
+    full = pairs.join(meta.select("no", "chunk_id", "path", "kind", "ord", "c_class"), "no").join(
         live.select("query_id", "q_class", ((F.size("named") > 0) | F.col("wants_api")).alias("low_floor")), "query_id"
     ).join(F.broadcast(bonus.select("q_class", "c_class", "bonus")), ["q_class", "c_class"])
     return full.withColumn("score", F.col("s") + F.col("bonus")).filter("score > 0").select(
