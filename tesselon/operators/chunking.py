@@ -19,19 +19,19 @@ def line_windows(files: DataFrame, path: str = "path", content: str = "content",
     n = F.size("__lines")
     # a window is needed if it is the first or the one before it ended short of the last line
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    # characters of every step's lines, so that an offset is a sum of numbers
-    step_chars = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(
-        F.slice("__lines", i * step + 1, F.lit(step)), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    rows = rows.select("*", F.when(last > 0, step_chars).alias("__chars"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    start = F.col("chunk_no") * step
-    part = F.slice("__lines", start + 1, F.lit(size))
-    ahead = F.aggregate(F.slice("__chars", F.lit(1), F.col("chunk_no")), F.lit(0), lambda a, x: a + x)
+    # characters of every step's lines, each counted once, and before each step those of all before it
+    chars = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice("__lines", i * step + 1, F.lit(step)), F.lit(0), lambda a, x: a + F.length(x) + 1))
+    nothing = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("before"))
+    ahead = F.aggregate(F.when(last > 0, chars).otherwise(F.array(F.lit(0))), nothing, lambda a, x: F.struct((a["s"] + x).alias("s"), F.array_append(a["before"], a["s"]).alias("before")))
+    rows = rows.withColumn("__before", ahead["before"])
+    window = lambda i: F.struct(i.alias("no"), F.slice("__lines", i * step + 1, F.lit(size)).alias("part"), F.get("__before", i).alias("before"))
+    # a window's row carries its own lines alone
+    rows = rows.withColumn("__w", F.explode(F.transform(F.sequence(F.lit(0), last), window))).drop("__lines", "__before")
+    start = F.col("__w.no") * step
     rows = rows.withColumns({
-        "kind": F.lit("code"), "start_line": start + 1, "end_line": start + F.size(part),
-        "start_offset": F.when(start == 0, F.lit(0)).otherwise(ahead),
-        "text": F.array_join(part, "\n"),
-    }).drop("__lines", "__chars")
+        "chunk_no": F.col("__w.no"), "kind": F.lit("code"), "start_line": start + 1, "end_line": start + F.size("__w.part"),
+        "start_offset": F.col("__w.before"), "text": F.array_join("__w.part", "\n"),
+    }).drop("__w")
     return rows.withColumn("chunk_id", F.concat_ws(":", F.col(path).cast("string"), F.concat_ws("-", "start_line", "end_line")))
 
 
