@@ -14,23 +14,36 @@ DESCRIBES = r"\b(this (?:api|service|app|application|module|package|library|syst
 # ---------------------------------------------------------------------------------------------------------
 
 
-# --- fixed values (patterns of the four functions below) ---------------------------------------------------
+# --- fixed values: patterns of marked-down text, headings and field lines ------------------------------------
+LINK, CODE_MARK, STARRED = r"\[([^\]]+)\]\([^)]*\)", r"`+([^`]+)`+", r"(\*{1,3})(?=\S)([^*]*\S)\1"
+UNDERLINED = r"(?<![A-Za-z0-9_])(_{1,2})(?=\S)([^_]*\s[^_]*?\S)\1(?![A-Za-z0-9_])"
+MARKED_HEADING, DOTS, RULE, CAPITALS, SENTENCE_END = r"^#{1,6}\s", r"\.{3}\z", r"^[-*=_]{3,}\z", r"^[A-Z0-9 _/-]+\z", r"[.!?]\z"
+HEADING_WORDS, CAPITAL_WORDS = 6, 8
+FIELD_CHARS, FIELD_WORDS = 120, 4
+NAME_LIKE, CODE_SIGNS = r"^[A-Za-z0-9][A-Za-z0-9 .&'-]{1,60}\z", "[=;{}<>]"
+LABELLED = r"(?i)^(phone|tel\.?|telephone|mobile|email|company)\s*:"
+PHONE, ADDRESS = r"\+?\d[\d\s().-]{6,}\d", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# ---------------------------------------------------------------------------------------------------------
+
+
+def _count_words(c: Column) -> Column:
+    return F.size(tx.nonempty(F.split(F.trim(c), r"\s+")))
+
+
 def plain(c: Column) -> Column:
     """STR-21: links, code marks and emphasis taken off, names with underscores left whole."""
-    x = F.regexp_replace(c, r"\[([^\]]+)\]\([^)]*\)", "$1")
-    x = F.regexp_replace(x, r"`+([^`]+)`+", "$1")
-    x = F.regexp_replace(x, r"(\*{1,3})(?=\S)([^*]*\S)\1", "$2")
-    x = F.regexp_replace(x, r"(?<![A-Za-z0-9_])(_{1,2})(?=\S)([^_]*\s[^_]*?\S)\1(?![A-Za-z0-9_])", "$2")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    bare = c
+    for mark, kept in ((LINK, "$1"), (CODE_MARK, "$1"), (STARRED, "$2"), (UNDERLINED, "$2"), (r"\s+", " ")):
+        bare = F.regexp_replace(bare, mark, kept)
+    return F.trim(bare)
 
 
 def is_heading(line: Column) -> Column:
-    """STR-22: marked headings, rules, trailing dots, short lines without an end, lines in capitals."""
-    n = F.size(tx.nonempty(F.split(F.trim(line), r"\s+")))
-    return (
-        line.rlike(r"^#{1,6}\s") | line.rlike(r"\.{3}\z") | line.rlike(r"^[-*=_]{3,}\z")
-        | (~line.rlike(r"[.!?]\z") & (n <= 6)) | (line.rlike(r"^[A-Z0-9 _/-]+\z") & (n <= 8))
-    )
+    """STR-22: lines in capitals, short ones without an end, rules, trailing dots, marked headings."""
+    n = _count_words(line)
+    shouted = (n <= CAPITAL_WORDS) & line.rlike(CAPITALS)
+    open_ended = (n <= HEADING_WORDS) & ~line.rlike(SENTENCE_END)
+    return shouted | open_ended | line.rlike(f"{RULE}|{DOTS}|{MARKED_HEADING}")
 
 
 def is_descriptive(line: Column) -> Column:
@@ -41,12 +54,11 @@ def is_descriptive(line: Column) -> Column:
 def is_field_line(c: Column) -> Column:
     """STR-25: a labelled contact, a number, an address, or one to four words without a sentence's end."""
     t = F.trim(c)
-    short = t.rlike(r"^[A-Za-z0-9][A-Za-z0-9 .&'-]{1,60}\z") & t.rlike("[A-Za-z]") & (F.size(F.split(t, r"\s+")) <= 4) & ~t.rlike("[.!?]")
-    other = t.rlike(r"(?i)^(phone|tel\.?|telephone|mobile|email|company)\s*:") | t.rlike(r"\+?\d[\d\s().-]{6,}\d") | t.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
-    return (t != "") & (F.length(t) <= 120) & ~t.rlike("[=;{}<>]") & (short | other)
+    contact = t.rlike(ADDRESS) | t.rlike(PHONE) | t.rlike(LABELLED)
+    name = (F.size(F.split(t, r"\s+")) <= FIELD_WORDS) & t.rlike("[A-Za-z]") & t.rlike(NAME_LIKE) & ~t.rlike("[.!?]")
+    return F.length(t).between(1, FIELD_CHARS) & ~t.rlike(CODE_SIGNS) & (contact | name)
 
 
-# ---------------------------------------------------------------------------------------------------------
 def sayable(c: Column, allow_field: bool = False) -> Column:
     """STR-24: prefaces and hedges cut in up to three passes; null unless three words and twelve characters stay."""
     x = F.trim(F.regexp_replace(c, r"\s+", " "))
