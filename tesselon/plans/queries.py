@@ -449,6 +449,21 @@ def bag_hash_buckets(spark, sf_dir):
     return h.withColumn("bucket", (F.col("h") % 384).cast("int"))
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents),
+    n AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
+    p AS (SELECT doc_id, w AS t, n * 1.0::DOUBLE AS x FROM n UNION ALL SELECT doc_id, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))), n * 0.35::DOUBLE FROM n WHERE length(w) >= 3),
+    s AS (SELECT doc_id, t, sum(x) AS x FROM p GROUP BY ALL),
+    h AS (SELECT t, (list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(t, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT) % 384)::INT AS bucket
+        FROM (SELECT DISTINCT t FROM s)),
+    b AS (SELECT doc_id, bucket, sum(x) AS x FROM s JOIN h USING (t) GROUP BY ALL)
+    SELECT doc_id AS chunk_id, bucket, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM b""")
+def bag_vectors(spark, sf_dir):
+    """RET-27: the components over 0 of every document's hashed bag of words and their trigrams."""
+    d = spread_small(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
+    v = retrieval.bag_embeddings(d).select("chunk_id", F.posexplode("vector").alias("bucket", "x"))
+    return v.filter("x <> 0").select("chunk_id", "bucket", F.round("x", 6).alias("x"))
+
+
 @query("""WITH b AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark)
     SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS jaccard
     FROM b a JOIN b ON a.item_id < b.item_id AND len(list_intersect(a.w, b.w)) > 0""")
