@@ -748,6 +748,6 @@ def first_touch(spark, sf_dir):
 
 
 # the other query modules register themselves; what is registered is QUERIES and ORACLE_SQL
-from tesselon.plans import answer_queries, contract_queries, file_queries, index_queries, page_queries, region_queries, report_queries, stream_queries, table_queries, talk_queries  # noqa: E402, F401
+from tesselon.plans import answer_queries, contract_queries, file_queries, index_queries, page_queries, passage_queries, region_queries, report_queries, stream_queries, table_queries, talk_queries  # noqa: E402, F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
