@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesselon.operators import answers, contract, retrieval
+from tesselon.operators import answers, contract, overview, retrieval
 from tesselon.plans import queries as base
 from tesselon.plans.answer_queries import _MENTIONS, _WORDS_OF
 from tesselon.plans.registry import ORACLE_SQL, query, table
@@ -75,3 +75,33 @@ def passage_subjects(spark, sf_dir):
 def passage_coverage(spark, sf_dir):
     """AGG-36: questions of which the documents know more words than not."""
     return answers.covers_question(base.questions(spark, sf_dir), _sources(spark, sf_dir))
+
+
+#: Twelve documents are a pack; a document's number in it gives its path. The ranks are for the SQL side.
+TREE = [
+    ("README.md", 8), ("main.ts", 10), ("container-lambdas/ingest/h.py", 0), ("container-lambdas/parse/h.py", 0), ("src/app.py", 13), ("docs/readme.md", 8),
+    ("workers-pool/a/x.ts", 0), ("workers-pool/b/x.ts", 0), ("workers-pool/c/x.ts", 0), ("config/x.json", -6), ("lib/deep/er/server.ts", -4), (".github/ci.yml", -6),
+]
+_TREE = ", ".join(f"({i}, '{p}', {r})" for i, (p, r) in enumerate(TREE))
+
+
+@query(rf"""WITH tr AS (SELECT * FROM (VALUES {_TREE}) v(i, path, rank)),
+    d AS (SELECT doc_id // 12 AS pack, doc_id, path, rank, doc_id * 7 % 5 < 2 AS tells, doc_id % 11 = 0 AS fast,
+        array_to_string(list_slice(list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda w: regexp_full_match(w, '[a-z]+')), 1, 6), ' ') AS ws FROM documents JOIN tr ON i = doc_id % 12),
+    c AS (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY rank DESC, path) AS place FROM d),
+    t AS (SELECT pack, path, trim('This module provides ' || ws, ' ') AS said FROM c WHERE tells AND (place <= 6 OR path LIKE '%eadme.md' OR path = 'README.md') QUALIFY row_number() OVER (PARTITION BY pack ORDER BY place) = 1),
+    f AS (SELECT pack, count(*) AS n FROM d WHERE fast GROUP BY 1), p AS (SELECT pack, count(DISTINCT path) AS n FROM d WHERE path LIKE 'container-lambdas/%' GROUP BY 1)
+    SELECT t.pack AS pack_id, path, CASE WHEN f.n > 0 THEN 'FastAPI' END AS framework, CASE WHEN p.n = 2 THEN 'container-lambdas' END AS dir, CASE WHEN p.n = 2 THEN 2 ELSE 0 END::BIGINT AS components,
+        t.pack || ' is a ' || CASE WHEN f.n > 0 THEN 'FastAPI ' ELSE '' END || 'service — ' || said || '.' || CASE WHEN p.n = 2 THEN ' Work is split across two container lambdas.' ELSE '' END AS say
+    FROM t LEFT JOIN f USING (pack) LEFT JOIN p USING (pack)""")
+def architecture_cards(spark, sf_dir):
+    """ANS-08, SRT-12, AGG-31, AGG-32: what packs of twelve documents are; some say so in a line before their text, some show a framework."""
+    i = F.col("doc_id")
+    path = F.element_at(F.array(*[F.lit(p) for p, _ in TREE]), (i % 12 + 1).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(text, r"[ \x09-\x0D]+"), lambda w: w.rlike("^[a-z]+$"))
+    line = F.concat(F.when(path.endswith(".md"), F.lit("")).otherwise(F.lit("// ")), F.lit("This module provides "), F.array_join(F.slice(words, 1, 6), " "), F.lit(".\n\n"))
+    code = F.when(i % 11 == 0, F.lit("from fastapi import FastAPI\n")).otherwise(F.lit(""))
+    content = F.concat(F.when(i * 7 % 5 < 2, line).otherwise(F.lit("")), code, text)
+    files = table(spark, sf_dir, "documents").select(F.floor(i / 12).cast("long").alias("pack_id"), path.alias("path"), content.alias("content"))
+    return overview.architecture_cards(files)
