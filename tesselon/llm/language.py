@@ -22,11 +22,15 @@ from tesselon.llm.labelled import fold
 SAMPLE_ROWS = 1000
 BUCKETS = 1 << 14
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # may still be a sign such as a raised digit, see has_letter
 _OTHER = re.compile(rb"[^a-z\x80-\xff]+")
 _PIECE = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the byte trigrams of a text, runs of anything but letters being one space, and their counts.
 
@@ -89,7 +93,8 @@ def train(docs: DataFrame, folds: int = 5, max_rows: int = SAMPLE_ROWS) -> Mixtu
     cut = F.lit(0)
     for lang, n in sizes.items():
         cut = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * max_rows / n)))).otherwise(cut)
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < cut).select("lang", "text")
+    # rows of one id fall apart by their texts, and a repeated row counts once, so the bound holds for any input
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) < cut).select("lang", "text").dropDuplicates()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -120,7 +125,7 @@ def identify(docs: DataFrame, model: Mixture, folds: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [model.infer(t) if t is not None and _LETTER.search(t) else {} for t in b["text"]]
+            found = [model.infer(t) if t is not None and has_letter(t) else {} for t in b["text"]]
             best = [max(f.items(), key=lambda x: x[1]) if f else (UNKNOWN, 0.0) for f in found]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x for x, _ in best],

@@ -203,6 +203,7 @@ def test_language_odd_rows(spark, sf_dir):
     got = {r["doc_id"]: r for r in language.identify(odd(spark), m).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1, 2, 3, 4)) and got[None]["lang_pred"] == "en"
     assert language.identify(odd(spark).limit(0), m).collect() == []
+    assert not language.has_letter("²³ ½ 12 _-") and language.has_letter("² é") and not language.has_letter("")
     assert language.train(odd(spark).filter("lang is null")).names == []
 
 
