@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm.suffixes import deep_shallow_sort
@@ -201,6 +201,17 @@ def pack(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame
     return spark.table(name)
 
 
+def forget_blocks(spark: SparkSession) -> int:
+    """Drop this application's tables of blocks from the catalog, once results are saved; how many there were.
+
+    Their files lie in the shared folder, which ``session.sweep`` deletes. A catalog in memory forgets them by itself.
+    """
+    names = [t.name for t in spark.catalog.listTables() if t.name.startswith("tesselon_blocks_")]
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    return len(names)
+
+
 def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """Blocks beside the array of what ``answers`` holds for each, null if nothing; the blocks stay where they are."""
     fields = [c for c in answers.columns if c != "block"]

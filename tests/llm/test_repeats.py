@@ -90,3 +90,8 @@ def test_registered_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in op11_suffix_dedup(spark, sf).collect()) == slow(rows)
+
+
+def test_tables_of_blocks_are_forgotten(spark):
+    met(spark, [(1, "some text")])
+    assert repeats.forget_blocks(spark) > 0 and repeats.forget_blocks(spark) == 0
