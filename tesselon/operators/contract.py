@@ -20,6 +20,8 @@ EXTERNAL = r"\b(weather|stock price|capital of|who won|score of|temperature toda
 PREPOSITIONS = r"(?:on|in|with|from|by|to|at|into|for)"
 COUNT_WORDS = {"two": 2, "three": 3, "four": 4, "five": 5, "six": 6}
 BULLET = r"^\s*(?:[-*•]|\d+[.)])\s+"
+#: Markers that each text is searched for one by one; more are looked up by what the text holds.
+FEW_MARKERS = 64
 # ---------------------------------------------------------------------------------------------------------
 
 
@@ -167,18 +169,21 @@ def document_cards(contracts_: DataFrame, claims: DataFrame, sources: DataFrame
 
 def isolation_leaks(hits: DataFrame, markers: DataFrame) -> DataFrame:
     """ANS-13: (query_id, tenant, leaked) for hits whose text holds the marker of another tenant; empty if tenants are apart."""
-    # a hit meets the markers that share a run of eight characters (all, if shorter) with it, not all markers
-    m = markers.select(F.col("tenant").alias("owner"), "marker").filter(F.length("marker") > 0).withColumn("g", F.substring("marker", 1, 8))
-    m = materialize(m, "markers")
-    sizes = [r["n"] for r in m.select(F.length("g").alias("n")).distinct().collect()]  # eight at most
-    runs = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    m = materialize(markers.select(F.col("tenant").alias("owner"), "marker").filter(F.length("marker") > 0), "markers")
     h = hits.select("query_id", "tenant", "text")
-    if not sizes:
-        return h.select("query_id", "tenant", F.lit(None).cast(markers.schema["tenant"].dataType).alias("leaked")).limit(0)
-    grams = h.select("*", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in sizes])))).alias("g"))
-    few = F.broadcast(m) if m.count() <= 1_000_000 else m
-    found = grams.join(few, "g").filter((F.col("owner") != F.col("tenant")) & F.col("text").contains(F.col("marker")))
-    return found.select("query_id", "tenant", F.col("owner").alias("leaked")).distinct()
+    n = m.count()
+    if n > FEW_MARKERS:
+        # a hit meets the markers whose first eight characters (all, if shorter) stand in it; the texts stay behind while runs are looked up
+        m = m.withColumn("g", F.substring("marker", 1, 8))
+        sizes = [r["n"] for r in m.select(F.length("g").alias("n")).distinct().collect()]  # eight at most
+        runs = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in sizes])))
+        grams = h.select(F.col("query_id").alias("__q"), F.col("tenant").alias("__t"), F.explode(runs).alias("g"))
+        few = F.broadcast(m) if n <= 1_000_000 else m
+        m = grams.join(few, "g").filter(F.col("owner") != F.col("__t")).select("__q", "__t", "owner", "marker").distinct()
+        met = h.join(m, F.col("query_id").eqNullSafe(F.col("__q")) & (F.col("tenant") == F.col("__t")) & F.col("text").contains(F.col("marker")))
+    else:
+        met = h.join(F.broadcast(m), (F.col("owner") != F.col("tenant")) & F.col("text").contains(F.col("marker")))
+    return met.select("query_id", "tenant", F.col("owner").alias("leaked")).distinct()
 
 
 def nearest_samples(samples: Column, rate: int, target: int = 16_000) -> Column:

@@ -12,3 +12,18 @@ def test_pieces_lose_spaces_alone_not_the_digits_of_their_number(spark):
                                 dialogue.enumeration_fits(F.lit("0\n1\n22\n33")).alias("e")).first()
     assert row["s"] == ["0 zero.", "1 one 1.", "222 two 2.", "plain three"]
     assert row["f"] == "1 why is it slow 1?" and row["e"]
+
+
+def test_isolation_leaks_does_not_take_a_text_apart(spark, monkeypatch):
+    from tesselon.operators import contract
+
+    long = "é😀 word " * 20_000
+    hits = spark.createDataFrame([(1, 1, long + "marker-2-x"), (1, 1, "mark 3"), (2, 2, long), (None, 3, "abmarker-1-x" + long), (4, None, "marker-1-x"), (5, 1, None)], "query_id int, tenant int, text string")
+    marks = spark.createDataFrame([(1, "marker-1-x"), (2, "marker-2-x"), (3, "k 3"), (3, ""), (4, None), (2, "marker-2-y")], "tenant int, marker string")
+    want = {(1, 1, 2), (1, 1, 3), (None, 3, 1)}
+    few = contract.isolation_leaks(hits, marks)
+    assert {tuple(r) for r in few.collect()} == want
+    # with few markers no row is made of a text's runs
+    assert "Generate" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(contract, "FEW_MARKERS", 0)
+    assert {tuple(r) for r in contract.isolation_leaks(hits, marks).collect()} == want
