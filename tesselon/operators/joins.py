@@ -11,6 +11,8 @@ from tesselon.session import materialize
 
 #: Rows of a key that one task meets at most, on each side.
 CHUNK_ROWS = 2000
+#: Longs of parities that a set is told apart by.
+PARITIES = 8
 
 
 def chunked_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Column | None = None, rows: int | None = None) -> DataFrame:
@@ -50,9 +52,10 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, id_col: str = "id", se
     """SET-06: (a, b, jaccard) of all pairs a < b of classes (see :func:`set_classes`) with a Jaccard similarity of ``threshold`` at least.
 
     Words are ordered by rarity. Two sets that are that similar share a word among the first n - ceil(t n) + 1 of each (prefix),
-    their sizes differ by no more than t (size), and what can follow the shared place is enough (position); what
-    passes is counted on the sets. Equal sets are one class, so copies make no pairs; hot words are cut into chunks. An empty
-    set is similar to no other class. ``threshold`` is over 0.
+    their sizes differ by no more than t (size), what can follow the shared place is enough (position), and so is what the
+    parities of their words leave room for (bits): each differing bit is a word that only one of them holds. What passes is counted
+    on the sets. Words travel as numbers. Equal sets are one class, so copies make no pairs; hot words are cut into chunks. An
+    empty set is similar to no other class. ``threshold`` is over 0.
     """
     named = sets.select(F.col(id_col).alias("id"), F.array_distinct(F.array_compact(F.coalesce(set_col, F.array().cast("array<string>")))).alias("words"))
     named = materialize(named, "similar-sets")
@@ -60,17 +63,23 @@ def similar_sets(sets: DataFrame, threshold: float = 0.8, id_col: str = "id", se
     # an id may be repeated with another set: the class is what counts
     named = named.join(classes, "id", "left_semi").dropDuplicates(["id"])
     words = named.select("id", F.explode("words").alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = words.join(df, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    ranked = materialize(ranked.select("id", F.transform("ws", lambda x: x["w"]).alias("ws")), "similar-ranked")
+    df = materialize(words.groupBy("w").agg(F.count("*").alias("df")).withColumn("no", F.monotonically_increasing_id()), "similar-words")
+    at = F.pmod(F.xxhash64("no"), F.lit(64 * PARITIES))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    parities = [F.coalesce(F.bit_xor(F.when(F.floor(at / 64) == i, bit)), F.lit(0).cast("long")).alias(f"p{i}") for i in range(PARITIES)]
+    ranked = words.join(df, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "no"))).alias("ws"), *parities)
+    ps = [f"p{i}" for i in range(PARITIES)]
+    ranked = materialize(ranked.select("id", F.transform("ws", lambda x: x["no"]).alias("ws"), *ps), "similar-ranked")
     n = F.size("ws")
     # a little less than t n, so that rounding loses no pair
     prefix = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-    keyed = ranked.select("id", n.alias("n"), F.posexplode(F.slice("ws", F.lit(1), prefix)).alias("at", "w"))
-    side = lambda s: keyed.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at")])
+    keyed = ranked.select("id", n.alias("n"), *ps, F.posexplode(F.slice("ws", F.lit(1), prefix)).alias("at", "w"))
+    side = lambda s: keyed.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at", *ps)])
     na, nb = F.col("l.n_a"), F.col("r.n_b")
     least = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
     fits = (F.col("l.id_a") < F.col("r.id_b")) & (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (1 + F.least(na - F.col("l.at_a") - 1, nb - F.col("r.at_b") - 1) >= least)
+    differ = sum((F.bit_count(F.col(f"l.{c}_a").bitwiseXOR(F.col(f"r.{c}_b"))) for c in ps), F.lit(0))
+    fits = fits & (na + nb - differ >= 2 * least)
     # the first shared word of a pair has the most that can follow, so testing each is testing the first
     pairs = chunked_join(side("a"), side("b"), ["w"], fits).select("id_a", "id_b").distinct()
     met = pairs.join(ranked.select(F.col("id").alias("id_a"), F.col("ws").alias("wa")), "id_a").join(ranked.select(F.col("id").alias("id_b"), F.col("ws").alias("wb")), "id_b")

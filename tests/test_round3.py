@@ -27,3 +27,16 @@ def test_isolation_leaks_does_not_take_a_text_apart(spark, monkeypatch):
     assert "Generate" not in few._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(contract, "FEW_MARKERS", 0)
     assert {tuple(r) for r in contract.isolation_leaks(hits, marks).collect()} == want
+
+
+def test_similar_sets_verifies_only_sets_that_can_be_similar(spark, monkeypatch):
+    from tesselon.operators import joins
+
+    met, plain = [], joins.chunked_join
+    monkeypatch.setattr(joins, "chunked_join", lambda *a, **k: met.append(plain(*a, **k)) or met[0])
+    # all share their rarest word and nothing else; the last two share nine of ten
+    rows = [(i, [f"pair{i // 2}", *[f"w{(7 * i + j) % 40}" for j in range(9)]]) for i in range(8)]
+    rows += [(8, ["pair4", *"abcdefghi"]), (9, ["pair4", *"abcdefghk"])]
+    df = spark.createDataFrame(rows, "id long, words array<string>")
+    got = {(r["a"], r["b"]): r["jaccard"] for r in joins.similar_sets(df, 0.7).collect()}
+    assert got == {(8, 9): 9 / 11} and {(r["id_a"], r["id_b"]) for r in met[0].collect()} == {(8, 9)}
