@@ -29,7 +29,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays.
 
-    Near-duplicates are texts whose distinct five-word shingles have a Jaccard similarity of 0.8 at least.
+    SimHash links and bands of min-hashes name the candidates. Of these, near-duplicates are texts whose distinct
+    five-word shingles have a Jaccard similarity of 0.8 at least.
     """
     text_batches(spark)
     return neardup.drop_near_copies(docs)

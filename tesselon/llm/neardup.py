@@ -1,14 +1,16 @@
 """Near-duplicates by the Jaccard similarity of distinct word shingles, verified exactly.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at least
-``threshold``; the classes are the connected components. A SimHash can't be the search here: texts at 0.8
-differ in about 10 of 64 bits, and blocks of bits that find these pairs fill with strangers.
+``threshold``; the classes are the connected components. Candidates come from SimHash, whose links are those of
+:mod:`tesselon.llm.simhash` (three-word shingles, 3 of 64 bits at most). Texts at 0.8 differ in about 10 bits, where
+blocks of bits fill with strangers, so min-hashes widen the search. An exact check follows both.
 
 * Texts of equal words collapse to one node first, so a group of exact copies of any size is one row.
+* Nodes whose fingerprints are equal, or within 3 bits by the blocks of bits of ``simhash.links``, are candidates.
 * ``BANDS`` bands of ``ROWS`` min-hashes each: texts at 0.8 miss each other in all of them with
   probability (1 - 0.8 ** 7) ** 44 = 0.00003, more similar ones less.
 * Inside a bucket a pair is passed on if ``SKETCH`` bytes of min-hashes put it above ``LOOSE`` (at 0.8 they
-  fall below with probability 0.000003). The components of these pairs are classes of candidates: they need not be
+  fall below with probability 0.000003). The components of all these pairs are classes of candidates: they need not be
   right, only hold the true links.
 * Each class is resolved on the shingle sets themselves, fetched for its members alone. A class of any
   size is cut into chunks and every pair of chunks is its own unit of work; a unit emits a spanning
@@ -27,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselon.llm import simhash
 from tesselon.llm.components import connected_components
 from tesselon.session import materialize
 
@@ -77,20 +80,21 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 def _signatures(words: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            nodes, more, keys, sketches, sizes = [], [], [], [], []
+            nodes, more, keys, sketches, sizes, fps = [], [], [], [], [], []
             for t in b["text"]:
                 w = words_of(t)
                 whole = b" ".join(w)
                 nodes.append(xxhash.xxh64_intdigest(whole))
                 more.append(xxhash.xxh64_intdigest(whole, 7))
+                fps.append(simhash.fingerprint(t))
                 found = shingle_set(w, words)
                 mins = min_hashes(found) if w else None
                 sizes.append(len(found))
                 keys.append(band_keys(mins) if w else [])
                 sketches.append((mins[:SKETCH] >> np.uint64(40)).astype(np.uint8).tobytes() if w else b"")
-            node, more = (np.array(x, np.uint64).view(np.int64) for x in (nodes, more))
+            node, more, fp = (np.array(x, np.uint64).view(np.int64) for x in (nodes, more, fps))
             yield pd.DataFrame({
-                "doc_id": b["doc_id"], "rk": b["rk"], "node": node, "more": more, "size": sizes, "keys": keys, "sketch": sketches,
+                "doc_id": b["doc_id"], "rk": b["rk"], "node": node, "more": more, "fp": fp, "size": sizes, "keys": keys, "sketch": sketches,
             })
 
     return run
@@ -198,8 +202,16 @@ def told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed, nodes.drop("mixed")
 
 
+def simhash_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links of nodes (node, fp) by SimHash; nodes of equal fingerprints meet once, at the smallest of them."""
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "near-prints")
+    same = nodes.select("node", "fp").join(prints.filter("n > 1").select("fp", "first"), "fp").filter("node <> first")
+    apart = simhash.links(prints.select(F.col("first").alias("node"), "fp"))
+    return same.select(F.col("node").alias("a"), F.col("first").alias("b")).union(apart)
+
+
 def candidate_classes(nodes: DataFrame) -> DataFrame:
-    """(node, root): classes of nodes that hold all links; ``nodes`` has node, keys and sketch, one row a node."""
+    """(node, root): classes of nodes that hold all links; ``nodes`` has node, fp, keys and sketch, one row a node."""
     keys = nodes.select("node", F.explode("keys").alias("k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("n"))
     rows = materialize(keys.join(shared.filter("n > 1").select("k", "n"), "k"), "near-buckets")
@@ -207,7 +219,8 @@ def candidate_classes(nodes: DataFrame) -> DataFrame:
         "node", "sketch", "k", F.explode(_units(F.ceil(F.col("n") / CHUNK).cast("int"))).alias("c")
     )
     dealt = rows.repartition("k", "c").sortWithinPartitions("k", "c")
-    return connected_components(dealt.mapInPandas(_by_unit(["k", "c"], "sketch", _loose_links), "a long, b long").distinct())
+    loose = dealt.mapInPandas(_by_unit(["k", "c"], "sketch", _loose_links), "a long, b long").distinct()
+    return connected_components(simhash_links(nodes).union(loose))
 
 
 def near_links(rows: DataFrame, classes: DataFrame, threshold: float, words: int, repeats: bool = False) -> DataFrame:
@@ -250,11 +263,11 @@ def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     rows = keyed.filter(F.col("__rk").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("__rk").alias("rk"), F.col("text").cast("string").alias("text")
     )
-    schema = "doc_id long, rk long, node long, more long, size int, keys array<long>, sketch binary"
+    schema = "doc_id long, rk long, node long, more long, fp long, size int, keys array<long>, sketch binary"
     signed, nodes = told_apart(materialize(rows.mapInPandas(_signatures(words), schema), "near-signatures"))
     again = materialize(signed.groupBy("rk").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rk").alias("__again")), "near-again")
     repeats = not again.isEmpty()
-    each = signed.join(nodes.select("rk"), "rk", "left_semi").select("node", "keys", "sketch")
+    each = signed.join(nodes.select("rk"), "rk", "left_semi").select("node", "fp", "keys", "sketch")
     classes = candidate_classes(each.dropDuplicates(["node"]) if repeats else each)
     links = near_links(rows.select("rk", "text"), classes.join(nodes, "node"), threshold, words, repeats)
     labels = connected_components(links)

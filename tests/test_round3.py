@@ -40,3 +40,18 @@ def test_similar_sets_verifies_only_sets_that_can_be_similar(spark, monkeypatch)
     df = spark.createDataFrame(rows, "id long, words array<string>")
     got = {(r["a"], r["b"]): r["jaccard"] for r in joins.similar_sets(df, 0.7).collect()}
     assert got == {(8, 9): 9 / 11} and {(r["id_a"], r["id_b"]) for r in met[0].collect()} == {(8, 9)}
+
+
+def test_near_dedup_takes_candidates_from_simhash(spark):
+    from tesselon.llm import neardup, simhash
+
+    # fingerprints 0, 3 and 5 bits apart; keys and sketches have nothing in common
+    f = 0x0123456789ABCDEF
+    rows = [(1, f, [1], b"\x01" * 128), (2, f, [2], b"\x02" * 128), (3, f ^ 0b111, [3], b"\x03" * 128), (9, ~f, [4], b"\x04" * 128), (8, ~f ^ 0b11111, [5], b"\x05" * 128)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, keys array<long>, sketch binary")
+    assert {(r["node"], r["root"]) for r in neardup.candidate_classes(nodes).collect()} == {(1, 1), (2, 1), (3, 1)}
+    # the fingerprint is that of the simhash operator
+    text = "The quick brown fox jumps over the lazy dog again and again"
+    docs = spark.createDataFrame([(1, 1, text)], "doc_id long, rk long, text string")
+    out = docs.mapInPandas(neardup._signatures(5), "doc_id long, rk long, node long, more long, fp long, size int, keys array<long>, sketch binary").first()
+    assert out["fp"] & (2**64 - 1) == simhash.fingerprint(text)
