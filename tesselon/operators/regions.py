@@ -2,12 +2,16 @@
 
 Items are rows (source_id, page_number, item, text, x, y, width, height, page_width); x grows to the right, y upwards. Everything
 is grouped by page with DataFrame functions. Two rules are folds in order of place, the grouping of items to lines (a line's y is
-the mean of its items so far) and the merging of left edges (a cluster's x likewise): these run as ``aggregate`` over the
-items of one page, and over its edge buckets of 36 units. Null texts count as empty; empty items are on no line, blank ones in no cluster.
+the mean of its items so far) and the merging of left edges (a cluster's x likewise): the first is a small function over the
+items of one page, the second an ``aggregate`` over its edge buckets of 36 units. Null texts count as empty; empty items are on no line, blank ones in no cluster.
 """
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,44 +52,60 @@ def item_features(items: DataFrame) -> DataFrame:
     })
 
 
-def visual_lines(items: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+def visual_lines(items: DataFrame, keys: list[str] = PAGE, carry: list[str] | None = None) -> DataFrame:
     """LAY-01: ``items`` that are not empty, with line (from 0, downwards), line_y and line_height, grouped within ``keys``.
 
+    Of their columns the keys, item, x, y, height and ``carry`` come along (all, if that is None).
+
     From the top down, then from the left, an item joins the first line whose y lies within 0.45 of the greater height of both.
     """
-    height = F.when(F.col("height") > 0, F.col("height")).otherwise(12.0)
-    put = F.struct((-F.col("y")).alias("down"), "x", F.col("item"), F.col("y").cast("double").alias("y"), height.cast("double").alias("h"))
-    page = items.filter(F.length("text") > 0).groupBy(*keys).agg(F.sort_array(F.collect_list(put)).alias("its"))
-    state = "struct<lines: array<struct<y: double, h: double, n: int>>, own: array<int>>"
-    nothing = F.from_json(F.lit('{"lines": [], "own": []}'), state)
-
-    def step(acc: Column, it: Column) -> Column:
-        near = F.transform(acc["lines"], lambda k: F.abs(k["y"] - it["y"]) <= F.greatest(k["h"], it["h"]) * LINE_TOLERANCE)
-        # the place is bound once, as the element of an array of one
-        return F.transform(F.array(F.array_position(near, F.lit(True)).cast("int")), lambda at: F.when(at == 0, F.struct(
-            F.array_append(acc["lines"], F.struct(it["y"].alias("y"), it["h"].alias("h"), F.lit(1).alias("n"))).alias("lines"),
-            F.array_append(acc["own"], F.size(acc["lines"]) + 1).alias("own"),
-        )).otherwise(F.struct(
-            F.transform(acc["lines"], lambda k, i: F.when(i == at - 1, F.struct(
-                ((k["y"] * k["n"] + it["y"]) / (k["n"] + 1)).alias("y"), F.greatest(k["h"], it["h"]).alias("h"), (k["n"] + 1).alias("n"),
-            )).otherwise(k)).alias("lines"),
-            F.array_append(acc["own"], at).alias("own"),
-        )))[0].cast(state)
-
-    page = page.withColumn("fold", F.aggregate("its", nothing, step))
-    ranked = F.array_sort(F.transform("fold.lines", lambda k, i: F.struct((-k["y"]).alias("down"), (i + 1).alias("i"))))
-    page = page.withColumn("order", F.transform(ranked, lambda k: k["i"]))
-    rows = page.select(*keys, "fold.lines", "order", F.posexplode(F.arrays_zip(F.transform("its", lambda i: i["item"]), "fold.own")).alias("p", "z"))
-    line = F.element_at("lines", F.col("z.own"))
-    rows = rows.select(
-        *keys, F.col("z")["0"].alias("item"), (F.array_position("order", F.col("z.own")) - 1).cast("int").alias("line"),
-        line["y"].alias("line_y"), line["h"].alias("line_height"),
-    )
-    return items.join(rows, [*keys, "item"])
+    filled = items.filter(F.length("text") > 0)
+    return _lines(filled if carry is None else filled.select(*dict.fromkeys([*keys, "item", "x", "y", "height", *carry])), keys)
+
+
+def _fold(ys: np.ndarray, hs: np.ndarray) -> tuple[list[int], list[float], list[float]]:
+    """Number, y and height of the line of each of a page's items, which come from the top down."""
+    y, h, n, own, first = [], [], [], [], 0
+    reach = max(hs, default=0.0) * LINE_TOLERANCE
+    for it, high in zip(ys.tolist(), hs.tolist(), strict=True):
+        # items only go down: a line that is out of any item's reach stays so
+        while first < len(y) and y[first] - it > reach:
+            first += 1
+        for k in range(first, len(y)):
+            if abs(y[k] - it) <= max(h[k], high) * LINE_TOLERANCE:
+                y[k], h[k], n[k] = (y[k] * n[k] + it) / (n[k] + 1), max(h[k], high), n[k] + 1
+                break
+        else:
+            k = len(y)
+            y.append(it)
+            h.append(high)
+            n.append(1)
+        own.append(k)
+    # a line without a place comes first
+    order = sorted(range(len(y)), key=lambda k: (y[k] == y[k], -y[k] if y[k] == y[k] else 0, k))
+    at = {k: i for i, k in enumerate(order)}
+    return [at[k] for k in own], [y[k] for k in own], [h[k] for k in own]
+
+
+def _folds(ys: pd.Series, hs: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_fold(y, h) for y, h in zip(ys, hs, strict=True)], columns=["line", "y", "h"])
+
+
+def _lines(items: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`visual_lines` of items that are not empty. A page's items are collected once and carry their columns along."""
+    height = F.when(F.col("height") > 0, F.col("height")).otherwise(12.0).cast("double")
+    put = F.struct((-F.col("y")).alias("down"), F.col("x").alias("from"), F.col("item").alias("no"), F.struct(*[F.col(c) for c in items.columns if c not in keys]).alias("it"), height.alias("h"))
+    known = functools.reduce(lambda p, q: p & q, [F.col(k).isNotNull() for k in keys])
+    page = items.filter(known).groupBy(*keys).agg(F.sort_array(F.collect_list(put)).alias("its"))
+    fold = F.pandas_udf(_folds, "line array<int>, y array<double>, h array<double>")
+    page = page.withColumn("fold", fold(F.transform("its", lambda i: i["it"]["y"].cast("double")), F.transform("its", lambda i: i["h"])))
+    rows = page.select(*keys, F.explode(F.arrays_zip(F.transform("its", lambda i: i["it"]).alias("it"), F.col("fold.line").alias("line"), F.col("fold.y").alias("y"), F.col("fold.h").alias("h"))).alias("z"))
+    own = [F.col(c) if c in keys else F.col(f"z.it.{c}").alias(c) for c in items.columns]
+    return rows.select(*own, F.col("z.line").alias("line"), F.when(F.col("z.it.y").isNotNull(), F.col("z.y")).alias("line_y"), F.col("z.h").alias("line_height"))
 
 
 def _edges(items: DataFrame) -> DataFrame:
-    """(page, bucket, cluster, cluster_x): buckets of left edges, and the clusters they merge to from left to right."""
+    """(page, edges): a map from each bucket of left edges to (cluster, cluster_x), the cluster that it merges to from left to right."""
     bucket = F.floor(F.col("x") / EDGE_BUCKET + 0.5)
     sums = items.groupBy(*PAGE, bucket.alias("bucket")).agg(F.sum("x").alias("x"), F.count("*").cast("double").alias("n"))
     page = sums.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("bucket", "x", "n"))).alias("bs"))
@@ -100,14 +120,23 @@ def _edges(items: DataFrame) -> DataFrame:
 
     # an empty list has no last element
     step_ = lambda acc, b: F.when(F.size(acc) == 0, F.array(F.struct(b["x"].alias("x"), b["n"].alias("n"), F.array(b["bucket"]).alias("buckets")))).otherwise(step(acc, b)).cast(kind)
-    merged = page.select(*PAGE, F.posexplode(F.aggregate("bs", F.from_json(F.lit("[]"), kind), step_)).alias("cluster", "c"))
-    return merged.select(*PAGE, "cluster", (F.col("c.x") / F.col("c.n")).alias("cluster_x"), F.explode("c.buckets").alias("bucket"))
+    own = lambda c, i: F.transform(c["buckets"], lambda b: F.struct(b.alias("bucket"), F.struct(i.alias("cluster"), (c["x"] / c["n"]).alias("cluster_x")).alias("c")))
+    merged = page.withColumn("merged", F.aggregate("bs", F.from_json(F.lit("[]"), kind), step_))
+    return merged.select(*PAGE, F.map_from_entries(F.flatten(F.transform("merged", own))).alias("edges"))
 
 
 def edge_clusters(items: DataFrame) -> DataFrame:
     """LAY-02: ``items`` that are not blank, with cluster (from 0, to the right) and cluster_x, the mean left edge."""
-    rows = items.filter("filled > 0").withColumn("bucket", F.floor(F.col("x") / EDGE_BUCKET + 0.5))
-    return rows.join(_edges(rows), [*PAGE, "bucket"]).drop("bucket")
+    rows = items.filter("filled > 0")
+    return _clustered(rows, _edges(rows)).filter("cluster is not null")
+
+
+def _clustered(rows: DataFrame, edges: DataFrame, which: Column | None = None) -> DataFrame:
+    """``rows`` with cluster and cluster_x by the edges of their page; null where ``which`` is false or there is no such edge."""
+    found = F.try_element_at("edges", F.floor(F.col("x") / EDGE_BUCKET + 0.5))
+    found = found if which is None else F.when(which, found)
+    met = rows.join(edges, PAGE, "left").withColumn("__c", found).drop("edges")
+    return met.withColumns({"cluster": F.col("__c.cluster"), "cluster_x": F.col("__c.cluster_x")}).drop("__c")
 
 
 def _prose_or_all(features: DataFrame) -> DataFrame:
@@ -143,11 +172,10 @@ def grid_features(items: DataFrame) -> DataFrame:
 
 
 def _grids(features: DataFrame) -> DataFrame:
-    lined = visual_lines(features)
-    signs = F.length(F.regexp_replace("text", EQUATION_SIGNS, ""))
+    counted = {c: F.length(F.regexp_replace("text", p, "")) for c, p in (("signs", EQUATION_SIGNS), ("digits", "[^0-9]"), ("chars", _SPACE))}
+    lined = visual_lines(features.withColumns(counted), carry=["words", "letters", *counted])
     by_line = lined.groupBy(*PAGE, "line").agg(
-        F.count("*").alias("items"), F.sum("words").alias("words"), F.sum("letters").alias("letters"), F.sum(signs).alias("signs"),
-        F.sum(F.length(F.regexp_replace("text", "[^0-9]", ""))).alias("digits"), F.sum(F.length(F.regexp_replace("text", _SPACE, ""))).alias("chars"),
+        F.count("*").alias("items"), F.sum("words").alias("words"), F.sum("letters").alias("letters"), *[F.sum(c).alias(c) for c in counted],
     )
     per = by_line.groupBy(*PAGE).agg(
         F.sum("items").alias("items"), F.count("*").alias("lines"), F.count_if(F.col("words") >= PROSE_LINE).alias("long_lines"),
@@ -187,7 +215,7 @@ def regions(items: DataFrame) -> DataFrame:
         (F.count_if(F.col("filled") <= SHORT_TEXT) / F.count("*") >= 0.7).alias("short_noise"), F.sum("letters").alias("letters"),
         F.min("x").alias("left"), F.max("right").alias("right"), F.max("y").alias("top"), F.min("y").alias("bottom"),
     )
-    lines = visual_lines(features).groupBy(*PAGE, "line").agg(F.min("x").alias("anchor"), F.sum("words").alias("words"))
+    lines = visual_lines(features, carry=["words"]).groupBy(*PAGE, "line").agg(F.min("x").alias("anchor"), F.sum("words").alias("words"))
     # a page has few clusters, at most one each 36 units
     away = F.struct(F.abs(F.col("x") - F.col("anchor")), F.col("cluster"))
     nearest = lines.join(per.select(*PAGE, "cluster", "x"), PAGE).groupBy(*PAGE, "line").agg(F.min_by("cluster", away).alias("cluster"), F.first("words").alias("words"))
@@ -208,7 +236,7 @@ def gutter_crossings(items: DataFrame) -> DataFrame:
     A line crosses if it has items on both sides of the middle, or an item too wide for one column that reaches over it, or
     two neighbours with a gap of 20 units around it. Pages without a width have none.
     """
-    lined = visual_lines(item_features(items).filter("page_width > 0"))
+    lined = visual_lines(item_features(items).filter("page_width > 0"), carry=["right", "width", "page_width", "overflow", "on_left", "on_right"])
     mid, order = F.col("page_width") / 2, Window.partitionBy(*PAGE, "line").orderBy("x", "item")
     after = F.lead("x").over(order)
     lined = lined.withColumn("gap", F.coalesce((F.col("right") <= mid) & (after >= mid) & (after - F.col("right") >= OVERFLOW_REACH), F.lit(False)))
@@ -227,13 +255,21 @@ def prose_columns(items: DataFrame) -> DataFrame:
     letters and lines of four words each, and overlap in height. Where items reach over the middle, a page is refused as
     a single column without two proven ones. A page of blank items has no row.
     """
-    whole_items = materialize(item_features(items), "regions-items")
+    return _prose_columns(materialize(item_features(items), "regions-items"))
+
+
+def _prose_columns(whole_items: DataFrame) -> DataFrame:
     features = whole_items.filter("filled > 0")
-    clustered = edge_clusters(_prose_or_all(features)).withColumn("view", F.concat(F.lit("c"), F.col("cluster").cast("string")))
-    views = features.withColumn("view", F.explode(F.array_compact(F.array(
-        F.lit("all"), F.when(F.col("on_left"), F.lit("left")), F.when(F.col("on_right"), F.lit("right")),
-    )))).unionByName(clustered.drop("cluster", "cluster_x"))
-    lines = visual_lines(views, [*PAGE, "view"]).groupBy(*PAGE, "view", "line").agg(
+    narrow = [*PAGE, "item", "x", "y", "height", "words", "on_left", "on_right", "multi", "overflow", "letters", "prose"]
+    flagged = features.select(*narrow).withColumn("used", F.col("prose") | ~F.max("prose").over(Window.partitionBy(*PAGE)))
+    # a page's items are together from here on, and are told out to views where they lie
+    placed = _clustered(flagged, _edges(flagged.filter("used")), F.col("used"))
+    cluster_view = F.concat(F.lit("c"), F.col("cluster").cast("string"))
+    views = placed.withColumn("view", F.explode(F.array_compact(F.array(
+        F.lit("all"), F.when(F.col("on_left"), F.lit("left")), F.when(F.col("on_right"), F.lit("right")), cluster_view,
+    )))).select(*narrow[:-2], "view")
+    clustered = placed.filter("cluster is not null").withColumn("view", cluster_view)
+    lines = _lines(views, [*PAGE, "view"]).groupBy(*PAGE, "view", "line").agg(
         F.sum("words").alias("words"), F.max(F.col("on_left") & F.col("multi")).alias("lm"), F.max(F.col("on_right") & F.col("multi")).alias("rm"),
         F.max("overflow").alias("over"), F.max("on_right").alias("past"),
     )
@@ -286,22 +322,23 @@ def reading_orders(items: DataFrame) -> DataFrame:
     Tables are uncertain. Columns by :func:`prose_columns`, or by the only two clusters of two items and more, count as two if both have lines
     of prose and overlap; a page that is refused as one column, or whose lines start in both halves, is uncertain.
     """
-    features = item_features(items).filter("filled > 0")
+    whole_items = materialize(item_features(items), "regions-items")
+    features = whole_items.filter("filled > 0").select(*PAGE, "item", "x", "y", "right", "height", "tokens", "filled")
     clusters = edge_clusters(features).groupBy(*PAGE, "cluster").agg(F.first("cluster_x").alias("x"), F.count("*").alias("n")).filter("n >= 2")
     pairs = clusters.groupBy(*PAGE).agg(F.count("*").alias("k"), F.min("x").alias("x1"), F.max("x").alias("x2"))
-    page = prose_columns(items).join(pairs, PAGE, "left")
+    page = _prose_columns(whole_items).join(pairs, PAGE, "left")
     apart = F.col("x2") - F.col("x1") >= F.greatest(F.lit(2.0 * GUTTER), F.col("page_width") * MIN_SEPARATION)
     paired = (F.col("k") == 2) & apart & (F.col("x1") <= F.col("page_width") * 0.45) & (F.col("x2") >= F.col("page_width") * 0.45)
     page = page.withColumn("pair_split", F.when(paired, (F.col("x1") + F.col("x2")) / 2)).select(*PAGE, "page_width", "kind", "two_dominant", "refuse_single", "split_x", "pair_split")
     page = materialize(page, "regions-pages")
     # each way of cutting the page is a view with two sides; an item is met by all of them at once
     side = lambda at: F.when(at.isNull(), None).when(F.col("x") < at, "l").otherwise("r")
-    met = features.drop("page_width").join(page, PAGE)
+    met = features.join(page, PAGE)
     mid = F.col("page_width") / 2
     halves = F.when(F.col("right") < mid - GUTTER / 2, "l").when(F.col("x") > mid + GUTTER / 2, "r")
     named = [F.concat(F.lit(k), v) for k, v in (("split_", side(F.col("split_x"))), ("pair_", side(F.col("pair_split"))), ("mid_", halves))]
-    views = met.withColumn("view", F.explode(F.array_compact(F.array(*named, F.lit("all"))))).select(*PAGE, "view", "item", "text", "x", "y", "height", "tokens")
-    lines = visual_lines(views, [*PAGE, "view"]).groupBy(*PAGE, "view", "line").agg(F.first("line_y").alias("y"), F.min("x").alias("x"), F.sum("tokens").alias("tokens"))
+    views = met.withColumn("view", F.explode(F.array_compact(F.array(*named, F.lit("all"))))).select(*PAGE, "view", "item", "x", "y", "height", "tokens")
+    lines = _lines(views, [*PAGE, "view"]).groupBy(*PAGE, "view", "line").agg(F.first("line_y").alias("y"), F.min("x").alias("x"), F.sum("tokens").alias("tokens"))
     per = lines.groupBy(*PAGE, "view").agg(
         F.count("*").alias("lines"), F.max("y").alias("top"), F.min("y").alias("bottom"), F.max(F.col("tokens") >= PROSE_LINE).alias("prose"), (F.max("x") - F.min("x")).alias("spread"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesselon.operators import regions
 from tesselon.plans.registry import query, table
+from tesselon.session import spread_small
 
 # a document's number decides its style: one column, two columns, a grid of single words, two columns with boxes too wide for one
 _SQL_ITEMS = r"""
@@ -29,7 +30,7 @@ _SQL_ITEMS = r"""
 def page_items(spark, sf_dir):
     """Items of 600 units wide pages made of the words of ``documents``."""
     i, s = F.col("i"), F.col("s")
-    d = table(spark, sf_dir, "documents").select(
+    d = spread_small(table(spark, sf_dir, "documents")).select(
         "doc_id", (F.col("doc_id") % 4).alias("s"), F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \x09-\x0D]+"), lambda w: w != "").alias("ws"))
     per = F.when(s == 2, 1).otherwise(5)
     d = d.select("doc_id", "s", F.posexplode(F.transform(
@@ -53,7 +54,7 @@ _ID = "doc_id::VARCHAR AS source_id, page::INT AS page_number"
 @query(f"""WITH {_SQL_ITEMS} SELECT {_ID}, r::INT AS line, count(*) AS items, round(avg(y), 6) AS y, sum(words2)::BIGINT AS words FROM f GROUP BY doc_id, page, r""")
 def page_lines(spark, sf_dir):
     """LAY-01 over rows: visual lines of every page."""
-    lined = regions.visual_lines(regions.item_features(page_items(spark, sf_dir)))
+    lined = regions.visual_lines(regions.item_features(page_items(spark, sf_dir)), carry=["words"])
     return lined.groupBy("source_id", "page_number", "line").agg(F.count("*").alias("items"), F.round(F.first("line_y"), 6).alias("y"), F.sum("words").cast("long").alias("words"))
 
 

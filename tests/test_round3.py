@@ -55,3 +55,15 @@ def test_near_dedup_takes_candidates_from_simhash(spark):
     docs = spark.createDataFrame([(1, 1, text)], "doc_id long, rk long, text string")
     out = docs.mapInPandas(neardup._signatures(5), "doc_id long, rk long, node long, more long, fp long, size int, keys array<long>, sketch binary").first()
     assert out["fp"] & (2**64 - 1) == simhash.fingerprint(text)
+
+
+def test_items_meet_their_lines_without_a_second_shuffle(spark):
+    from tesselon.operators import regions
+
+    rows = [("d", 1, i, "word", float(i % 3), 700.0 - 5 * (i // 3), 10.0, 10.0 if i else None) for i in range(12)]
+    items = spark.createDataFrame(rows, "source_id string, page_number int, item int, text string, x double, y double, width double, height double")
+    out = regions.visual_lines(items, carry=["width"])
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["source_id", "page_number", "item", "x", "y", "height", "width", "line", "line_y", "line_height"]
+    # rows of five units apart: a line of 10 reaches 4.5, the first item counts as 12 high and reaches 5.4
+    assert [r["line"] for r in out.orderBy("item").collect()] == [0, 0, 0, 0, 0, 0, 1, 1, 1, 2, 2, 2]
