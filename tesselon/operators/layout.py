@@ -7,12 +7,16 @@ Order-dependent grouping of a page's items is a small sequential task, done page
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------------------------------------
@@ -20,6 +24,7 @@ LINE_TOLERANCE, EDGE_BUCKET, GRID_BUCKET = 0.45, 36, 8
 GRID_MIN, GRID_REPEAT, GRID_SHORT, GRID_SHARE = 12, 3, 12, 0.7
 GRID_MATH = "[=+∑∫√≤≥±×÷^]"
 BAND = 72.0
+SPACES = re.compile(r"\s+")
 LIST_MARKER = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+")
 CAPTION = re.compile(r"^\s*(?:figure|fig\.|table|chart)\s*\d", re.I)
 SECTION = re.compile(r"^\s*(?:\d+(?:\.\d+)*\.?\s+[A-Z]|(?:abstract|introduction|conclusion|references|appendix)\b)", re.I)
@@ -30,7 +35,7 @@ LIMITS = {
 # ---------------------------------------------------------------------------------------------------------
 
 
-@dataclass
+@dataclass(slots=True)
 class Item:
     no: int
     text: str
@@ -50,11 +55,12 @@ class Line:
     height: float
     items: list[Item] = field(default_factory=list)
 
-    @property
+    @cached_property
     def text(self) -> str:
-        return re.sub(r"\s+", " ", " ".join(i.text for i in self.items)).strip()
+        """Read once the line has all its items."""
+        return SPACES.sub(" ", " ".join([i.text for i in self.items])).strip()
 
-    @property
+    @cached_property
     def left(self) -> float:
         return min(i.x for i in self.items)
 
@@ -102,6 +108,8 @@ def edge_clusters(items: list[Item]) -> list[list[Item]]:
 
 def is_grid(items: list[Item]) -> bool:
     """LAY-03: many short items whose places repeat in both directions."""
+    if len(items) < GRID_MIN:
+        return False
     real = [i for i in items if i.text.strip()]
     if len(real) < GRID_MIN:
         return False
@@ -128,10 +136,13 @@ def columns(items: list[Item], width: float) -> tuple[str, list[Line]]:
     lines = visual_lines(items)
     if is_grid(items):
         return "uncertain", lines
+    clusters = edge_clusters(items)
+    if len(clusters) < 2:
+        return "single-column", lines
     letters = lambda c: sum(sum(ch.isalpha() for ch in i.text) for i in c)
-    big = sorted(edge_clusters(items), key=letters, reverse=True)[:2]
+    big = sorted(clusters, key=letters, reverse=True)[:2]
     total = letters(items) or 1
-    if len(big) == 2 and all(letters(c) / total >= 0.18 and len(c) >= 2 for c in big):
+    if all(letters(c) / total >= 0.18 and len(c) >= 2 for c in big):
         left, right = sorted(big, key=lambda c: min(i.x for i in c))
         gap = min(i.x for i in right) - min(i.x for i in left)
         beside = min(max(i.y for i in left), max(i.y for i in right)) - max(min(i.y for i in left), min(i.y for i in right))
@@ -276,21 +287,57 @@ def blocks(lines: list[Line], width: float, furniture: set[str] = frozenset(), g
     return sorted(groups, key=lambda g: g[1][0])
 
 
+#: What a byte is: white space, a letter, a digit, a capital, the first byte of a character.
+_SPACE, _LETTER, _DIGIT, _CAPITAL, _FIRST = 1, 2, 4, 8, 16
+_BYTES = np.array([
+    (_SPACE if b == 32 or 9 <= b <= 13 else 0) | (_LETTER if chr(b & ~32) in string.ascii_uppercase and 65 <= b < 128 else 0) | (_DIGIT if 48 <= b <= 57 else 0)
+    | (_CAPITAL if 65 <= b <= 90 else 0) | (_FIRST if b & 0xC0 != 0x80 else 0) for b in range(256)], dtype=np.uint8)
+_COUNTS = ("tokens", "solid", "words", "letters", "digits", "short", "capitals")
+
+
+def _count_bytes(texts: list[str]) -> np.ndarray:
+    """One row of ``_COUNTS`` a text, by the classes of the bytes of all texts at once; tokens are what stands between white space."""
+    parts = [t.encode() + b"\n" for t in texts]
+    kind = _BYTES[np.frombuffer(b"".join(parts), dtype=np.uint8)]
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+    per_text = lambda mask: np.add.reduceat(mask, at, dtype=np.int64)
+    solid, letter, first = kind & _SPACE == 0, kind & _LETTER != 0, kind & _FIRST != 0
+    start = solid.copy()
+    start[1:] &= ~solid[:-1]
+    starts, token = np.flatnonzero(start), np.cumsum(start, dtype=np.int32) - 1
+    length = np.bincount(token[solid & first], minlength=len(starts))
+    pair = np.zeros(len(starts), dtype=bool)
+    pair[token[:-1][letter[:-1] & letter[1:]]] = True
+    of_tokens = lambda mask: np.bincount(np.searchsorted(at, starts[mask], "right") - 1, minlength=len(parts))
+    return np.stack([per_text(start), per_text(solid & first), of_tokens(pair), per_text(letter), per_text(kind & _DIGIT != 0), of_tokens(length <= 2), per_text(start & (kind & _CAPITAL != 0))], axis=1)
+
+
+def _text_counts(text: pd.Series) -> pd.DataFrame:
+    rows, some, size = [], [], 0
+    for t in text:
+        some.append(t)
+        size += len(t)
+        if size >= 1 << 20:
+            rows.append(_count_bytes(some))
+            some, size = [], 0
+    if some:
+        rows.append(_count_bytes(some))
+    return pd.DataFrame(np.concatenate(rows) if rows else np.zeros((0, len(_COUNTS)), dtype=np.int64), columns=list(_COUNTS))
+
+
 def line_features(text: Column) -> Column:
     """LAY-10: words, shares of letters, digits, punctuation and short words, mean length, and the prose score in [0, 1]; a null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    count = lambda keep: F.length(F.regexp_replace(text, keep, ""))
-    tokens = F.filter(F.split(text, r"[ \x09-\x0D]+"), lambda w: w != "")
-    n, chars = F.greatest(F.size(tokens), F.lit(1)), F.greatest(count(r"[ \x09-\x0D]"), F.lit(1))
-    of_tokens = lambda test: F.size(F.filter(tokens, test))
-    words, alpha = of_tokens(lambda w: w.rlike("[A-Za-z]{2}")).cast("long"), count("[^A-Za-z]") / chars
-    short, length = of_tokens(lambda w: F.length(w) <= 2) / n, F.length(F.array_join(tokens, "")) / n
+    c = F.pandas_udf(_text_counts, ", ".join(f"{c} long" for c in _COUNTS))(text)
+    n, chars = F.greatest(c["tokens"], F.lit(1)), F.greatest(c["solid"], F.lit(1))
+    words, alpha = c["words"], c["letters"] / chars
+    short, length = c["short"] / n, c["solid"] / n
     one = F.lit(1.0)
     prose = 0.35 * F.least(one, words / 8) + 0.25 * alpha + (0.2 * (1 - short) + 0.2 * F.least(one, length / 5))
     return F.struct(
-        words.alias("words"), alpha.alias("alpha"), (count("[^0-9]") / chars).alias("numeric"),
-        (count(r"[\p{L}\p{M}\p{N}_ \x09-\x0D]") / chars).alias("punctuation"), short.alias("short"), length.alias("length"),
-        (of_tokens(lambda w: w.rlike("^[A-Z]")) / n).alias("capitalised"), F.greatest(F.lit(0.0), F.least(one, prose)).alias("prose"),
+        words.alias("words"), alpha.alias("alpha"), (c["digits"] / chars).alias("numeric"),
+        (F.length(F.regexp_replace(text, r"[\p{L}\p{M}\p{N}_ \x09-\x0D]+", "")) / chars).alias("punctuation"), short.alias("short"), length.alias("length"),
+        (c["capitals"] / n).alias("capitalised"), F.greatest(F.lit(0.0), F.least(one, prose)).alias("prose"),
     )
 
 
@@ -314,28 +361,58 @@ def grid_kinds(items: DataFrame) -> DataFrame:
     return per.select(*page, F.when(~grid, "none").when(F.col("math") / F.col("n") >= 0.5, "math").otherwise("table").alias("kind"))
 
 
-LAYOUT_SCHEMA = (
-    "source_id string, page_number int, reading_order string, text string, "
-    "segments array<struct<kind:string,item:int,source_start:int,source_end:int,norm_start:int,norm_end:int>>, "
-    "lines array<struct<text:string,y:double,left:double,height:double,band:string>>, blocks array<struct<kind:string,lines:array<int>>>"
-)
+LAYOUT_SCHEMA = {
+    "text": "string", "segments": "array<struct<kind:string,item:int,source_start:int,source_end:int,norm_start:int,norm_end:int>>",
+    "lines": "array<struct<text:string,y:double,left:double,height:double,band:string>>", "blocks": "array<struct<kind:string,lines:array<int>>>",
+}
+_ARROW = {
+    "segments": [("kind", pa.string()), ("item", pa.int32()), ("source_start", pa.int32()), ("source_end", pa.int32()), ("norm_start", pa.int32()), ("norm_end", pa.int32())],
+    "lines": [("text", pa.string()), ("y", pa.float64()), ("left", pa.float64()), ("height", pa.float64()), ("band", pa.string())],
+    "blocks": [("kind", pa.string()), ("lines", pa.list_(pa.int32()))],
+}
 
 
-def page_layout(pages: DataFrame) -> DataFrame:
-    """LAY-01..05, 08, 09: one row a page of (source_id, page_number, width, height, items array<struct<str,x,y,width,height>>)."""
+def _lists(rows: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> pa.ListArray:
+    """Lists of structs, built column by column."""
+    flat = list(zip(*[r for row in rows for r in row], strict=True)) or [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(flat, fields, strict=True)], [n for n, _ in fields])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), structs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for p in b.itertuples(index=False):
-                items = [Item(i, r["str"] or "", float(r["x"]), float(r["y"]), float(r["width"]), float(r["height"])) for i, r in enumerate(p.items)]
-                order, lines = columns(items, p.width)
-                text, segments = page_text(lines) if order != "uncertain" else ("", [])
-                rows = [(k.text, k.y, k.left, k.height, band(k, p.height)) for k in lines]
-                out.append((p.source_id, p.page_number, order, text, segments, rows, blocks(lines, p.width, grid=grid_kind(items))))
-            yield pd.DataFrame(out, columns=["source_id", "page_number", "reading_order", "text", "segments", "lines", "blocks"])
 
-    return pages.select("source_id", "page_number", "width", "height", "items").mapInPandas(run, LAYOUT_SCHEMA)
+def page_layout(pages: DataFrame, parts: tuple[str, ...] = tuple(LAYOUT_SCHEMA)) -> DataFrame:
+    """LAY-01..05, 08, 09: one row a page of (source_id, page_number, width, height, items array<struct<str,x,y,width,height>>).
+
+    ``parts`` names the columns after reading_order that are wanted; the others are neither worked out nor returned. Items come and
+    results go as Arrow columns, so a page costs its rules and not the making of its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = dict(zip(b.schema.names, b.columns, strict=True))
+            flat = of["items"].flatten()
+            text, *places = (flat.field(c).to_pylist() for c in ("str", "x", "y", "width", "height"))
+            orders, found, at = [], {c: [] for c in parts}, 0
+            for n, width, height in zip(of["items"].value_lengths().to_pylist(), of["width"].to_pylist(), of["height"].to_pylist(), strict=True):
+                to = at + (n or 0)
+                items = [Item(i, t or "", *p) for i, (t, *p) in enumerate(zip(text[at:to], *(c[at:to] for c in places), strict=True))]
+                at = to
+                order, lines = columns(items, width)
+                orders.append(order)
+                if "text" in found or "segments" in found:
+                    said, segments = page_text(lines) if order != "uncertain" else ("", [])
+                    for c, v in (("text", said), ("segments", segments)):
+                        if c in found:
+                            found[c].append(v)
+                if "lines" in found:
+                    found["lines"].append([(k.text, k.y, k.left, k.height, band(k, height)) for k in lines])
+                if "blocks" in found:
+                    found["blocks"].append(blocks(lines, width, grid=grid_kind(items)))
+            out = [_lists(v, _ARROW[c]) if c in _ARROW else pa.array(v, pa.string()) for c, v in found.items()]
+            yield pa.RecordBatch.from_arrays([of["source_id"], of["page_number"], pa.array(orders, pa.string()), *out], ["source_id", "page_number", "reading_order", *parts])
+
+    number = F.col("items").cast("array<struct<str:string,x:double,y:double,width:double,height:double>>")
+    rows = pages.select(F.col("source_id").cast("string"), F.col("page_number").cast("int"), F.col("width").cast("double"), F.col("height").cast("double"), number.alias("items"))
+    return rows.mapInArrow(run, "source_id string, page_number int, reading_order string, " + ", ".join(f"{c} {LAYOUT_SCHEMA[c]}" for c in parts))
 
 
 def repeated_bands(layout: DataFrame) -> DataFrame:
@@ -356,13 +433,22 @@ def furniture(layout: DataFrame, hint: str = "free of charge|confidential|all ri
     return g.filter((F.col("pages") >= 3) & rule).select("source_id", "text")
 
 
+def map_faults(text: Column, segments: Column) -> Column:
+    """LAY-13, LAY-16: where, in one page's map, a segment does not begin where the one before it ends, or the map does not end with the text.
+
+    ``segments`` in any order; a page's map is an array of its row, so pages are not taken apart.
+    """
+    s = F.array_sort(F.transform(segments, lambda x: F.struct(x["norm_start"].alias("a"), x["norm_end"].alias("z"))))
+    before = F.concat(F.array(F.lit(0)), F.transform(s, lambda x: x["z"]))
+    last = F.size(s) - 1
+    bad = lambda x, i: (x["a"] != F.get(before, i)) | (x["z"] <= x["a"]) | ((i == last) & (x["z"] != F.length(text)))
+    marks = F.transform(s, lambda x, i: F.when(bad(x, i), x["a"]))
+    return F.filter(marks, lambda x: x.isNotNull())
+
+
 def mapping_violations(layout: DataFrame) -> DataFrame:
-    """LAY-13, LAY-16: (source_id, page_number, at) where a segment does not begin where the one before it ends, or the map does not end with the text."""
-    s = layout.select("source_id", "page_number", F.length("text").alias("n"), F.explode("segments").alias("s")).select("source_id", "page_number", "n", "s.norm_start", "s.norm_end")
-    w = Window.partitionBy("source_id", "page_number").orderBy("norm_start")
-    s = s.withColumns({"before": F.coalesce(F.lag("norm_end").over(w), F.lit(0)), "after": F.lead("norm_start").over(w)})
-    bad = (F.col("norm_start") != F.col("before")) | (F.col("norm_end") <= F.col("norm_start")) | (F.col("after").isNull() & (F.col("norm_end") != F.col("n")))
-    return s.filter(bad).select("source_id", "page_number", F.col("norm_start").alias("at"))
+    """LAY-13, LAY-16: (source_id, page_number, at) of each of :func:`map_faults`."""
+    return layout.select("source_id", "page_number", F.explode(map_faults(F.col("text"), F.col("segments"))).alias("at"))
 
 
 def readiness(size: Column, pages: Column, chars: Column) -> Column:

@@ -67,3 +67,107 @@ def test_items_meet_their_lines_without_a_second_shuffle(spark):
     assert out.columns == ["source_id", "page_number", "item", "x", "y", "height", "width", "line", "line_y", "line_height"]
     # rows of five units apart: a line of 10 reaches 4.5, the first item counts as 12 high and reaches 5.4
     assert [r["line"] for r in out.orderBy("item").collect()] == [0, 0, 0, 0, 0, 0, 1, 1, 1, 2, 2, 2]
+
+
+def test_edges_look_at_one_side_where_the_other_is_sure():
+    import re
+
+    both = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    patterns = [r"\bown(?:s|er)?\b", r"\b(auth(entication)?|soc\s*2|\d+)\b|n['’]t\b", r"^\bs?x\b", r"\b(?:a|-b)\b", r"(a|b-)\b", r"x?\b-", r"\w*\b", r"\b[a-z]+\b", r"(?:ab|c)+\b", r"\ba*\b", r"\\b", r"(?!a)\bb\b", r"a{0,2}\b", r"\b(a|b){0,1}-"]
+    said = ["", "own", "owner's owns disown", "soc 2 SOC2 auth", "don't no", "x sx s-x", "a -b b- ab-cab", "é own é", "_own own_", "-", "b\\b", "12 1a", "aa-b"]
+    for p in patterns + [p for _, ps in tx._SHAPE_RULES for p in ps] + [p for _, ps in dialogue._PREDICATES for p in ps if not p.startswith("shape=")]:
+        plain = p if p == r"\\b" else p.replace(r"\b", both)
+        for flags in (0, re.I):
+            for s in [*said, "what happens when it fails", "who owns the isn't it", "why is there no api key"]:
+                ends = lambda q: [m.span() for m in re.finditer(q.replace(r"\z", r"\Z"), s, flags | re.A)]  # noqa: B023, E731
+                assert ends(tx.edges(p)) == ends(plain.replace("$", r"\z")), (p, s)
+    # no pattern of the rules tests both sides at every character any more
+    assert not any(both in tx.edges(p) for _, ps in tx._SHAPE_RULES for p in ps)
+
+
+def test_predicates_look_at_the_shape_once(spark):
+    from tesselon.plans.queries import QUERIES
+
+    df = QUERIES["predicate_kinds"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("wrote|touched|owns?|added|changed|maintains?") == tx._SHAPE_RULES.__str__().count("wrote|touched|owns?|added|changed|maintains?")
+
+
+def test_bag_vectors_shuffle_no_text_and_sum_up_repeated_ids(spark):
+    from tesselon.operators.retrieval import bag_embeddings
+
+    rows = [(1, "Alpha beta"), (1, "alpha x"), (2, "alpha beta alpha x"), (3, None), (4, "- é"), (5, "K")]
+    got = {}
+    for r in bag_embeddings(spark.createDataFrame(rows, "chunk_id int, text string")).collect():
+        got.setdefault(r["chunk_id"], []).append(r["vector"])
+    assert len(got[1]) == 2 and got[1][0] == got[1][1] == got[2][0] and len(got[1][0]) == 384
+    assert set(got[3][0]) == set(got[4][0]) == {0.0} and sum(x > 0 for x in got[5][0]) == 1
+    single = bag_embeddings(spark.createDataFrame(rows[2:], "chunk_id int, text string"))
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_features_make_no_tokens(spark):
+    from tesselon.operators import layout
+
+    texts = ["a\x01b _ AB  cd\x01 \x01\x01 é 12 éé", "\tAb\n aB9 a1b2 x", "", None, "😀😀 😀 Aé"]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(layout.line_features(F.col("t")).alias("f"))
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    words = lambda t: [w for w in __import__("re").split("[ \t-\r]+", t or "") if w]
+    has = __import__("re").compile("[A-Za-z]{2}")
+    for t, r in zip(texts, out.collect(), strict=True):
+        ws, f = words(t), r["f"]
+        assert f["words"] == sum(bool(has.search(w)) for w in ws)
+        assert f["short"] == sum(len(w) <= 2 for w in ws) / max(1, len(ws)) and f["length"] == sum(map(len, ws)) / max(1, len(ws))
+        assert f["capitalised"] == sum("A" <= w[0] <= "Z" for w in ws) / max(1, len(ws))
+
+
+def test_terms_find_their_files_without_a_shuffle_of_the_words(spark):
+    from tesselon.operators import answers
+
+    files = [("a/retry", "The retrying queue"), ("b", "x" * 30_000 + "retr"), ("c", None), ("c2", "api apis"), ("d", "entry retries"), ("d", "queue")]
+    files = spark.createDataFrame(files, "path string, content string")
+    terms = spark.createDataFrame([("retry",), ("retries",), ("api",), ("queue",), ("retr",), ("nothing",), ("queue",)], "term string")
+    out = answers.term_file_frequency(terms, files)
+    assert {r["term"]: r["df"] for r in out.collect()} == {"retry": 1, "retries": 1, "api": 1, "queue": 2, "retr": 3, "nothing": 0}
+    # words meet their terms where the texts are: what is joined is broadcast, and no pair of term and file is shuffled
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(w#" not in plan and "path#" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning(term" in x)
+
+
+def test_full_text_ranks_any_of_the_terms_without_lists_of_places(spark):
+    from tesselon.operators import retrieval
+
+    q = spark.createDataFrame([(1, "retry queue"), (2, "queues"), (3, "é")], "query_id int, text string")
+    c = spark.createDataFrame([(1, "Retried queue queue"), (2, None), (3, "retry"), (4, "queue's"), (5, "queue Queues queue")], "chunk_id int, text string")
+    out = retrieval.full_text_search(q, c)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    kept = retrieval.full_text_search(q, c, posts=retrieval.positional_postings(c))
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in kept.collect()} != set()
+
+
+def test_texts_are_dealt_into_pieces_of_one_size(spark):
+    from tesselon.session import dealt
+
+    df = spark.range(64).withColumn("t", F.repeat(F.lit("x"), 1000))
+    assert dealt(df, "id", ["t"], 2000).rdd.getNumPartitions() == 32
+    assert dealt(df.limit(0), "id", ["t"]).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_pages_are_laid_out_by_columns_and_in_one_shuffle(spark):
+    from tesselon.operators import layout
+    from tesselon.plans.queries import QUERIES
+
+    item = lambda t, x, y: (t, x, y, 50.0, 10.0)
+    pages = [("a", 1, 600.0, 800.0, [item("Figure 1 shows a", 40.0, 790.0), item("plain mea-", 40.0, 400.0), item("sured", 40.0, 386.0)]), ("a", 2, 600.0, 800.0, []), ("b", 1, 600.0, 800.0, None), ("b", 2, 600.0, 800.0, [item(None, 1.0, 2.0)])]
+    df = spark.createDataFrame(pages, "source_id string, page_number int, width double, height double, items array<struct<str:string,x:double,y:double,width:double,height:double>>")
+    whole = {(r["source_id"], r["page_number"]): r for r in layout.page_layout(df).collect()}
+    assert len(whole) == 4 and whole["a", 1]["text"] == "Figure 1 shows a\nplain measured" and [tuple(b) for b in whole["a", 1]["blocks"]] == [("caption", [0]), ("paragraph", [1, 2])]
+    assert whole["b", 1]["lines"] == [] and whole["a", 2]["segments"] == []
+    for part in ("text", "segments", "lines", "blocks"):
+        one = layout.page_layout(df, (part,))
+        assert one.columns == ["source_id", "page_number", "reading_order", part] and all(r[part] == whole[r["source_id"], r["page_number"]][part] for r in one.collect())
+    bad = spark.createDataFrame([("abc", [(0, 1), (2, 3)]), ("abc", [(1, 2), (0, 1)]), ("", []), ("ab", [(0, 2), (2, 2)])], "t string, s array<struct<norm_start:int,norm_end:int>>")
+    assert [r[0] for r in bad.select(layout.map_faults(F.col("t"), F.col("s"))).collect()] == [[2], [1], [], [2]]
+    # a query over pages deals its lines out once
+    for name, n in (("page_blocks", 1), ("page_texts", 1), ("page_map_faults", 2)):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange") == n
