@@ -16,8 +16,8 @@ from tesselon.functions.dialogue import evidence_fits_shape
 from tesselon.functions.scalars import share
 from tesselon.functions.verify import semantic_faults
 from tesselon.operators import audit
-from tesselon.operators.retrieval import TEST_PATH
-from tesselon.session import materialize
+from tesselon.operators.retrieval import TEST_PATH, sized
+from tesselon.session import dealt, materialize
 
 # --- fixed values ---------------------------------------------------------------------------------------
 FAST_PATH_SCORE, FAIL_FAST_SCORE = 4.0, 2.0
@@ -79,22 +79,21 @@ def term_file_frequency(terms: DataFrame, files: DataFrame) -> DataFrame:
 
     The vocabulary's distinct words (not files) are tested for the substring, then joined to the files that hold them.
     """
-    words = files.select("path", F.explode(F.array_distinct(tx.nonempty(F.split(F.lower(F.concat_ws("\n", "path", "content")), "[^a-z0-9]+")))).alias("w"))
-    vocabulary = words.select("w").distinct()
-    wanted = terms.select("term").distinct()
-    # a word that mentions a term holds its first five characters (all, if shorter) somewhere
-    grams = F.when(F.length("w") >= 5, F.transform(F.sequence(F.lit(1), F.length("w") - 4), lambda i: F.substring(F.col("w"), i, F.lit(5)))).otherwise(F.array().cast("array<string>"))
-    long_ = vocabulary.select("w", F.explode(F.array_distinct(grams)).alias("g"))
-    key = wanted.filter(F.length("term") >= 5).withColumn("g", F.substring("term", 1, 5))
-    pairs = key.join(long_, "g").filter(mentions(F.col("w"), F.col("term"))).select("term", "w")
-    short = wanted.filter(F.length("term") < 5)
-    def runs(k: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length("w") - (k - 1)), lambda i: F.substring(F.col("w"), i, F.lit(k)))
-        return F.when(F.length("w") >= k, cut).otherwise(F.array().cast("array<string>"))
-
-    parts = vocabulary.select("w", F.explode(F.array_distinct(F.concat(runs(3), runs(4)))).alias("term"))
-    pairs = pairs.union(short.join(parts, "term").select("term", "w")).distinct()
-    found = pairs.join(words, "w").groupBy("term").agg(F.count_distinct("path").alias("df"))
+    hay = F.lower(F.concat_ws("\n", "path", "content"))
+    word = lambda df, *cols: df.select(*cols, F.explode(F.array_distinct(F.split("hay", "[^a-z0-9]+"))).alias("w")).filter("w != ''")
+    texts = files.select("path", hay.alias("hay"))
+    vocabulary = word(texts).distinct()
+    wanted = materialize(terms.select("term").distinct(), "wanted-terms")
+    # a word that mentions a term holds its first five characters (all, if shorter) somewhere; the terms are the small side and go to the words
+    keys = sized(wanted.select("term", F.substring("term", 1, 5).alias("g")))
+    lengths = sorted(r["n"] for r in wanted.select(F.least(F.lit(5), F.length("term")).alias("n")).distinct().collect())  # five at most
+    # a match without length at every place: no place is looked for from the start of the word
+    runs = [F.regexp_extract_all("w", F.lit(f"(?=(.{{{k}}}))"), F.lit(1)) for k in lengths if k > 0] or [F.array().cast("array<string>")]
+    grams = vocabulary.select("w", F.explode(F.concat(*runs)).alias("g"))
+    pairs = grams.join(keys, "g").filter(mentions(F.col("w"), F.col("term"))).select("term", "w").distinct()
+    # all of a file is in one task, so its terms are made distinct there and counts alone are shuffled
+    met = word(dealt(texts.filter(F.col("path").isNotNull()), "path", ["hay"]), "path").join(sized(pairs), "w").select("path", "term").distinct()
+    found = met.groupBy("term").agg(F.count("*").alias("df"))
     return wanted.join(found, "term", "left").na.fill(0, ["df"])
 
 

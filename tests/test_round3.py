@@ -171,3 +171,17 @@ def test_pages_are_laid_out_by_columns_and_in_one_shuffle(spark):
     # a query over pages deals its lines out once
     for name, n in (("page_blocks", 1), ("page_texts", 1), ("page_map_faults", 2)):
         assert QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange") == n
+
+
+def test_only_postings_that_questions_ask_for_are_made(spark):
+    from tesselon.operators import retrieval
+
+    c = [(f"p{i}:1-1", f"docs/retryQueue{i}.md", "code", 1, t, i) for i, t in enumerate(["the retry queue retries", "retried retryy snake_case_word " + "z" * 3000, None, "cases case cased", "unrelated words only"])]
+    c = spark.createDataFrame(c, "chunk_id string, path string, kind string, start_line int, text string, ord long")
+    q = retrieval.queries_table(spark.createDataFrame([(1, "retry queues"), (2, "cases of snake_case_words")], "query_id int, text string"))
+    want = {tuple(r) for r in retrieval.term_frequencies(q, retrieval.postings(c)).collect()}
+    got = retrieval.asked_frequencies(q, c)
+    assert {tuple(r) for r in got.collect()} == want != set()
+    # texts are dealt out once, by chunk; what is counted of them is not
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(chunk_id") == 1
