@@ -185,3 +185,49 @@ def test_only_postings_that_questions_ask_for_are_made(spark):
     # texts are dealt out once, by chunk; what is counted of them is not
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(chunk_id") == 1
+
+
+def test_structural_scores_are_those_of_every_query_with_every_chunk(spark):
+    from tesselon.operators import retrieval
+
+    texts = [f"what does lib/f{i}.ts do with f{i + 1} and handle f{i}.ts index" for i in range(12)] + ["docs/index.md and router.py", "nothing", "handler1 index.md index.md handle", "handle"]
+    q = retrieval.queries_table(spark.createDataFrame(list(enumerate(texts)), "query_id long, text string"))
+    paths = ["lib/f{}.ts", "f{}.md", "docs/index.md", "a/docs/index.md.bak", "index", "x/router.py", "Q/F{}.TS", "", None]
+    # one symbol or file name is that of many chunks, and a chunk_id is there twice
+    rows = [((i * 7) % 600 if i else 7, (paths[i % 9] or "").format(i % 15) if i % 9 < 8 else None, [f"Handler{i % 2}", "", None, "index", "handler1"][i % 5]) for i in range(600)]
+    c = spark.createDataFrame(rows, "chunk_id long, path string, symbol string")
+
+    def score(asked, path, symbol):
+        low, sym = (path or "").lower(), (symbol or "").lower()
+        base = low.rsplit("/", 1)[-1]
+        stem = base.rsplit(".", 1)[0]
+        return 12.0 * sum(low.endswith(n) or f"/{n}" in low for n in asked["named"]) + sum(4 * (t in (base, stem)) + 2 * (t in sym) for t in asked["terms"])
+
+    for limit in (1, 8, 400):
+        want = []
+        for asked in q.collect():
+            met = sorted((-s, i) for i, p, x in rows if (s := score(asked, p, x)) > 0)
+            want += [(asked["query_id"], i, -s) for s, i in met[:limit]]
+        assert sorted(tuple(r) for r in retrieval.structural_scores(q, c, limit).collect()) == sorted(want)
+
+
+def test_chunks_that_score_alike_do_not_all_meet_the_queries(spark):
+    from tesselon.operators import retrieval
+
+    q = retrieval.queries_table(spark.range(12).select(F.col("id").alias("query_id"), F.concat(F.lit("what does g"), "id", F.lit(" handle")).alias("text")))
+    many = spark.range(4000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("src/g"), F.col("id").cast("string")).alias("path"), F.lit("handler").alias("symbol"))
+    got = retrieval.structural_scores(q, many)
+    assert {(r["query_id"], r["chunk_id"]): r["score"] for r in got.collect()} == {(a, b): 6.0 if a == b else 2.0 for a in range(12) for b in sorted({a, *range(8)} - ({7} if a > 7 else set()))}
+    joined, todo = [], [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if "Join" in name:
+            joined.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    # every chunk meets its symbol once, and not each of the queries
+    assert joined and max(joined) <= 4000
