@@ -8,9 +8,10 @@ bound falls strictly below the k-th best score that is known by then (of the sam
 so that ties are still met. What is left out cannot be among the first k: the result is exact.
 
 Two such searches are made: for an anchor's positives, and for the negatives in each positive's window. Lists are packed
-into units of about ``UNIT_ROWS`` rows, and a list that is larger is cut into several, so a list that holds a third of
-all rows is many units of work. A task holds one unit and reads the anchors that visit it batch by batch;
-a unit returns its k best an anchor.
+into about ``UNITS`` units, of more rows the more there are (``unit_rows``, within bounds), and a list that is larger is cut into
+several, so a list that holds a third of all rows is many units of work. A task holds one unit and reads the anchors
+that visit it batch by batch; a unit returns its k best an anchor. An anchor goes to each unit it visits, so what is sent grows
+with anchors times units; it is made ``ASK_ROWS`` rows at a time.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from tesselon.session import materialize
 
 #: Bound of the sample that fits the centroids and gives the first k-th scores; bound of the centroids.
 SAMPLE_ROWS, CENTROIDS = 8192, 1024
-UNIT_ROWS = 1024
-ASKS_AT_ONCE = 128
+#: Units that the lists are packed into; rows of a unit at least, and at most (lists of one centroid aside, which are cut).
+UNITS, UNIT_ROWS, UNIT_MOST = 128, 1024, 16384
+#: Anchors that are scored at once; rows of anchors and units that are handed on at once.
+ASKS_AT_ONCE, ASK_ROWS = 128, 4096
 SEED = 11
 _LONG = np.iinfo(np.int64)
 
@@ -92,28 +95,36 @@ def window(score: int, low: int, high: int) -> tuple[int, int]:
     return max(-((-low * score) // 100), _LONG.min), min((high * score) // 100, _LONG.max)
 
 
+def unit_rows(n: int) -> int:
+    """Rows of a unit of a table of ``n`` rows."""
+    return max(UNIT_ROWS, min(n // UNITS, UNIT_MOST))
+
+
 class Lists:
     """Centroids, radii and the units that hold each list; as large as the number of centroids."""
 
     def __init__(self, centers: np.ndarray, radii: np.ndarray, sizes: np.ndarray):
-        self.centers, self.radii, self.chunks = centers, radii, np.maximum(1, -(-sizes // UNIT_ROWS))
+        most = unit_rows(int(sizes.sum()))
+        self.centers, self.radii, self.chunks = centers, radii, np.maximum(1, -(-sizes // most))
         self.first, used, unit = np.zeros(len(sizes), np.int64), 0, 0
         for c, n in enumerate(sizes):
-            if used and used + n > UNIT_ROWS:
+            if used and used + n > most:
                 unit, used = unit + 1, 0
             self.first[c] = unit
-            if n > UNIT_ROWS:
+            if n > most:
                 unit, used = unit + int(self.chunks[c]), 0
             else:
                 used += int(n)
 
     def units(self, lists: np.ndarray) -> list[tuple[int, bytes]]:
         """(unit, the visited lists as bytes of int32) of all units that hold any of ``lists``."""
-        out: dict[int, list[int]] = {}
-        for c in lists.tolist():
-            for u in range(self.first[c], self.first[c] + self.chunks[c]):
-                out.setdefault(int(u), []).append(c)
-        return [(u, np.array(sorted(cs), np.int32).tobytes()) for u, cs in out.items()]
+        n = self.chunks[lists]
+        of = np.repeat(lists, n)
+        at = np.repeat(self.first[lists], n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((of, at))
+        of, at = of[order].astype(np.int32), at[order]
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+        return [(int(at[s]), of[s:e].tobytes()) for s, e in zip(starts, [*starts[1:], len(at)], strict=True)] if len(at) else []
 
 
 _SHAPE = "unit long, ask boolean, key long, vec_id long, label long, list int, q binary, floors array<long>, ceilings array<long>, lists binary"
@@ -123,6 +134,52 @@ def _matrix(blobs: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, dim)
 
 
+_COLUMNS = [x.split()[0] for x in _SHAPE.split(", ")]
+
+
+def asks_of(lists: Lists, filled: np.ndarray, sample: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, percent: tuple[int, int] | None):
+    """Batches of anchors to rows of ``_SHAPE``, one an anchor and unit that it visits, ``ASK_ROWS`` at a time at most.
+
+    ``sample`` holds the ids, labels and vectors of known rows, ``filled`` the lists that have rows. ``percent`` are the bounds of the windows around an
+    anchor's scores; without them its own label is searched, without a window.
+    """
+    s_ids, s_labels, s_x = sample
+    centers, radii = lists.centers[filled], lists.radii[filled]
+
+    def visited(x, own, label, known, scores) -> tuple[list[int], list[int], np.ndarray]:
+        lo_of, hi_of = bounds(x, centers, radii)
+        if percent is None:
+            kth = _kth(known[(s_labels == label) & (s_ids != own)], k)
+            return [_LONG.min if kth is None else kth], [_LONG.max], visits(lo_of, hi_of, None, None, kth)
+        got, floors, tops, met = known[s_labels != label], [], [], np.zeros(0, np.int64)
+        for p in scores:
+            least, most = window(int(p), *percent)
+            kth = _kth(got[(got >= least) & (got <= most)], k) if least <= most else None
+            floors.append(max(least, _LONG.min if kth is None else kth))
+            tops.append(most)
+            if least <= most:
+                met = np.union1d(met, visits(lo_of, hi_of, least, most, kth))
+        return floors, tops, met
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for b in batches:
+            for at in range(0, len(b), ASKS_AT_ONCE):
+                part = b.iloc[at : at + ASKS_AT_ONCE]
+                x = _matrix(part["q"], s_x.shape[1])
+                scores = [None] * len(part) if percent is None else part["scores"]
+                for row, key, own, label, q, known, found in zip(x, part["key"], part["vec_id"], part["label"], part["q"], products(x, s_x), scores, strict=True):
+                    floors, tops, met = visited(row, own, label, known, found)
+                    out += [(u, True, key, own, label, 0, q, floors, tops, seen) for u, seen in lists.units(filled[met])]
+                    while len(out) >= ASK_ROWS:
+                        yield pd.DataFrame(out[:ASK_ROWS], columns=_COLUMNS)
+                        out = out[ASK_ROWS:]
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    return run
+
+
 def _search(index: DataFrame, asks: DataFrame, lists: Lists, dim: int, k: int, same_label: bool) -> DataFrame:
     """(key, no, vec_id, score): for each ask and each of its windows the k first rows, over all units it visits.
 
@@ -133,7 +190,7 @@ def _search(index: DataFrame, asks: DataFrame, lists: Lists, dim: int, k: int, s
         for b in batches:
             c = b["list"].to_numpy()
             unit = lists.first[c] + b["key"].to_numpy() % lists.chunks[c]
-            yield b.assign(unit=unit, ask=False, floors=None, ceilings=None, lists=None)[[x.split()[0] for x in _SHAPE.split(", ")]]
+            yield b.assign(unit=unit, ask=False, floors=None, ceilings=None, lists=None)[_COLUMNS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, parts, x, ids, labels, of = None, [], None, None, None, None
@@ -161,13 +218,17 @@ def _search(index: DataFrame, asks: DataFrame, lists: Lists, dim: int, k: int, s
                         found, a["key"], a["vec_id"], a["label"], a["floors"], a["ceilings"], a["lists"], strict=True
                     ):
                         fits = (labels == label) & (ids != own) if same_label else labels != label
-                        fits &= np.isin(of, np.frombuffer(seen, np.int32))
+                        fits &= (row >= min(floors)) & (row <= max(tops))
+                        some = np.flatnonzero(fits)
+                        some = some[np.isin(of[some], np.frombuffer(seen, np.int32))]
+                        got = row[some]
                         for no, (lo, hi) in enumerate(zip(floors, tops, strict=True)):
-                            good = np.flatnonzero(fits & (row >= lo) & (row <= hi))
+                            good = some[(got >= lo) & (got <= hi)]
                             best = good[first(row[good], ids[good], k)]
-                            out += [(key, no, ids[i], row[i]) for i in best]
+                            if len(best):
+                                out.append((np.full(len(best), key), np.full(len(best), no, np.int32), ids[best], row[best]))
             if out:
-                yield pd.DataFrame(out, columns=["key", "no", "vec_id", "score"])
+                yield pd.DataFrame(dict(zip(["key", "no", "vec_id", "score"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     # where a row of a large list goes does not matter, as whoever visits the list visits all its units
     dealt = index.withColumn("key", F.monotonically_increasing_id())
@@ -241,40 +302,14 @@ def hard_negatives(
     anchors = index.filter(named).select("vec_id", "label", "q").distinct()
     anchors = materialize(anchors.select(F.monotonically_increasing_id().alias("key"), "vec_id", "label", "q"), "mining-anchors")
 
-    def asks(k: int, same_label: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b):
-                    continue
-                out, x = [], _matrix(b["q"], dim)
-                known = products(x, s_x)
-                for i, (key, own, label, q) in enumerate(zip(b["key"], b["vec_id"], b["label"], b["q"], strict=True)):
-                    lo_of, hi_of = bounds(x[i], centers[filled], radii[filled])
-                    fits = (s_labels == label) & (s_ids != own) if same_label else s_labels != label
-                    got, floors, tops = known[i][fits], [], []
-                    if same_label:
-                        kth = _kth(got, k)
-                        floors, tops = [_LONG.min if kth is None else kth], [_LONG.max]
-                        met = visits(lo_of, hi_of, None, None, kth)
-                    else:
-                        met = np.zeros(0, np.int64)
-                        for p in b["scores"].iloc[i]:
-                            least, most = window(int(p), low, high)
-                            kth = _kth(got[(got >= least) & (got <= most)], k) if least <= most else None
-                            floors.append(max(least, _LONG.min if kth is None else kth))
-                            tops.append(most)
-                            if least <= most:
-                                met = np.union1d(met, visits(lo_of, hi_of, least, most, kth))
-                    out += [(u, True, key, own, label, 0, q, floors, tops, seen) for u, seen in lists.units(filled[met])]
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in _SHAPE.split(", ")])
-
-        return run
-
-    best = _search(index, anchors.mapInPandas(asks(positives, True), _SHAPE), lists, dim, positives, True)
+    known = s_ids, s_labels, s_x
+    # few rows that are much work: all cores take part
+    spread = lambda df: df.repartition(spark.sparkContext.defaultParallelism, "key")
+    best = _search(index, spread(anchors).mapInPandas(asks_of(lists, filled, known, positives, None), _SHAPE), lists, dim, positives, True)
     best = materialize(best.select("key", "rank", "vec_id", "score"), "mining-positives")
     scored = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "score"))).alias("found"))  # at most ``positives``
     wanted = anchors.join(scored, "key").select("key", "vec_id", "label", "q", F.col("found.score").alias("scores"))
-    hard = _search(index, wanted.mapInPandas(asks(negatives, False), _SHAPE), lists, dim, negatives, False)
+    hard = _search(index, spread(wanted).mapInPandas(asks_of(lists, filled, known, negatives, (low, high)), _SHAPE), lists, dim, negatives, False)
     pairs = anchors.select("key", F.col("vec_id").alias("anchor_id")).join(best, "key").select(
         "key", (F.col("rank") - 1).alias("no"), "anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")
     )

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -79,3 +80,27 @@ def test_registered_query(spark, sf_dir):
             for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = sorted(tuple(r[c] for c in OUT) for r in op12_hard_negatives(spark, sf_dir).collect())
     assert got == slow(rows) and got
+
+
+def test_asks_are_made_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(mining, "UNIT_ROWS", 10)
+    monkeypatch.setattr(mining, "UNITS", 1000)
+    monkeypatch.setattr(mining, "ASK_ROWS", 50)
+    rng = np.random.default_rng(4)
+    x, labels = rng.integers(-9, 9, (400, 3)), rng.integers(0, 3, 400)
+    lists = mining.Lists(np.zeros((1, 3)), np.array([99.0]), np.array([400]))
+    anchors = pd.DataFrame({"key": range(30), "vec_id": range(30), "label": labels[:30], "q": [r.tobytes() for r in x[:30]], "scores": [[5, 9]] * 30})
+    known = np.arange(400), labels, x
+    for percent, windows in ((None, 1), ((80, 100), 2)):
+        out = list(mining.asks_of(lists, np.array([0]), known, 5, percent)(iter([anchors])))
+        assert max(map(len, out)) <= 50
+        out = pd.concat(out)
+        # each anchor visits all forty units of the only list
+        assert sorted(zip(out["key"], out["unit"], strict=True)) == [(a, u) for a in range(30) for u in range(40)]
+        assert {len(f) for f in out["floors"]} == {len(t) for t in out["ceilings"]} == {windows}
+
+
+def test_units_do_not_grow_in_number_with_the_rows():
+    of = lambda n: len(mining.Lists(np.zeros((1024, 1)), np.zeros(1024), np.full(1024, n // 1024)).units(np.arange(1024)))
+    assert of(100 * 1024) <= 110 and of(600 * 1024) <= 160 and of(1800 * 1024) <= 160
+    assert mining.unit_rows(10**9) == mining.UNIT_MOST
