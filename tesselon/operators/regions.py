@@ -1,21 +1,25 @@
 """Page geometry as columns: visual lines, left-edge clusters, regions, gutters, grids and reading order.
 
 Items are rows (source_id, page_number, item, text, x, y, width, height, page_width); x grows to the right, y upwards. Everything
-is grouped by page with DataFrame functions. Two rules are folds in order of place, the grouping of items to lines (a line's y is
-the mean of its items so far) and the merging of left edges (a cluster's x likewise): the first is a small function over the
-items of one page, the second an ``aggregate`` over its edge buckets of 36 units. Null texts count as empty; empty items are on no line, blank ones in no cluster.
+is grouped by page. Two rules are folds in order of place, the grouping of items to lines (a line's y is
+the mean of its items so far) and the merging of left edges (a cluster's x likewise): small functions over the items of a page.
+What needs a page as a whole (regions, columns, reading order) collects its numbers, without texts, to one row by one shuffle; counts
+over its items, lines and clusters are made of Arrow columns of many pages at once, and the rules on these counts are
+columns. Null texts count as empty; empty items are on no line, blank ones in no cluster.
 """
 
 from __future__ import annotations
 
 import functools
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselon.session import materialize
+from tesselon.session import text_batches
 
 PAGE = ["source_id", "page_number"]
 # fixed values: tolerances, buckets and shares of the layout rules
@@ -23,26 +27,68 @@ LINE_TOLERANCE, EDGE_BUCKET, GRID_BUCKET = 0.45, 36, 8
 GUTTER, MIN_SEPARATION, MID_MARGIN, OVERFLOW_REACH, OVERFLOW_SHARE = 28, 0.18, 14, 20, 0.45
 MIN_ITEMS, MIN_LETTERS, MIN_LINES, MIN_SPAN, MIN_OVERLAP, MIN_SHARE, MIN_TOP2 = 3, 40, 2, 12, 0.3, 0.18, 0.55
 SHORT_TEXT, GRID_ITEMS, GRID_REPEATS, GRID_SHARE, PROSE_LINE = 12, 12, 3, 0.7, 4
-EQUATION_SIGNS = r"[^=∑∫√∞±×÷≤≥≠≈∈→←()\[\]{}^_]"
-_SPACE = r"[\s\x{00A0}\x{FEFF}\p{Z}]+"
-
-
-def _words(text: Column, least: int) -> Column:
-    """Words that hold ``least`` Latin letters in a row."""
-    return F.size(F.filter(F.split(text, _SPACE), lambda w: w.rlike(f"[A-Za-z]{{{least}}}")))
+EQUATION_SIGNS = "=∑∫√∞±×÷≤≥≠≈∈→←()[]{}^_"
+#: White space: that of regular expressions, the separators of Unicode and the byte order mark.
+SPACES = [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+#: What a code point is, those beyond 16 bits being none of these.
+_SPACE, _LETTER, _DIGIT, _SIGN = 1, 2, 4, 8
+_POINTS = np.zeros(1 << 16, np.uint8)
+for _flag, _of in ((_SPACE, SPACES), (_LETTER, [*range(65, 91), *range(97, 123)]), (_DIGIT, [*range(48, 58)]), (_SIGN, [ord(c) for c in EQUATION_SIGNS])):
+    _POINTS[_of] |= _flag
+#: Characters without outer white space, letters, words (runs without white space) of two Latin letters in a row, all words, those of three letters; signs, digits, characters that are not blank.
+_COUNTS = ("filled", "letters", "words", "tokens", "long_words", "signs", "digits", "chars")
+
+
+def _count_points(texts: list[str]) -> np.ndarray:
+    """One row of ``_COUNTS`` a text, by the classes of the code points of all texts at once."""
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
+    kind = _POINTS[np.where(points < 1 << 16, points, 0)]
+    per_text = lambda mask: np.add.reduceat(mask, at[:-1], dtype=np.int64)
+    solid, letter = kind & _SPACE == 0, kind & _LETTER != 0
+    start = solid.copy()
+    start[1:] &= ~solid[:-1]
+    starts, token = np.flatnonzero(start), np.cumsum(start) - 1
+    two = letter[:-1] & letter[1:]
+
+    def holds(run: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(starts), bool)
+        found[token[: len(run)][run]] = True
+        return np.bincount(np.searchsorted(at, starts[found], "right") - 1, minlength=len(texts))
+
+    places = np.flatnonzero(solid)
+    lo, hi = np.searchsorted(places, at[:-1]), np.searchsorted(places, at[1:])
+    filled = np.zeros(len(texts), np.int64)
+    some = hi > lo
+    filled[some] = places[hi[some] - 1] - places[lo[some]] + 1
+    return np.stack([filled, per_text(letter), holds(two), per_text(start), holds(two[:-1] & two[1:]), per_text(kind & _SIGN != 0), per_text(kind & _DIGIT != 0), per_text(solid)], axis=1)
+
+
+def _counts(text: pa.Array) -> pa.Array:
+    rows, some, size = [np.zeros((0, len(_COUNTS)), np.int64)], [], 0
+    for t in text.to_pylist():
+        some.append(t)
+        size += len(t)
+        if size >= 1 << 20:
+            rows.append(_count_points(some))
+            some, size = [], 0
+    if some:
+        rows.append(_count_points(some))
+    out = np.concatenate(rows).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(c) for c in np.ascontiguousarray(out.T)], list(_COUNTS))
 
 
 def item_features(items: DataFrame) -> DataFrame:
-    """``items`` with right edge, words, letters and the flags that the rules share."""
+    """``items`` with right edge, ``_COUNTS`` of the text and the flags that the rules share."""
     text = F.coalesce("text", F.lit(""))
     height = F.coalesce("height", F.lit(0.0))
     guess = F.greatest(F.length(text), F.lit(1)) * F.greatest(height, F.lit(8.0)) * 0.5
-    trimmed = F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", "")
+    # not deterministic, so that no filter brings the counts about a second time
+    counts = F.arrow_udf(_counts, "struct<" + ", ".join(f"{c}: int" for c in _COUNTS) + ">").asNondeterministic()
     out = items.withColumns({
-        "text": text, "height": height, "right": F.col("x") + F.when(F.col("width") > 0, F.col("width")).otherwise(guess),
-        "filled": F.length(trimmed), "letters": F.length(F.regexp_replace(text, "[^A-Za-z]", "")),
-        "words": _words(text, 2), "tokens": F.size(F.filter(F.split(text, _SPACE), lambda w: w != "")), "long_words": _words(text, 3),
+        "text": text, "height": height, "right": F.col("x") + F.when(F.col("width") > 0, F.col("width")).otherwise(guess), "__c": counts(text),
     })
+    out = out.withColumns({c: F.col(f"__c.{c}") for c in _COUNTS}).drop("__c")
     mid = F.col("page_width") / 2
     return out.withColumns({
         "prose": (F.col("long_words") >= 2) | (F.col("filled") >= 24), "multi": F.col("long_words") >= 2,
@@ -104,62 +150,169 @@ def _lines(items: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*own, F.col("z.line").alias("line"), F.when(F.col("z.it.y").isNotNull(), F.col("z.y")).alias("line_y"), F.col("z.h").alias("line_height"))
 
 
-def _edges(items: DataFrame) -> DataFrame:
-    """(page, edges): a map from each bucket of left edges to (cluster, cluster_x), the cluster that it merges to from left to right."""
-    bucket = F.floor(F.col("x") / EDGE_BUCKET + 0.5)
-    sums = items.groupBy(*PAGE, bucket.alias("bucket")).agg(F.sum("x").alias("x"), F.count("*").cast("double").alias("n"))
-    page = sums.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("bucket", "x", "n"))).alias("bs"))
-    kind = "array<struct<x: double, n: double, buckets: array<bigint>>>"
+def _pages(items: DataFrame) -> DataFrame:
+    """(page, its): the numbers of each page's items; pages without a source or number are left out."""
+    text_batches(items.sparkSession, 1000)
+    double = lambda c: F.col(c).cast("double").alias(c)
+    put = F.struct(F.col("item").cast("long").alias("item"), *map(double, ("x", "y", "width", "right", "height", "page_width")), *_COUNTS, F.length("text").alias("length"))
+    known = items.filter(functools.reduce(lambda p, q: p & q, [F.col(k).isNotNull() for k in PAGE]))
+    return item_features(known).select(*PAGE, put.alias("it")).groupBy(*PAGE).agg(F.collect_list("it").alias("its"))
+
+
+class _Items:
+    """The items of a batch of pages as columns, page by page in order of place; what is null is not a number."""
+
+    def __init__(self, its: pa.ListArray):
+        flat, self.pages = its.flatten(), len(its)
+        page = np.repeat(np.arange(len(its)), its.value_lengths().to_numpy(zero_copy_only=False))
+        of = {c.name: flat.field(c.name) for c in flat.type}
+        known = {c: of[c].is_valid().to_numpy(zero_copy_only=False) for c in ("x", "y")}
+        of = {c: v.to_numpy(zero_copy_only=False) for c, v in of.items()}
+        order = np.lexsort((of["item"], of["x"], known["x"], -of["y"], known["y"], page))
+        self.page = page[order]
+        for c, v in of.items():
+            setattr(self, c, v[order])
+        self.width = np.where(np.isnan(self.width), 0.0, self.width)
+        mid = self.page_width / 2
+        self.on_left, self.on_right = self.x < mid - MID_MARGIN, self.x > mid + MID_MARGIN
+        self.overflow = (self.page_width > 0) & (self.x < mid) & (self.right > mid + OVERFLOW_REACH) & (self.width > self.page_width * OVERFLOW_SHARE)
+        self.solid, self.prose = self.filled > 0, (self.long_words >= 2) | (self.filled >= 24)
+
+    def prose_or_all(self) -> np.ndarray:
+        """A page's prose items; all its items that are not blank, if it has no prose."""
+        some = np.zeros(self.pages, bool)
+        some[self.page[self.solid & self.prose]] = True
+        return self.solid & (self.prose | ~some[self.page])
+
+
+class _Groups:
+    """Sums and the like of ``values`` by the group of each item (-1: of none), for groups 0 to n - 1."""
+
+    def __init__(self, of: np.ndarray, n: int):
+        self.inside, self.n = of >= 0, n
+        self.of = of[self.inside]
+
+    def count(self, which: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.of if which is None else self.of[which[self.inside]], minlength=self.n)
+
+    def sum(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, values[self.inside], minlength=self.n)
+
+    def any(self, which: np.ndarray) -> np.ndarray:
+        return self.count(which) > 0
+
+    def least(self, values: np.ndarray) -> np.ndarray:
+        """Not a number where there is none."""
+        out = np.full(self.n, np.nan)
+        np.fmin.at(out, self.of, values[self.inside].astype(float))
+        return out
+
+    def most(self, values: np.ndarray) -> np.ndarray:
+        return -self.least(-values)
+
+
+def _lined(items: _Items, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The line of each item (numbered over all groups; -1: of no group), and the group and y of each line."""
+    picked = np.flatnonzero(group >= 0)
+    picked = picked[np.argsort(group[picked], kind="stable")]
+    g, y, h = group[picked], items.y[picked], items.height[picked]
+    h = np.where(h > 0, h, 12.0)
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist() if len(g) else []
+    nos, ys, n = [], [], 0
+    for s, e in zip(starts, [*starts[1:], len(g)], strict=False):
+        own, at, _ = _fold(y[s:e], h[s:e])
+        nos += [n + k for k in own]
+        ys += at
+        n += max(own) + 1
+    line, of, at = np.full(len(group), -1), np.zeros(n, np.int64), np.zeros(n)
+    line[picked], of[nos], at[nos] = nos, g, ys
+    return line, of, at
+
+
+def _clustered(items: _Items, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The left-edge cluster of each item of ``used`` (numbered over all pages; -1: of none), and page, number there and x of each cluster.
+
+    Buckets of left edges are merged from left to right while their mean lies within 36 units of the cluster's so far.
+    """
+    used = np.flatnonzero(used & ~np.isnan(items.x))
+    bucket = np.floor(items.x[used] / EDGE_BUCKET + 0.5)
+    order = used[np.lexsort((bucket, items.page[used]))]
+    page, bucket = items.page[order], np.floor(items.x[order] / EDGE_BUCKET + 0.5)
+    starts = np.flatnonzero(np.r_[True, (page[1:] != page[:-1]) | (bucket[1:] != bucket[:-1])]) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(order)])
+    sums = np.add.reduceat(items.x[order], starts) if len(order) else np.zeros(0)
+    out, own = [], []  # page, number, sum of x, items
+    for p, x, n in zip(page[starts].tolist(), sums.tolist(), sizes.tolist(), strict=True):
+        last = out[-1] if out and out[-1][0] == p else None
+        if last and x / n - last[2] / last[3] <= EDGE_BUCKET:
+            last[2], last[3] = last[2] + x, last[3] + n
+        else:
+            out.append([p, last[1] + 1 if last else 0, x, n])
+        own.append(len(out) - 1)
+    cluster = np.full(len(items.page), -1)
+    cluster[order] = np.repeat(np.array(own, np.int64), sizes)
+    of, no, x, n = (np.array([c[i] for c in out]) for i in range(4))
+    return cluster, of.astype(np.int64), no.astype(np.int32), x / n
+
+
+def _struct(**columns) -> pa.StructArray:
+    """Of columns of one length; what is not a number is null."""
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, from_pandas=True) for c in columns.values()]
+    return pa.StructArray.from_arrays(arrays, list(columns))
 
-    def step(acc: Column, b: Column) -> Column:
-        last = F.element_at(acc, -1)
-        own = F.struct(b["x"].alias("x"), b["n"].alias("n"), F.array(b["bucket"]).alias("buckets"))
-        joined = F.struct((last["x"] + b["x"]).alias("x"), (last["n"] + b["n"]).alias("n"), F.array_append(last["buckets"], b["bucket"]).alias("buckets"))
-        near = b["x"] / b["n"] - last["x"] / last["n"] <= EDGE_BUCKET
-        return F.when((F.size(acc) > 0) & near, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.array_append(acc, own)).cast(kind)
 
-    # an empty list has no last element
-    step_ = lambda acc, b: F.when(F.size(acc) == 0, F.array(F.struct(b["x"].alias("x"), b["n"].alias("n"), F.array(b["bucket"]).alias("buckets")))).otherwise(step(acc, b)).cast(kind)
-    own = lambda c, i: F.transform(c["buckets"], lambda b: F.struct(b.alias("bucket"), F.struct(i.alias("cluster"), (c["x"] / c["n"]).alias("cluster_x")).alias("c")))
-    merged = page.withColumn("merged", F.aggregate("bs", F.from_json(F.lit("[]"), kind), step_))
-    return merged.select(*PAGE, F.map_from_entries(F.flatten(F.transform("merged", own))).alias("edges"))
+def _listed(page: np.ndarray, pages: int, rows: pa.StructArray) -> pa.ListArray:
+    """``rows``, in order of their page, as one list a page."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(page, np.arange(pages + 1)), pa.int32()), rows)
+
+
+def _edge_facts(xs: pa.Array) -> pa.Array:
+    """Cluster and its x of each item of a page's left edges."""
+    page = np.repeat(np.arange(len(xs)), xs.value_lengths().to_numpy(zero_copy_only=False))
+    at = SimpleNamespace(page=page, x=xs.flatten().to_numpy(zero_copy_only=False))
+    cluster, _, no, x = _clustered(at, np.ones(len(page), bool))
+    none = cluster < 0
+    rows = _struct(cluster=pa.array(np.r_[no, 0][cluster].astype(np.int32), mask=none), x=pa.array(np.r_[x, 0.0][cluster], mask=none))
+    return _listed(page, len(xs), rows)
 
 
 def edge_clusters(items: DataFrame) -> DataFrame:
-    """LAY-02: ``items`` that are not blank, with cluster (from 0, to the right) and cluster_x, the mean left edge."""
-    rows = items.filter("filled > 0")
-    return _clustered(rows, _edges(rows)).filter("cluster is not null")
-
-
-def _clustered(rows: DataFrame, edges: DataFrame, which: Column | None = None) -> DataFrame:
-    """``rows`` with cluster and cluster_x by the edges of their page; null where ``which`` is false or there is no such edge."""
-    found = F.try_element_at("edges", F.floor(F.col("x") / EDGE_BUCKET + 0.5))
-    found = found if which is None else F.when(which, found)
-    met = rows.join(edges, PAGE, "left").withColumn("__c", found).drop("edges")
-    return met.withColumns({"cluster": F.col("__c.cluster"), "cluster_x": F.col("__c.cluster_x")}).drop("__c")
-
-
-def _prose_or_all(features: DataFrame) -> DataFrame:
-    """A page's prose items; all its items that are not blank, if it has no prose."""
-    any_prose = F.max("prose").over(Window.partitionBy(*PAGE))
-    return features.filter("filled > 0").withColumn("__any", any_prose).filter("prose OR NOT __any").drop("__any")
-
-
-def _dense(features: DataFrame) -> DataFrame:
-    """(page, dense, recurring_x, recurring_y, stability, tokens, short): counts of the 8-unit histograms of each page."""
-    bin_of = lambda c: F.floor(F.col(c) / GRID_BUCKET + 0.5)
-    axis = lambda c: F.struct(F.lit(c).alias("axis"), bin_of(c).alias("bin"))
-    at = features.filter("filled > 0").select(*PAGE, (F.col("filled") <= SHORT_TEXT).cast("long").alias("short"), F.explode(F.array(axis("x"), axis("y"))).alias("at"))
-    bins = at.groupBy(*PAGE, "at").agg(F.count("*").alias("n"), F.sum("short").alias("short"))
-    on = lambda c: F.col("at.axis") == c
-    recurring = lambda c: F.count_if(on(c) & (F.col("n") >= GRID_REPEATS))
-    xs = F.when(on("x"), F.col("n"))
-    per = bins.groupBy(*PAGE).agg(
-        recurring("x").alias("recurring_x"), recurring("y").alias("recurring_y"), F.sum(xs).alias("tokens"),
-        F.sum(F.when(on("x"), F.col("short"))).alias("short"), (F.stddev_pop(xs) / F.avg(xs)).alias("stability"),
+    """LAY-02: ``items`` (see :func:`item_features`) that are not blank, with cluster (from 0, to the right) and cluster_x, the mean left edge."""
+    whole = F.struct(*[F.col(c) for c in items.columns if c not in PAGE])
+    found = F.arrow_udf(_edge_facts, "array<struct<cluster: int, x: double>>").asNondeterministic()
+    known = items.filter("filled > 0 AND source_id IS NOT NULL AND page_number IS NOT NULL").groupBy(*PAGE).agg(F.collect_list(whole).alias("its"))
+    met = known.withColumn("c", found(F.transform("its", lambda i: i["x"].cast("double"))))
+    rows = met.select(*PAGE, F.explode(F.arrays_zip("its", "c")).alias("z")).filter("z.c.cluster IS NOT NULL")
+    return rows.select(*[F.col(c) if c in PAGE else F.col(f"z.its.{c}").alias(c) for c in items.columns], F.col("z.c.cluster").alias("cluster"), F.col("z.c.x").alias("cluster_x"))
+
+
+GRID_FACTS = "items: bigint, lines: bigint, long_lines: bigint, letters: bigint, digits: bigint, signs: bigint, chars: bigint, tokens: bigint, short: bigint, recurring_x: bigint, recurring_y: bigint, stability: double"
+
+
+def _grid_facts(its: pa.Array) -> pa.Array:
+    """Counts over the lines of each page and the 8-unit histograms of its items that are not blank."""
+    i = _Items(its)
+    line, of, _ = _lined(i, np.where(i.length > 0, i.page, -1))
+    lines, page = _Groups(of, i.pages), _Groups(np.where(i.length > 0, i.page, -1), i.pages)
+    long_lines = lines.count(_Groups(line, len(of)).sum(i.words) >= PROSE_LINE)
+    solid = _Groups(np.where(i.solid, i.page, -1), i.pages)
+
+    def bins(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Page and items of each bin."""
+        b = np.floor(v[i.solid] / GRID_BUCKET + 0.5)
+        pairs, n = np.unique(np.stack([i.page[i.solid], np.where(np.isnan(b), np.inf, b)]), axis=1, return_counts=True)
+        return pairs[0].astype(np.int64), n
+
+    (px, nx), (py, ny) = bins(i.x), bins(i.y)
+    by_x, by_y = _Groups(px, i.pages), _Groups(py, i.pages)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = by_x.sum(nx) / by_x.count()
+        stability = np.sqrt(by_x.sum((nx - mean[px]) ** 2) / by_x.count()) / mean
+    sums = {c: page.sum(getattr(i, c)).astype(np.int64) for c in ("letters", "digits", "signs", "chars")}
+    return _struct(
+        items=page.count(), lines=lines.count(), long_lines=long_lines, **sums, tokens=solid.count(), short=solid.count(i.filled <= SHORT_TEXT),
+        recurring_x=by_x.count(nx >= GRID_REPEATS), recurring_y=by_y.count(ny >= GRID_REPEATS), stability=stability,
     )
-    dense = (F.col("tokens") >= GRID_ITEMS) & (F.col("recurring_x") >= 3) & (F.col("recurring_y") >= 3) & (F.col("short") / F.col("tokens") >= GRID_SHARE)
-    return per.withColumn("dense", dense)
 
 
 def grid_features(items: DataFrame) -> DataFrame:
@@ -168,36 +321,58 @@ def grid_features(items: DataFrame) -> DataFrame:
     kind: a dense grid is math if long prose lines dominate it, else a table. Shares are of characters that are not
     blank. A page without items that are not empty has no row.
     """
-    return _grids(item_features(items))
+    return _grids(_pages(items)).drop("its")
 
 
-def _grids(features: DataFrame) -> DataFrame:
-    counted = {c: F.length(F.regexp_replace("text", p, "")) for c, p in (("signs", EQUATION_SIGNS), ("digits", "[^0-9]"), ("chars", _SPACE))}
-    lined = visual_lines(features.withColumns(counted), carry=["words", "letters", *counted])
-    by_line = lined.groupBy(*PAGE, "line").agg(
-        F.count("*").alias("items"), F.sum("words").alias("words"), F.sum("letters").alias("letters"), *[F.sum(c).alias(c) for c in counted],
-    )
-    per = by_line.groupBy(*PAGE).agg(
-        F.sum("items").alias("items"), F.count("*").alias("lines"), F.count_if(F.col("words") >= PROSE_LINE).alias("long_lines"),
-        *[F.sum(c).alias(c) for c in ("letters", "digits", "signs")], F.greatest(F.sum("chars"), F.lit(1)).alias("chars"),
-    )
-    out = per.join(_dense(features), PAGE, "left")
-    dense, long_ = F.coalesce("dense", F.lit(False)), F.col("long_lines")
-    alpha = F.col("letters") / F.col("chars")
+def _grids(pages: DataFrame) -> DataFrame:
+    """``pages`` of :func:`_pages` with the columns of :func:`grid_features`."""
+    out = pages.withColumn("g", F.arrow_udf(_grid_facts, f"struct<{GRID_FACTS}>").asNondeterministic()("its")).select(*PAGE, "its", "g.*").filter("items > 0")
+    short = F.when(F.col("tokens") > 0, F.col("short") / F.col("tokens")).otherwise(0.0)
+    xs, ys, long_, chars = F.col("recurring_x"), F.col("recurring_y"), F.col("long_lines"), F.greatest(F.col("chars"), F.lit(1))
+    dense = (F.col("tokens") >= GRID_ITEMS) & (xs >= 3) & (ys >= 3) & (short >= GRID_SHARE)
+    alpha = F.col("letters") / chars
     math = ((long_ >= 8) & (alpha >= 0.4)) | ((long_ >= 5) & (long_ / F.col("lines") >= 0.28) & (alpha >= 0.35))
     kind = F.when(~dense, "none").when(math, "math").otherwise("table")
-    xs, ys = F.coalesce("recurring_x", F.lit(0)), F.coalesce("recurring_y", F.lit(0))
-    short = F.coalesce(F.col("short") / F.col("tokens"), F.lit(0.0))
     loose = (xs >= 3) & (ys >= 3) & (short >= GRID_SHARE) & (long_ <= 1)
     # a dense grid always has a kind, so what is left is a loose one
     hypothesis = F.when(kind == "math", "likely-math").when(kind == "table", "likely-grid").when(loose, "likely-grid").otherwise("unknown")
     return out.select(
-        *PAGE, "items", "lines", "long_lines", short.alias("short"), alpha.alias("alpha"), (F.col("digits") / F.col("chars")).alias("numeric"),
-        (F.col("signs") / F.col("chars")).alias("equations"), xs.alias("recurring_x"), ys.alias("recurring_y"),
+        *PAGE, "its", "items", "lines", "long_lines", short.alias("short"), alpha.alias("alpha"), (F.col("digits") / chars).alias("numeric"),
+        (F.col("signs") / chars).alias("equations"), "recurring_x", "recurring_y",
         F.coalesce("stability", F.lit(0.0)).alias("stability"), dense.alias("dense"), kind.alias("kind"), hypothesis.alias("hypothesis"),
     )
 
 
+REGION_FACTS = "region: int, x: double, items: bigint, prose_lines: bigint, y_span: double, avg_width: double, median_width: double, short_noise: boolean, letters: bigint, left: double, right: double, top: double, bottom: double"
+
+
+def _region_facts(its: pa.Array) -> pa.Array:
+    """The clusters of each page's prose items (of all items, if none is prose) by left edge, with the lines that are nearest."""
+    i = _Items(its)
+    cluster, of, no, x = _clustered(i, i.prose_or_all())
+    g = _Groups(cluster, len(of))
+    n, top, bottom, left = g.count(), g.most(i.y), g.least(i.y), g.least(i.x)
+    # the middle item by width
+    order = np.lexsort((i.item, i.width, cluster))[np.count_nonzero(cluster < 0) :]
+    median = i.width[order][np.cumsum(n) - n + n // 2] if len(of) else np.zeros(0)
+    line, line_page, _ = _lined(i, np.where(i.length > 0, i.page, -1))
+    lines = _Groups(line, len(line_page))
+    anchor, words = lines.least(i.x), lines.sum(i.words)
+    # each line with each cluster of its page: a page has few, at most one each 36 units
+    first, last = np.searchsorted(of, line_page), np.searchsorted(of, line_page, "right")
+    many = last - first
+    at = np.repeat(np.arange(len(line_page)), many)
+    met = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + first[at]
+    away = np.lexsort((met, np.abs(x[met] - anchor[at]), at))
+    nearest = met[away[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])]] if len(at) else np.zeros(0, np.int64)
+    nearest = nearest[words[many > 0] >= 2]
+    rows = _struct(
+        region=no, x=x, items=n, prose_lines=np.bincount(nearest, minlength=len(of)), y_span=top - bottom, avg_width=g.sum(i.width) / n, median_width=median,
+        short_noise=g.count(i.filled <= SHORT_TEXT) / n >= 0.7, letters=g.sum(i.letters).astype(np.int64), left=left, right=g.most(i.right), top=top, bottom=bottom,
+    )
+    return _listed(of, i.pages, rows)
+
+
 def regions(items: DataFrame) -> DataFrame:
     """LAY-11: the candidate regions of each page, one row a left-edge cluster of its prose items (of all items, if none is prose).
 
@@ -205,28 +380,16 @@ def regions(items: DataFrame) -> DataFrame:
     right, top, bottom). A visual line belongs to the cluster nearest to its leftmost item; gutter_to_next is the distance from the
     right edge to the next region's left one (negative where they overlap, null for the last).
     """
-    features = item_features(items)
-    clustered = edge_clusters(_prose_or_all(features))
-    by_width = Window.partitionBy(*PAGE, "cluster").orderBy(F.coalesce("width", F.lit(0.0)), "item")
-    clustered = clustered.withColumns({"w": F.coalesce("width", F.lit(0.0)), "no": F.row_number().over(by_width), "of": F.count("*").over(Window.partitionBy(*PAGE, "cluster"))})
-    per = clustered.groupBy(*PAGE, "cluster").agg(
-        F.first("cluster_x").alias("x"), F.count("*").alias("items"), (F.max("y") - F.min("y")).alias("y_span"), F.avg("w").alias("avg_width"),
-        F.max(F.when(F.col("no") == F.floor(F.col("of") / 2) + 1, F.col("w"))).alias("median_width"),
-        (F.count_if(F.col("filled") <= SHORT_TEXT) / F.count("*") >= 0.7).alias("short_noise"), F.sum("letters").alias("letters"),
-        F.min("x").alias("left"), F.max("right").alias("right"), F.max("y").alias("top"), F.min("y").alias("bottom"),
-    )
-    lines = visual_lines(features, carry=["words"]).groupBy(*PAGE, "line").agg(F.min("x").alias("anchor"), F.sum("words").alias("words"))
-    # a page has few clusters, at most one each 36 units
-    away = F.struct(F.abs(F.col("x") - F.col("anchor")), F.col("cluster"))
-    nearest = lines.join(per.select(*PAGE, "cluster", "x"), PAGE).groupBy(*PAGE, "line").agg(F.min_by("cluster", away).alias("cluster"), F.first("words").alias("words"))
-    prose_lines = nearest.groupBy(*PAGE, "cluster").agg(F.count_if(F.col("words") >= 2).alias("prose_lines"))
-    total = F.greatest(F.sum("letters").over(Window.partitionBy(*PAGE)), F.lit(1))
-    order = Window.partitionBy(*PAGE).orderBy("left", "cluster")
-    out = per.join(prose_lines, [*PAGE, "cluster"], "left")
+    found = F.arrow_udf(_region_facts, f"array<struct<{REGION_FACTS}>>").asNondeterministic()
+    page = _pages(items).select(*PAGE, found("its").alias("of"))
+    total = F.greatest(F.aggregate("of", F.lit(0).cast("long"), lambda n, r: n + r["letters"]), F.lit(1))
+    page = page.select(*PAGE, F.array_sort(F.transform("of", lambda r: F.struct(r["left"], r["region"], r.alias("r")))).alias("of"), total.alias("total"))
+    after = F.transform("of", lambda r, i: F.struct(r["r"].alias("r"), F.try_element_at("of", i + 2)["r"]["left"].alias("next")))
+    out = page.select(*PAGE, "total", F.explode(after).alias("z")).select(*PAGE, "total", "z.next", "z.r.*")
     return out.select(
-        *PAGE, F.col("cluster").alias("region"), F.when(F.col("letters") >= MIN_LETTERS, "prose").otherwise("unknown").alias("kind"), "x", "items",
-        F.coalesce("prose_lines", F.lit(0)).alias("prose_lines"), "y_span", "avg_width", "median_width", (F.lead("left").over(order) - F.col("right")).alias("gutter_to_next"),
-        "short_noise", "letters", (F.col("letters") / total).alias("share"), "left", "right", "top", "bottom",
+        *PAGE, "region", F.when(F.col("letters") >= MIN_LETTERS, "prose").otherwise("unknown").alias("kind"), "x", "items",
+        "prose_lines", "y_span", "avg_width", "median_width", (F.col("next") - F.col("right")).alias("gutter_to_next"),
+        "short_noise", "letters", (F.col("letters") / F.col("total")).alias("share"), "left", "right", "top", "bottom",
     )
 
 
@@ -255,43 +418,59 @@ def prose_columns(items: DataFrame) -> DataFrame:
     letters and lines of four words each, and overlap in height. Where items reach over the middle, a page is refused as
     a single column without two proven ones. A page of blank items has no row.
     """
-    return _prose_columns(materialize(item_features(items), "regions-items"))
-
-
-def _prose_columns(whole_items: DataFrame) -> DataFrame:
-    features = whole_items.filter("filled > 0")
-    narrow = [*PAGE, "item", "x", "y", "height", "words", "on_left", "on_right", "multi", "overflow", "letters", "prose"]
-    flagged = features.select(*narrow).withColumn("used", F.col("prose") | ~F.max("prose").over(Window.partitionBy(*PAGE)))
-    # a page's items are together from here on, and are told out to views where they lie
-    placed = _clustered(flagged, _edges(flagged.filter("used")), F.col("used"))
-    cluster_view = F.concat(F.lit("c"), F.col("cluster").cast("string"))
-    views = placed.withColumn("view", F.explode(F.array_compact(F.array(
-        F.lit("all"), F.when(F.col("on_left"), F.lit("left")), F.when(F.col("on_right"), F.lit("right")), cluster_view,
-    )))).select(*narrow[:-2], "view")
-    clustered = placed.filter("cluster is not null").withColumn("view", cluster_view)
-    lines = _lines(views, [*PAGE, "view"]).groupBy(*PAGE, "view", "line").agg(
-        F.sum("words").alias("words"), F.max(F.col("on_left") & F.col("multi")).alias("lm"), F.max(F.col("on_right") & F.col("multi")).alias("rm"),
-        F.max("overflow").alias("over"), F.max("on_right").alias("past"),
+    return _prose_columns(_pages(items)).drop("its", "f")
+
+
+COLUMN_FACTS = (
+    "page_width: double, solid: bigint, width_distrust: boolean, cross_risk: boolean, rights: bigint, left_prose: bigint, right_prose: bigint, left_lines: bigint, right_lines: bigint, spread: double,"
+    " pairs: bigint, x1: double, x2: double, clusters: array<struct<mass: bigint, cluster: int, x: double, n: bigint, top: double, bottom: double, long: bigint>>"
+)
+
+
+def _column_facts(its: pa.Array) -> pa.Array:
+    """What the rules on columns ask of each page's items that are not blank: sides, lines, clusters of prose, and the clusters of two items and more."""
+    i = _Items(its)
+    view = lambda which: np.where(i.solid & which, i.page, -1)
+    whole = _Groups(view(True), i.pages)
+    line, of, _ = _lined(i, view(True))
+    lines, per_page = _Groups(line, len(of)), _Groups(of, i.pages)
+    multi = i.long_words >= 2
+    both = lines.any(i.on_left & multi) & lines.any(i.on_right & multi)
+    risk = per_page.any(both | (lines.any(i.overflow) & lines.any(i.on_right)))
+    starts = lines.least(i.x)
+
+    def long_lines(group: np.ndarray, n: int) -> np.ndarray:
+        line, of, _ = _lined(i, group)
+        return _Groups(of, n).count(_Groups(line, len(of)).sum(i.words) >= PROSE_LINE)
+
+    cluster, page, no, x = _clustered(i, i.prose_or_all())
+    g = _Groups(cluster, len(page))
+    clusters = _struct(
+        mass=g.sum(i.letters).astype(np.int64), cluster=no, x=x, n=g.count(), top=g.most(i.y), bottom=g.least(i.y), long=long_lines(cluster, len(page)),
     )
-    seen = lines.groupBy(*PAGE, "view").agg(
-        F.count_if(F.col("words") >= PROSE_LINE).alias("long"), F.max((F.col("lm") & F.col("rm")) | (F.col("over") & F.col("past"))).alias("risk"),
+    all_of, all_page, _, all_x = _clustered(i, i.solid)
+    pairs = _Groups(np.where(_Groups(all_of, len(all_page)).count() >= 2, all_page, -1), i.pages)
+    width = whole.most(i.page_width)
+    without = np.isnan(width)
+    flag = lambda v: pa.array(v, mask=without)
+    return _struct(
+        page_width=width, solid=whole.count(), width_distrust=flag(whole.any(i.overflow)), cross_risk=flag(risk), rights=whole.count(i.on_right),
+        left_prose=whole.count(i.on_left & i.prose), right_prose=whole.count(i.on_right & i.prose), left_lines=long_lines(view(i.on_left), i.pages), right_lines=long_lines(view(i.on_right), i.pages),
+        spread=per_page.most(starts) - per_page.least(starts), pairs=pairs.count(), x1=pairs.least(all_x), x2=pairs.most(all_x), clusters=_listed(page, i.pages, clusters),
     )
-    seen = materialize(seen, "regions-views")
-    of = lambda view, c: F.max(F.when(F.col("view") == view, F.col(c)))
-    sides = seen.groupBy(*PAGE).agg(of("all", "risk").alias("cross_risk"), *[F.coalesce(of(v, "long"), F.lit(0)).alias(f"{v}_lines") for v in ("left", "right")])
-    counts = features.groupBy(*PAGE).agg(
-        F.max("page_width").alias("page_width"), F.max("overflow").alias("width_distrust"), F.count_if("on_right").alias("rights"),
-        F.count_if(F.col("on_left") & F.col("prose")).alias("left_prose"), F.count_if(F.col("on_right") & F.col("prose")).alias("right_prose"),
+
+
+def _prose_columns(pages: DataFrame) -> DataFrame:
+    """:func:`prose_columns` of :func:`_pages`, with their items (its) and counts (f)."""
+    facts = F.arrow_udf(_column_facts, f"struct<{COLUMN_FACTS}>").asNondeterministic()
+    out = _grids(pages).select(*PAGE, "its", "kind").withColumn("f", facts("its")).filter("f.solid > 0 AND size(f.clusters) > 0")
+    total = F.greatest(F.aggregate("f.clusters", F.lit(0).cast("long"), lambda s, c: s + c["mass"]), F.lit(1))
+    heavy = F.slice(F.array_sort(F.transform("f.clusters", lambda c: F.struct((-c["mass"]).alias("m"), c["cluster"], c.alias("c")))), 1, 2)
+    put = lambda c: F.struct(c["x"], c["n"], c["mass"], c["top"], c["bottom"], c["long"], (c["mass"] / total).alias("share"))
+    out = out.select(
+        *PAGE, "its", "kind", "f", *[F.col(f"f.{c}").alias(c) for c in ("page_width", "width_distrust", "cross_risk", "rights", "left_prose", "right_prose", "left_lines", "right_lines")],
+        F.size("f.clusters").cast("long").alias("clusters"), F.array_sort(F.transform(heavy, lambda h: put(h["c"]))).alias("two"),
     )
-    per = clustered.groupBy(*PAGE, "cluster", "view").agg(
-        F.first("cluster_x").alias("x"), F.count("*").alias("n"), F.sum("letters").alias("mass"), F.max("y").alias("top"), F.min("y").alias("bottom"),
-    ).join(seen.select(*PAGE, "view", "long"), [*PAGE, "view"])
-    best = Window.partitionBy(*PAGE).orderBy(F.desc("mass"), "cluster")
-    whole = Window.partitionBy(*PAGE)
-    per = per.withColumns({"no": F.row_number().over(best), "clusters": F.count("*").over(whole), "total": F.greatest(F.sum("mass").over(whole), F.lit(1))})
-    put = F.struct("x", "n", "mass", "top", "bottom", "long", (F.col("mass") / F.col("total")).alias("share"))
-    top = per.filter("no <= 2").groupBy(*PAGE).agg(F.sort_array(F.collect_list(put)).alias("two"), F.max("clusters").alias("clusters"))
-    out = counts.join(sides, PAGE).join(top, PAGE).join(_grids(whole_items).select(*PAGE, "kind"), PAGE)
     pair = F.size("two") == 2
     a, b = F.col("two")[0], F.try_element_at("two", F.lit(2))
     width, no_table = F.col("page_width"), F.col("kind") != "table"
@@ -309,41 +488,46 @@ def _prose_columns(whole_items: DataFrame) -> DataFrame:
     )
     refuse = no_table & (independent | F.col("cross_risk"))
     return out.select(
-        *PAGE, "page_width", "kind", "clusters", F.aggregate("two", F.lit(0.0), lambda s, c: s + c["share"]).alias("share_top2"),
+        *PAGE, "its", "f", "page_width", "kind", "clusters", F.aggregate("two", F.lit(0.0), lambda s, c: s + c["share"]).alias("share_top2"),
         F.when(pair, b["x"] - a["x"]).alias("gutter"), F.when(pair, overlap).otherwise(0.0).alias("y_overlap"), "width_distrust", "cross_risk", "two_dominant",
         independent.alias("two_independent"), refuse.alias("refuse_single"),
         F.when(F.col("two_dominant"), (a["x"] + b["x"]) / 2).when(refuse, width / 2).alias("split_x"),
     )
 
 
+SIDES = tuple(f"{name}_{side}" for name in ("split", "pair", "mid") for side in "lr")
+SIDE_FACTS = ", ".join(f"{v}: struct<lines: bigint, top: double, bottom: double, prose: boolean>" for v in SIDES)
+
+
+def _side_facts(its: pa.Array, split_x: pa.Array, pair_split: pa.Array, page_width: pa.Array) -> pa.Array:
+    """The lines of both sides of each page, for each way of cutting it: at either split, or around the middle. No line is no side."""
+    i = _Items(its)
+    at = lambda v: v.to_numpy(zero_copy_only=False).astype(float)[i.page]
+    mid = at(page_width) / 2
+    cuts = {name: (i.x < c, i.x >= c) for name, c in (("split", at(split_x)), ("pair", at(pair_split)))} | {"mid": (i.right < mid - GUTTER / 2, i.x > mid + GUTTER / 2)}
+    out = {}
+    for name, (lft, rgt) in cuts.items():
+        line, of, y = _lined(i, np.where(i.solid & lft, 2 * i.page, np.where(i.solid & rgt, 2 * i.page + 1, -1)))
+        views = _Groups(of, 2 * i.pages)
+        n, top, bottom, prose = views.count(), views.most(y), views.least(y), views.any(_Groups(line, len(of)).sum(i.tokens) >= PROSE_LINE)
+        for k, side in enumerate("lr"):
+            out[f"{name}_{side}"] = _struct(lines=n[k::2], top=top[k::2], bottom=bottom[k::2], prose=prose[k::2])
+    return _struct(**out)
+
+
 def reading_orders(items: DataFrame) -> DataFrame:
     """LAY-04: (page, kind, two_dominant, refuse_single, reading_order, split_x): single-column, two-column or uncertain.
 
     Tables are uncertain. Columns by :func:`prose_columns`, or by the only two clusters of two items and more, count as two if both have lines
     of prose and overlap; a page that is refused as one column, or whose lines start in both halves, is uncertain.
     """
-    whole_items = materialize(item_features(items), "regions-items")
-    features = whole_items.filter("filled > 0").select(*PAGE, "item", "x", "y", "right", "height", "tokens", "filled")
-    clusters = edge_clusters(features).groupBy(*PAGE, "cluster").agg(F.first("cluster_x").alias("x"), F.count("*").alias("n")).filter("n >= 2")
-    pairs = clusters.groupBy(*PAGE).agg(F.count("*").alias("k"), F.min("x").alias("x1"), F.max("x").alias("x2"))
-    page = _prose_columns(whole_items).join(pairs, PAGE, "left")
-    apart = F.col("x2") - F.col("x1") >= F.greatest(F.lit(2.0 * GUTTER), F.col("page_width") * MIN_SEPARATION)
-    paired = (F.col("k") == 2) & apart & (F.col("x1") <= F.col("page_width") * 0.45) & (F.col("x2") >= F.col("page_width") * 0.45)
-    page = page.withColumn("pair_split", F.when(paired, (F.col("x1") + F.col("x2")) / 2)).select(*PAGE, "page_width", "kind", "two_dominant", "refuse_single", "split_x", "pair_split")
-    page = materialize(page, "regions-pages")
-    # each way of cutting the page is a view with two sides; an item is met by all of them at once
-    side = lambda at: F.when(at.isNull(), None).when(F.col("x") < at, "l").otherwise("r")
-    met = features.join(page, PAGE)
-    mid = F.col("page_width") / 2
-    halves = F.when(F.col("right") < mid - GUTTER / 2, "l").when(F.col("x") > mid + GUTTER / 2, "r")
-    named = [F.concat(F.lit(k), v) for k, v in (("split_", side(F.col("split_x"))), ("pair_", side(F.col("pair_split"))), ("mid_", halves))]
-    views = met.withColumn("view", F.explode(F.array_compact(F.array(*named, F.lit("all"))))).select(*PAGE, "view", "item", "x", "y", "height", "tokens")
-    lines = _lines(views, [*PAGE, "view"]).groupBy(*PAGE, "view", "line").agg(F.first("line_y").alias("y"), F.min("x").alias("x"), F.sum("tokens").alias("tokens"))
-    per = lines.groupBy(*PAGE, "view").agg(
-        F.count("*").alias("lines"), F.max("y").alias("top"), F.min("y").alias("bottom"), F.max(F.col("tokens") >= PROSE_LINE).alias("prose"), (F.max("x") - F.min("x")).alias("spread"),
-    )
-    by = per.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("view", F.struct("lines", "top", "bottom", "prose", "spread")))).alias("v"))
-    get = lambda k: F.try_element_at("v", F.lit(k))
+    page = _prose_columns(_pages(items))
+    x1, x2, width = F.col("f.x1"), F.col("f.x2"), F.col("page_width")
+    paired = (F.col("f.pairs") == 2) & (x2 - x1 >= F.greatest(F.lit(2.0 * GUTTER), width * MIN_SEPARATION)) & (x1 <= width * 0.45) & (x2 >= width * 0.45)
+    page = page.select(*PAGE, "its", "page_width", "kind", "two_dominant", "refuse_single", "split_x", F.col("f.spread").alias("spread"), F.when(paired, (x1 + x2) / 2).alias("pair_split"))
+    sides = F.arrow_udf(_side_facts, f"struct<{SIDE_FACTS}>").asNondeterministic()
+    page = page.withColumn("v", sides("its", "split_x", "pair_split", "page_width"))
+    get = lambda k: F.col(f"v.{k}")
 
     def confident(name: str) -> Column:
         a, b = get(f"{name}_l"), get(f"{name}_r")
@@ -352,11 +536,11 @@ def reading_orders(items: DataFrame) -> DataFrame:
         good = (a["lines"] >= MIN_LINES) & (b["lines"] >= MIN_LINES) & a["prose"] & b["prose"] & (short >= MIN_SPAN) & (overlap > 0) & (overlap >= MIN_OVERLAP * short)
         return F.coalesce(good, F.lit(False))
 
-    halved = F.coalesce((get("mid_l")["lines"] >= 2) & (get("mid_r")["lines"] >= 2) & (get("all")["spread"] > F.col("page_width") * 0.35), F.lit(False))
+    halved = F.coalesce((get("mid_l")["lines"] >= 2) & (get("mid_r")["lines"] >= 2) & (F.col("spread") > F.col("page_width") * 0.35), F.lit(False))
     by_pair = F.col("pair_split").isNotNull() & confident("pair")
     order = (
         F.when(F.col("kind") == "table", "uncertain").when(F.col("two_dominant"), F.when(confident("split"), "two-column").otherwise("uncertain"))
         .when(by_pair, "two-column").when(F.col("refuse_single") | halved, "uncertain").otherwise("single-column")
     )
     split = F.when(order == "two-column", F.when(F.col("two_dominant"), F.col("split_x")).otherwise(F.col("pair_split")))
-    return page.join(by, PAGE).select(*PAGE, "kind", "two_dominant", "refuse_single", order.alias("reading_order"), split.alias("split_x"))
+    return page.select(*PAGE, "kind", "two_dominant", "refuse_single", order.alias("reading_order"), split.alias("split_x"))

@@ -31,12 +31,11 @@ def page_items(spark, sf_dir):
     """Items of 600 units wide pages made of the words of ``documents``."""
     i, s = F.col("i"), F.col("s")
     d = spread_small(table(spark, sf_dir, "documents")).select(
-        "doc_id", (F.col("doc_id") % 4).alias("s"), F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \x09-\x0D]+"), lambda w: w != "").alias("ws"))
-    per = F.when(s == 2, 1).otherwise(5)
-    d = d.select("doc_id", "s", F.posexplode(F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("ws")), lambda k: k * per < F.size("ws")),
-        lambda k: F.when(s == 2, F.substring(F.element_at("ws", k + 1), 1, 8)).otherwise(F.array_join(F.slice("ws", k * per + 1, per), " "))
-    )).alias("i", "text"))
+        "doc_id", (F.col("doc_id") % 4).alias("s"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \x09-\x0D]+", " ").alias("t"))
+    # runs of words as one pass over the text
+    words = lambda more: F.regexp_extract_all("t", F.lit(f"[^ ]+(?: [^ ]+){{0,{more}}}"), F.lit(0))
+    d = d.select("doc_id", "s", F.posexplode(F.when(s == 2, words(0)).otherwise(words(4))).alias("i", "text"))
+    d = d.withColumn("text", F.when(s == 2, F.substring("text", 1, 8)).otherwise(F.col("text")))
     page = F.floor(i / F.when(s == 0, 30).when(s == 2, 40).otherwise(60)).cast("int")
     col = F.when(s == 0, 0).when(s == 2, i % 4).otherwise(F.floor(i % 60 / 30))
     row = F.when(s == 2, F.floor(i % 40 / 4)).otherwise(i % 30)

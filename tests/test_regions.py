@@ -206,3 +206,30 @@ def test_nothing_and_nulls(spark):
     for f in (rg.regions, rg.gutter_crossings, rg.grid_features, rg.prose_columns, rg.reading_orders):
         assert f(items.limit(0)).collect() == []
         f(items).collect()
+
+
+def test_counts_by_code_points_are_those_of_the_patterns():
+    space = "[\\t-\\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    rnd = random.Random(7)
+    pool = ["a", "B", "z", "\u00e9", "9", "0", "=", "\u2211", "{", "_", "-", "\U0001F600", " ", "\t", "\n", "\u00a0", "\u2003", "\u2028", "\u3000", "\ufeff", "\u200b"]
+    texts = ["", " ", "abc", "\n", *("".join(rnd.choice(pool) for _ in range(rnd.randint(0, 30))) for _ in range(300))]
+    for t, got in zip(texts, rg._count_points(texts).tolist(), strict=True):
+        ws = [w for w in re.split(f"{space}+", t) if w]
+        run = lambda n: sum(bool(re.search("[A-Za-z]{%d}" % n, w)) for w in ws)  # noqa: B023, E731
+        count = lambda p: len(re.findall(p, t))  # noqa: B023, E731
+        trimmed = re.sub(f"^{space}+|{space}+$", "", t)
+        assert got == [len(trimmed), count("[A-Za-z]"), run(2), len(ws), run(3), count(r"[=∑∫√∞±×÷≤≥≠≈∈→←()\[\]{}^_]"), count("[0-9]"), len("".join(ws))]
+
+
+def test_a_page_is_put_together_once(corpus):
+    _, items = corpus
+    for f in (rg.regions, rg.grid_features, rg.prose_columns, rg.reading_orders):
+        plan = f(items)._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[-1]
+        assert final.count("Exchange") == 1 and "Join" not in final and "Window" not in final
+
+
+def test_edge_clusters_over_rows(corpus):
+    pages, items = corpus
+    got = {(r["page_number"], r["item"]): (r["cluster"], round(r["cluster_x"], 6)) for r in rg.edge_clusters(rg.item_features(items)).collect()}
+    assert got == {(n, i["item"]): (no, round(x, 6)) for (_, n), its in pages.items() for no, (x, c) in enumerate(slow_clusters(its)) for i in c}
